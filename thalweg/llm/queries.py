@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thalweg.llm import chat, embed_dedup, mixing, ngram_join, packing, quality, token_codes
+from thalweg.llm import chat, embed_dedup, license, line_dedup, mixing, ngram_join, packing, pii, quality, token_codes
 from thalweg.llm.common import scratch_path, table
 
 
@@ -16,6 +16,13 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = pii.annotate(table(spark, sf_dir, "documents"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    spans = pii.listed((*pii.KINDS, "secret"))
+    return marked.select("doc_id", *counts, F.sha2(pii.listed(pii.KINDS), 256).alias("base_sha256"), spans.alias("spans"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), end_id=1, length=2048)
 
@@ -36,6 +43,17 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.licences(table(spark, sf_dir, "documents"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out, n_lines, n_removed = line_dedup.dedup(docs)
+    return out.select("doc_id", F.col(n_lines).cast("long").alias("n_lines"), F.col(n_removed).cast("long").alias("n_removed"),
+                      F.length("text").cast("long").alias("chars_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out, stats, failed, kept = quality.judge(docs, table(spark, sf_dir, "labels"))
@@ -61,7 +79,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-_QUERIES = [op2_packing, op3_chat, op6_quality, op7_token_codes, op8_ngram_join, op9_embed_dedup, op10_mixing]
+_QUERIES = [op1_pii, op2_packing, op3_chat, op4_license, op5_line_dedup, op6_quality, op7_token_codes, op8_ngram_join, op9_embed_dedup, op10_mixing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
