@@ -66,13 +66,17 @@ class _Curve:
         rng = np.random.default_rng(seed)
         self.signs = rng.choice([-1.0, 1.0], (BUCKETS, DIMS))
 
-    def key(self, ids: np.ndarray) -> int:
+    def spread(self, ids: np.ndarray) -> np.ndarray:
+        """The projected direction of one document's hashed counts."""
         hashed = (ids * np.uint32(2654435761)) >> np.uint32(20)
         counts = np.bincount(hashed, minlength=BUCKETS).astype(float)
-        spread = (counts @ self.signs) / max(1.0, np.sqrt(counts @ counts))
+        return (counts @ self.signs) / max(1.0, np.sqrt(counts @ counts))
+
+    def keys(self, spreads: list[np.ndarray]) -> np.ndarray:
+        """Places of a batch of documents on the curve."""
         # the projections of unrelated vectors are near to normal: a logistic curve spreads them evenly
-        even = 1 / (1 + np.exp(-1.702 * np.clip(spread, -30, 30)))
-        return int(hilbert(np.minimum(even * (1 << BITS), (1 << BITS) - 1)[None, :], BITS)[0])
+        even = 1 / (1 + np.exp(-1.702 * np.clip(np.array(spreads), -30, 30)))
+        return hilbert(np.minimum(even * (1 << BITS), (1 << BITS) - 1), BITS)
 
 
 def tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
@@ -81,15 +85,15 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, curve, end = encoder(tokenizer), _Curve(), np.array([end_id], np.uint32)
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):  # keeps what is held small
+            for low in range(0, batch.num_rows, 512):  # enough for numpy, and little is held
                 some = batch.slice(low, 512)
-                keys, ids = [], []
+                spreads, ids = [], []
                 for text in some.column(1):
                     own = np.concatenate([bpe.encode(text.as_py() or ""), end])
-                    keys.append(curve.key(own))
+                    spreads.append(curve.spread(own))
                     ids.append(own.astype("<u4").tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.array(keys, pa.int64()), pa.array(ids, pa.binary())],
+                    [some.column(0), pa.array(curve.keys(spreads), pa.int64()), pa.array(ids, pa.binary())],
                     names=["doc_id", "hilbert_key", "ids"],
                 )
 
