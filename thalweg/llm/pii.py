@@ -211,5 +211,8 @@ def annotate(docs: DataFrame) -> DataFrame:
 
 def listed(kinds: tuple[str, ...]) -> Column:
     """kind:start:end of all spans, by kind and start, comma-joined."""
-    parts = [F.transform(k, lambda s, k=k: F.concat(F.lit(f"{k}:"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))) for k in kinds]
-    return F.array_join(F.concat(*parts), ",")
+
+    def named(kind: str) -> Column:
+        return F.transform(kind, lambda s: F.concat(F.lit(f"{kind}:"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string")))
+
+    return F.array_join(F.concat(*map(named, kinds)), ",")
