@@ -1,2 +1,131 @@
-"""Queries."""
-QUERIES: dict = {}
+"""Queries of wavelet spectra, splines, smoothing and scale-space trees."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
+from thalweg.functions.kernels import chi2_quantile
+from thalweg.operators import lines, scale_tree, spectral
+from thalweg.plans import standins as st
+from thalweg.plans.geometry import curved, r, rounded, transects
+
+QUERIES: dict[str, tuple] = {}
+DJ = 0.5
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
+def wave(spark, sf_dir):
+    return spectral.cwt(st.signals(spark, sf_dir), 1.0, DJ)
+
+
+#: The transform as sums over 128 frequencies: the second derivative of a Gaussian, scales 2 to 64 in half octaves.
+_WAVE = f"""sg AS (SELECT vec_id AS river_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS n FROM embeddings),
+sm AS (SELECT river_id, n, v - avg(v) OVER (PARTITION BY river_id) AS v FROM sg),
+ft AS (SELECT river_id, k, sum(v * cos(2 * pi() * k * n / 128)) AS a, -sum(v * sin(2 * pi() * k * n / 128)) AS b FROM sm, range(1, 65) t(k) GROUP BY 1, 2),
+sc AS (SELECT j, 2 * pow(2, {DJ} * j) AS scale FROM range(0, 11) t(j)),
+ds AS (SELECT j, scale, k, sqrt(2 * pi() * scale) / sqrt({math.gamma(2.5)!r}) * pow(scale * 2 * pi() * k / 128, 2) * exp(-pow(scale * 2 * pi() * k / 128, 2) / 2) * (CASE WHEN k = 64 THEN 1 ELSE 2 END) / 128 AS d FROM sc, range(1, 65) t(k)),
+tw AS (SELECT k, n, cos(2 * pi() * k * n / 128) AS co, sin(2 * pi() * k * n / 128) AS si FROM range(1, 65) t(k), range(0, 64) u(n)),
+wv AS (SELECT river_id, j, n, any_value(scale) AS scale, sum(d * (a * co - b * si)) AS re FROM ft JOIN ds USING (k) JOIN tw USING (k) GROUP BY 1, 2, 3),
+wp AS (SELECT *, re * re AS power FROM wv)"""
+
+
+@query(f"WITH {_WAVE} SELECT river_id, j, n, {r('scale', 're', 'power')} FROM wp")
+def cwt_power(spark, sf_dir):
+    return rounded(wave(spark, sf_dir).select("river_id", "j", "n", "scale", "re", "power"), "scale", "re", "power")
+
+
+@query(f"WITH {_WAVE}, g AS (SELECT river_id, j, avg(power) AS gws FROM wp GROUP BY 1, 2) SELECT river_id, j, {r('gws')} FROM g")
+def gws(spark, sf_dir):
+    return rounded(spectral.global_spectrum(wave(spark, sf_dir)).select("river_id", "j", "gws"), "gws")
+
+
+@query(f"WITH {_WAVE}, g AS (SELECT river_id, j, avg(power) AS gws FROM wp GROUP BY 1, 2), h AS (SELECT *, lag(gws) OVER w AS a, lead(gws) OVER w AS b FROM g WINDOW w AS (PARTITION BY river_id ORDER BY j)) SELECT river_id, j, {r('gws')} FROM h WHERE gws > a AND gws > b")
+def gws_peaks(spark, sf_dir):
+    return rounded(spectral.spectrum_peaks(spectral.global_spectrum(wave(spark, sf_dir))).select("river_id", "j", "gws"), "gws")
+
+
+@query(f"WITH {_WAVE}, g AS (SELECT river_id, n, sum(power / scale) * {DJ / 3.541} AS sawp FROM wp GROUP BY 1, 2) SELECT river_id, n, {r('sawp')} FROM g")
+def sawp(spark, sf_dir):
+    return rounded(spectral.scale_averaged(wave(spark, sf_dir), 1.0, DJ), "sawp")
+
+
+_FF = 2 * math.pi * math.sqrt(2 / 5)
+
+
+@query(f"SELECT vec_id AS river_id, n, round(greatest(0, least(n - 1, 62 - n)) * {_FF / math.sqrt(2)!r}, 6) AS coi FROM embeddings, range(0, 64) t(n)")
+def coi(spark, sf_dir):
+    s = st.signals(spark, sf_dir).select("river_id", F.size("signal").alias("m"), F.posexplode("signal").alias("n", "v"))
+    return rounded(s.select("river_id", F.col("n").cast("long").alias("n"), spectral.coi(F.col("n"), F.col("m")).alias("coi")), "coi")
+
+
+@query(f"WITH {_WAVE}, vr AS (SELECT river_id, var_pop(v) * {chi2_quantile(0.95, 1)!r} AS lim FROM sm GROUP BY 1) SELECT river_id, j, n, round(CASE WHEN power > lim AND scale * {_FF!r} <= greatest(0, least(n - 1, 62 - n)) * {_FF / math.sqrt(2)!r} THEN power ELSE 0.0 END, 6) AS power FROM wp JOIN vr USING (river_id)")
+def significance_mask(spark, sf_dir):
+    s = st.signals(spark, sf_dir)
+    m = spectral.masked(wave(spark, sf_dir), spectral.significance(s), s.select("river_id", F.size("signal").alias("n_points")))
+    return rounded(m.select("river_id", "j", "n", "power"), "power")
+
+
+@query(f"WITH {_WAVE}, g AS (SELECT river_id, n, sum(re / sqrt(scale)) * {DJ / (3.541 * 0.867)!r} AS y FROM wp GROUP BY 1, 2) SELECT river_id, n, {r('y')} FROM g")
+def inverse_cwt(spark, sf_dir):
+    return rounded(spectral.inverse(wave(spark, sf_dir), 1.0, DJ), "y")
+
+
+@query(f"""WITH {_WAVE}, a AS (SELECT river_id, j, n, re, lag(re) OVER w AS tc, lead(re) OVER w AS bc FROM wp WINDOW w AS (PARTITION BY river_id, n ORDER BY j)),
+b AS (SELECT *, lag(tc) OVER w AS tl, lead(bc) OVER w AS br, lag(re) OVER w AS ml, lead(re) OVER w AS mr FROM a WINDOW w AS (PARTITION BY river_id, j ORDER BY n)),
+c AS (SELECT river_id, j, n, (((tl > re) <> (ml > re))::INT + ((ml > re) <> (bc > re))::INT + ((bc > re) <> (br > re))::INT + ((br > re) <> (mr > re))::INT + ((mr > re) <> (tc > re))::INT + ((tc > re) <> (tl > re))::INT) // 2 AS id FROM b)
+SELECT w.river_id, w.j, w.n, c.id::BIGINT AS id FROM wp w JOIN c ON c.river_id = w.river_id AND c.j = greatest(1, least(w.j, 9)) AND c.n = greatest(1, least(w.n, 62))""")
+def saddle_extrema(spark, sf_dir):
+    return spectral.saddle_ids(wave(spark, sf_dir))
+
+
+@query()
+def spectrum_cuts(spark, sf_dir):
+    return spectral.spectrum_cuts(spectral.signals(st.lineitems(spark, sf_dir), "y"), 1.0, 0.25)
+
+
+@query()
+def resample_spline(spark, sf_dir):
+    return rounded(lines.resampled(transects(spark, sf_dir)), "s", "x", "y", "dxds", "dyds", "d2xds2", "d2yds2")
+
+
+@query()
+def smooth_savgol(spark, sf_dir):
+    return rounded(lines.smoothed(transects(spark, sf_dir), 2, 5, 9), "x_smooth", "y_smooth")
+
+
+@query()
+def extended_bounds(spark, sf_dir):
+    c = curved(spark, sf_dir)
+    from thalweg.operators import metrics
+
+    b = metrics.bends(metrics.side_runs(c)).select("river_id", "bend_id", "idx_start", "idx_end")
+    return lines.extended_bounds(c, b)
+
+
+@query()
+def funneling(spark, sf_dir):
+    return lines.funneling(st.bend_points(spark, sf_dir))
+
+
+@query()
+def marked_inflections(spark, sf_dir):
+    return lines.marked_inflections(st.bend_points(spark, sf_dir))
+
+
+@query()
+def scale_tree_nodes(spark, sf_dir):
+    return scale_tree.nodes(st.signals(spark, sf_dir), 1.0, 0.25)
+
+
+@query()
+def detected_bends(spark, sf_dir):
+    return scale_tree.detected(scale_tree.nodes(st.signals(spark, sf_dir), 1.0, 0.25))
