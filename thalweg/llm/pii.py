@@ -28,10 +28,11 @@ from thalweg.llm.common import materialise
 KINDS = ("email", "ip", "card", "phone")
 # Fixed patterns. A match can start where a run of its first class starts, or where the
 # match before it ended; elsewhere in the run it would fail as well, so starts inside a
-# run are not tried and long runs stay linear.
-EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+# run are not tried and long runs stay linear. Repeated groups are possessive: nothing
+# follows them, and Java then loops where it would recurse.
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"
-CARD = r"[0-9](?:[\x20-]?[0-9])+"
+CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # Opaque tokens: long runs with a letter and a digit.
 TOKEN = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])(?=[0-9_+/=-]*+[A-Za-z])[A-Za-z0-9_+/=-]{16,}+"
