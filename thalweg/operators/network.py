@@ -3,7 +3,7 @@
 Flow lines have comid, fromnode, tonode and attributes; a line flows into the one whose
 fromnode is its tonode.
 
-Implements: F1, F2, F12, F13, N1, N2, N4-N9, R1, R3-R9, T1, T2, T5, T7, A17, A22, M1, IO11.
+Implements: F1, F2, F12, F13, N1-N9, R1, R3-R9, T1, T2, T5, T7, A17, A22, M1, IO11.
 """
 
 from __future__ import annotations
@@ -133,3 +133,32 @@ def assembled(paths: DataFrame, lines: DataFrame, coords: DataFrame) -> DataFram
     area = interpolated(knots, pts.select("river_id", "s", F.col("idx").alias("k")), "da")
     out = pts.join(area.select("river_id", F.col("k").alias("idx"), F.col("da").alias("da_sqkm")), ["river_id", "idx"])
     return out.withColumn("w_m", channel_width(F.col("da_sqkm"))).withColumn("z", F.lit(None).cast("double"))
+
+
+def exploded_coords(coords: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """One row a point; the lines in ``labels`` (comid) are left out."""
+    kept = coords if labels is None else coords.join(labels.select("comid").distinct(), "comid", "left_anti")
+    return kept.select("comid", F.posexplode("pts").alias("idx", "p")).select("comid", "idx", "p.x", "p.y")
+
+
+def within(points: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
+    """Points (with x, y) and the id of each polygon (poly_id, ring) they lie in.
+
+    Both sides are dealt to square cells of side ``cell``, so the join has an equi key;
+    the even-odd rule decides. Points on an edge belong to the polygon on one side of it.
+    A cell about as large as a polygon serves best: each polygon takes its box's cells.
+    """
+    lo = lambda c: F.array_min(F.transform("ring", lambda p: p[c]))
+    hi = lambda c: F.array_max(F.transform("ring", lambda p: p[c]))
+    cells = lambda c: F.sequence(F.floor(lo(c) / cell), F.floor(hi(c) / cell))
+    poly = polygons.select("poly_id", "ring", F.explode(cells("x")).alias("_i"), cells("y").alias("_j")).select("poly_id", "ring", "_i", F.explode("_j").alias("_j"))
+    at = points.withColumns({"_i": F.floor(F.col("x") / cell), "_j": F.floor(F.col("y") / cell)})
+    edges = F.zip_with("ring", F.concat(F.slice("ring", F.lit(2), F.size("ring") - 1), F.slice("ring", 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    def crosses(e):
+        a, b = e["a"], e["b"]
+        side = F.try_divide((b["x"] - a["x"]) * (F.col("y") - a["y"]), b["y"] - a["y"]) + a["x"]
+        return ((a["y"] > F.col("y")) != (b["y"] > F.col("y"))) & (F.col("x") < side)
+
+    j = at.join(poly, ["_i", "_j"])
+    return j.where(F.size(F.filter(edges, crosses)) % 2 == 1).select(*points.columns, "poly_id")

@@ -4,11 +4,12 @@ A node is a region between two neighbouring zero-crossing lines, from the scale
 of them first appears down to where it splits. Nodes of a river are found in one kernel
 per signal; what leaves it is one row a node.
 
-Implements: X1, X2, X6-X9 (bounds), R11-R13 (selection), X12, X13.
+Implements: X1, X2, X6-X9, X10 and X11 (places, lengths, directions), R11-R13, X12, X13, X16.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thalweg.functions import kernels
+from thalweg.functions.scalar import step_length
+from thalweg.operators import metrics
 
-_NODE = ("node", "parent", "row_top", "row_bottom", "col_min", "col_max", "peak_row", "peak_col", "bound_low", "bound_high")
+_NODE = ("node", "parent", "root", "depth", "n_child", "row_top", "row_bottom", "col_min", "col_max", "peak_row", "peak_col", "bound_low", "bound_high")
 NODES = ", ".join(f"{c} long" for c in _NODE) + ", peak_pwr double, wavelength double"
 
 
@@ -114,6 +117,11 @@ def build(wave: np.ndarray) -> list[dict]:
         r, k, low, high = at or (None,) * 4
         node |= {"peak_row": None if r is None else rows - 1 - r, "peak_col": k, "bound_low": low, "bound_high": high, "peak_pwr": best if at else None}
         node["row_top"], node["row_bottom"] = rows - 1 - node["row_top"], rows - 1 - node["row_bottom"]
+        node |= {"root": node["node"], "depth": 0, "n_child": 0}
+        if node["parent"] >= 0:  # parents come first
+            above = nodes[node["parent"]]
+            node |= {"root": above["root"], "depth": above["depth"] + 1}
+            above["n_child"] += 1
     return nodes
 
 
@@ -202,3 +210,69 @@ def detected(tree: DataFrame) -> DataFrame:
 
     marks = grouped.mapInArrow(each, f"river_id {kind}, node long, is_meander boolean")
     return tree.join(marks.where("is_meander").drop("is_meander"), ["river_id", "node"])
+
+
+def placed(tree: DataFrame, points: DataFrame) -> DataFrame:
+    """Nodes with a peak, where they lie on their river.
+
+    ``points`` has river_id, idx, s, x, y, c at an even step. Nodes list the
+    places of their span and meet the points by (river_id, idx), so work follows the sum
+    of the spans and a long river spreads over tasks; one aggregation gives the point
+    of largest |c| (c_c, s_c_max), the length, chord and sinuosity of the span, and the
+    points of the window of an eighth of the wavelength to either side; Taubin's circle
+    of that window gives the direction of the centre, which lies half a wavelength over
+    2 pi away. direction is 0 at a root, -1 where the middle lies nearer to the parent's
+    centre than the own centre does, else 1.
+    """
+    size = points.groupBy("river_id").agg((F.max("idx")).alias("last"), ((F.max("s") - F.min("s")) / F.max("idx")).alias("ds"))
+    n = tree.where("peak_row is not null").join(size.where("ds > 0"), "river_id")
+    half = F.col("wavelength") * F.col("ds") / 2
+    n = n.withColumn("half", half).withColumn("span", F.bround(F.col("half") / 4 / F.col("ds")).cast("long"))
+    n = n.withColumn("w_low", F.greatest(F.lit(0), F.col("peak_col") - F.col("span"))).withColumn("w_high", F.least("last", F.col("peak_col") + F.col("span")))
+    n = n.withColumn("w_mid", F.expr("(w_low + w_high) div 2"))
+    j = n.withColumn("idx", F.explode(F.sequence(F.least("bound_low", "w_low"), F.greatest("bound_high", "w_high"))))
+    j = j.join(points.select("river_id", "idx", "s", "x", "y", "c"), ["river_id", "idx"])
+    inside = (F.col("idx") >= F.col("bound_low")) & (F.col("idx") <= F.col("bound_high"))
+    at = lambda i, c: F.max(F.when(F.col("idx") == F.col(i), F.col(c)))
+    top = F.max_by(F.struct("idx", "s", "c"), F.when(inside, F.struct(F.abs("c"), -F.col("idx"))))
+    key = ["river_id", "node"]
+    keep = ["parent", "root", "depth", "n_child", "peak_row", "peak_col", "peak_pwr", "wavelength", "bound_low", "bound_high", "half"]
+    ends = [at(i, c).alias(f"{c}_{e}") for i, e in (("bound_low", "a"), ("w_mid", "m"), ("bound_high", "b")) for c in "xy"]
+    flat = [at(i, c).alias(f"{c}_{e}") for i, e in (("w_low", "p"), ("w_high", "q")) for c in "xy"]
+    agg = j.groupBy(*key).agg(
+        *(F.first(c).alias(c) for c in keep), top.alias("top"), at("peak_col", "s").alias("s_c"),
+        (at("bound_high", "s") - at("bound_low", "s")).alias("lambda"), *ends, *flat,
+    )
+    window = j.where("idx >= w_low and idx < w_high")
+    circle = metrics.fitted_circle(window, key)
+    out = agg.join(circle, key, "left")
+    turn = (F.col("x_m") - F.col("x_p")) * (F.col("y_q") - F.col("y_p")) - (F.col("y_m") - F.col("y_p")) * (F.col("x_q") - F.col("x_p"))
+    reach = step_length(F.col("cx") - F.col("x_m"), F.col("cy") - F.col("y_m"))
+    unit = lambda c: F.when(F.abs(turn) > 1e-12, F.try_divide(F.col(f"c{c}") - F.col(f"{c}_m"), reach))
+    out = out.withColumns({"r_x": unit("x"), "r_y": unit("y")})
+    far = F.col("half") / (2 * math.pi)
+    out = out.withColumns({"x_c": F.col("x_m") + far * F.col("r_x"), "y_c": F.col("y_m") + far * F.col("r_y"), "radius": F.abs(far - 1)})
+    out = out.withColumn("l", step_length(F.col("x_b") - F.col("x_a"), F.col("y_b") - F.col("y_a"))).withColumn("sn", F.try_divide("lambda", "l"))
+    parent = out.select("river_id", F.col("node").alias("parent"), F.col("x_c").alias("px"), F.col("y_c").alias("py"))
+    out = out.join(parent, ["river_id", "parent"], "left")
+    nearer = step_length(F.col("x_m") - F.col("px"), F.col("y_m") - F.col("py")) < step_length(F.col("x_c") - F.col("px"), F.col("y_c") - F.col("py"))
+    side = F.when(F.col("px").isNull(), 0).when(nearer, -1).otherwise(1).cast("long")
+    return out.select(
+        *key, *keep[:-1], "s_c", F.col("top.idx").alias("idx_c_max"), F.col("top.s").alias("s_c_max"), F.col("top.c").alias("c_c"), "lambda", "l", "sn",
+        "r_x", "r_y", "x_c", "y_c", "radius", F.atan2("r_y", "r_x").alias("theta_r"), F.signum("r_y").alias("sign_r"), F.signum("top.c").alias("sign_c"), side.alias("direction"),
+    )
+
+
+def bend_database(spans: DataFrame, points: DataFrame) -> DataFrame:
+    """The metrics of every span (river_id, bend_id, idx_start, idx_end), one row each.
+
+    Spans of fewer than three points are left out.
+    """
+    wide = spans.where("idx_end - idx_start >= 2")
+    places = wide.select("river_id", "bend_id", F.explode(F.sequence("idx_start", "idx_end")).alias("idx"))
+    p = points.join(places, ["river_id", "idx"])
+    key = metrics.BEND
+    out = metrics.bends(p).join(metrics.amplitude(p), key).join(metrics.asymmetry(p), key).join(metrics.radius_of_curvature(p).select(*key, "R_hm"), key)
+    top = p.groupBy(*key).agg(F.max_by(F.struct("s", "x", "y", "c"), F.struct(F.abs("c"), -F.col("idx"))).alias("t"))
+    top = top.select(*key, F.col("t.s").alias("s_c_max"), F.col("t.x").alias("x_c_max"), F.col("t.y").alias("y_c_max"), F.col("t.c").alias("c_max"), F.signum("t.c").cast("long").alias("curvature_side"))
+    return out.join(top, key)

@@ -143,10 +143,10 @@ def saddle_ids(wave: DataFrame) -> DataFrame:
 def leaf_spectrum(wave: DataFrame, spans: DataFrame) -> DataFrame:
     """Mean power by scale over each node's span (river_id, node_id, low, high).
 
-    The range meets the points by river_id with the span as a residual, and the running
-    mean of a scale would do for very many nodes.
+    Spans list their places and meet the wave by (river_id, n).
     """
-    j = wave.join(spans, "river_id").where((F.col("n") >= F.col("low")) & (F.col("n") <= F.col("high")))
+    places = spans.select("river_id", "node_id", F.explode(F.sequence("low", "high")).alias("n"))
+    j = wave.join(places, ["river_id", "n"])
     return j.groupBy("river_id", "node_id", "j").agg(F.avg("power").alias("gws"))
 
 
@@ -156,7 +156,8 @@ def bend_shape(wave: DataFrame, bends: DataFrame, ds: float) -> DataFrame:
     Correlates the wave at the shape scale with cos 3 phi and sin 3 phi, phi running from
     0 to pi over the bend, relative to the bend's own peak.
     """
-    j = wave.join(bends, "river_id").where((F.col("n") >= F.col("low")) & (F.col("n") <= F.col("high")) & (F.col("j") == F.col("j_shape")))
+    places = bends.withColumn("n", F.explode(F.sequence("low", "high"))).withColumnRenamed("j_shape", "j")
+    j = wave.join(places, ["river_id", "j", "n"])
     phi = F.try_divide((F.col("n") - F.col("low")) * math.pi, F.col("high") - F.col("low"))
     j = j.withColumn("c3", F.cos(3 * phi)).withColumn("s3", F.sin(3 * phi))
     norm = F.sqrt(F.lit(ds) / F.first("scale")) * F.try_divide(F.max("re"), F.first("peak"))

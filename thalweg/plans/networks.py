@@ -181,3 +181,15 @@ def path_points(spark, sf_dir):
     lines = st.flowlines(spark, sf_dir).withColumn("hwnodesqkm", F.lit(0.0))
     out = network.assembled(network.main_stems(lines), lines, _coords(lines))
     return rounded(out.select("river_id", "idx", "comid", "x", "y", "s"), "s")
+
+
+@query("""WITH pl AS (SELECT n_nationkey AS poly_id, n_nationkey * 100.0 - 900 AS x0, (n_nationkey % 5) * 3.0 AS y0 FROM nation), pt AS (SELECT c_custkey AS id, c_acctbal::DOUBLE AS x, c_nationkey::DOUBLE + 0.25 AS y FROM customer)
+SELECT id, poly_id FROM pt JOIN pl ON x >= x0 AND x < x0 + 350 AND y >= y0 AND y < y0 + 12""")
+def points_within(spark, sf_dir):
+    n, c = F.col("n_nationkey") * 100.0 - 900, F.col("n_nationkey") % 5 * 3.0
+    corner = lambda dx, dy: F.struct((n + dx).cast("double").alias("x"), (c + dy).cast("double").alias("y"))
+    ring = F.array(corner(0, 0), corner(350, 0), corner(350, 12), corner(0, 12))
+    polygons = st.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("poly_id"), ring.alias("ring"))
+    cust = st.read(spark, sf_dir, "customer")
+    points = cust.select(F.col("c_custkey").alias("id"), F.col("c_acctbal").cast("double").alias("x"), (F.col("c_nationkey").cast("double") + 0.25).alias("y"))
+    return network.within(points, polygons, 400.0).select("id", "poly_id")

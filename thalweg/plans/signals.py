@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from thalweg.functions.kernels import chi2_quantile
-from thalweg.operators import lines, scale_tree, spectral
+from thalweg.operators import lines, metrics, ordered, scale_tree, spectral
 from thalweg.plans import standins as st
 from thalweg.plans.geometry import curved, r, rounded, transects
 
@@ -105,8 +105,6 @@ def smooth_savgol(spark, sf_dir):
 @query()
 def extended_bounds(spark, sf_dir):
     c = curved(spark, sf_dir)
-    from thalweg.operators import metrics
-
     b = metrics.bends(metrics.side_runs(c)).select("river_id", "bend_id", "idx_start", "idx_end")
     return lines.extended_bounds(c, b)
 
@@ -129,3 +127,44 @@ def scale_tree_nodes(spark, sf_dir):
 @query()
 def detected_bends(spark, sf_dir):
     return scale_tree.detected(scale_tree.nodes(st.signals(spark, sf_dir), 1.0, 0.25))
+
+
+def _river_tree(spark, sf_dir):
+    """Nodes of the curvature of the long transects."""
+    p = ordered.curvature(ordered.distances(st.lineitems(spark, sf_dir)))
+    p = p.withColumn("c", F.coalesce("c", F.lit(0.0)))
+    return scale_tree.nodes(spectral.signals(p, "c"), 1.0, 0.25), p
+
+
+@query()
+def placed_nodes(spark, sf_dir):
+    tree, p = _river_tree(spark, sf_dir)
+    return scale_tree.placed(tree, p)
+
+
+@query()
+def meander_database(spark, sf_dir):
+    tree, p = _river_tree(spark, sf_dir)
+    bends = scale_tree.detected(tree).select("river_id", F.col("node").alias("bend_id"), F.col("bound_low").alias("idx_start"), F.col("bound_high").alias("idx_end"))
+    return scale_tree.bend_database(bends, p)
+
+
+_SPANS = "sp AS (SELECT vec_id AS river_id, k AS node_id, (k * 7)::BIGINT AS low, (k * 7 + 20)::BIGINT AS high FROM embeddings, range(0, 4) t(k))"
+
+
+def _spans(spark, sf_dir):
+    s = st.signals(spark, sf_dir).select("river_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("node_id"))
+    return s.withColumns({"low": F.col("node_id") * 7, "high": F.col("node_id") * 7 + 20})
+
+
+@query(f"WITH {_WAVE}, {_SPANS}, g AS (SELECT wp.river_id, node_id, j, avg(power) AS gws FROM wp JOIN sp ON sp.river_id = wp.river_id AND n BETWEEN low AND high GROUP BY 1, 2, 3) SELECT river_id, node_id, j, {r('gws')} FROM g")
+def leaf_spectrum(spark, sf_dir):
+    return rounded(spectral.leaf_spectrum(wave(spark, sf_dir), _spans(spark, sf_dir)), "gws")
+
+
+@query(f"""WITH {_WAVE}, {_SPANS}, q AS (SELECT wp.river_id, node_id AS bend_id, re, scale, cos(3 * pi() * (n - low) / (high - low)) AS c3, sin(3 * pi() * (n - low) / (high - low)) AS s3 FROM wp JOIN sp ON sp.river_id = wp.river_id AND n BETWEEN low AND high WHERE j = 4),
+g AS (SELECT river_id, bend_id, sqrt(1.0 / any_value(scale)) * max(re) / 0.5 * sum(re * c3) / sum(c3 * c3) AS skewness, sqrt(1.0 / any_value(scale)) * max(re) / 0.5 * sum(re * s3) / sum(s3 * s3) AS flatness FROM q GROUP BY 1, 2)
+SELECT river_id, bend_id, {r('skewness', 'flatness')} FROM g""")
+def bend_shape(spark, sf_dir):
+    b = _spans(spark, sf_dir).withColumnRenamed("node_id", "bend_id").withColumns({"j_shape": F.lit(4).cast("long"), "peak": F.lit(0.5)})
+    return rounded(spectral.bend_shape(wave(spark, sf_dir), b, 1.0), "skewness", "flatness")
