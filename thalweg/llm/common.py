@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import gc
-import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from thalweg.sources.scratch import scratch_path
 
 #: Words of every contract here: runs of anything but blanks and the ASCII control blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,17 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that ``spark.checkpoint.dir`` names.
+def hashed_sample(rows: DataFrame, key: str, bound: int, total: int) -> DataFrame:
+    """At most ``bound`` of ``rows``, the least by the hash column ``key``, ties by all columns.
 
-    Where the setting is absent (a local test session) a folder below the working
-    machine's temporary directory is set once for the session.
+    ``total`` is about the number of rows. A threshold on the hash lets some four times
+    the bound through before anything is ordered, so no task or driver meets more,
+    however many partitions there are.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "thalweg-scratch")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/thalweg/{name}-{uuid.uuid4().hex}"
+    if total > 4 * bound:
+        rows = rows.where(F.pmod(F.col(key), F.lit(1 << 40)) < int((1 << 40) * 4 * bound / total))
+    return rows.orderBy(F.pmod(F.col(key), F.lit(1 << 40)), *rows.columns).limit(bound)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
