@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from thalweg.llm.common import free_name
+from thalweg.llm.common import free_name, hashed_sample
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _TYPE = T.StructType([T.StructField(c, T.LongType()) for c in (*COUNTS, "n_lines")])
@@ -185,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 20_000) -> list[Rule]:
     Only those documents' statistics reach the driver: ``bound`` rows of a few numbers.
     """
     chosen = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").alias("labelled"), "quality")
-    chosen = chosen.orderBy(F.xxhash64("labelled"), "labelled", "quality").limit(bound)
+    chosen = hashed_sample(chosen.withColumn("h", F.xxhash64("labelled")), "h", bound, labels.count()).drop("h")
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled"))
     stats = found.select("doc_id", "quality", text_statistics("text").alias("s"))
     usable = stats.where(~base_failed(F.col("s")))
