@@ -161,3 +161,37 @@ def test_stream_keeps_running_lengths(spark, tmp_path):
     q.stop()
     row = spark.sql("select * from lengths").collect()[-1]
     assert row.n_points == 6 and row.n_crossings == 5 and abs(row.length - 5 * math.sqrt(2)) < 1e-9
+
+
+def test_points_within_polygons(spark):
+    from thalweg.operators import network
+
+    ring = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (5.0, 2.0), (0.0, 10.0)]
+    poly = spark.createDataFrame([(7, ring)], "poly_id int, ring array<struct<x:double,y:double>>")
+    pts = spark.createDataFrame([(1, 5.0, 1.0), (2, 5.0, 6.0), (3, 1.0, 5.0), (4, 50.0, 1.0), (5, -1.0, 1.0)], "id int, x double, y double")
+    for cell in (1.0, 4.0, 100.0):
+        assert sorted((r.id, r.poly_id) for r in network.within(pts, poly, cell).collect()) == [(1, 7), (3, 7)]
+
+
+def test_new_columns_and_labels(spark):
+    from thalweg.operators import network
+
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "comid int, name string")
+    b = spark.createDataFrame([(1, "other", 5)], "comid int, name string, slope int")
+    assert sorted(map(tuple, network.with_new_columns(a, b).collect()), key=str) == [(1, "x", 5), (2, "y", None)]
+    c = spark.createDataFrame([(1, [(0.0, 1.0)]), (2, [(2.0, 3.0), (4.0, 5.0)])], "comid int, pts array<struct<x:double,y:double>>")
+    assert sorted(map(tuple, network.exploded_coords(c, a.where("comid = 1")).collect())) == [(2, 0, 2.0, 3.0), (2, 1, 4.0, 5.0)]
+
+
+def test_nodes_are_placed_on_their_river(spark):
+    from thalweg.operators import scale_tree
+
+    t = np.arange(200.0)
+    p = ordered.curvature(ordered.distances(frame(spark, t, 12 * np.sin(t / 8)))).withColumn("c", F.coalesce("c", F.lit(0.0)))
+    tree = scale_tree.nodes(spectral.signals(p, "c"), 1.0, 0.25)
+    placed = scale_tree.placed(tree, p).collect()
+    assert placed and all(r.sn is None or r.sn >= 1 - 1e-9 for r in placed)
+    assert {r.direction for r in placed} <= {-1, 0, 1} and any(r.direction for r in placed)
+    spans = scale_tree.detected(tree).select("river_id", F.col("node").alias("bend_id"), F.col("bound_low").alias("idx_start"), F.col("bound_high").alias("idx_end"))
+    bends = scale_tree.bend_database(spans, p).collect()
+    assert bends and all(r.idx_end - r.idx_start + 1 == r.n_points for r in bends)

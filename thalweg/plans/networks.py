@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from thalweg.functions import scalar
-from thalweg.operators import graph, network, tree
+from thalweg.operators import compare, graph, network, tree
 from thalweg.plans import standins as st
 from thalweg.plans.geometry import rounded
 
@@ -193,3 +193,68 @@ def points_within(spark, sf_dir):
     cust = st.read(spark, sf_dir, "customer")
     points = cust.select(F.col("c_custkey").alias("id"), F.col("c_acctbal").cast("double").alias("x"), (F.col("c_nationkey").cast("double") + 0.25).alias("y"))
     return network.within(points, polygons, 400.0).select("id", "poly_id")
+
+
+@query(f"WITH {TREE} SELECT node_id, CASE WHEN node_id % 4 = 0 THEN -1.0 ELSE peak_pwr END AS peak_pwr FROM tn")
+def without_peaks(spark, sf_dir):
+    f = st.forest(spark, sf_dir)
+    left = tree.without_peaks(f, f.where("node_id % 4 = 0"))
+    return left.select("node_id", F.coalesce("peak_pwr", F.lit(-1.0)).alias("peak_pwr"))
+
+
+@query(f"WITH {TREE} SELECT node_id, row_number() OVER (ORDER BY node_id::DOUBLE, node_id) - 1 AS meander_id FROM kd WHERE leaf_node = 1")
+def renumbered_bends(spark, sf_dir):
+    out = tree.renumbered(tree.node_kinds(st.forest(spark, sf_dir)))
+    return out.where("is_meander = 1").select("node_id", "meander_id")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, o_totalprice::DOUBLE AS v, 'old' AS kind FROM orders), n AS (SELECT o_orderkey * 2 AS k, 0.5::DOUBLE AS v, 'new' AS kind FROM orders WHERE o_orderkey % 3 = 0)
+SELECT * FROM o WHERE k NOT IN (SELECT k FROM n) UNION ALL SELECT * FROM n""")
+def upserted_rows(spark, sf_dir):
+    o = st.read(spark, sf_dir, "orders")
+    old = o.select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").cast("double").alias("v"), F.lit("old").alias("kind"))
+    new = o.where("o_orderkey % 3 = 0").select((F.col("o_orderkey") * 2).alias("k"), F.lit(0.5).alias("v"), F.lit("new").alias("kind"))
+    return compare.upserted(old, new, ["k"])
+
+
+@query("""SELECT 'c' || c_custkey AS uid, c_nationkey::BIGINT AS size, '-' AS region FROM customer UNION ALL SELECT 's' || s_suppkey, s_nationkey::BIGINT, 'r' || (s_nationkey % 5) FROM supplier""")
+def compiled_tables(spark, sf_dir):
+    c = st.read(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("uid"), F.col("c_nationkey").cast("long").alias("size"))
+    s = st.read(spark, sf_dir, "supplier")
+    s = s.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("uid"), F.col("s_nationkey").cast("long").alias("size"), F.concat(F.lit("r"), (F.col("s_nationkey") % 5).cast("string")).alias("region"))
+    return compare.compiled([c, s]).fillna("-", ["region"])
+
+
+@query("""WITH b AS (SELECT o_orderkey AS bend, o_custkey % 40 AS start_comid, o_custkey % 60 AS uid FROM orders), r AS (SELECT n_nationkey AS river_id, n_nationkey AS start_comid, n_nationkey + 30 AS uid FROM nation)
+SELECT b.bend, coalesce(x.river_id, y.river_id, -1)::BIGINT AS river_id FROM b LEFT JOIN r x ON x.start_comid = b.start_comid LEFT JOIN r y ON y.uid = b.uid""")
+def matched_rivers(spark, sf_dir):
+    o = st.read(spark, sf_dir, "orders")
+    b = o.select(F.col("o_orderkey").alias("bend"), (F.col("o_custkey") % 40).alias("start_comid"), (F.col("o_custkey") % 60).alias("uid"))
+    n = F.col("n_nationkey")
+    r = st.read(spark, sf_dir, "nation").select(n.alias("river_id"), n.alias("start_comid"), (n + 30).alias("uid"))
+    return compare.matched_rivers(b, r).select("bend", F.coalesce(F.col("river_id").cast("long"), F.lit(-1)).alias("river_id"))
+
+
+@query("""WITH l AS (SELECT c_custkey, c_acctbal::DOUBLE AS ax, c_nationkey::DOUBLE AS ay, (c_custkey % 97)::DOUBLE AS bx, (c_custkey % 31 + 30)::DOUBLE AS by_ FROM customer),
+d AS (SELECT *, (ax - bx) * (0.0 - 40) - (ay - by_) * (0.0 - 100) AS det, ax * by_ - ay * bx AS one FROM l)
+SELECT c_custkey, round(one * -100.0 / nullif(det, 0), 4) + 0.0 AS x, round(one * -40.0 / nullif(det, 0), 4) + 0.0 AS y FROM d""")
+def line_crossings(spark, sf_dir):
+    k = F.col("c_custkey")
+    c = st.read(spark, sf_dir, "customer")
+    x, y = scalar.line_intersection(
+        F.col("c_acctbal").cast("double"), F.col("c_nationkey").cast("double"), (k % 97).cast("double"), (k % 31 + 30).cast("double"), F.lit(0.0), F.lit(0.0), F.lit(100.0), F.lit(40.0)
+    )
+    return rounded(c.select("c_custkey", x.alias("x"), y.alias("y")), "x", "y", digits=4)
+
+
+@query(f"""{_STEMS}, {_PTS}, ow AS (SELECT p.root AS river_id, p.node, row_number() OVER o AS k, sum(lengthkm) OVER o * 1000 AS s, totdasqkm AS da, startflag, areasqkm FROM pt p JOIN fl ON fl.comid = p.node WINDOW o AS (PARTITION BY p.root ORDER BY p.depth DESC)),
+kn0 AS (SELECT river_id, s, da FROM ow UNION ALL SELECT river_id, 0.0, CASE WHEN startflag = 1 THEN CASE WHEN areasqkm > 0 AND areasqkm <> da THEN areasqkm WHEN da > 0 THEN 0.1 * da ELSE 1e-5 END WHEN areasqkm > 0 AND areasqkm <> da THEN da - areasqkm ELSE da END FROM ow WHERE k = 1),
+kn AS (SELECT *, lead(s) OVER w AS s2, lead(da) OVER w AS da2, lag(s) OVER w AS s0, lag(da) OVER w AS da0 FROM kn0 WINDOW w AS (PARTITION BY river_id ORDER BY s)),
+pp AS (SELECT p.root AS river_id, row_number() OVER (PARTITION BY p.root ORDER BY p.depth DESC, k) - 1 AS idx, x, y FROM pt p JOIN pc ON pc.comid = p.node), {st.sql_distance('pp', 'ps')},
+aj AS (SELECT ps.river_id, idx, ps.s AS sq, kn.* EXCLUDE (river_id) FROM ps ASOF JOIN kn ON ps.river_id = kn.river_id AND ps.s >= kn.s),
+v AS (SELECT river_id, idx, CASE WHEN s2 IS NULL THEN da0 + (da - da0) / (s - s0) * (sq - s0) ELSE da + (da2 - da) / (s2 - s) * (sq - s) END AS a FROM aj)
+SELECT river_id, idx, round(a, 3) AS da_sqkm FROM v""")
+def path_drainage(spark, sf_dir):
+    lines = st.flowlines(spark, sf_dir).withColumn("hwnodesqkm", F.lit(0.0))
+    out = network.assembled(network.main_stems(lines), lines, _coords(lines))
+    return rounded(out.select("river_id", "idx", "da_sqkm"), "da_sqkm", digits=3)

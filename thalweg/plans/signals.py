@@ -168,3 +168,9 @@ SELECT river_id, bend_id, {r('skewness', 'flatness')} FROM g""")
 def bend_shape(spark, sf_dir):
     b = _spans(spark, sf_dir).withColumnRenamed("node_id", "bend_id").withColumns({"j_shape": F.lit(4).cast("long"), "peak": F.lit(0.5)})
     return rounded(spectral.bend_shape(wave(spark, sf_dir), b, 1.0), "skewness", "flatness")
+
+
+@query(f"WITH s AS (SELECT vec_id AS river_id, j, 2 * pow(2, {DJ} * j) AS scale FROM embeddings, range(0, 11) t(j)) SELECT river_id, j, round((1 - 0.49) / (1 - 1.4 * cos(2 * pi() / (scale * {_FF!r})) + 0.49), 6) AS noise FROM s")
+def noise_spectrum(spark, sf_dir):
+    g = spectral.global_spectrum(wave(spark, sf_dir))
+    return rounded(g.select("river_id", "j", spectral.noise_spectrum(F.col("scale"), 1.0, 0.7).alias("noise")), "noise")
