@@ -135,5 +135,48 @@ FROM p
 """
 
 
+_EMBED = """
+WITH RECURSIVE ok AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND len(list_filter(embedding, lambda v: v <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT vec_id AS node, vec_id AS reach FROM embeddings UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.reach),
+c AS (SELECT node, min(reach) AS component_id FROM r GROUP BY 1),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY 1)
+SELECT c.node AS vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links, component_id, c.node = component_id AS kept FROM c LEFT JOIN n ON n.a = c.node
+"""
+
+_NGRAM = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(2, len(w) - 3)), lambda i: array_to_string(w[i:i + 4], ' ')))) AS g FROM w WHERE len(w) > 0),
+z AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN z x ON x.doc_id = a.doc_id JOIN z y ON y.doc_id = b.doc_id
+  GROUP BY 1, 2 HAVING count(*) * 9 >= 4 * (any_value(x.n) + any_value(y.n))),
+r AS (SELECT doc_id AS node, doc_id AS reach FROM documents UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.reach),
+c AS (SELECT node, min(reach) AS component_id FROM r GROUP BY 1),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY 1)
+SELECT c.node AS doc_id, coalesce(n.n_links, 0)::BIGINT AS n_links, component_id, c.node = component_id AS kept FROM c LEFT JOIN n ON n.a = c.node
+"""
+
+_LINES = r"""
+WITH RECURSIVE d AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
+o AS (SELECT doc_id, unnest(parts) AS t, generate_subscripts(parts, 1) - 1 AS line FROM d WHERE text IS NOT NULL),
+v AS (SELECT *, doc_id::HUGEINT * 4294967296 + line AS place FROM o WHERE regexp_matches(t, '[^\s]')),
+k AS (SELECT t, min(place) AS first, string_split(t, ' ') AS w FROM v GROUP BY t),
+p AS (SELECT t, first, list_transform(range(1, len(w) + 1), lambda i: w[i] || chr(1) || coalesce(substr(w[i + 1], 1, 4), chr(2))) AS p FROM k),
+g AS (SELECT first, unnest(list_distinct(list_transform(range(1, len(p) + 1), lambda i: p[i] || chr(3) || coalesce(p[i + 1], chr(4))))) AS g FROM p),
+z AS (SELECT first, count(*) AS n FROM g GROUP BY 1),
+l AS (SELECT a.first AS a, b.first AS b FROM g a JOIN g b ON a.g = b.g AND a.first <> b.first JOIN z x ON x.first = a.first JOIN z y ON y.first = b.first
+  GROUP BY 1, 2 HAVING count(*) * 9 >= 4 * (any_value(x.n) + any_value(y.n))),
+r AS (SELECT first AS node, first AS reach FROM k UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.reach),
+c AS (SELECT node, min(reach) AS root FROM r GROUP BY 1),
+keep AS (SELECT v.doc_id, v.line, v.place <> c.root AS gone FROM v JOIN k ON k.t = v.t JOIN c ON c.node = k.first),
+s AS (SELECT o.doc_id, count(q.line) AS n_lines, count(*) FILTER (WHERE q.gone) AS n_removed, coalesce(string_agg(o.t, chr(10) ORDER BY o.line) FILTER (WHERE q.gone IS NOT TRUE), '') AS left_
+  FROM o LEFT JOIN keep q ON q.doc_id = o.doc_id AND q.line = o.line GROUP BY 1)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, length(left_)::BIGINT AS chars_left, sha256(left_) AS text_sha256
+FROM d LEFT JOIN s ON s.doc_id = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": _CHAT, "op10_mixing": _MIX}
+    return {"op3_chat": _CHAT, "op5_line_dedup": _LINES, "op8_ngram_join": _NGRAM, "op9_embed_dedup": _EMBED, "op10_mixing": _MIX}
