@@ -18,13 +18,6 @@ from thalweg.sources.scratch import written
 MOST_ROUNDS = 40
 
 
-def _doubled(p: DataFrame) -> DataFrame:
-    q = p.select(F.col("node").alias("ptr"), F.col("ptr").alias("far"), F.col("hops").alias("more"))
-    return p.join(q, "ptr", "left").select(
-        "node", F.coalesce("far", "ptr").alias("ptr"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")
-    )
-
-
 def roots(nodes: DataFrame) -> DataFrame:
     """Node, root (where following parents ends) and depth (steps to it)."""
     ids = nodes.select(F.col("node").alias("parent"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from thalweg.functions.scalar import channel_width, huc, initial_drainage_area, step_length
 from thalweg.operators.graph import roots
 from thalweg.operators.ordered import distances, distinct_x, interpolated
+from thalweg.operators.ranking import ranked
 from thalweg.sources.scratch import written
 
 #: Feature codes that are no river.
@@ -70,7 +71,7 @@ def main_stems(lines: DataFrame) -> DataFrame:
 def ranked_paths(paths: DataFrame, cut: int = 0) -> DataFrame:
     """Paths of more than ``cut`` lines with their length and rank, longest first."""
     n = paths.groupBy("path_id").agg(F.count(F.lit(1)).alias("n_lines"), F.max_by("comid", "steps_to_end").alias("comid_start"))
-    return n.where(F.col("n_lines") > cut).withColumn("rank", F.rank().over(Window.orderBy(F.col("n_lines").desc(), "path_id")).cast("long"))
+    return ranked(n.where(F.col("n_lines") > cut), [F.col("n_lines").desc(), F.col("path_id").asc()])
 
 
 def extended(paths: DataFrame, lines: DataFrame, min_km: float, most: int = 10) -> DataFrame:
@@ -80,13 +81,11 @@ def extended(paths: DataFrame, lines: DataFrame, min_km: float, most: int = 10)
     the loop is a fixed number of joins with the table of paths.
     """
     km = paths.join(lines.select("comid", "lengthkm"), "comid").groupBy("path_id").agg(F.sum("lengthkm").alias("km"), F.max("linking_comid").alias("link"))
-    owner = paths.select(F.col("comid").alias("link"), F.col("path_id").alias("next_path"))
     # the part of the next path below the confluence counts
     below = paths.join(lines.select("comid", "lengthkm"), "comid")
     w = Window.partitionBy("path_id").orderBy("steps_to_end")
-    tail = below.select(F.col("comid").alias("link"), F.sum("lengthkm").over(w).alias("tail_km"), F.col("path_id").alias("next_path"), F.col("linking_comid").alias("next_link"))
+    tail = below.select(F.col("comid").alias("link"), F.sum("lengthkm").over(w).alias("tail_km"), F.col("linking_comid").alias("next_link"))
     tail = written(tail, "path-tails")
-    del owner
     state = km.select("path_id", F.col("km").alias("total_km"), "link", F.lit(0).cast("long").alias("n_added"))
     for _ in range(most):
         go = (F.col("total_km") < min_km) & F.col("tail_km").isNotNull()

@@ -163,7 +163,9 @@ def _bracketed(points: DataFrame, stations: DataFrame, columns: list[str]) -> Da
     asked = stations.select("river_id", F.lit(None).cast("long").alias("idx"), F.col("s").alias("at"), F.lit(None).alias("k"), F.lit(1).alias("kind"), F.col("k").alias("station"))
     w = Window.partitionBy("river_id").orderBy("at", "kind", "idx", "station")
     both = two.unionByName(asked).withColumn("low", F.last("k", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("high", F.first("k", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    # the next knot by the reverse order: a frame that grows from its start stays linear
+    back = Window.partitionBy("river_id").orderBy(*(F.desc(c) for c in ("at", "kind", "idx", "station")))
+    both = both.withColumn("high", F.last("k", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
     return both.where("kind = 1")
 
 
