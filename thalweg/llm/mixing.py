@@ -57,7 +57,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], most: int) -> DataF
     s = s.select(
         "*",
         (F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("cap")).cast(big).alias("capped"),
-        F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing)).cast(big).alias("open_w"),
+        (F.sum("w").over(whole) - F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.col("w")).cast(big).alias("open_w"),
         F.sum("source_size").over(whole).cast(big).alias("all_size"),
     )
     level = (F.col("all_size") - F.col("capped")).cast("double") / F.col("open_w").cast("double")
