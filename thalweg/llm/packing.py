@@ -79,26 +79,33 @@ class _Curve:
         return hilbert(np.minimum(even * (1 << BITS), (1 << BITS) - 1), BITS)
 
 
-def tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id, key on the curve, ids (little-endian unsigned 32-bit, with the end id)."""
+def tokenise(docs: DataFrame, tokenizer: str, end_id: int, chunk: int = 4096) -> DataFrame:
+    """doc_id, key on the curve, start, doc_tokens, ids (little-endian unsigned 32-bit, with the end id).
+
+    A document gives a row for each ``chunk`` of its ids, so rows are of bounded size and
+    ranges of equally many rows hold about equally many ids.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, curve, end = encoder(tokenizer), _Curve(), np.array([end_id], np.uint32)
         for batch in batches:
             for low in range(0, batch.num_rows, 512):  # enough for numpy, and little is held
                 some = batch.slice(low, 512)
-                spreads, ids = [], []
-                for text in some.column(1):
-                    own = np.concatenate([bpe.encode(text.as_py() or ""), end])
+                spreads, rows = [], []
+                for k, text in enumerate(some.column(1)):
+                    own = np.concatenate([bpe.encode(text.as_py() or ""), end]).astype("<u4")
                     spreads.append(curve.spread(own))
-                    ids.append(own.astype("<u4").tobytes())
+                    rows += [(k, at, len(own), own[at : at + chunk].tobytes()) for at in range(0, len(own), chunk)]
+                of, start, total, ids = zip(*rows, strict=True)
+                of = np.array(of)
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.array(curve.keys(spreads), pa.int64()), pa.array(ids, pa.binary())],
-                    names=["doc_id", "hilbert_key", "ids"],
-                )
+                    [some.column(0).take(pa.array(of)), pa.array(curve.keys(spreads)[of], pa.int64()), pa.array(start, pa.int64()),
+                     pa.array(total, pa.int64()), pa.array(ids, pa.binary())],
+                    names=["doc_id", "hilbert_key", "start", "doc_tokens", "ids"],
+                )
 
     picked = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    return picked.mapInArrow(each, "doc_id long, hilbert_key long, ids binary")
+    return picked.mapInArrow(each, "doc_id long, hilbert_key long, start long, doc_tokens long, ids binary")
 
 
 def cut(ordered: DataFrame, length: int) -> DataFrame:
@@ -130,12 +137,12 @@ def cut(ordered: DataFrame, length: int) -> DataFrame:
 
         for batch in batches:
             rows: list[tuple] = []
-            for doc, key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for doc, key, start, total, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
                 ids = np.frombuffer(raw.as_buffer(), "<u4")
                 at = 0
                 while at < len(ids):
                     take = min(length - filled, len(ids) - at)
-                    open_.append((doc, key, at, ids[at : at + take].copy(), len(ids)))
+                    open_.append((doc, key, start + at, ids[at : at + take].copy(), total))
                     at, filled = at + take, filled + take
                     if filled == length:
                         rows += emit(open_, number)
@@ -168,5 +175,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = 2048) -> Da
     the key are broken by doc_id, so one large group of copies spreads over ranges.
     """
     coded = materialise(tokenise(docs, tokenizer, end_id), "packing-ids")
-    ordered = coded.repartitionByRange("hilbert_key", "doc_id").sortWithinPartitions("hilbert_key", "doc_id", "ids")
+    order = ("hilbert_key", "doc_id", "start", "ids")
+    ordered = coded.repartitionByRange(*order[:3]).sortWithinPartitions(*order)
     return cut(ordered, length)
