@@ -40,7 +40,7 @@ class _Words(dict):
     """Word -> 64-bit hash, kept for the life of a worker, up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         self[word] = h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         return h
