@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from thalweg.llm.common import give_back
+
 RESULT = "uid long, links long, root long"
 
 
@@ -82,6 +84,8 @@ def each_unit(
             finish()
         if done:
             yield flush()
+        held = []
+        give_back()
 
     return dealt.mapInArrow(run, RESULT)
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +63,31 @@ def drop_table(df: DataFrame) -> None:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def give_back() -> None:
+    """Return what this Python worker has freed to the system.
+
+    Workers are reused by later tasks, and an idle one would hold it beside the JVM.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU C library alone has it
+    if trim is not None:
+        trim(0)
+
+
+def in_slices(function: Callable[[pa.Array], pa.Array], rows: int = 512) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
+    """``function`` over Arrow batches, ``rows`` rows at a time, for an iterator UDF."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.concat_arrays([function(batch.slice(low, rows)) for low in range(0, max(1, len(batch)), rows)])
+        batch = None
+        give_back()
+
+    run.__name__ = function.__name__
+    return run
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """``base``, lengthened until no column of ``df`` has that name."""
     taken = {c.lower() for c in df.columns}

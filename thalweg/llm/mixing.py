@@ -23,11 +23,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from thalweg.llm.common import free_name, materialise
+from thalweg.llm.common import free_name, in_slices, materialise
 
 
-@F.arrow_udf(T.StructType([T.StructField("words", T.LongType()), T.StructField("symbols", T.LongType())]))
-def text_counts(text: pa.Array) -> pa.Array:
+def _text_counts(text: pa.Array) -> pa.Array:
     """Words (runs of anything but ASCII blanks) and symbols of whole texts."""
     words, symbols = [], []
     for value in text.cast(pa.large_binary()):
@@ -37,6 +36,9 @@ def text_counts(text: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(words, pa.int64()), pa.array(symbols, pa.int64())], ["words", "symbols"])
 
 
+text_counts = F.arrow_udf(in_slices(_text_counts), T.StructType([T.StructField("words", T.LongType()), T.StructField("symbols", T.LongType())]))
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[int], most: int) -> DataFrame:
     """Word budget of each source from (source, source_size).
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from thalweg.llm.blocks import block_pairs, each_unit, forest
-from thalweg.llm.common import free_name, materialise
+from thalweg.llm.common import free_name, give_back, in_slices, materialise
 from thalweg.llm.components import components
 from thalweg.llm.embed_dedup import summarise
 
@@ -85,7 +85,6 @@ def signatures(docs: DataFrame, width: int, trees: int, depth: int, seed: int) -
         T.StructField("digest", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("labels", T.ArrayType(T.BinaryType()))
     ])
 
-    @F.arrow_udf(kind)
     def sign(text: pa.Array) -> pa.Array:
         digests, sizes, labels = [], [], []
         for value in text.cast(pa.large_binary()):
@@ -106,7 +105,7 @@ def signatures(docs: DataFrame, width: int, trees: int, depth: int, seed: int) -
             [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(labels, pa.list_(pa.binary()))], ["digest", "n", "labels"]
         )
 
-    signed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), sign("text").alias("s"))
+    signed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.arrow_udf(in_slices(sign), kind)("text").alias("s"))
     return signed.select("doc_id", "row", "s.digest", "s.n", "s.labels")
 
 
@@ -144,6 +143,7 @@ def trie_links(classes: DataFrame, prefix: int) -> DataFrame:
                 [pa.array([head], pa.int64()), pa.array([head], pa.int64()), pa.array([key[0].to_bytes(2, "big") + key[1]], pa.binary())],
                 names=["a", "b", "border"],
             )
+        give_back()
 
     found = materialise(ordered.mapInArrow(runs, "a long, b long, border binary"), "trie-links")
     borders = found.where("border is not null").groupBy("border").agg(F.min("a").alias("b"), F.max("a").alias("a"))
@@ -158,13 +158,12 @@ def _digest(raw: bytes) -> bytes:
 def _digest_and_shingles(width: int):
     kind = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
 
-    @F.arrow_udf(kind)
     def packed(text: pa.Array) -> pa.Array:
         raws = [v.as_py() or b"" for v in text.cast(pa.large_binary())]
         sets = [shingles(raw, width).astype("<u8").tobytes() for raw in raws]
         return pa.StructArray.from_arrays([pa.array(map(_digest, raws), pa.binary()), pa.array(sets, pa.binary())], ["digest", "shingles"])
 
-    return packed
+    return F.arrow_udf(in_slices(packed), kind)
 
 
 def _compare(threshold: float):

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from thalweg.llm.common import materialise
+from thalweg.llm.common import give_back, materialise
 from thalweg.llm.tokens import encoder
 
 #: Buckets of the hashed vectors, dimensions after projection, bits of each on the curve.
@@ -103,6 +103,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int, chunk: int = 4096) ->
                      pa.array(total, pa.int64()), pa.array(ids, pa.binary())],
                     names=["doc_id", "hilbert_key", "start", "doc_tokens", "ids"],
                 )
+        give_back()
 
     picked = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     return picked.mapInArrow(each, "doc_id long, hilbert_key long, start long, doc_tokens long, ids binary")
@@ -162,6 +163,7 @@ def cut(ordered: DataFrame, length: int) -> DataFrame:
             yield table(emit(taken, number))
             number, open_ = number + 1, left
             filled = sum(len(x[3]) for x in left)
+        give_back()
 
     return ordered.mapInArrow(each, PIECES)
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from thalweg.llm.common import free_name, hashed_sample
+from thalweg.llm.common import free_name, hashed_sample, in_slices
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _TYPE = T.StructType([T.StructField(c, T.LongType()) for c in (*COUNTS, "n_lines")])
@@ -56,8 +56,7 @@ def repeated_words(words: list[bytes], width: int = 5) -> int:
     return int(np.count_nonzero(np.cumsum(edge)[:-1]))
 
 
-@F.arrow_udf(_TYPE)
-def text_statistics(text: pa.Array) -> pa.Array:
+def _text_statistics(text: pa.Array) -> pa.Array:
     """The counts of each whole text."""
     rows = []
     chars = pc.fill_null(pc.utf8_length(text.cast(pa.large_string())), 0).to_pylist()
@@ -73,6 +72,8 @@ def text_statistics(text: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], _TYPE.names)
 
 
+text_statistics = F.arrow_udf(in_slices(_text_statistics), _TYPE)
+
 #: What rules may ask: shares and means, so that the length of a text is no proxy.
 FEATURES = {
     "symbols_per_word": ("n_symbols", "n_words"),

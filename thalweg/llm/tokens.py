@@ -47,7 +47,7 @@ class _Pieces(dict):
 class WordBpe:
     """Encodes batches of texts; one per Python worker."""
 
-    def __init__(self, path: str, keep: int = 700_000):
+    def __init__(self, path: str, keep: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
