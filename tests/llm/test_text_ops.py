@@ -151,6 +151,39 @@ def test_line_dedup_equals_all_pairs(docs, rows):
         assert r.text == "\n".join(left) and r[n_removed] == len(text.split("\n")) - len(left)
 
 
+def all_pairs(texts, threshold=0.8, width=5):
+    """Lines that have a near copy before them, by all pairs over character runs."""
+    runs = [{t[i : i + width] for i in range(max(1, len(t) - width + 1))} for t in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if group[i] != group[j] and len(runs[i] & runs[j]) >= threshold * len(runs[i] | runs[j]) - 1e-9:
+                group = [group[j] if g == group[i] else g for g in group]
+    return {i for i, g in enumerate(group) if g in group[:i]}
+
+
+def left_after(spark, texts, **options):
+    """Lines that go, of one document a line."""
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out, _, n_removed = line_dedup.dedup(frame, **options)
+    return {r.doc_id for r in out.where(f"{n_removed} > 0").collect()}
+
+
+def test_short_and_blank_free_lines_equal_all_character_pairs(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8)))
+    lines = [" ".join(word() for _ in range(n)) for n in (10, 10, 12, 14, 16, 20)] * 1 + ["\t".join(word() for _ in range(12)) for _ in range(4)]
+    lines += ["".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(70)) for _ in range(6)] + ["ab", "abc", "\U0001f600" * 3, "xyzzy"]
+    changed = []
+    for t in lines:
+        at = len(t) * 2 // 3
+        changed.append(t[:at] + ("#" if t[at] != "#" else "+") + t[at + 1 :])
+    texts = lines + changed
+    expected = all_pairs(texts)
+    assert len(expected) >= 14 and not expected & set(range(len(lines)))
+    assert left_after(spark, texts) == expected
+
+
 def test_line_dedup_carries_columns(docs, wide, no_docs):
     out, a, b = line_dedup.dedup(wide)
     assert out.columns[: len(wide.columns)] == wide.columns and out.count() == docs.count()

@@ -1,9 +1,10 @@
 r"""Fuzzy line deduplication by MinHash, with DataFrame functions only.
 
 Lines are the ``\n``-split parts of a text; lines without a visible character are left
-alone. A line's character shingles start at every word (after a blank or at the line's
-start) and run through the next word to the fourth character of the one after it, so
-every character lies in a shingle; the last ones end with the line. Equal lines form one
+alone. A line's shingles are its runs of five characters, one starting at every character
+(the whole line, where it has fewer). ``word_shingled`` is the other form, which the SQL of
+op5_line_dedup fixes: shingles start at every word (after a blank or at the line's start)
+and run through the next word to the fourth character of the one after it. Equal lines form one
 class, named by a 64-bit hash. The signature of a line is the ``sketch`` least values of
 one hash over its shingles, in order; each two neighbouring values make a band key.
 Two lines of Jaccard similarity s share a key unless no two neighbours of their joint
@@ -22,6 +23,8 @@ stays empty; all other columns are carried through untouched.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,8 +48,20 @@ def lines(docs: DataFrame) -> DataFrame:
     return cut.where(r"text rlike '[^\\s]'")
 
 
-def shingled(frame: DataFrame) -> DataFrame:
-    """Adds ``shingles``: the distinct 32-bit hashes of the character shingles of ``text``."""
+def shingled(frame: DataFrame, width: int = 5) -> DataFrame:
+    """Adds ``shingles``: the distinct 32-bit hashes of the character runs of ``text``."""
+    # four bytes a character: a run is cut out at once, wherever it starts; a lambda's
+    # variable is read without a copy of the whole line, which a column would cost a run
+    def runs(wide: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(wide) - 4 * (width - 1), F.lit(1)), F.lit(4))
+        return F.transform(starts, lambda i: F.hash(F.substring(wide, i, F.lit(4 * width))))
+
+    each = F.transform(F.array(F.encode("text", "UTF-32")), runs)
+    return frame.withColumn("shingles", F.array_distinct(F.element_at(each, 1)))
+
+
+def word_shingled(frame: DataFrame) -> DataFrame:
+    """Adds ``shingles``: the distinct 32-bit hashes of the shingles at word starts of ``text``."""
     out = frame.withColumn("words", F.split("text", " "))
     follow = F.zip_with("words", F.slice("words", F.lit(2), F.size("words")), lambda a, b: F.hash(a, F.substring(b, 1, 4)))
     out = out.withColumn("pairs", follow)
@@ -55,7 +70,7 @@ def shingled(frame: DataFrame) -> DataFrame:
     return out.withColumn("shingles", F.array_distinct(both)).drop("words", "pairs")
 
 
-def links(classes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+def links(classes: DataFrame, docs: DataFrame, threshold: float, shingling: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(a, b): classes of lines (uid, v, first) whose similarity reaches the threshold."""
     v = F.col("v")
     last = F.greatest(F.size(v) - 1, F.lit(1))
@@ -76,22 +91,22 @@ def links(classes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     wanted = classes.select("uid", "first").join(wanted, "uid", "left_semi")
     texts = lines(docs).select(_position(F.col("doc_id"), F.col("line")).alias("first"), "text")
     found = texts.join(wanted, "first").where(F.xxhash64("text") == F.col("uid")).groupBy("uid").agg(F.min("text").alias("text"))
-    sets = materialise(shingled(found).select("uid", "shingles"), "line-shingles")
+    sets = materialise(shingling(found).select("uid", "shingles"), "line-shingles")
     both = pairs.join(sets.select(F.col("uid").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(sets.select(F.col("uid").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common >= threshold * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
 
 
-def removed(docs: DataFrame, threshold: float = 0.8, sketch: int = 8) -> DataFrame:
+def removed(docs: DataFrame, threshold: float = 0.8, sketch: int = 8, shingling: Callable[[DataFrame], DataFrame] = shingled) -> DataFrame:
     """doc_id, doc_hash, gone: the line numbers that go, of each document that loses some."""
-    hashed = shingled(lines(docs))
+    hashed = shingling(lines(docs))
     signature = F.slice(F.sort_array("shingles"), 1, sketch)
     every = materialise(hashed.select("doc_id", "doc_hash", "line", F.xxhash64("text").alias("uid"), signature.alias("v")), "line-sketches")
     place = _position(F.col("doc_id"), F.col("line"))
     classes = every.groupBy("uid", "v").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times"))
     classes = materialise(classes, "line-classes")
-    roots = materialise(components(links(classes, docs, threshold)), "line-roots")
+    roots = materialise(components(links(classes, docs, threshold, shingling)), "line-roots")
     grouped = classes.join(roots.select(F.col("node").alias("uid"), "root"), "uid")
     kept = grouped.groupBy("root").agg(F.min("first").alias("keep"))
     fuzzy = roots.join(kept, "root").select(F.col("node").alias("uid"), "keep")
@@ -100,14 +115,14 @@ def removed(docs: DataFrame, threshold: float = 0.8, sketch: int = 8) -> DataFra
     return gone.groupBy("doc_id", "doc_hash").agg(F.collect_set("line").alias("gone"))
 
 
-def dedup(docs: DataFrame, threshold: float = 0.8, sketch: int = 8) -> tuple[DataFrame, str, str]:
+def dedup(docs: DataFrame, threshold: float = 0.8, sketch: int = 8, shingling: Callable[[DataFrame], DataFrame] = shingled) -> tuple[DataFrame, str, str]:
     """``docs`` with the texts that are left, and the names of two added columns.
 
     These count the lines with a visible character before, and those that went. ``docs``
     needs doc_id and text.
     """
     n_lines, n_gone, key, id_, hash_, gone = (free_name(docs, x) for x in ("n_lines", "n_removed", "text_key", "gone_id", "gone_hash", "gone"))
-    lost = removed(docs, threshold, sketch).select(F.col("doc_id").alias(id_), F.col("doc_hash").alias(hash_), F.col("gone").alias(gone))
+    lost = removed(docs, threshold, sketch, shingling).select(F.col("doc_id").alias(id_), F.col("doc_hash").alias(hash_), F.col("gone").alias(gone))
     out = docs.withColumn(key, F.xxhash64("text"))
     out = out.join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(hash_)), "left")
     parts = F.split("text", "\n")

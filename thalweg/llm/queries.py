@@ -49,7 +49,7 @@ def op4_license(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out, n_lines, n_removed = line_dedup.dedup(docs)
+    out, n_lines, n_removed = line_dedup.dedup(docs, shingling=line_dedup.word_shingled)  # as its SQL has it
     return out.select("doc_id", F.col(n_lines).cast("long").alias("n_lines"), F.col(n_removed).cast("long").alias("n_removed"),
                       F.length("text").cast("long").alias("chars_left"), F.sha2("text", 256).alias("text_sha256"))
 
