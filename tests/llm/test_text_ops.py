@@ -184,6 +184,21 @@ def test_short_and_blank_free_lines_equal_all_character_pairs(spark):
     assert left_after(spark, texts) == expected
 
 
+@pytest.mark.parametrize("shingling", [line_dedup.shingled, line_dedup.word_shingled])
+def test_near_copies_among_templated_lines_are_found(spark, shingling):
+    """Lines of shared boilerplate, below the threshold to each other, and one near copy of each fourth."""
+    rng = random.Random(4)
+    word = lambda n=6: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    boiler = [word() for _ in range(48)]
+    lines = [" ".join([*boiler[:24], *(word() for _ in range(12)), *boiler[24:]]) for _ in range(240)]
+    copies = [t[:-1] + "#" for t in lines[::4]]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(lines + copies)], "doc_id long, text string")
+    sets = [set(r.shingles) for r in shingling(frame).orderBy("doc_id").collect()]
+    apart = max(len(sets[0] & x) / len(sets[0] | x) for x in sets[1:240])
+    assert 0.6 < apart < 0.8
+    assert left_after(spark, lines + copies, shingling=shingling) == set(range(240, 300))
+
+
 def test_line_dedup_carries_columns(docs, wide, no_docs):
     out, a, b = line_dedup.dedup(wide)
     assert out.columns[: len(wide.columns)] == wide.columns and out.count() == docs.count()

@@ -11,10 +11,12 @@ Two lines of Jaccard similarity s share a key unless no two neighbours of their
 order are shared: with 8 values and s = 0.8 they do in 99 of 100 cases, and far more
 often above.
 
-Under each key, lines sorted by the value that follows the key are compared with their
-neighbour and with the first of the key; the exact Jaccard similarity of the shingle
-sets decides. Links go to the distributed union-find, and each component keeps its first
-line, in order of doc_id and line number.
+All lines that share a key are compared by the exact Jaccard similarity of their shingle
+sets. First, under each key, lines sorted by the value that follows the key meet their
+neighbour and the first of the key, which joins most near copies. Under keys of four lines
+and more, the lines that are still apart then meet all others, in pairs of blocks. Links go
+to the distributed union-find, and each component keeps its first line, in order of doc_id
+and line number.
 
 Defined cases: a null text stays null and has no lines; a null doc_id counts as least;
 rows with equal doc_id and text are one document and get the same text; an empty table
@@ -70,8 +72,13 @@ def word_shingled(frame: DataFrame) -> DataFrame:
     return out.withColumn("shingles", F.array_distinct(both)).drop("words", "pairs")
 
 
-def links(classes: DataFrame, docs: DataFrame, threshold: float, shingling: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(a, b): classes of lines (uid, v, first) whose similarity reaches the threshold."""
+def _similar(x: Column, y: Column, threshold: float) -> Column:
+    # the intersection stands once, for a lambda evaluates it as often as it stands
+    return F.size(F.array_intersect(x, y)) * (1 + threshold) >= threshold * (F.size(x) + F.size(y)) - 1e-9
+
+
+def groups(classes: DataFrame, docs: DataFrame, threshold: float, shingling: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) of the classes of lines (uid, v, first) that similar lines of one key join."""
     v = F.col("v")
     last = F.greatest(F.size(v) - 1, F.lit(1))
     keys = F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(
@@ -80,10 +87,12 @@ def links(classes: DataFrame, docs: DataFrame, threshold: float, shingling: Call
     banded = classes.select("uid", F.inline(keys))
     inside = Window.partitionBy("key").orderBy("next", "uid")
     near = banded.select(
-        "uid", F.lag("uid").over(inside).alias("before"),
+        "uid", "key", F.lag("uid").over(inside).alias("before"),
         F.first("uid").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("head"),
+        F.row_number().over(inside).alias("place"),
     )
-    pairs = near.where("before is not null").select("uid", F.explode(F.array_distinct(F.array("before", "head"))).alias("other"))
+    near = materialise(near.where("before is not null"), "line-keys")
+    pairs = near.select("uid", F.explode(F.array_distinct(F.array("before", "head"))).alias("other"))
     pairs = pairs.select(F.least("uid", "other").alias("a"), F.greatest("uid", "other").alias("b"))
     pairs = materialise(pairs.distinct(), "line-pairs")
     wanted = pairs.select(F.col("a").alias("uid")).unionAll(pairs.select("b")).distinct()
@@ -94,8 +103,44 @@ def links(classes: DataFrame, docs: DataFrame, threshold: float, shingling: Call
     sets = materialise(shingling(found).select("uid", "shingles"), "line-shingles")
     both = pairs.join(sets.select(F.col("uid").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(sets.select(F.col("uid").alias("b"), F.col("shingles").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(common >= threshold * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
+    joined = materialise(components(both.where(_similar(F.col("x"), F.col("y"), threshold)).select("a", "b")), "line-groups")
+
+    # neighbour and head are all the pairs of three lines; the head has no row of its own
+    crowded = near.where("place >= 4").select("key").distinct()
+    crowded = near.join(crowded, "key", "left_semi").select("key", F.explode(F.when(F.col("place") == 2, F.array("head", "uid")).otherwise(F.array("uid"))).alias("uid"))
+    crowded = crowded.join(joined.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    crowded = materialise(crowded, "line-crowded")
+    more = materialise(components(block_links(crowded, sets, threshold)), "line-more-groups")
+    moved = joined.join(more.select(F.col("node").alias("root"), F.col("root").alias("over")), "root", "left")
+    alone = more.join(joined.select("node"), "node", "left_anti")
+    return moved.select("node", F.coalesce("over", "root").alias("root")).unionAll(alone.select("node", "root"))
+
+
+def block_links(crowded: DataFrame, sets: DataFrame, threshold: float, per_block: int = 256, volume: int = 500_000) -> DataFrame:
+    """(a, b): roots of similar lines (key, uid, root) that share a key and are in two groups yet.
+
+    A key's lines are dealt to blocks of some ``per_block`` lines and ``volume`` shingles,
+    each pair of blocks being one row of arrays.
+    """
+    sized = crowded.join(sets, "uid")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / per_block, F.sum(F.size("shingles").cast("long")) / volume)).cast("int")
+    apart = sized.groupBy("key").agg(blocks.alias("blocks"), (F.min("root") < F.max("root")).alias("apart")).where("apart")
+    dealt = sized.join(apart.select("key", "blocks"), "key").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    line = F.struct("uid", "root", "shingles")
+    key = ["key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")]
+    units = dealt.groupBy(*key).agg(
+        F.collect_list(F.when(F.col("block") <= F.col("other"), line)).alias("left"), F.collect_list(F.when(F.col("block") >= F.col("other"), line)).alias("right")
+    )
+
+    def near(x: Column, y: Column) -> Column:
+        n, m = F.size(x["shingles"]), F.size(y["shingles"])
+        size = F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9
+        once = (F.col("one") < F.col("two")) | (x["uid"] < y["uid"])
+        return (x["root"] != y["root"]) & once & size & _similar(x["shingles"], y["shingles"], threshold)
+
+    met = F.transform("left", lambda x: F.transform(F.filter("right", lambda y: near(x, y)), lambda y: F.struct(x["root"].alias("a"), y["root"].alias("b"))))
+    return units.select(F.inline(F.flatten(met)))
 
 
 def removed(docs: DataFrame, threshold: float = 0.8, sketch: int = 8, shingling: Callable[[DataFrame], DataFrame] = shingled) -> DataFrame:
@@ -106,7 +151,7 @@ def removed(docs: DataFrame, threshold: float = 0.8, sketch: int = 8, shingling:
     place = _position(F.col("doc_id"), F.col("line"))
     classes = every.groupBy("uid", "v").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times"))
     classes = materialise(classes, "line-classes")
-    roots = materialise(components(links(classes, docs, threshold, shingling)), "line-roots")
+    roots = materialise(groups(classes, docs, threshold, shingling), "line-roots")
     grouped = classes.join(roots.select(F.col("node").alias("uid"), "root"), "uid")
     kept = grouped.groupBy("root").agg(F.min("first").alias("keep"))
     fuzzy = roots.join(kept, "root").select(F.col("node").alias("uid"), "keep")
