@@ -111,37 +111,20 @@ def test_held_out_notices_are_recognised():
     assert right / total > 0.95
 
 
-def brute_lines(frame, threshold=0.8):
-    """Kept (doc_id, line) by all pairs over the same shingle sets."""
-    found = line_dedup.shingled(line_dedup.lines(frame)).select("doc_id", "line", "text", "shingles").distinct().collect()
-    found.sort(key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.line))
-    texts = {}
-    for r in found:
-        texts.setdefault(r.text, set(r.shingles))
-    names = list(texts)
-    root = {t: t for t in names}
-
-    def find(t):
-        while root[t] != t:
-            t = root[t]
-        return t
-
-    for i, a in enumerate(names):
-        for b in names[:i]:
-            x, y = texts[a], texts[b]
-            if len(x & y) >= threshold * len(x | y) - 1e-9:
-                root[find(a)] = find(b)
-    kept, seen = set(), set()
-    for r in found:
-        if find(r.text) not in seen:
-            seen.add(find(r.text))
-            kept.add((r.doc_id, r.line))
-    return kept
+def brute_lines(rows):
+    """Kept (doc_id, line) by all pairs over character runs."""
+    found = sorted(((i is not None, i or 0, k), x) for i, t, *_ in rows for k, x in enumerate((t or "").split("\n")) if x.strip())
+    names = list(dict.fromkeys(x for _, x in found))
+    group = dict(zip(names, all_groups(names), strict=True))
+    kept = {}
+    for (known, i, k), x in found:
+        kept.setdefault(group[x], (i if known else None, k))
+    return set(kept.values())
 
 
 def test_line_dedup_equals_all_pairs(docs, rows):
     out, n_lines, n_removed = line_dedup.dedup(docs)
-    kept = brute_lines(docs)
+    kept = brute_lines(rows)
     for r in out.collect():
         text = next(t for i, t, *_ in rows if i == r.doc_id)
         if text is None:
@@ -151,14 +134,20 @@ def test_line_dedup_equals_all_pairs(docs, rows):
         assert r.text == "\n".join(left) and r[n_removed] == len(text.split("\n")) - len(left)
 
 
-def all_pairs(texts, threshold=0.8, width=5):
-    """Lines that have a near copy before them, by all pairs over character runs."""
+def all_groups(texts, threshold=0.8, width=5):
+    """The group of each line that links of all pairs over character runs join."""
     runs = [{t[i : i + width] for i in range(max(1, len(t) - width + 1))} for t in texts]
     group = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
             if group[i] != group[j] and len(runs[i] & runs[j]) >= threshold * len(runs[i] | runs[j]) - 1e-9:
                 group = [group[j] if g == group[i] else g for g in group]
+    return group
+
+
+def all_pairs(texts):
+    """Lines that have a near copy before them."""
+    group = all_groups(texts)
     return {i for i, g in enumerate(group) if g in group[:i]}
 
 
@@ -184,19 +173,27 @@ def test_short_and_blank_free_lines_equal_all_character_pairs(spark):
     assert left_after(spark, texts) == expected
 
 
-@pytest.mark.parametrize("shingling", [line_dedup.shingled, line_dedup.word_shingled])
-def test_near_copies_among_templated_lines_are_found(spark, shingling):
-    """Lines of shared boilerplate, below the threshold to each other, and one near copy of each fourth."""
+def test_near_copies_among_templated_lines_are_found(spark):
+    """Thousands of lines of shared boilerplate, below the threshold to each other, and near copies of some."""
     rng = random.Random(4)
     word = lambda n=6: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
-    boiler = [word() for _ in range(48)]
-    lines = [" ".join([*boiler[:24], *(word() for _ in range(12)), *boiler[24:]]) for _ in range(240)]
-    copies = [t[:-1] + "#" for t in lines[::4]]
-    frame = spark.createDataFrame([(i, t) for i, t in enumerate(lines + copies)], "doc_id long, text string")
-    sets = [set(r.shingles) for r in shingling(frame).orderBy("doc_id").collect()]
-    apart = max(len(sets[0] & x) / len(sets[0] | x) for x in sets[1:240])
-    assert 0.6 < apart < 0.8
-    assert left_after(spark, lines + copies, shingling=shingling) == set(range(240, 300))
+    boiler = [word() for _ in range(30)]
+    lines = [" ".join([*boiler, *(word() for _ in range(9))]) for _ in range(3000)]
+    copies = [t[:-2] + "#" + t[-1] for t in lines[::4]]
+    runs = [{t[i : i + 5] for i in range(len(t) - 4)} for t in lines[:60]]
+    assert 0.6 < max(len(x & y) / len(x | y) for x in runs for y in runs if x is not y) < 0.8
+    gone = left_after(spark, lines + copies)
+    assert not gone & set(range(3000)) and len(gone) >= 0.99 * len(copies)
+
+
+def test_line_dedup_in_small_blocks_and_ranges(spark):
+    rng = np.random.default_rng(3)
+    key = np.concatenate([rng.integers(0, 300, 400), np.full(300, 7)])
+    uid = np.concatenate([rng.integers(0, 5, 400), np.arange(300)])
+    rows = list(zip(key.tolist(), uid.tolist(), strict=True))
+    shared = {r for r in rows if len({u for k, u in set(rows) if k == r[0]}) > 1}
+    got = [tuple(r) for r in line_dedup.met(spark.createDataFrame(rows * 2, "key long, uid long"), 7).collect()]
+    assert len(got) == len(set(got)) and shared <= set(got) and len(set(got) - shared) <= 14
 
 
 def test_line_dedup_carries_columns(docs, wide, no_docs):

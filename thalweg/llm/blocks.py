@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thalweg.llm.common import give_back
@@ -20,15 +20,16 @@ from thalweg.llm.common import give_back
 RESULT = "uid long, links long, root long"
 
 
-def block_pairs(rows: DataFrame, group: list[str], uid: str, per_block: int) -> DataFrame:
+def block_pairs(rows: DataFrame, group: list[str], uid: str, per_block: int, size: Column | None = None, volume: int = 4_000_000) -> DataFrame:
     """``rows`` once for every pair of blocks it takes part in: adds block_a, block_b, block.
 
-    Groups of one row are left out: they have no pair.
+    Groups of one row are left out: they have no pair. A block has about ``per_block`` rows,
+    and rows of ``volume`` together in ``size`` where that is given.
     """
-    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("group_rows")).where("group_rows > 1")
-    sized = rows.join(sizes, group)
-    n = F.ceil(F.col("group_rows") / per_block).cast("int")
-    sized = sized.withColumn("blocks", n).withColumn("block", F.pmod(F.xxhash64(uid), F.col("blocks")).cast("int"))
+    full = F.count(F.lit(1)) / per_block
+    blocks = full if size is None else F.greatest(full, F.sum(size.cast("double")) / volume)
+    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("group_rows"), F.ceil(blocks).cast("int").alias("blocks")).where("group_rows > 1")
+    sized = rows.join(sizes, group).withColumn("block", F.pmod(F.xxhash64(uid), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     spread = sized.withColumn("other", other)
     return spread.select(
@@ -90,6 +91,33 @@ def each_unit(
     return dealt.mapInArrow(run, RESULT)
 
 
+def shared_counts(row: np.ndarray, item: np.ndarray, left: np.ndarray, right: np.ndarray, wide: int = 4096) -> np.ndarray:
+    """Items that each of the rows ``left`` has in common with each of ``right``.
+
+    (row, item) are distinct, ``item`` being any sortable code. Items of one row alone add
+    nothing; the others go through the product ``wide`` at a time.
+    """
+    order = np.argsort(item, kind="stable")
+    item, row = item[order], row[order]
+    count = np.diff(np.append(np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1]])), len(item))) if len(item) else np.zeros(0, int)
+    column, kept = np.repeat(np.cumsum(count > 1) - 1, count), np.repeat(count > 1, count)
+    row, column = row[kept], column[kept]
+    n = int(max(left.max(initial=-1), right.max(initial=-1), row.max(initial=-1))) + 1
+    place = np.full((2, n), -1)
+    place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+    common = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, wide):
+        a, b = np.searchsorted(column, [low, low + wide])
+        sides = []
+        for k, side in enumerate((left, right)):
+            at, c = place[k, row[a:b]], column[a:b] - low
+            m = np.zeros((len(side), int(c.max()) + 1), np.float32)
+            m[at[at >= 0], c[at >= 0]] = 1
+            sides.append(m)
+        common += sides[0] @ sides[1].T
+    return common
+
+
 def forest(uids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Least uid reachable from each row over the links (a[i], b[i]) of row numbers."""
     order = np.argsort(uids, kind="stable")

@@ -49,6 +49,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def ranges_for(written: DataFrame, per: int = 32 << 20) -> int:
+    """Partitions that deal a written table out by ``per`` bytes of its files, the session's number at least."""
+    spark = written.sparkSession
+    size = 0
+    for folder in {file.rsplit("/", 1)[0] for file in written.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        size += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // per))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's context cleaner drop shuffle files that no plan refers to."""
     gc.collect()

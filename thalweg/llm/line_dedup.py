@@ -1,173 +1,262 @@
-r"""Fuzzy line deduplication by MinHash, with DataFrame functions only.
+r"""Fuzzy line deduplication by MinHash.
 
 Lines are the ``\n``-split parts of a text; lines without a visible character are left
 alone. A line's shingles are its runs of five characters, one starting at every character
-(the whole line, where it has fewer). ``word_shingled`` is the other form, which the SQL of
-op5_line_dedup fixes: shingles start at every word (after a blank or at the line's start)
-and run through the next word to the fourth character of the one after it. Equal lines form one
-class, named by a 64-bit hash. The signature of a line is the ``sketch`` least values of
-one hash over its shingles, in order; each two neighbouring values make a band key.
-Two lines of Jaccard similarity s share a key unless no two neighbours of their joint
-order are shared: with 8 values and s = 0.8 they do in 99 of 100 cases, and far more
-often above.
+(the whole line, where it has fewer). Equal lines form one class, named by a 64-bit hash.
+A class has ``bands`` keys, each of ``depth`` minimum hashes over its shingles: two lines
+of Jaccard similarity s share a key with probability 1 - (1 - s^depth)^bands, which is
+0.998 at s = 0.8.
 
 All lines that share a key are compared by the exact Jaccard similarity of their shingle
-sets. First, under each key, lines sorted by the value that follows the key meet their
-neighbour and the first of the key, which joins most near copies. Under keys of four lines
-and more, the lines that are still apart then meet all others, in pairs of blocks. Links go
-to the distributed union-find, and each component keeps its first line, in order of doc_id
-and line number.
-
-Defined cases: a null text stays null and has no lines; a null doc_id counts as least;
-rows with equal doc_id and text are one document and get the same text; an empty table
-stays empty; all other columns are carried through untouched.
+sets, as strings. First, every line meets the least of its key, which joins most near
+copies. Where a key's lines are then still in several groups, all of them are compared
+across the groups, in pairs of blocks. Links go to the distributed union-find, and each
+component keeps its first line, in order of doc_id, line number and text hash.
+
+Signing and comparing run in Arrow batches with numpy; a batch is worked on in slices of
+bounded length, except that one line is one piece of work. Spark splits, sorts and joins.
+
+Defined cases: a null text stays null and has no lines; an empty text has none either; a
+null doc_id counts as least; rows with equal doc_id and text are one document and get the
+same text; of several texts of one doc_id, that of the least hash comes first; an empty
+table stays empty; lines and texts of any length are taken whole; all other columns,
+whatever their names, are carried through untouched.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from thalweg.llm.common import free_name, materialise
+from thalweg.llm.blocks import block_pairs, each_unit, forest, shared_counts
+from thalweg.llm.common import free_name, give_back, materialise, ranges_for
 from thalweg.llm.components import components
 
-#: Line numbers below this keep the order of (doc_id, line) in one decimal.
-_LINES = 1 << 32
-
-
-def _position(doc_id: Column, line: Column) -> Column:
-    doc = F.coalesce(doc_id.cast("decimal(20,0)"), F.lit("-9223372036854775809").cast("decimal(20,0)"))
-    return (doc * F.lit(_LINES).cast("decimal(10,0)") + line).cast("decimal(38,0)")
-
-
-def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, doc_hash, line (number), text of every line with a visible character."""
-    cut = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("doc_hash"), F.posexplode(F.split("text", "\n")).alias("line", "text")
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: What Java's regular expressions take for blanks.
+_BLANKS = " \t\n\x0b\x0c\r"
+#: Stands for the characters that a line shorter than a shingle lacks.
+_NONE = np.uint64(0x110000)
+
+
+def _scramble(x: np.ndarray) -> np.ndarray:
+    """A fixed one-to-one mixing of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def runs(line: str, width: int = 5) -> set[str]:
+    """The shingles of a line."""
+    return {line[i : i + width] for i in range(max(1, len(line) - width + 1))}
+
+
+class Signer:
+    """Band keys of lines."""
+
+    def __init__(self, bands: int, depth: int, width: int, seed: int):
+        rng = np.random.default_rng(seed)
+        self.odd = rng.integers(0, 1 << 31, bands * depth, np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+        self.bands, self.depth, self.width = bands, depth, width
+
+    def keys(self, codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """(lines, bands) keys of the lines codes[start:end] of code points, none of them empty."""
+        n = np.maximum(1, end - start - self.width + 1)
+        first = np.cumsum(n) - n
+        at = np.arange(int(n.sum())) + np.repeat(start - first, n)
+        padded = np.concatenate([codes, np.zeros(self.width, np.uint32)])
+        h = np.zeros(len(at), np.uint64)
+        for k in range(self.width):
+            h = h * _MIX + padded[at + k]
+        for i in np.flatnonzero(end - start < self.width):
+            value = [*codes[start[i] : end[i]], *[_NONE] * (self.width - (end[i] - start[i]))]
+            own = np.zeros(1, np.uint64)
+            for c in value:
+                own = own * _MIX + np.uint64(c)
+            h[first[i]] = own[0]
+        small = (_scramble(h) >> np.uint64(32)).astype(np.uint32)
+        out = np.empty((len(start), self.bands), np.uint64)
+        for b in range(self.bands):
+            key = np.full(len(start), b, np.uint64)
+            for odd in self.odd[b * self.depth : (b + 1) * self.depth]:
+                key = _scramble(key * _MIX + np.minimum.reduceat(small * odd, first))
+            out[:, b] = key
+        return out.view(np.int64)
+
+
+def _slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Runs of neighbours of ``most`` in all, or of one."""
+    low = held = 0
+    for i, n in enumerate(sizes):
+        if i > low and held + n > most:
+            yield low, i
+            low, held = i, 0
+        held += n
+    if low < len(sizes):
+        yield low, len(sizes)
+
+
+def signed(docs: DataFrame, bands: int = 12, depth: int = 4, width: int = 5, seed: int = 5) -> DataFrame:
+    """doc_id, doc_hash, line (number), uid, keys of every line with a visible character."""
+    schema = "doc_id long, doc_hash long, line int, uid long, keys array<long>"
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer = Signer(bands, depth, width, seed)
+        for batch in batches:
+            texts = [v.as_buffer().to_pybytes().decode("utf-8", "replace") if v.is_valid else "" for v in batch.column(2).cast(pa.large_binary())]
+            for low, high in _slices([len(t) for t in texts], 1 << 18):
+                found = [(i, k, x) for i in range(low, high) for k, x in enumerate(texts[i].split("\n")) if x.strip(_BLANKS)]
+                if not found:
+                    continue
+                doc, line, own = zip(*found, strict=True)
+                end = np.cumsum([len(x) for x in own])
+                codes = np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), "<u4")
+                keys = signer.keys(codes, np.concatenate([[0], end[:-1]]), end)
+                uids = np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in own], np.uint64).view(np.int64)
+                of = pa.array(doc, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(of), batch.column(1).take(of), pa.array(line, pa.int32()), pa.array(uids),
+                     pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel()))],
+                    names=["doc_id", "doc_hash", "line", "uid", "keys"])
+        give_back()
+
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("doc_hash"), F.col("text").cast("string").alias("text"))
+    return picked.mapInArrow(each, schema)
+
+
+def met(banded: DataFrame, ranges: int) -> DataFrame:
+    """The distinct rows (key, uid) whose key several uids share, and a few others.
+
+    One range sort by both columns brings them together, so a crowded key spreads over
+    ranges; the first and last key of each range are kept too, for the next may share them.
+    """
+    ordered = banded.repartitionByRange(ranges, "key", "uid").sortWithinPartitions("key", "uid")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, uid, due, head = np.zeros(0, np.int64), np.zeros(0, np.int64), False, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, uid = np.append(key, batch.column(0).to_numpy()), np.append(uid, batch.column(1).to_numpy())
+            fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (uid[1:] != uid[:-1])])
+            key, uid = key[fresh], uid[fresh]
+            head = key[0] if head is None else head
+            same = key[1:] == key[:-1]
+            out = (key == head) | np.append(same, False) | np.append(False, same)
+            out[0] |= due
+            due, out[-1] = bool(out[-1]), False  # the last row waits for the next
+            yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(uid[out])], names=["key", "uid"])
+            key, uid = key[-1:], uid[-1:]
+        if len(key):
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(uid)], names=["key", "uid"])
+        give_back()
+
+    return ordered.mapInArrow(each, "key long, uid long")
+
+
+def texts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """uid and text of the lines ``wanted`` (uid, first), first being their place."""
+    listed = wanted.groupBy(F.col("first.doc_id").alias("of_id"), F.col("first.doc_hash").alias("of_hash")).agg(
+        F.collect_list(F.struct(F.col("first.line").alias("line"), "uid")).alias("asked")
     )
-    return cut.where(r"text rlike '[^\\s]'")
-
-
-def shingled(frame: DataFrame, width: int = 5) -> DataFrame:
-    """Adds ``shingles``: the distinct 32-bit hashes of the character runs of ``text``."""
-    # four bytes a character: a run is cut out at once, wherever it starts; a lambda's
-    # variable is read without a copy of the whole line, which a column would cost a run
-    def runs(wide: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(wide) - 4 * (width - 1), F.lit(1)), F.lit(4))
-        return F.transform(starts, lambda i: F.hash(F.substring(wide, i, F.lit(4 * width))))
-
-    each = F.transform(F.array(F.encode("text", "UTF-32")), runs)
-    return frame.withColumn("shingles", F.array_distinct(F.element_at(each, 1)))
-
-
-def word_shingled(frame: DataFrame) -> DataFrame:
-    """Adds ``shingles``: the distinct 32-bit hashes of the shingles at word starts of ``text``."""
-    out = frame.withColumn("words", F.split("text", " "))
-    follow = F.zip_with("words", F.slice("words", F.lit(2), F.size("words")), lambda a, b: F.hash(a, F.substring(b, 1, 4)))
-    out = out.withColumn("pairs", follow)
-    both = F.zip_with("pairs", F.slice("pairs", F.lit(2), F.size("pairs")), lambda a, b: F.hash(a, b))
-    # the first word of each pair is whole in the pair before; the last two shingles end with the line
-    return out.withColumn("shingles", F.array_distinct(both)).drop("words", "pairs")
-
-
-def _similar(x: Column, y: Column, threshold: float) -> Column:
-    # the intersection stands once, for a lambda evaluates it as often as it stands
-    return F.size(F.array_intersect(x, y)) * (1 + threshold) >= threshold * (F.size(x) + F.size(y)) - 1e-9
-
-
-def groups(classes: DataFrame, docs: DataFrame, threshold: float, shingling: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, root) of the classes of lines (uid, v, first) that similar lines of one key join."""
-    v = F.col("v")
-    last = F.greatest(F.size(v) - 1, F.lit(1))
-    keys = F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(
-        F.xxhash64(F.element_at(v, i), F.get(v, i)).alias("key"), F.coalesce(F.get(v, i + 1), F.lit(0)).alias("next")
-    ))
-    banded = classes.select("uid", F.inline(keys))
-    inside = Window.partitionBy("key").orderBy("next", "uid")
-    near = banded.select(
-        "uid", "key", F.lag("uid").over(inside).alias("before"),
-        F.first("uid").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("head"),
-        F.row_number().over(inside).alias("place"),
-    )
-    near = materialise(near.where("before is not null"), "line-keys")
-    pairs = near.select("uid", F.explode(F.array_distinct(F.array("before", "head"))).alias("other"))
-    pairs = pairs.select(F.least("uid", "other").alias("a"), F.greatest("uid", "other").alias("b"))
-    pairs = materialise(pairs.distinct(), "line-pairs")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("doc_hash"), F.col("text").cast("string").alias("text"))
+    found = own.join(listed, F.col("doc_hash").eqNullSafe(F.col("of_hash")) & F.col("doc_id").eqNullSafe(F.col("of_id")))
+    cut = found.withColumn("parts", F.split("text", "\n"))
+    each = F.transform("asked", lambda x: F.struct(x["uid"].alias("uid"), F.get("parts", x["line"]).alias("text")))
+    return cut.select(F.inline(each)).groupBy("uid").agg(F.min("text").alias("text"))
+
+
+def _similar(threshold: float, width: int):
+    def similar(a: pa.Array, b: pa.Array) -> pa.Array:
+        out, last, x = [], None, set()
+        for s, t in zip(a.to_pylist(), b.to_pylist(), strict=True):
+            if s != last:
+                last, x = s, runs(s, width)
+            y = runs(t, width)
+            shared = len(x & y) if min(len(x), len(y)) >= threshold * max(len(x), len(y)) - 1e-9 else 0
+            out.append(shared >= threshold * (len(x) + len(y) - shared) - 1e-9)
+        return pa.array(out, pa.bool_())
+
+    return F.arrow_udf(similar, T.BooleanType())
+
+
+def _compare(threshold: float, width: int):
+    """Links between different groups (roots) of a unit of lines."""
+
+    def work(unit: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        roots, block = unit.column("root").to_numpy(), unit.column("block").to_numpy()
+        left = np.flatnonzero(block == unit.column("block_a")[0].as_py())
+        right = np.flatnonzero(block == unit.column("block_b")[0].as_py())
+        code: dict[str, int] = {}
+        sets = [np.array([code.setdefault(r, len(code)) for r in runs(t, width)], np.int64) for t in unit.column("text").to_pylist()]
+        size = np.array([len(s) for s in sets])
+        row = np.repeat(np.arange(len(sets)), size)
+        common = shared_counts(row, np.concatenate(sets), left, right)
+        union = size[left][:, None] + size[right][None, :] - common
+        a, b = np.nonzero((common >= threshold * union - 1e-6) & (roots[left][:, None] != roots[right][None, :]))
+        a, b = left[a], right[b]
+        names, at = np.unique(roots, return_inverse=True)
+        root = forest(names, at[a], at[b])
+        moved = root != names
+        return names[moved], np.ones(int(moved.sum()), np.int64), root[moved]
+
+    return work
+
+
+def groups(every: DataFrame, classes: DataFrame, docs: DataFrame, threshold: float, width: int) -> DataFrame:
+    """(node, root) of the classes of lines (uid, first) that similar lines of one key join."""
+    banded = every.select("uid", F.explode("keys").alias("key")).select("key", "uid")
+    near = materialise(met(banded, ranges_for(every)), "line-keys")
+    heads = near.groupBy("key").agg(F.min("uid").alias("head"), F.max("uid").alias("last")).where("head < last").select("key", "head")
+    pairs = near.join(heads, "key").where("uid <> head").select(F.col("head").alias("a"), F.col("uid").alias("b")).distinct()
+    pairs = materialise(pairs, "line-pairs")
     wanted = pairs.select(F.col("a").alias("uid")).unionAll(pairs.select("b")).distinct()
-    # a class's text comes from its first line alone: places are single, so a common line is no hot key
-    wanted = classes.select("uid", "first").join(wanted, "uid", "left_semi")
-    texts = lines(docs).select(_position(F.col("doc_id"), F.col("line")).alias("first"), "text")
-    found = texts.join(wanted, "first").where(F.xxhash64("text") == F.col("uid")).groupBy("uid").agg(F.min("text").alias("text"))
-    sets = materialise(shingling(found).select("uid", "shingles"), "line-shingles")
-    both = pairs.join(sets.select(F.col("uid").alias("a"), F.col("shingles").alias("x")), "a")
-    both = both.join(sets.select(F.col("uid").alias("b"), F.col("shingles").alias("y")), "b")
-    joined = materialise(components(both.where(_similar(F.col("x"), F.col("y"), threshold)).select("a", "b")), "line-groups")
-
-    # neighbour and head are all the pairs of three lines; the head has no row of its own
-    crowded = near.where("place >= 4").select("key").distinct()
-    crowded = near.join(crowded, "key", "left_semi").select("key", F.explode(F.when(F.col("place") == 2, F.array("head", "uid")).otherwise(F.array("uid"))).alias("uid"))
-    crowded = crowded.join(joined.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    crowded = materialise(crowded, "line-crowded")
-    more = materialise(components(block_links(crowded, sets, threshold)), "line-more-groups")
+    texts = materialise(texts_of(classes.select("uid", "first").join(wanted, "uid", "left_semi"), docs), "line-texts")
+    both = pairs.join(texts.select(F.col("uid").alias("b"), F.col("text").alias("y")), "b")
+    both = both.join(texts.select(F.col("uid").alias("a"), F.col("text").alias("x")), "a")
+    linked = materialise(both.where(_similar(threshold, width)("x", "y")).select("a", "b"), "line-links")
+    joined = materialise(components(linked), "line-groups")
+
+    rooted = near.join(joined.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    rooted = materialise(rooted.select("key", "uid", "root"), "line-rooted")
+    apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    crowded = rooted.join(apart, "key", "left_semi").join(texts, "uid")
+    spread = block_pairs(crowded, ["key"], "uid", 512, F.length("text"), 1 << 20)
+    more = each_unit(spread, ["key"], ["uid", "root", "text"], _compare(threshold, width))
+    more = materialise(components(materialise(more, "line-more").select(F.col("uid").alias("a"), F.col("root").alias("b"))), "line-more-groups")
     moved = joined.join(more.select(F.col("node").alias("root"), F.col("root").alias("over")), "root", "left")
     alone = more.join(joined.select("node"), "node", "left_anti")
     return moved.select("node", F.coalesce("over", "root").alias("root")).unionAll(alone.select("node", "root"))
 
 
-def block_links(crowded: DataFrame, sets: DataFrame, threshold: float, per_block: int = 256, volume: int = 500_000) -> DataFrame:
-    """(a, b): roots of similar lines (key, uid, root) that share a key and are in two groups yet.
-
-    A key's lines are dealt to blocks of some ``per_block`` lines and ``volume`` shingles,
-    each pair of blocks being one row of arrays.
-    """
-    sized = crowded.join(sets, "uid")
-    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / per_block, F.sum(F.size("shingles").cast("long")) / volume)).cast("int")
-    apart = sized.groupBy("key").agg(blocks.alias("blocks"), (F.min("root") < F.max("root")).alias("apart")).where("apart")
-    dealt = sized.join(apart.select("key", "blocks"), "key").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    line = F.struct("uid", "root", "shingles")
-    key = ["key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")]
-    units = dealt.groupBy(*key).agg(
-        F.collect_list(F.when(F.col("block") <= F.col("other"), line)).alias("left"), F.collect_list(F.when(F.col("block") >= F.col("other"), line)).alias("right")
-    )
-
-    def near(x: Column, y: Column) -> Column:
-        n, m = F.size(x["shingles"]), F.size(y["shingles"])
-        size = F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9
-        once = (F.col("one") < F.col("two")) | (x["uid"] < y["uid"])
-        return (x["root"] != y["root"]) & once & size & _similar(x["shingles"], y["shingles"], threshold)
-
-    met = F.transform("left", lambda x: F.transform(F.filter("right", lambda y: near(x, y)), lambda y: F.struct(x["root"].alias("a"), y["root"].alias("b"))))
-    return units.select(F.inline(F.flatten(met)))
-
-
-def removed(docs: DataFrame, threshold: float = 0.8, sketch: int = 8, shingling: Callable[[DataFrame], DataFrame] = shingled) -> DataFrame:
+def removed(docs: DataFrame, threshold: float = 0.8, bands: int = 12, depth: int = 4, width: int = 5) -> DataFrame:
     """doc_id, doc_hash, gone: the line numbers that go, of each document that loses some."""
-    hashed = shingling(lines(docs))
-    signature = F.slice(F.sort_array("shingles"), 1, sketch)
-    every = materialise(hashed.select("doc_id", "doc_hash", "line", F.xxhash64("text").alias("uid"), signature.alias("v")), "line-sketches")
-    place = _position(F.col("doc_id"), F.col("line"))
-    classes = every.groupBy("uid", "v").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times"))
+    every = materialise(signed(docs, bands, depth, width), "line-keys")
+    place = F.struct("doc_id", "line", "doc_hash")
+    classes = every.groupBy("uid").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times"))
     classes = materialise(classes, "line-classes")
-    roots = materialise(groups(classes, docs, threshold, shingling), "line-roots")
+    roots = materialise(groups(every, classes, docs, threshold, width), "line-roots")
     grouped = classes.join(roots.select(F.col("node").alias("uid"), "root"), "uid")
     kept = grouped.groupBy("root").agg(F.min("first").alias("keep"))
     fuzzy = roots.join(kept, "root").select(F.col("node").alias("uid"), "keep")
     exact = classes.where("times > 1").join(roots.select(F.col("node").alias("uid")), "uid", "left_anti").select("uid", F.col("first").alias("keep"))
-    gone = every.select("doc_id", "doc_hash", "line", "uid").join(fuzzy.unionAll(exact), "uid").where(place != F.col("keep"))
+    gone = every.select("doc_id", "doc_hash", "line", "uid").join(fuzzy.unionAll(exact), "uid").where(~place.eqNullSafe(F.col("keep")))
     return gone.groupBy("doc_id", "doc_hash").agg(F.collect_set("line").alias("gone"))
 
 
-def dedup(docs: DataFrame, threshold: float = 0.8, sketch: int = 8, shingling: Callable[[DataFrame], DataFrame] = shingled) -> tuple[DataFrame, str, str]:
+def dedup(docs: DataFrame, threshold: float = 0.8, **options) -> tuple[DataFrame, str, str]:
     """``docs`` with the texts that are left, and the names of two added columns.
 
     These count the lines with a visible character before, and those that went. ``docs``
     needs doc_id and text.
     """
     n_lines, n_gone, key, id_, hash_, gone = (free_name(docs, x) for x in ("n_lines", "n_removed", "text_key", "gone_id", "gone_hash", "gone"))
-    lost = removed(docs, threshold, sketch, shingling).select(F.col("doc_id").alias(id_), F.col("doc_hash").alias(hash_), F.col("gone").alias(gone))
+    lost = removed(docs.select("doc_id", "text"), threshold, **options).select(F.col("doc_id").alias(id_), F.col("doc_hash").alias(hash_), F.col("gone").alias(gone))
     out = docs.withColumn(key, F.xxhash64("text"))
     out = out.join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(hash_)), "left")
     parts = F.split("text", "\n")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from thalweg.llm.blocks import block_pairs, each_unit, forest
+from thalweg.llm.blocks import block_pairs, each_unit, forest, shared_counts
 from thalweg.llm.common import free_name, give_back, in_slices, materialise
 from thalweg.llm.components import components
 from thalweg.llm.embed_dedup import summarise
@@ -174,35 +174,8 @@ def _compare(threshold: float):
         sets = [np.frombuffer(v.as_buffer(), "<u8") for v in unit.column("shingles")]
         size = np.array([len(s) for s in sets])
         row = np.repeat(np.arange(len(sets)), size)
-        flat = np.concatenate(sets)
-        order = np.argsort(flat, kind="stable")
-        flat, row = flat[order], row[order]
-        starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-        count = np.diff(np.append(starts, len(flat)))
-        # shingles of one document alone add to no intersection
-        column = np.repeat(np.cumsum(count > 1) - 1, count)
-        shared = np.repeat(count > 1, count)
-        row, column = row[shared], column[shared]
         left, right = np.flatnonzero(block == one), np.flatnonzero(block == other)
-        place = np.zeros(len(sets), np.int64)
-        place[left] = np.arange(len(left))
-        place_right = np.zeros(len(sets), np.int64)
-        place_right[right] = np.arange(len(right))
-        common = np.zeros((len(left), len(right)), np.float32)
-        wide = 4096
-        for low in range(0, int(column[-1]) + 1 if len(column) else 0, wide):
-            a, b = np.searchsorted(column, [low, low + wide])
-            r, c = row[a:b], column[a:b] - low
-            in_left, in_right = block[r] == one, block[r] == other
-            used = int(c.max()) + 1
-            m = np.zeros((len(left), used), np.float32)
-            m[place[r[in_left]], c[in_left]] = 1
-            if one == other:
-                common += m @ m.T
-            else:
-                n = np.zeros((len(right), used), np.float32)
-                n[place_right[r[in_right]], c[in_right]] = 1
-                common += m @ n.T
+        common = shared_counts(row, np.concatenate(sets), left, right)
         union = size[left][:, None] + size[right][None, :] - common
         a, b = np.nonzero(common >= threshold * union - 1e-6)
         a, b = left[a], right[b]

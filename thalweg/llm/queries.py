@@ -49,7 +49,7 @@ def op4_license(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out, n_lines, n_removed = line_dedup.dedup(docs, shingling=line_dedup.word_shingled)  # as its SQL has it
+    out, n_lines, n_removed = line_dedup.dedup(docs)
     return out.select("doc_id", F.col(n_lines).cast("long").alias("n_lines"), F.col(n_removed).cast("long").alias("n_removed"),
                       F.length("text").cast("long").alias("chars_left"), F.sha2("text", 256).alias("text_sha256"))
 
@@ -158,23 +158,27 @@ n AS (SELECT a, count(*) AS n_links FROM l GROUP BY 1)
 SELECT c.node AS doc_id, coalesce(n.n_links, 0)::BIGINT AS n_links, component_id, c.node = component_id AS kept FROM c LEFT JOIN n ON n.a = c.node
 """
 
+# Pairs share one of the rarest n - ceil(0.8 n) + 1 character runs of both lines (no link lacks one); these alone are joined.
 _LINES = r"""
 WITH RECURSIVE d AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
 o AS (SELECT doc_id, unnest(parts) AS t, generate_subscripts(parts, 1) - 1 AS line FROM d WHERE text IS NOT NULL),
 v AS (SELECT *, doc_id::HUGEINT * 4294967296 + line AS place FROM o WHERE regexp_matches(t, '[^\s]')),
-k AS (SELECT t, min(place) AS first, string_split(t, ' ') AS w FROM v GROUP BY t),
-p AS (SELECT t, first, list_transform(range(1, len(w) + 1), lambda i: w[i] || chr(1) || coalesce(substr(w[i + 1], 1, 4), chr(2))) AS p FROM k),
-g AS (SELECT first, unnest(list_distinct(list_transform(range(1, len(p) + 1), lambda i: p[i] || chr(3) || coalesce(p[i + 1], chr(4))))) AS g FROM p),
-z AS (SELECT first, count(*) AS n FROM g GROUP BY 1),
-l AS (SELECT a.first AS a, b.first AS b FROM g a JOIN g b ON a.g = b.g AND a.first <> b.first JOIN z x ON x.first = a.first JOIN z y ON y.first = b.first
-  GROUP BY 1, 2 HAVING count(*) * 9 >= 4 * (any_value(x.n) + any_value(y.n))),
+k AS (SELECT t, min(place) AS first FROM v GROUP BY t),
+s AS (SELECT first, list_distinct(list_transform(range(1, greatest(2, length(t) - 3)), lambda i: substr(t, i, 5))) AS g FROM k),
+u AS (SELECT first, len(g) AS n, unnest(g) AS g FROM s),
+f AS (SELECT g, count(*) AS f FROM u GROUP BY g),
+p AS (SELECT first, n, g FROM (
+  SELECT u.first, u.n, u.g, row_number() OVER (PARTITION BY u.first ORDER BY f.f, u.g) AS seat FROM u JOIN f ON u.g = f.g) WHERE seat <= n - ceil(0.8 * n) + 1),
+c2 AS (SELECT DISTINCT a.first AS a, b.first AS b FROM p a JOIN p b ON a.g = b.g AND a.first < b.first AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+l1 AS (SELECT a, b FROM c2 JOIN s x ON x.first = a JOIN s y ON y.first = b WHERE len(list_intersect(x.g, y.g)) * 9 >= 4 * (len(x.g) + len(y.g))),
+l AS (SELECT a, b FROM l1 UNION ALL SELECT b, a FROM l1),
 r AS (SELECT first AS node, first AS reach FROM k UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.reach),
 c AS (SELECT node, min(reach) AS root FROM r GROUP BY 1),
 keep AS (SELECT v.doc_id, v.line, v.place <> c.root AS gone FROM v JOIN k ON k.t = v.t JOIN c ON c.node = k.first),
-s AS (SELECT o.doc_id, count(q.line) AS n_lines, count(*) FILTER (WHERE q.gone) AS n_removed, coalesce(string_agg(o.t, chr(10) ORDER BY o.line) FILTER (WHERE q.gone IS NOT TRUE), '') AS left_
+z AS (SELECT o.doc_id, count(q.line) AS n_lines, count(*) FILTER (WHERE q.gone) AS n_removed, coalesce(string_agg(o.t, chr(10) ORDER BY o.line) FILTER (WHERE q.gone IS NOT TRUE), '') AS left_
   FROM o LEFT JOIN keep q ON q.doc_id = o.doc_id AND q.line = o.line GROUP BY 1)
 SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, length(left_)::BIGINT AS chars_left, sha256(left_) AS text_sha256
-FROM d LEFT JOIN s ON s.doc_id = d.doc_id
+FROM d LEFT JOIN z ON z.doc_id = d.doc_id
 """
 
 
