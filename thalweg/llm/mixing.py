@@ -6,12 +6,15 @@ each document draws an exponential key scaled by its quality weight, and documen
 taken in key order while the running sum of words stays within the rest.
 
 The draw of a document comes from a digest of its id and the seed, so reruns agree.
-Running sums never need a source in one task: keys map to ``buckets`` slices of [0, 1),
-slices have totals, and rows are ordered only inside their slice.
-
-Defined cases: a null text has no word; a null or unknown source is a source of its own,
-last in order; documents without words are never taken; repeated rows draw equal keys
-and stand next to each other; an empty table gives an empty mix.
+Running sums never need a source in one task: rows are range-sorted by source and key, so
+Spark's sampled quantiles cut them into slices of about equally many rows, whatever the
+weights are; slices have totals, and rows are ordered only inside their slice.
+
+Defined cases: a null text has no word, and texts of any length count whole; a null or
+unknown source is a source of its own, last in order; documents without words are never
+taken; repeated rows draw equal keys and stand next to each other; ties of the key go by
+doc_id, then size; an empty table gives an empty mix; other columns, whatever their
+names, are ignored, or carried through by ``mixed_documents``.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from thalweg.llm.common import free_name, in_slices, materialise
+from thalweg.llm.common import free_name, in_slices, materialise, ranges_for
 
 
 def _text_counts(text: pa.Array) -> pa.Array:
@@ -78,7 +81,7 @@ def uniform(row_id: Column, seed: int) -> Column:
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
-def plan(rows: DataFrame, seed: int = 7, weights: Sequence[int] = (1, 2, 3), most: int = 3, buckets: int = 4096, cut: bool = True) -> DataFrame:
+def plan(rows: DataFrame, seed: int = 7, weights: Sequence[int] = (1, 2, 3), most: int = 3, cut: bool = True) -> DataFrame:
     """Words that the mix takes of each of ``rows`` (doc_id, source, size, quality).
 
     Adds source_size, target and taken. With ``cut`` the document on the budget's edge is
@@ -86,9 +89,9 @@ def plan(rows: DataFrame, seed: int = 7, weights: Sequence[int] = (1, 2, 3), mos
     a written table: it is read several times.
     """
     u = uniform(F.col("doc_id"), seed)
-    # -ln(u) / quality; 1 - exp(-key) runs over (0, 1) and is even where quality is 1
-    keyed = rows.withColumn("key", -F.log(u) / F.col("quality"))
-    keyed = keyed.withColumn("slice", F.least(F.lit(buckets - 1), F.floor((1 - F.exp(-F.col("key"))) * buckets)).cast("int"))
+    keyed = rows.withColumn("key", -F.log(u) / F.col("quality")).withColumn("tie", F.monotonically_increasing_id())
+    keyed = keyed.repartitionByRange(ranges_for(rows, 4 << 20), "source", "key", "doc_id", "size", "tie").withColumn("slice", F.spark_partition_id())
+    keyed = materialise(keyed.drop("tie"), "mixing-slices")
     slices = keyed.groupBy("source", "slice").agg(F.sum("size").alias("n"))
     sizes = slices.groupBy("source").agg(F.sum("n").alias("source_size"))
     targets = source_targets(sizes, weights, most)
