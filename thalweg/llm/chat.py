@@ -51,21 +51,40 @@ def conversations(turns: DataFrame) -> DataFrame:
     return turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 
 
-def merged(turns: Column) -> Column:
-    """Adjacent turns of one role as (role, texts), both escaped."""
-    kind = "array<struct<role:string,texts:array<string>>>"
+def merged(turns: DataFrame) -> DataFrame:
+    """conv_id and ``merged``: adjacent turns of one role as (role, texts), both escaped.
+
+    A run of turns starts where the role changes; each is one slice of the array, so the
+    work is in proportion to the turns.
+    """
     role_of = lambda turn: F.replace(escape(turn["role"]), F.lit(":"), F.lit("\\c"))
+    c = turns.withColumn("roles", F.transform("turns", role_of)).withColumn("n", F.size("turns"))
+    every = F.sequence(F.lit(0), F.col("n") - 1)
+    c = c.withColumn("starts", F.filter(every, lambda i: (i == 0) | (F.get("roles", i) != F.get("roles", i - 1))))
+
+    def run(start: Column, k: Column) -> Column:
+        after = F.coalesce(F.get("starts", k + 1), F.col("n"))
+        own = F.slice("turns", start + 1, after - start)
+        return F.struct(F.get("roles", start).alias("role"), F.transform(own, lambda t: escape(t["text"])).alias("texts"))
+
+    return c.select("conv_id", F.transform("starts", run).alias("merged"))
 
-    def add(done: Column, turn: Column) -> Column:
-        last, own = F.try_element_at(done, F.lit(-1)), F.array(escape(turn["text"]))
-        grown = F.struct(last["role"].alias("role"), F.concat(last["texts"], own).alias("texts"))
-        fresh = F.struct(role_of(turn).alias("role"), own.alias("texts"))
-        joins = last["role"] == role_of(turn)
-        return F.when(joins, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))).otherwise(
-            F.concat(done, F.array(fresh))
-        )
 
-    return F.aggregate(turns, F.array().cast(kind), add)
+def starts_of(frame: DataFrame, lengths: str, out: str) -> DataFrame:
+    """Adds ``out``: the sum of all entries before each one of the array ``lengths``.
+
+    An aggregation that grows an array copies it at every step, so sums are made in
+    chunks of about the root of the length, and the chunks are summed likewise.
+    """
+    n = F.size(lengths)
+    step = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
+    grown = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("before"))
+    add = lambda done, x: F.struct((done["at"] + x).alias("at"), F.concat(done["before"], F.array(done["at"])).alias("before"))
+    chunks = F.transform(F.sequence(F.lit(1), n, step), lambda i: F.aggregate(F.slice(lengths, i, step), grown, add))
+    frame = frame.withColumn("chunks", F.when(n > 0, chunks).otherwise(F.array().cast("array<struct<at:bigint,before:array<bigint>>>")))
+    frame = frame.withColumn("chunk_starts", F.aggregate("chunks", grown, lambda done, x: add(done, x["at"]))["before"])
+    each = F.zip_with("chunks", "chunk_starts", lambda c, s: F.transform(c["before"], lambda b: b + s))
+    return frame.withColumn(out, F.flatten(each)).drop("chunks", "chunk_starts")
 
 
 def formatted(turns: DataFrame) -> DataFrame:
@@ -81,19 +100,11 @@ def formatted(turns: DataFrame) -> DataFrame:
         )))
         return F.concat(F.array(head), body, F.array(piece(F.lit(CLOSE + "\n"), F.lit(False))))
 
-    def place(done: Column, p: Column) -> Column:
-        n = F.length(p["text"]).cast("long")
-        span = F.struct(done["at"].alias("start"), n.alias("length"))
-        spans = F.when(p["loss"], F.concat(done["spans"], F.array(span))).otherwise(done["spans"])
-        return F.struct((done["at"] + n).alias("at"), spans.alias("spans"))
-
-    none = F.array().cast("array<struct<start:bigint,length:bigint>>")
-    c = conversations(turns).select("conv_id", F.flatten(F.transform(merged(F.col("turns")), pieces)).alias("p"))
-    return c.select(
-        "conv_id",
-        F.array_join(F.transform("p", lambda x: x["text"]), "").alias("formatted"),
-        F.aggregate("p", F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans")), place)["spans"].alias("loss_spans"),
-    )
+    c = merged(conversations(turns)).select("conv_id", F.flatten(F.transform("merged", pieces)).alias("p"))
+    c = starts_of(c.withColumn("lengths", F.transform("p", lambda x: F.length(x["text"]).cast("long"))), "lengths", "at")
+    spans = F.zip_with(F.zip_with("p", "lengths", lambda x, n: F.struct(x["loss"].alias("loss"), n.alias("length"))), "at", lambda x, s: F.struct(x["loss"].alias("loss"), s.alias("start"), x["length"].alias("length")))
+    lost = F.transform(F.filter(spans, lambda x: x["loss"]), lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length")))
+    return c.select("conv_id", F.array_join(F.transform("p", lambda x: x["text"]), "").alias("formatted"), lost.alias("loss_spans"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -107,9 +118,10 @@ def read_back(formatted: DataFrame) -> DataFrame:
         return F.transform(F.split(body, JOIN), lambda x: F.struct(role.alias("role"), unescape(x).alias("text")))
 
     def under(span: Column) -> Column:
-        return unescape(F.substr("formatted", (span["start"] + 1).cast("int"), span["length"].cast("int")))
+        # four bytes a character: a span is cut out at once, wherever it starts
+        return unescape(F.decode(F.substr("wide", (span["start"] * 4 + 1).cast("int"), (span["length"] * 4).cast("int")), "UTF-32"))
 
-    return formatted.select(
+    return formatted.withColumn("wide", F.encode("formatted", "UTF-32")).select(
         "conv_id", "formatted", F.flatten(F.transform(blocks, turns)).alias("turns"),
         F.array_join(F.transform("loss_spans", under), "").alias("loss_text"),
     )
