@@ -7,8 +7,9 @@ a rank directory counts its set bits up to every 512-bit block. Token ``i`` is r
 one byte and one rank per level; no other token is decoded.
 
 Columns: ``part`` and ``segment`` order the segments, ``first`` is the number of ids
-before the segment within its part, ``rows`` are (doc_id, n_tokens) in order,
-``levels``, ``bitmaps`` and ``ranks`` are the code.
+before the segment within its part, ``doc_ids``, ``doc_tokens`` and ``doc_starts`` list its
+documents in order, ``levels``, ``bitmaps`` and ``ranks`` are the code. A reader that asks
+for tokens reads the listings alone first, then the code of the segments it needs.
 
 Parquet is the container because Spark commits it atomically on every store and a lost
 executor leaves nothing half written.
@@ -34,7 +35,7 @@ from thalweg.llm.tokens import encoder
 BLOCK = 512
 
 SCHEMA = (
-    "part int, segment int, first long, doc_ids array<long>, doc_tokens array<long>, n long, "
+    "part int, segment int, first long, doc_ids array<long>, doc_tokens array<long>, doc_starts array<long>, n long, "
     "levels array<binary>, bitmaps array<binary>, ranks array<binary>"
 )
 
@@ -80,6 +81,26 @@ class Codes:
                 return value
             i, shift, level = self._rank(level, i), shift + 8, level + 1
 
+    def take(self, i: np.ndarray) -> np.ndarray:
+        """The ids at the positions ``i``, in any order: a byte and a rank per level each."""
+        out = np.zeros(len(i), np.uint32)
+        at, shift, level = np.arange(len(i)), 0, 0
+        while len(at):
+            out[at] |= self.levels[level][i].astype(np.uint32) << np.uint32(shift)
+            bitmap = self.bitmaps[level]
+            more = bitmap[i // 8] >> (i % 8) & 1 == 1
+            at, i = at[more], i[more]
+            if not len(i):
+                break
+            # whole bytes of the block before the position, and the low bits of its own byte
+            block = i // BLOCK
+            byte = block[:, None] * (BLOCK // 8) + np.arange(BLOCK // 8)
+            own = np.where(byte < (i // 8)[:, None], bitmap[np.minimum(byte, len(bitmap) - 1)], 0).astype(np.uint8)
+            low = bitmap[i // 8] & ((1 << (i % 8)) - 1).astype(np.uint8)
+            i = self.ranks[level][block].astype(np.int64) + np.bitwise_count(own).sum(axis=1) + np.bitwise_count(low)
+            shift, level = shift + 8, level + 1
+        return out
+
     def slice(self, start: int, stop: int) -> np.ndarray:
         """Ids ``start`` to ``stop`` (exclusive): a rank per level, then their bytes alone."""
         out = np.zeros(stop - start, np.uint32)
@@ -98,7 +119,8 @@ class Codes:
 def _row(part: int, segment: int, first: int, docs: list, sizes: list[int], ids: list[np.ndarray]) -> dict:
     run = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
     levels, bitmaps, ranks = Codes.build(run)
-    return {"part": part, "segment": segment, "first": first, "doc_ids": docs, "doc_tokens": sizes, "n": len(run),
+    return {"part": part, "segment": segment, "first": first, "doc_ids": docs, "doc_tokens": sizes,
+            "doc_starts": (np.cumsum(sizes) - sizes).tolist(), "n": len(run),
             "levels": levels, "bitmaps": bitmaps, "ranks": ranks}
 
 
@@ -117,7 +139,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, segment_tokens: int = 1
         bpe, part = encoder(tokenizer), TaskContext.get().partitionId()
         end = np.array([end_id], np.uint32)
         schema = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("first", pa.int64()),
-                            ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("n", pa.int64()),
+                            ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("doc_starts", pa.list_(pa.int64())), ("n", pa.int64()),
                             *((x, pa.list_(pa.binary())) for x in ("levels", "bitmaps", "ranks"))])
         segment = first = held = 0
         ids: list[np.ndarray] = []
@@ -175,31 +197,32 @@ def documents(segments: DataFrame) -> DataFrame:
 def tokens(segments: DataFrame, wanted: DataFrame) -> DataFrame:
     """Single tokens by address: ``wanted`` has (doc_id, at); returns (doc_id, at, token).
 
-    The document is looked up in the segments' own listing, then one token is read by
-    rank; positions outside the document give null.
+    The document is looked up in the segments' own listing. Positions asked for are
+    gathered by segment, each once and so no more than the segment has, and a segment is
+    loaded once for all of them; its tokens are read by rank. Positions outside the
+    document give null.
     """
-    listed = segments.select("part", "segment", F.posexplode("doc_ids").alias("k", "doc_id"), "doc_tokens")
-    listed = listed.select(
-        "part", "segment", "doc_id", F.element_at("doc_tokens", F.col("k") + 1).alias("n"),
-        F.aggregate(F.slice("doc_tokens", F.lit(1), F.col("k")), F.lit(0).cast("long"), lambda a, x: a + x).alias("from"),
-    )
-    asked = wanted.join(listed, "doc_id", "left")
+    listed = segments.select("part", "segment", F.explode(F.arrays_zip("doc_ids", "doc_tokens", "doc_starts")).alias("d"))
+    listed = listed.select("part", "segment", F.col("d.doc_ids").alias("doc_id"), F.col("d.doc_tokens").alias("n"), F.col("d.doc_starts").alias("from"))
+    asked = wanted.select("doc_id", F.col("at").cast("long").alias("at")).join(listed, "doc_id", "left")
     inside = (F.col("at") >= 0) & (F.col("at") < F.col("n"))
-    asked = asked.withColumn("i", F.when(inside, F.col("from") + F.col("at")))
-    joined = asked.join(segments.select("part", "segment", "levels", "bitmaps", "ranks"), ["part", "segment"], "left")
+    asked = asked.select("doc_id", "at", "part", "segment", F.when(inside, F.col("from") + F.col("at")).alias("i"))
+    places = asked.where("i is not null").select("part", "segment", "i").distinct().groupBy("part", "segment").agg(F.collect_list("i").alias("places"))
+    loaded = places.join(segments.select("part", "segment", "levels", "bitmaps", "ranks"), ["part", "segment"])
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [
-                None if row["i"] is None else Codes(row["levels"], row["bitmaps"], row["ranks"])[row["i"]]
-                for row in batch.to_pylist()
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("at"), pa.array(found, pa.int64())], names=["doc_id", "at", "token"]
-            )
-
-    columns = ["doc_id", F.col("at").cast("long").alias("at"), "i", "levels", "bitmaps", "ranks"]
-    return joined.select(*columns).mapInArrow(pick, "doc_id long, at long, token long")
+            for k in range(batch.num_rows):
+                part, segment, places, *code = (batch.column(c)[k] for c in range(6))
+                i = places.values.to_numpy()
+                found = Codes(*(x.as_py() for x in code)).take(i)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(i), part.as_py(), np.int32)), pa.array(np.full(len(i), segment.as_py(), np.int32)), pa.array(i), pa.array(found.astype(np.int64))],
+                    names=["part", "segment", "i", "token"],
+                )
+
+    read = loaded.select("part", "segment", "places", "levels", "bitmaps", "ranks").mapInArrow(pick, "part int, segment int, i long, token long")
+    return asked.join(read, ["part", "segment", "i"], "left").select("doc_id", "at", "token")
 
 
 def write_read(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int, path: str) -> DataFrame:
