@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from thalweg.llm.common import give_back, materialise
+from thalweg.llm.common import give_back, materialise, ranges_for
 from thalweg.llm.tokens import encoder
 
 #: Buckets of the hashed vectors, dimensions after projection, bits of each on the curve.
@@ -173,10 +173,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = 2048) -> Da
 
     Columns: doc_id, start (ids of the document before the piece), length, ids_crc32,
     doc_tokens, sequence_id, offset (place in the sequence), hilbert_key. The ids are
-    written once, so that the range sort samples them without encoding twice; ties of
+    written once, so that the range sort samples them without encoding twice and the number
+    of ranges follows from their bytes; ties of
     the key are broken by doc_id, so one large group of copies spreads over ranges.
     """
     coded = materialise(tokenise(docs, tokenizer, end_id), "packing-ids")
     order = ("hilbert_key", "doc_id", "start", "ids")
-    ordered = coded.repartitionByRange(*order[:3]).sortWithinPartitions(*order)
+    ordered = coded.repartitionByRange(ranges_for(coded, 8 << 20), *order[:3]).sortWithinPartitions(*order)
     return cut(ordered, length)
