@@ -1,17 +1,21 @@
 """Embedding near-duplicates by randomised-rotation binary codes.
 
-Vectors are scaled to length one and turned by seeded random rotations. The signs of the
-turned coordinates are a vector's code; f, the inner product of a vector with its code,
-is the stored correction factor, and <code(x), y> / f(x) is an unbiased estimate of
-<x, y>. A pair whose cosine is at least t has an estimate of at least
-t - sqrt(1 - t^2) e sqrt((1 - f^2) / f^2) / sqrt(D - 1), e being the confidence in
-standard deviations; only pairs above that bound are recomputed, in double precision.
-
-Pairs are sought in tables keyed by (label, slice of the code). The number of bits in a
+Vectors are scaled to length one and turned by seeded random rotations. The packed signs
+of the first rotation are a vector's code, stored with f, the inner product of the turned
+vector with its code: the correction factor. The turned vector itself is stored in 16
+levels a coordinate, with their step. <code(x), y> / f(x) is an unbiased estimate of
+<x, y>, taken from x's code and y's levels. A pair whose cosine is at least t has an
+estimate of at least t - sqrt(1 - t^2) e sqrt((1 - f^2) / f^2) / sqrt(D - 1), e being the
+confidence in standard deviations, less what the levels round off; only pairs above that
+bound are recomputed, in double precision.
+
+Pairs are sought in tables keyed by (label, slice of the signs). The number of bits in a
 slice follows the size of the largest label, and the number of tables follows from the
-bits and the wanted recall at the threshold. A pair is counted by the first table in
-which both codes agree, so nothing is counted twice and pairs are never written out.
-Equal vectors of a label stand for each other and count as links by their number.
+bits and the wanted recall at the threshold. Codes, factors and levels alone go through
+the tables; the rows of which some pair is above the bound then meet again with their
+whole vectors. A pair is counted by the first table in which both codes agree, so nothing
+is counted twice and pairs are never written out. Equal vectors of a label stand for
+each other and count as links by their number.
 
 Defined cases: rows with a null label, and vectors that are null, zero or hold null or
 non-finite components, link with nothing; a component of a row alone is its own id;
@@ -22,6 +26,7 @@ share the id; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -47,26 +52,47 @@ def tables_for(threshold: float, bits: int, recall: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - agree))
 
 
-def _codes(bits: int, tables: int, seed: int):
-    """Column function: table keys of a unit vector, from the signs of its turned coordinates."""
-    weights = (1 << np.arange(bits)).astype(np.int64)
+@functools.lru_cache(maxsize=8)
+def _turn(dim: int, count: int, seed: int) -> np.ndarray:
+    """The rotations of this worker, made once."""
+    return rotations(dim, count, seed)
 
-    @F.arrow_udf(T.ArrayType(T.LongType()))
-    def keys(unit: pa.Array) -> pa.Array:
-        turn: dict[int, np.ndarray] = {}
-        out = []
+
+def _coded(bits: int, tables: int, seed: int):
+    """Column function: signs, factor, step and levels of a unit vector."""
+    kind = T.StructType([T.StructField("signs", T.BinaryType()), T.StructField("f", T.FloatType()), T.StructField("step", T.FloatType()), T.StructField("levels", T.BinaryType())])
+
+    @F.arrow_udf(kind)
+    def coded(unit: pa.Array) -> pa.Array:
+        signs, factors, steps, levels = [], [], [], []
         for value in unit:
-            if not value.is_valid:
-                out.append(None)
-                continue
             x = np.frombuffer(value.as_buffer(), "<f8")
-            if len(x) not in turn:
-                turn[len(x)] = rotations(len(x), -(-bits * tables // len(x)), seed)
-            signs = (turn[len(x)] @ x)[: bits * tables] > 0
-            out.append(signs.reshape(tables, bits) @ weights)
+            turned = _turn(len(x), max(1, -(-bits * tables // len(x))), seed) @ x
+            signs.append(np.packbits(turned[: max(len(x), bits * tables)] > 0, bitorder="little").tobytes())
+            own = turned[: len(x)]
+            step = max(np.abs(own).max() / 7.5, 1e-30)
+            grade = np.clip(np.floor(own / step) + 8, 0, 15).astype(np.uint8)  # the middle of a level is grade - 7.5 steps
+            grade = np.append(grade, np.zeros(len(grade) % 2, np.uint8))
+            factors.append(np.abs(own).sum() / math.sqrt(len(x)))
+            steps.append(step)
+            levels.append((grade[::2] | grade[1::2] << 4).tobytes())
+        return pa.StructArray.from_arrays(
+            [pa.array(signs, pa.binary()), pa.array(factors, pa.float32()), pa.array(steps, pa.float32()), pa.array(levels, pa.binary())], fields=[pa.field(f.name, t) for f, t in zip(kind.fields, (pa.binary(), pa.float32(), pa.float32(), pa.binary()), strict=True)]
+        )
+
+    return coded
+
+
+def _slices(bits: int, tables: int):
+    """Column function: the ``bits`` signs of each table as a number."""
+    weights = (1 << np.arange(bits)).astype(np.int64)
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def slices(signs: pa.Array) -> pa.Array:
+        out = [np.unpackbits(np.frombuffer(v.as_buffer(), np.uint8), bitorder="little")[: bits * tables].reshape(tables, bits) @ weights for v in signs]
         return pa.array(out, pa.list_(pa.int64()))
 
-    return keys
+    return slices
 
 
 @F.arrow_udf(T.BinaryType())
@@ -84,41 +110,68 @@ def unit_vector(embedding: pa.Array) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
-def _work(threshold: float, confidence: float, bits: int, seed: int):
-    def work(unit: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        uids = unit.column("uid").to_numpy()
-        weight = unit.column("weight").to_numpy()
-        block = unit.column("block").to_numpy()
+class _Unit:
+    """The rows of one pair of blocks, and which of their pairs no earlier table has met."""
+
+    def __init__(self, unit: pa.Table, bits: int):
+        self.uids, block = unit.column("uid").to_numpy(), unit.column("block").to_numpy()
         one, other = unit.column("block_a")[0].as_py(), unit.column("block_b")[0].as_py()
-        t = unit.column("t")[0].as_py()
-        dim = unit.column("dim")[0].as_py()
-        x = np.frombuffer(b"".join(v.as_buffer().to_pybytes() for v in unit.column("unit")), "<f8").reshape(-1, dim)
-        keys = np.array(unit.column("keys").to_pylist(), np.int64)
-        turn = rotations(dim, 1, seed + 1)
-        turned = (x @ turn.T).astype(np.float32)
-        signs = np.where(turned > 0, np.float32(1), np.float32(-1)) / np.float32(math.sqrt(dim))
-        f = np.einsum("ij,ij->i", signs, turned)
-        slack = confidence * math.sqrt(1 - threshold**2) / math.sqrt(max(1, dim - 1)) * np.sqrt(np.maximum(0, 1 - f * f)) / f + 1e-5
-        left = np.flatnonzero(block == one)
-        right = np.flatnonzero(block == other)
-        found_a, found_b = [], []
-        for low in range(0, len(left), 256):
-            rows = left[low : low + 256]
-            estimate = (signs[rows] @ turned[right].T) / f[rows, None]
-            a, b = np.nonzero(estimate >= threshold - slack[rows, None])
-            a, b = rows[a], right[b]
-            if one == other:
+        self.same, self.t, self.dim = one == other, unit.column("t")[0].as_py(), unit.column("dim")[0].as_py()
+        self.left, self.right = np.flatnonzero(block == one), np.flatnonzero(block == other)
+        packed = np.frombuffer(b"".join(unit.column("signs").to_pylist()), np.uint8).reshape(len(unit), -1)
+        self.signs = np.unpackbits(packed, axis=1, bitorder="little")
+        self.tables = self.signs[:, : bits * self.t].reshape(len(unit), self.t, bits)
+
+    def pairs(self, near) -> tuple[np.ndarray, np.ndarray]:
+        """Fresh pairs among those that ``near`` (rows, columns -> truth) finds, block by block."""
+        a_all, b_all = [self.left[:0]], [self.left[:0]]
+        for low in range(0, len(self.left), 256):
+            rows = self.left[low : low + 256]
+            a, b = np.nonzero(near(rows, self.right))
+            a, b = rows[a], self.right[b]
+            if self.same:
                 a, b = a[a < b], b[a < b]
-            fresh = ~(keys[a, :t] == keys[b, :t]).any(axis=1)  # an earlier table has not met them
-            a, b = a[fresh], b[fresh]
-            exact = np.einsum("ij,ij->i", x[a], x[b]) >= threshold
-            found_a.append(a[exact])
-            found_b.append(b[exact])
-        a, b = np.concatenate(found_a or [left[:0]]), np.concatenate(found_b or [left[:0]])
-        links = np.bincount(a, weight[b], len(uids)) + np.bincount(b, weight[a], len(uids))
-        root = forest(uids, a, b)
+            for k in range(0, len(a), 1 << 14):
+                x, y = a[k : k + (1 << 14)], b[k : k + (1 << 14)]
+                fresh = ~(self.tables[x] == self.tables[y]).all(axis=2).any(axis=1)
+                a_all.append(x[fresh])
+                b_all.append(y[fresh])
+        return np.concatenate(a_all), np.concatenate(b_all)
+
+
+def _estimate(threshold: float, confidence: float, bits: int):
+    """Rows of a unit that have a pair above the bound."""
+
+    def work(unit: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        u = _Unit(unit, bits)
+        f, step = unit.column("f").to_numpy().astype(np.float32), unit.column("step").to_numpy().astype(np.float32)
+        packed = np.frombuffer(b"".join(unit.column("levels").to_pylist()), np.uint8).reshape(len(unit), -1)
+        grade = np.stack([packed & 15, packed >> 4], axis=2).reshape(len(unit), -1)[:, : u.dim]
+        turned = (grade.astype(np.float32) - np.float32(7.5)) * step[:, None]
+        code = (u.signs[:, : u.dim].astype(np.float32) * 2 - 1) / np.float32(math.sqrt(u.dim))
+        slack = confidence * math.sqrt(1 - threshold**2) / math.sqrt(max(1, u.dim - 1)) * np.sqrt(np.maximum(0, 1 - f * f)) / f + 1e-5
+        # rounding errs evenly within a step a coordinate, and the squares of a code's entries sum to one
+        rounded = step * np.float32(confidence / math.sqrt(12))
+        near = lambda a, b: (code[a] @ turned[b].T + rounded[None, b]) / f[a, None] >= threshold - slack[a, None]
+        some = np.unique(np.concatenate(u.pairs(near)))
+        return u.uids[some], np.full(len(some), u.t), u.uids[some]
+
+    return work
+
+
+def _exact(threshold: float, bits: int):
+    """Links of a unit, by the product of whole vectors."""
+
+    def work(unit: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        u = _Unit(unit, bits)
+        weight = unit.column("weight").to_numpy()
+        x = np.frombuffer(b"".join(unit.column("unit").to_pylist()), "<f8").reshape(-1, u.dim)
+        a, b = u.pairs(lambda rows, columns: x[rows] @ x[columns].T >= threshold - 1e-9)
+        kept = np.concatenate([np.einsum("ij,ij->i", x[a[k : k + 4096]], x[b[k : k + 4096]]) >= threshold for k in range(0, len(a), 4096)] or [a[:0] > 0])
+        a, b = a[kept], b[kept]
+        links = np.bincount(a, weight[b], len(u.uids)) + np.bincount(b, weight[a], len(u.uids))
         some = links > 0
-        return uids[some], links[some].astype(np.int64), root[some]
+        return u.uids[some], links[some].astype(np.int64), forest(u.uids, a, b)[some]
 
     return work
 
@@ -138,12 +191,18 @@ def links(vectors: DataFrame, threshold: float = 0.98, recall: float = 0.9999, c
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 1
     bits = int(min(20, max(4, math.ceil(math.log2(largest / 16 + 1)))))
     tables = tables_for(threshold, bits, recall)
-    coded = classes.withColumn("keys", _codes(bits, tables, seed)("unit")).withColumn("dim", (F.length("unit") / 8).cast("int"))
-    dealt = coded.select("label", "uid", "weight", "unit", "dim", "keys", F.posexplode("keys").alias("t", "slice"))
+    coded = classes.select("label", "uid", (F.length("unit") / 8).cast("int").alias("dim"), _coded(bits, tables, seed)("unit").alias("c"))
+    coded = materialise(coded.select("label", "uid", "dim", "c.*"), "vector-codes")
     group = ["label", "dim", "t", "slice"]
+    dealt = coded.select("*", F.posexplode(_slices(bits, tables)("signs")).alias("t", "slice"))
     spread = block_pairs(dealt, group, "uid", per_block)
-    columns = ["uid", "weight", "unit", "keys"]
-    found = materialise(each_unit(spread, group, columns, _work(threshold, confidence, bits, seed)), "vector-links")
+    near = each_unit(spread, group, ["uid", "signs", "f", "step", "levels"], _estimate(threshold, confidence, bits))
+    # (uid, table) with a pair above the bound: these meet again, in the same slices
+    near = materialise(near.select("uid", F.col("links").cast("int").alias("t")).distinct(), "vector-near")
+    whole = coded.select("label", "uid", "dim", "signs").join(classes.select("uid", "unit", "weight"), "uid")
+    again = near.join(whole, "uid").withColumn("slice", F.element_at(_slices(bits, tables)("signs"), F.col("t") + 1))
+    spread = block_pairs(again, group, "uid", per_block)
+    found = materialise(each_unit(spread, group, ["uid", "weight", "unit", "signs"], _exact(threshold, bits)), "vector-links")
     return summarise(rows, classes, same, found, "vec_id", F.col("unit").isNotNull())
 
 
