@@ -1,18 +1,22 @@
 """Personal data by rules and weak supervision, with DataFrame functions only.
 
 Base kinds are found by fixed patterns and checks, leftmost and non-overlapping. The
-method adds spans of the kind ``secret``: opaque tokens of letters and digits on which
-regex, gazetteer and context labelers vote. Expectation-maximisation over the counts of
+method adds spans of further kinds: postal addresses, dates of birth, national and bank
+ids, names of persons, and secrets. Each has a loose pattern of candidates, on which
+regex, gazetteer and context labelers vote; of a secret the value alone is the candidate,
+and the key before it votes. For each kind, expectation-maximisation over the counts of
 vote patterns (a bounded table, whatever the corpus) estimates how reliable each labeler
 is; the posterior of each pattern then trains a logistic span classifier on votes and
-shape. Candidates it gives at least one half, and that overlap no base span, are added.
+shape. Candidates it gives at least one half are added, unless they overlap a base span
+or one of a kind listed before.
 
 Positions are code points, ends exclusive. They come from the pieces between matches,
 so one pass over a text gives all its spans.
 
-Defined cases: a null text is empty; repeated rows and null ids get their own results;
-a corpus without candidates adds nothing; an empty table stays empty; other columns are
-ignored.
+Defined cases: a null text is empty; texts of any length are read whole; repeated rows
+and null ids get their own results; a corpus without candidates adds nothing; a score of
+exactly one half adds; an empty table stays empty; other columns, whatever their names,
+are ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +38,35 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-# Opaque tokens: long runs with a letter and a digit.
-TOKEN = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])(?=[0-9_+/=-]*+[A-Za-z])[A-Za-z0-9_+/=-]{16,}+"
+#: Kinds that the method adds, in the order in which they take precedence.
+ADDED = ("address", "birth", "id", "name", "secret")
+_MONTH = "(?:January|February|March|April|May|June|July|August|September|October|November|December)"
+_GIVEN = "(?:James|Mary|John|Patricia|Robert|Jennifer|Michael|Linda|William|Elizabeth|David|Susan|Richard|Jessica|Thomas|Sarah|Hans|Ursula|Peter|Anna|Karl|Marie|Pierre|Jean|Claire|Luc|Carlos|Carmen|Jose|Lucia|Ahmed|Fatima|Wei|Priya)"
+_TITLE = "(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Madame|Sra?)"
+_CAPITAL = "[A-Z\u00c0-\u00de][a-z\u00df-\u00ff]+"
+# Loose patterns of the candidates, and what a text must hold to have one.
+CANDIDATES = {
+    "address": (
+        r"(?<![0-9A-Za-z])(?:[0-9]{1,5} (?:[A-Z][a-z]+ ){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Boulevard|Blvd|Court|Square|Place|Way)(?![A-Za-z])"
+        r"|[A-Z][a-z\u00df-\u00ff]{2,20}(?:stra\u00dfe|strasse|weg|platz|gasse) [0-9]{1,4}(?![0-9])"
+        r"|[0-9]{1,4},? (?:rue|avenue|boulevard) (?:de |du |des |la |le ){0,2}[A-Z\u00c0-\u00de][a-z\u00df-\u00ff]+)",
+        "[0-9] [A-Za-z]|(?:stra\u00dfe|strasse|weg|platz|gasse) [0-9]|[0-9], [rab]",
+    ),
+    "birth": (
+        rf"(?<![0-9])(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}[./][0-9]{{1,2}}[./](?:19|20)[0-9]{{2}}|[0-9]{{1,2}} {_MONTH} (?:19|20)[0-9]{{2}}|{_MONTH} [0-9]{{1,2}}, (?:19|20)[0-9]{{2}})(?![0-9])",
+        "[0-9]{4}-[0-9]{2}-[0-9]|[./](?:19|20)[0-9]{2}|[a-z0-9],? (?:19|20)[0-9]{2}",
+    ),
+    "id": (
+        r"(?<![0-9A-Za-z-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?|[A-CEGHJ-PR-TW-Z]{2}(?: ?[0-9]{2}){3} ?[A-D])(?![0-9A-Za-z-])",
+        "[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2} ?[0-9]{2}",
+    ),
+    "name": (rf"(?<![A-Za-z])(?:{_TITLE}\.? {_CAPITAL}(?: {_CAPITAL}){{0,2}}|{_GIVEN} {_CAPITAL})", f"{_TITLE}\\.? [A-Z\u00c0-\u00de]|{_GIVEN} [A-Z\u00c0-\u00de]"),
+    # opaque runs with a letter and a digit; an assignment sign is not part of them
+    "secret": (
+        r"(?<![A-Za-z0-9_+/-])(?:eyJ[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]++){1,2}|(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{12,}+={0,2})",
+        "[A-Za-z0-9_+/-]{12}",
+    ),
+}
 
 SPAN = "array<struct<start:int,end:int>>"
 CANDIDATE = "array<struct<start:int,end:int,votes:string,shape:string>>"
@@ -94,23 +125,42 @@ def _spans(text: Column, pattern: str, valid: Callable[[Column], Column] | None)
     return walk(text, pattern, keep, SPAN)
 
 
-# Words that announce a secret (fixed values).
-GAZETTEER = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "key", "auth", "bearer", "credential", "credentials")
-
-
-def votes(match: Column, before: Column) -> Column:
-    """One character per labeler: 1 for secret, 0 against, - for no opinion."""
-    tail = F.lower(F.right(before, F.lit(32)))
-    word = F.regexp_extract(tail, r"([a-z_]+)[^a-z_]*$", 1)
+# What announces each kind (fixed values), looked for in the 40 characters before a candidate, in lower case.
+GAZETTEER = {
+    "address": r"\b(?:address|lives? (?:at|on|in)|residence|resident|ship to|located at|wohnt|wohnhaft|adresse|domicile|domicilio)\b",
+    "birth": r"\b(?:born|dob|birth|birthday|birthdate|geboren|geburtsdatum|naissance|nacido|nacida|nacimiento)\b",
+    "id": r"\b(?:ssn|social security|iban|national insurance|nino|passport|tax id|steuernummer|account)\b",
+    "name": r"\b(?:name is|named|signed|sincerely|regards|contact|dear|called|hei\u00dft|appelle|llamo)\b",
+    "secret": r"(?:^|[^a-z])(?:[a-z_-]*[_-])?(?:password|passwd|passwort|pwd|passphrase|secret|token|api[_-]?key|apikey|key|auth|authorization|bearer|credentials?|session|sid)[^a-z0-9]*$",
+}
+CONTEXT = {
+    "address": r"(?: at| in| on|:|,)\s*$", "birth": r"(?:born|dob|birth|birthday|birthdate|geboren|geburtsdatum|naissance|nacid[oa]|nacimiento)(?: on| is| was| am| le| el)?[\s:=]*$",
+    "id": r"(?:number|no\.?|nr\.?|ssn|iban|is|id)?[\s]*[:#=]?\s*$", "name": r"(?: is|:|,|by|from|dear)\s*$", "secret": r"(?:[=:]\s*[\"'`]?|bearer\s+|[\"'`])$",
+}
+#: Strict forms of each kind.
+STRICT = {
+    "address": r"(?:Street|Avenue|Road|Lane|Drive|Boulevard|Court|Square|stra\u00dfe|strasse|rue|avenue|boulevard)",
+    "birth": r"^(?:(?:19[0-9]{2}|20[01][0-9])-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])|.*(?:19[0-9]{2}|20[01][0-9]))$",
+    "id": r"^(?:(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}|(?:AT|BE|CH|DE|DK|ES|FI|FR|GB|IE|IT|LU|NL|NO|PL|PT|SE)[0-9]{2}[A-Z0-9 ]{11,}|[A-Z]{2}(?: ?[0-9]{2}){3} ?[A-D])$",
+    "name": rf"{_CAPITAL} {_CAPITAL}$",
+    "secret": r"^(?:A[KS]IA[A-Z0-9]{16}|gh[opsur]_[A-Za-z0-9]{30,}|glpat-[A-Za-z0-9_-]{18,}|xox[abp]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{30,}|[0-9a-f]{32,}|[0-9A-F]{32,}|sk-[A-Za-z0-9]{20,}|eyJ[A-Za-z0-9_.-]{16,})$",
+}
+
+
+def votes(kind: str, match: Column, before: Column) -> Column:
+    """One character per labeler: 1 for the kind, 0 against, - for no opinion."""
+    tail = F.lower(F.right(before, F.lit(40)))
     vote = lambda yes, other: F.when(yes, "1").otherwise(other)
-    n_digits = F.length(_digits(match)) / F.length(match)
-    return F.concat(
-        vote(match.rlike(r"^(?:A[KS]IA[A-Z0-9]{16}|gh[opsur]_[A-Za-z0-9]{30,}|[0-9a-f]{32,}|[0-9A-F]{32,}|sk-[A-Za-z0-9]{20,}|eyJ[A-Za-z0-9_-]{20,})$"), "-"),
-        vote(word.isin(*GAZETTEER), "0"),
-        vote(tail.rlike(r"[=:]\s*[\"']?$"), F.when(match.rlike(r"[=]"), "-").otherwise("0")),
-        vote(n_digits.between(0.15, 0.85), "0"),
-        F.when(match.rlike(r"[a-z]{9,}|[-/_]{2,}"), "0").otherwise("-"),
-    )
+    said = [vote(match.rlike(STRICT[kind]), "0" if kind in ("birth", "id") else "-")]
+    # what is sure by its form may stand without an announcement
+    silent = {"address": "-", "birth": "0", "id": "-", "name": "-", "secret": "0"}[kind]
+    said += [vote(tail.rlike(GAZETTEER[kind]), silent), vote(tail.rlike(CONTEXT[kind]), silent)]
+    if kind == "secret":
+        share = F.length(_digits(match)) / F.length(match)
+        said += [vote(share.between(0.05, 0.9) & (F.length(match) >= 16), "0"), F.when(match.rlike(r"[a-z]{9,}|[-/_]{2,}|[a-z]-[a-z]+-[a-z]"), "0").otherwise("-")]
+    if kind == "name":
+        said += [vote(match.rlike(rf"^{_TITLE}\b"), "-"), vote(match.rlike(rf"\b{_GIVEN}\b"), "-")]
+    return F.concat(*said)
 
 
 def shape(match: Column) -> Column:
@@ -121,7 +171,7 @@ def shape(match: Column) -> Column:
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """doc_id, the base spans by kind, and the candidates with votes and shape."""
+    """doc_id, the base spans by kind, and the candidates of each added kind with votes and shape."""
     text = F.col("body")
     none = F.array().cast(SPAN)
     checks = {
@@ -130,15 +180,15 @@ def found(docs: DataFrame) -> DataFrame:
     }
     spans = [F.when(guard, _spans(text, p, valid)).otherwise(none).alias(k) for k, (p, guard, valid) in checks.items()]
 
-    def candidate(match: Column, start: Column, before: Column, _after: Column) -> Column:
-        return F.struct(
-            start.alias("start"), (start + F.length(match)).alias("end"), votes(match, before).alias("votes"), shape(match).alias("shape")
-        )
+    def candidates(kind: str) -> Column:
+        def candidate(match: Column, start: Column, before: Column, _after: Column) -> Column:
+            return F.struct(start.alias("start"), (start + F.length(match)).alias("end"), votes(kind, match, before).alias("votes"), shape(match).alias("shape"))
+
+        pattern, guard = CANDIDATES[kind]
+        return F.when(text.rlike(guard), walk(text, pattern, candidate, CANDIDATE)).otherwise(F.array().cast(CANDIDATE)).alias(f"maybe_{kind}")
 
-    guard = text.rlike(r"[A-Za-z0-9_+/=-]{16}") & text.rlike("[0-9]")
-    tokens = F.when(guard, walk(text, TOKEN, candidate, CANDIDATE)).otherwise(F.array().cast(CANDIDATE))
     picked = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body"))
-    return picked.select("doc_id", *spans, tokens.alias("candidates"))
+    return picked.select("doc_id", *spans, *map(candidates, ADDED))
 
 
 def estimate(patterns: dict[str, float], rounds: int = 50) -> tuple[dict[str, float], float]:
@@ -197,17 +247,29 @@ def score(candidate: Column, weights: dict[str, float]) -> Column:
 
 
 def annotate(docs: DataFrame) -> DataFrame:
-    """doc_id, an array of (start, end) per base kind, and ``secret`` with the added spans."""
+    """doc_id, and an array of (start, end) for each base kind and each of ``ADDED``."""
     rows = materialise(found(docs), "pii-spans")
-    seen = rows.select(F.explode("candidates").alias("c")).groupBy("c.votes", "c.shape").count()
-    counts = {(r["votes"], r["shape"]): r["count"] for r in seen.collect()}  # at most 3^5 vote patterns by 9 shapes
-    base = F.concat(*KINDS)
-    if not counts:
-        return rows.select("doc_id", *KINDS, F.array().cast(SPAN).alias("secret"))
-    weights = train(counts)
-    free = lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    good = F.filter("candidates", lambda c: (score(c, weights) >= 0) & free(c))
-    return rows.select("doc_id", *KINDS, F.transform(good, lambda c: F.struct(c["start"], c["end"])).alias("secret"))
+
+    def patterns(kind: str) -> Column:
+        return F.transform(f"maybe_{kind}", lambda c: F.struct(F.lit(kind).alias("kind"), c["votes"].alias("votes"), c["shape"].alias("shape")))
+
+    def accepted(kind: str, weights: dict[str, float], taken: Column) -> Column:
+        free = lambda c: ~F.exists(taken, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+        return F.filter(f"maybe_{kind}", lambda c: (score(c, weights) >= 0) & free(c))
+
+    one = F.explode(F.concat(*map(patterns, ADDED)))
+    seen = rows.select(one.alias("c")).groupBy("c.kind", "c.votes", "c.shape").count()
+    counts: dict[str, dict[tuple[str, str], int]] = {}
+    for r in seen.collect():  # at most 3^5 vote patterns by 9 shapes of each kind
+        counts.setdefault(r["kind"], {})[r["votes"], r["shape"]] = r["count"]
+    out, taken = rows, F.concat(*KINDS)
+    for kind in ADDED:
+        good = F.array().cast(SPAN)
+        if kind in counts:
+            good = accepted(kind, train(counts[kind]), taken)
+        out = out.withColumn(kind, F.transform(good, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"))))
+        taken = F.concat(taken, F.col(kind))
+    return out.select("doc_id", *KINDS, *ADDED)
 
 
 def listed(kinds: tuple[str, ...]) -> Column:

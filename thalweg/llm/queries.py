@@ -19,7 +19,7 @@ def vocabulary() -> str:
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = pii.annotate(table(spark, sf_dir, "documents"))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS]
-    spans = pii.listed((*pii.KINDS, "secret"))
+    spans = pii.listed((*pii.KINDS, *pii.ADDED))
     return marked.select("doc_id", *counts, F.sha2(pii.listed(pii.KINDS), 256).alias("base_sha256"), spans.alias("spans"))
 
 
