@@ -60,7 +60,7 @@ def each_unit(
                 done.append(work(unit))
 
         def flush() -> pa.RecordBatch:
-            arrays = [np.concatenate([x[i] for x in done]) for i in range(3)]
+            arrays = [np.concatenate([np.asarray(x[i], np.int64) for x in done]) for i in range(3)]
             done.clear()
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in arrays], names=["uid", "links", "root"])
 

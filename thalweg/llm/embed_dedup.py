@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -206,8 +207,8 @@ def links(vectors: DataFrame, threshold: float = 0.98, recall: float = 0.9999, c
     return summarise(rows, classes, same, found, "vec_id", F.col("unit").isNotNull())
 
 
-def summarise(rows: DataFrame, classes: DataFrame, same: list[str], found: DataFrame, name: str, linkable) -> DataFrame:
-    """n_links, component_id and kept of every row, from the class links ``found``.
+def summarise(rows: DataFrame, classes: DataFrame, same: list[str], found: DataFrame, name: str, linkable, more: Sequence[str] = ()) -> DataFrame:
+    """n_links, component_id and kept of every row, from the class links ``found``, and the columns ``more``.
 
     A component is named by the least id of its rows; a row counts its class's other rows
     as links.
@@ -218,7 +219,7 @@ def summarise(rows: DataFrame, classes: DataFrame, same: list[str], found: DataF
     c = c.withColumn("root", F.coalesce("root", "uid"))
     c = materialise(c.select(*same, "root", "least", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "class-roots")
     least = c.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = c.join(least, "root").select(*same, "n_links", "component_id")
+    known = c.join(least, "root").select(*same, "root", "n_links", "component_id")
     out = rows.join(known, same, "left")
     component = F.when(linkable, F.col("component_id")).otherwise(F.col(name))
     return out.select(
@@ -226,4 +227,5 @@ def summarise(rows: DataFrame, classes: DataFrame, same: list[str], found: DataF
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         component.alias("component_id"),
         F.coalesce(F.col(name) == component, F.lit(True)).alias("kept"),
+        *more,
     )

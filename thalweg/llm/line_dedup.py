@@ -3,15 +3,19 @@ r"""Fuzzy line deduplication by MinHash.
 Lines are the ``\n``-split parts of a text; lines without a visible character are left
 alone. A line's shingles are its runs of five characters, one starting at every character
 (the whole line, where it has fewer). Equal lines form one class, named by a 64-bit hash.
-A class has ``bands`` keys, each of ``depth`` minimum hashes over its shingles: two lines
-of Jaccard similarity s share a key with probability 1 - (1 - s^depth)^bands, which is
-0.998 at s = 0.8.
-
-All lines that share a key are compared by the exact Jaccard similarity of their shingle
-sets, as strings. First, every line meets the least of its key, which joins most near
-copies. Where a key's lines are then still in several groups, all of them are compared
-across the groups, in pairs of blocks. Links go to the distributed union-find, and each
-component keeps its first line, in order of doc_id, line number and text hash.
+A class's signature is ``bands`` * ``depth`` minimum hashes over its shingles, 16 bits of
+each; ``depth`` of them make a band key. Two lines of Jaccard similarity s share a key with
+probability 1 - (1 - s^depth)^bands, which is 0.998 at s = 0.8.
+
+Lines of ordinary prose share keys too. So all lines that share a key first compare whole
+signatures: a line goes on if some other agrees with it in nearly as many hashes as the
+threshold asks for, 4.5 standard deviations less (one in 100,000 pairs at the threshold is
+below that). Lines that go on are compared by the Jaccard similarity of their whole
+shingle sets (a shingle by 44 bits of a hash). First, every line meets the least of its key, which joins most
+near copies. Where a key's lines are then still in several groups, all of them are
+compared across the groups. Both comparisons split crowded keys into pairs of blocks.
+Links go to the distributed union-find, and each component keeps its first line, in order
+of doc_id, line number and text hash.
 
 Signing and comparing run in Arrow batches with numpy; a batch is worked on in slices of
 bounded length, except that one line is one piece of work. Spark splits, sorts and joins.
@@ -25,7 +29,7 @@ whatever their names, are carried through untouched.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from thalweg.llm.blocks import block_pairs, each_unit, forest, shared_counts
-from thalweg.llm.common import free_name, give_back, materialise, ranges_for
+from thalweg.llm.common import drop_table, free_name, give_back, materialise, ranges_for
 from thalweg.llm.components import components
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -51,42 +55,51 @@ def _scramble(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
 
 
-def runs(line: str, width: int = 5) -> set[str]:
-    """The shingles of a line."""
-    return {line[i : i + width] for i in range(max(1, len(line) - width + 1))}
+def hashed(codes: np.ndarray, start: np.ndarray, end: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the shingles of the lines codes[start:end] of code points, one line after the other; their first places and numbers."""
+    n = np.maximum(1, end - start - width + 1)
+    first = np.cumsum(n) - n
+    at = np.arange(int(n.sum())) + np.repeat(start - first, n)
+    padded = np.concatenate([codes, np.zeros(width, np.uint32)])
+    h = np.zeros(len(at), np.uint64)
+    for k in range(width):
+        h = h * _MIX + padded[at + k]
+    for i in np.flatnonzero(end - start < width):
+        own = np.zeros(1, np.uint64)
+        for c in [*codes[start[i] : end[i]], *[_NONE] * (width - (end[i] - start[i]))]:
+            own = own * _MIX + np.uint64(c)
+        h[first[i]] = own[0]
+    return _scramble(h), first, n
+
+
+def points(lines: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of the lines, one after the other, and where each starts and ends."""
+    end = np.cumsum([len(x) for x in lines])
+    return np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4"), np.append(0, end[:-1]), end
+
+
+def sets(lines: Sequence[str], width: int) -> np.ndarray:
+    """The distinct shingles of fewer than a million lines: the line's number in the high 20 bits, 44 bits of a hash."""
+    h, _, n = hashed(*points(lines), width)
+    return np.unique(np.repeat(np.arange(len(lines), dtype=np.uint64) << np.uint64(44), n) | (h >> np.uint64(20)))
 
 
 class Signer:
-    """Band keys of lines."""
+    """Signatures of lines."""
 
-    def __init__(self, bands: int, depth: int, width: int, seed: int):
+    def __init__(self, hashes: int, width: int, seed: int):
         rng = np.random.default_rng(seed)
-        self.odd = rng.integers(0, 1 << 31, bands * depth, np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
-        self.bands, self.depth, self.width = bands, depth, width
-
-    def keys(self, codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """(lines, bands) keys of the lines codes[start:end] of code points, none of them empty."""
-        n = np.maximum(1, end - start - self.width + 1)
-        first = np.cumsum(n) - n
-        at = np.arange(int(n.sum())) + np.repeat(start - first, n)
-        padded = np.concatenate([codes, np.zeros(self.width, np.uint32)])
-        h = np.zeros(len(at), np.uint64)
-        for k in range(self.width):
-            h = h * _MIX + padded[at + k]
-        for i in np.flatnonzero(end - start < self.width):
-            value = [*codes[start[i] : end[i]], *[_NONE] * (self.width - (end[i] - start[i]))]
-            own = np.zeros(1, np.uint64)
-            for c in value:
-                own = own * _MIX + np.uint64(c)
-            h[first[i]] = own[0]
-        small = (_scramble(h) >> np.uint64(32)).astype(np.uint32)
-        out = np.empty((len(start), self.bands), np.uint64)
-        for b in range(self.bands):
-            key = np.full(len(start), b, np.uint64)
-            for odd in self.odd[b * self.depth : (b + 1) * self.depth]:
-                key = _scramble(key * _MIX + np.minimum.reduceat(small * odd, first))
-            out[:, b] = key
-        return out.view(np.int64)
+        self.odd = rng.integers(0, 1 << 31, hashes, np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+        self.width = width
+
+    def __call__(self, codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """(lines, 2 * hashes) bytes for the lines codes[start:end] of code points, none of them empty."""
+        h, first, _ = hashed(codes, start, end, self.width)
+        small = (h >> np.uint64(32)).astype(np.uint32)
+        least = np.stack([np.minimum.reduceat(small * odd, first) for odd in self.odd], axis=1)
+        mixed = _scramble(least.astype(np.uint64) * _MIX)
+        # all low bytes, then all high ones: either half compares signatures
+        return np.concatenate([mixed & np.uint64(255), (mixed >> np.uint64(8)) & np.uint64(255)], axis=1).astype(np.uint8)
 
 
 def _slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
@@ -101,12 +114,12 @@ def _slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield low, len(sizes)
 
 
-def signed(docs: DataFrame, bands: int = 12, depth: int = 4, width: int = 5, seed: int = 5) -> DataFrame:
-    """doc_id, doc_hash, line (number), uid, keys of every line with a visible character."""
-    schema = "doc_id long, doc_hash long, line int, uid long, keys array<long>"
+def signed(docs: DataFrame, hashes: int, width: int = 5, seed: int = 5) -> DataFrame:
+    """doc_id, doc_hash, line (number), uid, signature of every line with a visible character."""
+    schema = "doc_id long, doc_hash long, line int, uid long, signature binary"
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = Signer(bands, depth, width, seed)
+        signer = Signer(hashes, width, seed)
         for batch in batches:
             texts = [v.as_buffer().to_pybytes().decode("utf-8", "replace") if v.is_valid else "" for v in batch.column(2).cast(pa.large_binary())]
             for low, high in _slices([len(t) for t in texts], 1 << 18):
@@ -114,15 +127,14 @@ def signed(docs: DataFrame, bands: int = 12, depth: int = 4, width: int = 5, see
                 if not found:
                     continue
                 doc, line, own = zip(*found, strict=True)
-                end = np.cumsum([len(x) for x in own])
-                codes = np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), "<u4")
-                keys = signer.keys(codes, np.concatenate([[0], end[:-1]]), end)
+                signature = signer(*points(own))
+                bounds = np.arange(0, signature.size + 1, 2 * hashes, dtype=np.int32)
                 uids = np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in own], np.uint64).view(np.int64)
                 of = pa.array(doc, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(of), batch.column(1).take(of), pa.array(line, pa.int32()), pa.array(uids),
-                     pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel()))],
-                    names=["doc_id", "doc_hash", "line", "uid", "keys"])
+                     pa.BinaryArray.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(bounds), pa.py_buffer(signature.tobytes())])],
+                    names=["doc_id", "doc_hash", "line", "uid", "signature"])
         give_back()
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("doc_hash"), F.col("text").cast("string").alias("text"))
@@ -159,6 +171,50 @@ def met(banded: DataFrame, ranges: int) -> DataFrame:
     return ordered.mapInArrow(each, "key long, uid long")
 
 
+def alike(near: DataFrame, signatures: DataFrame, threshold: float, hashes: int, per_block: int = 2048) -> DataFrame:
+    """The rows (key, uid) whose signature nearly agrees with another one's of the key."""
+    least = int(hashes * threshold - 4.5 * (hashes * threshold * (1 - threshold)) ** 0.5)
+    spread = block_pairs(near, ["key"], "uid", per_block).join(signatures, "uid")
+    unit = ["key", "block_a", "block_b"]
+    dealt = spread.select(*unit, "block", "uid", "signature").repartition(*unit).sortWithinPartitions(*unit)
+
+    def compared(rows: pa.Table) -> pa.RecordBatch:
+        key, a, b, block, uid = (rows.column(i).to_numpy() for i in range(5))
+        own = np.frombuffer(b"".join(rows.column(5).to_pylist()), np.uint8).reshape(len(key), hashes)
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        unit_of = np.cumsum(new)
+        good = np.zeros(len(key), bool)
+        i = np.arange(len(key))
+        for d in range(1, len(key)):
+            i = i[i + d < len(key)]
+            i = i[unit_of[i] == unit_of[i + d]]  # rows whose unit reaches so far
+            if not len(i):
+                break
+            x = i[(a[i] == b[i]) | (block[i] != block[i + d])]
+            for low in range(0, len(x), 1 << 16):
+                y = x[low : low + (1 << 16)]
+                y = y[np.count_nonzero(own[y] == own[y + d], axis=1) >= least]
+                good[y] = good[y + d] = True
+        return pa.RecordBatch.from_arrays([pa.array(key[good]), pa.array(uid[good])], names=["key", "uid"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            names = [held.column(i).to_numpy() for i in range(3)]
+            ended = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in names]))
+            if len(ended):  # the last unit may go on in the next batch
+                yield compared(held.slice(0, int(ended[-1]) + 1).combine_chunks())
+                held = held.slice(int(ended[-1]) + 1)
+        if held is not None:
+            yield compared(held.combine_chunks())
+        give_back()
+
+    return dealt.mapInArrow(each, "key long, uid long").distinct()
+
+
 def texts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """uid and text of the lines ``wanted`` (uid, first), first being their place."""
     listed = wanted.groupBy(F.col("first.doc_id").alias("of_id"), F.col("first.doc_hash").alias("of_hash")).agg(
@@ -173,14 +229,14 @@ def texts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
 
 def _similar(threshold: float, width: int):
     def similar(a: pa.Array, b: pa.Array) -> pa.Array:
-        out, last, x = [], None, set()
-        for s, t in zip(a.to_pylist(), b.to_pylist(), strict=True):
-            if s != last:
-                last, x = s, runs(s, width)
-            y = runs(t, width)
-            shared = len(x & y) if min(len(x), len(y)) >= threshold * max(len(x), len(y)) - 1e-9 else 0
-            out.append(shared >= threshold * (len(x) + len(y) - shared) - 1e-9)
-        return pa.array(out, pa.bool_())
+        out = []
+        x, y = a.to_pylist(), b.to_pylist()
+        for low, high in _slices([len(s) + len(t) for s, t in zip(x, y, strict=True)], 1 << 19):
+            one, other = sets(x[low:high], width), sets(y[low:high], width)
+            count = lambda s, n=high - low: np.bincount((s >> np.uint64(44)).astype(np.int64), minlength=n)
+            shared = count(np.intersect1d(one, other, assume_unique=True))
+            out.append(shared >= threshold * (count(one) + count(other) - shared) - 1e-9)
+        return pa.array(np.concatenate(out) if out else np.zeros(0, bool))
 
     return F.arrow_udf(similar, T.BooleanType())
 
@@ -192,13 +248,14 @@ def _compare(threshold: float, width: int):
         roots, block = unit.column("root").to_numpy(), unit.column("block").to_numpy()
         left = np.flatnonzero(block == unit.column("block_a")[0].as_py())
         right = np.flatnonzero(block == unit.column("block_b")[0].as_py())
-        code: dict[str, int] = {}
-        sets = [np.array([code.setdefault(r, len(code)) for r in runs(t, width)], np.int64) for t in unit.column("text").to_pylist()]
-        size = np.array([len(s) for s in sets])
-        row = np.repeat(np.arange(len(sets)), size)
-        common = shared_counts(row, np.concatenate(sets), left, right)
+        packed = sets(unit.column("text").to_pylist(), width)
+        row = (packed >> np.uint64(44)).astype(np.int64)
+        size = np.bincount(row, minlength=len(roots))
+        common = shared_counts(row, packed & np.uint64((1 << 44) - 1), left, right)
         union = size[left][:, None] + size[right][None, :] - common
         a, b = np.nonzero((common >= threshold * union - 1e-6) & (roots[left][:, None] != roots[right][None, :]))
+        if not len(a):
+            return roots[:0], roots[:0], roots[:0]
         a, b = left[a], right[b]
         names, at = np.unique(roots, return_inverse=True)
         root = forest(names, at[a], at[b])
@@ -208,10 +265,15 @@ def _compare(threshold: float, width: int):
     return work
 
 
-def groups(every: DataFrame, classes: DataFrame, docs: DataFrame, threshold: float, width: int) -> DataFrame:
+def groups(every: DataFrame, classes: DataFrame, docs: DataFrame, threshold: float, bands: int, depth: int, width: int) -> DataFrame:
     """(node, root) of the classes of lines (uid, first) that similar lines of one key join."""
-    banded = every.select("uid", F.explode("keys").alias("key")).select("key", "uid")
-    near = materialise(met(banded, ranges_for(every)), "line-keys")
+    half = lambda low, b: F.substring("signature", low + b * depth + 1, depth)
+    keys = F.array(*(F.xxhash64(F.lit(b), half(0, b), half(bands * depth, b)) for b in range(bands)))
+    met_ = materialise(met(every.select(F.explode(keys).alias("key"), "uid"), ranges_for(every)), "line-keys")
+    own = every.select("uid", F.substring("signature", 1, bands * depth).alias("signature"))
+    own = own.join(met_.select("uid").distinct(), "uid", "left_semi").groupBy("uid").agg(F.min("signature").alias("signature"))
+    near = materialise(alike(met_, own, threshold, bands * depth), "line-alike")
+    drop_table(met_)
     heads = near.groupBy("key").agg(F.min("uid").alias("head"), F.max("uid").alias("last")).where("head < last").select("key", "head")
     pairs = near.join(heads, "key").where("uid <> head").select(F.col("head").alias("a"), F.col("uid").alias("b")).distinct()
     pairs = materialise(pairs, "line-pairs")
@@ -220,15 +282,22 @@ def groups(every: DataFrame, classes: DataFrame, docs: DataFrame, threshold: flo
     both = pairs.join(texts.select(F.col("uid").alias("b"), F.col("text").alias("y")), "b")
     both = both.join(texts.select(F.col("uid").alias("a"), F.col("text").alias("x")), "a")
     linked = materialise(both.where(_similar(threshold, width)("x", "y")).select("a", "b"), "line-links")
+    drop_table(pairs)
     joined = materialise(components(linked), "line-groups")
 
     rooted = near.join(joined.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     rooted = materialise(rooted.select("key", "uid", "root"), "line-rooted")
-    apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    crowded = rooted.join(apart, "key", "left_semi").join(texts, "uid")
-    spread = block_pairs(crowded, ["key"], "uid", 512, F.length("text"), 1 << 20)
-    more = each_unit(spread, ["key"], ["uid", "root", "text"], _compare(threshold, width))
-    more = materialise(components(materialise(more, "line-more").select(F.col("uid").alias("a"), F.col("root").alias("b"))), "line-more-groups")
+    drop_table(near)
+    # two lines often share several keys: of keys with the same lines one is enough
+    sums = [F.count(F.lit(1)).alias("rows"), F.bit_xor("uid").alias("xor"), F.sum(F.xxhash64("uid").cast("decimal(38,0)")).alias("sum")]
+    apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), *sums).where("low < high")
+    apart = apart.groupBy("rows", "xor", "sum").agg(F.min("key").alias("key")).select("key")
+    crowded = rooted.join(apart, "key", "left_semi").join(texts.select("uid", F.length("text").alias("n")), "uid")
+    spread = block_pairs(crowded, ["key"], "uid", 512, F.col("n"), 1 << 20).join(texts, "uid")
+    more = materialise(each_unit(spread, ["key"], ["uid", "root", "text"], _compare(threshold, width)), "line-more")
+    for table in (rooted, texts):
+        drop_table(table)
+    more = materialise(components(more.select(F.col("uid").alias("a"), F.col("root").alias("b"))), "line-more-groups")
     moved = joined.join(more.select(F.col("node").alias("root"), F.col("root").alias("over")), "root", "left")
     alone = more.join(joined.select("node"), "node", "left_anti")
     return moved.select("node", F.coalesce("over", "root").alias("root")).unionAll(alone.select("node", "root"))
@@ -236,16 +305,18 @@ def groups(every: DataFrame, classes: DataFrame, docs: DataFrame, threshold: flo
 
 def removed(docs: DataFrame, threshold: float = 0.8, bands: int = 12, depth: int = 4, width: int = 5) -> DataFrame:
     """doc_id, doc_hash, gone: the line numbers that go, of each document that loses some."""
-    every = materialise(signed(docs, bands, depth, width), "line-keys")
+    every = materialise(signed(docs, bands * depth, width), "line-signatures")
     place = F.struct("doc_id", "line", "doc_hash")
     classes = every.groupBy("uid").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times"))
     classes = materialise(classes, "line-classes")
-    roots = materialise(groups(every, classes, docs, threshold, width), "line-roots")
+    roots = materialise(groups(every, classes, docs, threshold, bands, depth, width), "line-roots")
+    placed = materialise(every.select("doc_id", "doc_hash", "line", "uid"), "line-places")
+    drop_table(every)
     grouped = classes.join(roots.select(F.col("node").alias("uid"), "root"), "uid")
     kept = grouped.groupBy("root").agg(F.min("first").alias("keep"))
     fuzzy = roots.join(kept, "root").select(F.col("node").alias("uid"), "keep")
     exact = classes.where("times > 1").join(roots.select(F.col("node").alias("uid")), "uid", "left_anti").select("uid", F.col("first").alias("keep"))
-    gone = every.select("doc_id", "doc_hash", "line", "uid").join(fuzzy.unionAll(exact), "uid").where(~place.eqNullSafe(F.col("keep")))
+    gone = placed.join(fuzzy.unionAll(exact), "uid").where(~place.eqNullSafe(F.col("keep")))
     return gone.groupBy("doc_id", "doc_hash").agg(F.collect_set("line").alias("gone"))
 
 

@@ -5,16 +5,20 @@ fewer). Texts of equal words stand for one class. Each class has ``trees`` label
 ``depth`` minimum hashes; the labels of a tree, sorted, are the tree's prefix trie, in
 which every subtree is a run of neighbours. Matched prefixes are shortened from the full
 depth, level by level, until a pair at the threshold meets in some tree with the target
-recall: at depth d that is 1 - (1 - t^d)^trees. Runs of that prefix link candidates;
-candidate components are then compared all against all, exactly and in blocks, so pairs
-that no tree matched but whose component did are found too.
+recall: at depth d that is 1 - (1 - t^d)^trees. As the threshold is one for all pairs, so
+is this depth (7 of 8 at 0.8): here the forest comes to banding with a depth found from
+the recall. Runs of that prefix link candidates; candidate components are then compared
+all against all, exactly and in blocks, so pairs that no tree matched but whose component
+did are found too.
 
 Counts and a spanning forest leave the comparison, never the pairs, so a group of
 near-copies costs rows in proportion to its size.
 
 Defined cases: a null text, or one without words, has no shingles and links with
-nothing; null ids are rows of their own; repeated rows are copies of each other;
-an empty table gives an empty result; other columns are ignored.
+nothing; texts of any length are taken whole; null ids are rows of their own, and as
+representatives come last; repeated rows are copies of each other; of several texts of
+one doc_id that link, the one of least hash stays; an empty table gives an empty result;
+other columns, whatever their names, are ignored, or carried by ``representatives``.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from thalweg.llm.blocks import block_pairs, each_unit, forest, shared_counts
-from thalweg.llm.common import free_name, give_back, in_slices, materialise
+from thalweg.llm.common import drop_table, free_name, give_back, in_slices, materialise
 from thalweg.llm.components import components
 from thalweg.llm.embed_dedup import summarise
 
@@ -78,7 +82,7 @@ def stop_depth(threshold: float, depth: int, trees: int, recall: float) -> int:
 
 
 def signatures(docs: DataFrame, width: int, trees: int, depth: int, seed: int) -> DataFrame:
-    """row, doc_id, digest of the words, number of shingles, labels (one binary per tree)."""
+    """row, doc_id, hash of the text, digest of the words, number of shingles, labels (one binary per tree)."""
     rng = np.random.default_rng(seed)
     odd = rng.integers(0, 1 << 63, (trees * depth, 1), np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
     kind = T.StructType([
@@ -105,8 +109,8 @@ def signatures(docs: DataFrame, width: int, trees: int, depth: int, seed: int) -
             [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(labels, pa.list_(pa.binary()))], ["digest", "n", "labels"]
         )
 
-    signed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.arrow_udf(in_slices(sign), kind)("text").alias("s"))
-    return signed.select("doc_id", "row", "s.digest", "s.n", "s.labels")
+    signed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("h"), F.arrow_udf(in_slices(sign), kind)("text").alias("s"))
+    return signed.select("doc_id", "row", "h", "s.digest", "s.n", "s.labels")
 
 
 def trie_links(classes: DataFrame, prefix: int) -> DataFrame:
@@ -121,28 +125,28 @@ def trie_links(classes: DataFrame, prefix: int) -> DataFrame:
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Links inside the range, and its border runs as (prefix key, head)."""
-        head = key = None
-        first = True
+        head, key, first = 0, b"", True
+
+        def border(key: bytes, head: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([head], pa.int64()), pa.array([head], pa.int64()), pa.array([key], pa.binary())], names=["a", "b", "border"])
+
         for batch in batches:
-            a, b, border = [], [], []
-            for uid, tree, label in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if (tree, label) == key:
-                    a.append(uid)
-                    b.append(head)
-                    border.append(None)
-                    continue
-                if key is None or first:
-                    first = key is None
-                    a.append(uid)
-                    b.append(uid)
-                    border.append(tree.to_bytes(2, "big") + label)
-                head, key = uid, (tree, label)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(border, pa.binary())], names=["a", "b", "border"])
-        if key is not None:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([head], pa.int64()), pa.array([head], pa.int64()), pa.array([key[0].to_bytes(2, "big") + key[1]], pa.binary())],
-                names=["a", "b", "border"],
-            )
+            if not batch.num_rows:
+                continue
+            uid = batch.column(0).to_numpy()
+            tree = batch.column(1).to_numpy().astype(">u2").view(np.uint8).reshape(len(uid), 2)
+            keys = np.concatenate([tree, np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(uid), -1)], axis=1)
+            new = np.append(keys[0].tobytes() != key, (keys[1:] != keys[:-1]).any(axis=1))
+            start = np.maximum.accumulate(np.where(new, np.arange(len(uid)), -1))
+            heads = np.where(start >= 0, uid[start], head)
+            if first:
+                first = False
+                yield border(keys[0].tobytes(), int(uid[0]))
+            out = ~new
+            yield pa.RecordBatch.from_arrays([pa.array(uid[out]), pa.array(heads[out]), pa.nulls(int(out.sum()), pa.binary())], names=["a", "b", "border"])
+            head, key = int(heads[-1]), keys[-1].tobytes()
+        if not first:
+            yield border(key, head)
         give_back()
 
     found = materialise(ordered.mapInArrow(runs, "a long, b long, border binary"), "trie-links")
@@ -189,35 +193,44 @@ def _compare(threshold: float):
     return work
 
 
-def links(docs: DataFrame, threshold: float = 0.8, width: int = 5, trees: int = 24, depth: int = 8, recall: float = 0.995, per_block: int = 1024, seed: int = 8) -> DataFrame:
-    """doc_id, n_links, component_id, kept of every row of (doc_id, text)."""
+def links(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_links, component_id, kept of every row of (doc_id, text); options as for ``linked``."""
+    return linked(docs, **options).select("doc_id", "n_links", "component_id", "kept")
+
+
+def linked(docs: DataFrame, threshold: float = 0.8, width: int = 5, trees: int = 24, depth: int = 8, recall: float = 0.995, per_block: int = 1024, seed: int = 8) -> DataFrame:
+    """As ``links``, with the text's hash h and root, which names the row's component (null: it can have no link)."""
     picked = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     rows = materialise(signatures(picked, width, trees, depth, seed), "signatures")
-    classes = rows.where("digest is not null").groupBy("digest").agg(
-        F.min("row").alias("uid"), F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("least"), F.min("labels").alias("labels")
-    )
+    some = rows.where("digest is not null").groupBy("digest")
+    classes = some.agg(F.min("row").alias("uid"), F.min("labels").alias("labels"))
     near = components(trie_links(classes.select("uid", "labels"), stop_depth(threshold, depth, trees, recall)))
     near = materialise(near, "candidates")
 
-    weighed = rows.where("digest is not null").groupBy("digest").agg(
-        F.min("row").alias("uid"), F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("least")
-    )
+    weighed = some.agg(F.min("row").alias("uid"), F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "h")).alias("place"))
     weighed = materialise(weighed, "classes")
-    # the texts of candidates alone are read again, by the doc_id of their class, and told apart by digest
+    # the texts of candidates alone are read again, by the id and hash of one of their class's rows
     wanted = weighed.join(near.select(F.col("node").alias("uid"), F.col("root").alias("candidate")), "uid")
-    texts = picked.join(wanted, picked["doc_id"].cast("long").eqNullSafe(F.col("least")))
+    texts = picked.join(wanted, picked["doc_id"].cast("long").eqNullSafe(F.col("place.doc_id")) & (F.xxhash64(picked["text"]) == F.col("place.h")))
     texts = texts.withColumn("s", _digest_and_shingles(width)("text")).where("s.digest = digest")
     sets = texts.groupBy("uid").agg(F.first("candidate").alias("candidate"), F.first("weight").alias("weight"), F.first("s.shingles").alias("shingles"))
     sets = materialise(sets, "candidate-shingles")
     spread = block_pairs(sets, ["candidate"], "uid", per_block)
     found = materialise(each_unit(spread, ["candidate"], ["uid", "weight", "shingles"], _compare(threshold)), "jaccard-links")
-    return summarise(rows, weighed, ["digest"], found, "doc_id", F.col("digest").isNotNull())
+    drop_table(sets)
+    return summarise(rows, weighed, ["digest"], found, "doc_id", F.col("digest").isNotNull(), ["h", "root"])
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates, the one of least doc_id."""
-    copy = free_name(docs, "copy_digest")
-    kept = links(docs, **options).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    left = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    left = left.withColumn(copy, F.md5("text"))
+    """``docs`` with one row of each group of near-duplicates, the one of least doc_id, then hash of the text.
+
+    Of repeated rows of one text and doc_id one stays.
+    """
+    copy, id_, hash_ = (free_name(docs, x) for x in ("copy_hash", "kept_id", "kept_hash"))
+    rows = linked(docs, **options)
+    least = rows.where("root is not null").groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "h")).alias("r"))
+    kept = least.select("r.doc_id", "r.h").unionAll(rows.where("root is null").select("doc_id", "h")).distinct()
+    kept = kept.select(F.col("doc_id").alias(id_), F.col("h").alias(hash_))
+    own = docs.withColumn(copy, F.xxhash64("text"))
+    left = own.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(copy) == F.col(hash_)), "left_semi")
     return left.dropDuplicates(["doc_id", copy]).drop(copy)
