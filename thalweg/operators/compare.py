@@ -64,8 +64,8 @@ def removed(table: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
 
 
 def matched_rivers(bends: DataFrame, rivers: DataFrame) -> DataFrame:
-    """Bends with the river of their start_comid, else of their uid."""
-    by_comid = rivers.select("start_comid", F.col("river_id").alias("_r1"))
-    by_uid = rivers.select("uid", F.col("river_id").alias("_r2"))
+    """Bends with the river of their start_comid, else of their uid; of several rivers the least."""
+    by_comid = rivers.groupBy("start_comid").agg(F.min("river_id").alias("_r1"))
+    by_uid = rivers.groupBy("uid").agg(F.min("river_id").alias("_r2"))
     j = bends.join(by_comid, "start_comid", "left").join(by_uid, "uid", "left")
     return j.withColumn("river_id", F.coalesce("_r1", "_r2")).drop("_r1", "_r2")

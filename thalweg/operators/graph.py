@@ -1,40 +1,88 @@
 """Recursion over parent pointers by pointer doubling.
 
-A frame has node and parent (null at a root). Every round joins the pointers with
-themselves, so a path of length n takes log2(n) rounds; each round is a written table,
-which keeps plans flat. Nodes on a cycle never reach a root and are left out.
+A frame has node and parent (null at a root). Every round joins the pointers that still
+move with the pointers of their targets, so a path of length n takes log2(n) rounds; each
+round is a written table of what moved, which keeps plans flat. Nodes whose root is found
+are set aside and shuffle no more as followers, so the root's key never holds them. Nodes
+on a cycle never reach a root and are left out.
 
-Implements: R1, R2, R10, R14-R16, A19, A20, R5 (minima), N12 (parents).
+Implements: R1, R2, R5 (minima), R9 (paths), R10, R14-R16, A19, A20, N12 (parents).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thalweg.sources.scratch import written
+from thalweg.operators.ranking import ranked
+from thalweg.sources.scratch import dropped, written
 
 #: Rounds after which what still moves is on a cycle: paths are shorter than 2^40.
 MOST_ROUNDS = 40
 
 
-def roots(nodes: DataFrame) -> DataFrame:
-    """Node, root (where following parents ends) and depth (steps to it)."""
+def _pointers(nodes: DataFrame) -> DataFrame:
+    """node, ptr (the parent, or the node itself at a root), hops to it, and whether it is known to be a root."""
     ids = nodes.select(F.col("node").alias("parent"))
-    linked = nodes.join(ids.distinct().withColumn("known", F.lit(True)), "parent", "left")
+    linked = nodes.select("node", "parent").join(ids.distinct().withColumn("known", F.lit(True)), "parent", "left")
     p = linked.select("node", F.when(F.col("known"), F.col("parent")).otherwise(F.col("node")).alias("ptr"))
-    p = written(p.withColumn("hops", (F.col("ptr") != F.col("node")).cast("long")), "pointers")
-    ends = p.where("ptr = node").select("node")
-    for _ in range(MOST_ROUNDS):
-        moving = p.where("hops > 0").join(ends.select(F.col("node").alias("ptr")), "ptr", "left_anti")
-        before = moving.limit(1).count()
-        if not before:
+    return p.withColumns({"hops": (F.col("ptr") != F.col("node")).cast("long"), "done": F.col("ptr") == F.col("node")})
+
+
+def roots(nodes: DataFrame) -> DataFrame:
+    """Node, root (where following parents ends) and depth (steps to it)."""
+    p = written(_pointers(nodes), "pointers")
+    found, moving = [p.where("done")], p.where("not done")
+    for _ in range(p.count().bit_length() + 1):
+        if not moving.limit(1).count():
+            break
+        now = reduce(DataFrame.unionAll, [*found, moving])
+        q = now.select(F.col("node").alias("ptr"), F.col("ptr").alias("far"), F.col("hops").alias("more"), F.col("done").alias("ends"))
+        step = moving.join(q, "ptr").select("node", F.col("far").alias("ptr"), (F.col("hops") + F.col("more")).alias("hops"), F.col("ends").alias("done"))
+        step = written(step, "pointers")
+        found, moving = [*found, step.where("done")], step.where("not done")
+    return reduce(DataFrame.unionAll, found).select("node", F.col("ptr").alias("root"), F.col("hops").alias("depth"))
+
+
+def paths_from(nodes: DataFrame, starts: DataFrame) -> DataFrame:
+    """Start, node, steps: each of the nodes ``starts`` (start) with all that its pointers pass.
+
+    Round k adds what lies 2^k steps beyond what is reached. Paths may share nodes. A
+    cycle is followed as often as MOST_ROUNDS rounds of doubling over it would need, so
+    ``nodes`` has to be free of them.
+    """
+    jump = written(nodes.where("parent is not null and parent <> node").select("node", F.col("parent").alias("ptr")), "jumps")
+    reach = written(starts.select("start", F.col("start").alias("node"), F.lit(0).cast("long").alias("steps")), "paths")
+    for k in range(MOST_ROUNDS):
+        new = written(reach.join(jump, "node").select("start", F.col("ptr").alias("node"), (F.col("steps") + (1 << k)).alias("steps")), "paths")
+        if not new.limit(1).count():
+            break
+        reach = reach.unionAll(new)
+        far = jump.select(F.col("node").alias("ptr"), F.col("ptr").alias("far"))
+        jump, old = written(jump.join(far, "ptr").select("node", F.col("far").alias("ptr")), "jumps"), jump
+        dropped(old)
+    return reach
+
+
+def pre_order(nodes: DataFrame) -> DataFrame:
+    """Node, from_node, root, depth and place: trees one after the other by root, each parent before its children.
+
+    Children come in order of their names. A node's path from its root is its sort key,
+    put together by doubling; as a path is one value, this is for trees, not for chains.
+    """
+    p = written(_pointers(nodes).withColumn("path", F.array("node")), "orders")
+    for _ in range(p.count().bit_length() + 1):
+        if not p.where("not done").limit(1).count():
             break
-        q = p.select(F.col("node").alias("ptr"), F.col("ptr").alias("far"), F.col("hops").alias("more"))
-        p = written(
-            p.join(q, "ptr").select("node", F.col("far").alias("ptr"), (F.col("hops") + F.col("more")).alias("hops")), "pointers"
+        q = p.select(F.col("node").alias("ptr"), F.col("ptr").alias("far"), F.col("hops").alias("more"), F.col("done").alias("ends"), F.col("path").alias("above"))
+        step = p.where("not done").join(q, "ptr").select(
+            "node", F.col("far").alias("ptr"), (F.col("hops") + F.col("more")).alias("hops"), F.col("ends").alias("done"), F.concat("above", "path").alias("path")
         )
-    return p.join(ends.select(F.col("node").alias("ptr")), "ptr", "left_semi").select("node", F.col("ptr").alias("root"), F.col("hops").alias("depth"))
+        p = written(p.where("done").unionAll(step), "orders")
+    placed = ranked(p.select("node", F.col("ptr").alias("root"), F.col("hops").alias("depth"), "path"), [F.col("root").asc(), F.col("path").asc()], "place")
+    return placed.join(nodes.select("node", F.col("parent").alias("from_node")), "node").select("node", "from_node", "root", "depth", "place")
 
 
 def descendants_extreme(nodes: DataFrame, value: Column) -> DataFrame:

@@ -3,16 +3,19 @@
 Flow lines have comid, fromnode, tonode and attributes; a line flows into the one whose
 fromnode is its tonode.
 
-Implements: F1, F2, F12, F13, N1-N9, R1, R3-R9, T1, T2, T5, T7, A17, A22, M1, IO11.
+Implements: F1, F2, F12, F13, N1-N9, R1, R3-R9, T1, T2, T5, T7, A17, A22, M1, IO9, IO11, IO19.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from thalweg.functions.scalar import channel_width, huc, initial_drainage_area, step_length
-from thalweg.operators.graph import roots
+from thalweg.operators.graph import descendants_extreme, paths_from, roots
 from thalweg.operators.ordered import distances, distinct_x, interpolated
 from thalweg.operators.ranking import ranked
 from thalweg.sources.scratch import written
@@ -40,10 +43,26 @@ def cleaned(lines: DataFrame) -> DataFrame:
     return lines.where(keep)
 
 
-def downstream(lines: DataFrame) -> DataFrame:
-    """Comid and down, the least comid that starts where the line ends."""
-    at = lines.groupBy(F.col("fromnode").alias("tonode")).agg(F.min("comid").alias("down"))
-    return lines.join(at, "tonode", "left").select("comid", F.when(F.col("down") != F.col("comid"), F.col("down")).alias("down"))
+def downstream(lines: DataFrame, inside: Sequence[str] = ()) -> DataFrame:
+    """Comid and down, the least comid that starts where the line ends.
+
+    A line ends its path where the next one differs in a column of ``inside``, such as a
+    unit's code or terminalpa.
+    """
+    at = lines.groupBy(F.col("fromnode").alias("tonode"), *inside).agg(F.min("comid").alias("down"))
+    return lines.join(at, ["tonode", *inside], "left").select("comid", F.when(F.col("down") != F.col("comid"), F.col("down")).alias("down"))
+
+
+def headwaters(lines: DataFrame, most: int | None = None) -> DataFrame:
+    """The lines where rivers start, with their rank by dnhydroseq, largest first; the first ``most`` of them."""
+    found = ranked(lines.where("startflag = 1"), [F.col("dnhydroseq").desc(), F.col("comid").asc()])
+    return found if most is None else found.where(F.col("rank") <= most)
+
+
+def outlets(lines: DataFrame, inside: Sequence[str]) -> DataFrame:
+    """Of each group of ``inside`` the line of largest drainage area, the least comid on a tie."""
+    best = F.max_by("comid", F.struct("totdasqkm", -F.col("comid")))
+    return lines.groupBy(*inside).agg(best.alias("comid"), F.max("totdasqkm").alias("totdasqkm"))
 
 
 def tributaries(lines: DataFrame) -> DataFrame:
@@ -52,48 +71,119 @@ def tributaries(lines: DataFrame) -> DataFrame:
     return lines.join(n, "fromnode", "left").select("comid", F.coalesce("n_tributaries", F.lit(0)).alias("n_tributaries"))
 
 
-def main_stems(lines: DataFrame) -> DataFrame:
-    """Every line with the path it belongs to.
+def main_stems(lines: DataFrame, inside: Sequence[str] = ()) -> DataFrame:
+    """Every line with the path it belongs to, paths ending at borders of ``inside``.
 
     At a confluence the tributary of highest order, then largest area, then least comid
     goes on; the others end there. A path is named by its last line (path_id);
     steps_to_end orders it, linking_comid is the line below its end.
     """
-    down = downstream(lines)
-    ranked = lines.join(down, "comid").select("comid", "down", F.row_number().over(
-        Window.partitionBy("down").orderBy(F.col("streamorde").desc(), F.col("totdasqkm").desc(), "comid")).alias("r"))
-    nodes = ranked.select(F.col("comid").alias("node"), F.when((F.col("r") == 1) & F.col("down").isNotNull(), F.col("down")).alias("parent"))
+    down = written(downstream(lines, inside), "downstream")
+    first = F.max_by("comid", F.struct("streamorde", "totdasqkm", -F.col("comid"))).alias("main")
+    mains = lines.join(down.where("down is not null"), "comid").groupBy("down").agg(first)
+    nodes = down.join(mains, "down", "left").select(F.col("comid").alias("node"), F.when(F.col("main") == F.col("comid"), F.col("down")).alias("parent"))
     found = roots(written(nodes, "main-stems"))
     links = down.select(F.col("comid").alias("root"), F.col("down").alias("linking_comid"))
     return found.join(links, "root").select(F.col("node").alias("comid"), F.col("root").alias("path_id"), F.col("depth").alias("steps_to_end"), "linking_comid")
 
 
+def downstream_paths(lines: DataFrame, most: int | None = None, inside: Sequence[str] = ()) -> DataFrame:
+    """Every line with the path of the first headwater that passes it, in the order of ``headwaters``.
+
+    Each headwater follows the flow until it meets a path that an earlier one took. So a
+    line's owner is the least rank among the headwaters above it; lines below none are
+    left out. Columns as of ``main_stems``; path_id is the headwater's comid.
+    """
+    down = written(downstream(lines, inside), "downstream")
+    heads = written(headwaters(lines, most).select("comid", "rank"), "headwaters")
+    nodes = down.join(heads, "comid", "left").select(F.col("comid").alias("node"), F.col("down").alias("parent"), "rank")
+    owner = descendants_extreme(nodes, F.col("rank")).where("low is not null").select(F.col("node").alias("comid"), F.col("low").alias("rank"))
+    owner = written(owner.join(heads.withColumnRenamed("comid", "path_id"), "rank").select("comid", "path_id"), "owners")
+    below = owner.select(F.col("comid").alias("down"), F.col("path_id").alias("next_path"))
+    linked = written(owner.join(down, "comid").join(below, "down", "left"), "owned")
+    depth = roots(linked.select(F.col("comid").alias("node"), F.when(F.col("next_path") == F.col("path_id"), F.col("down")).alias("parent")))
+    ends = linked.where("next_path is null or next_path <> path_id").select("path_id", F.col("down").alias("linking_comid"))
+    out = owner.join(depth.select(F.col("node").alias("comid"), F.col("depth").alias("steps_to_end")), "comid").join(ends, "path_id")
+    return out.select("comid", "path_id", "steps_to_end", "linking_comid")
+
+
+def mapped(lines: DataFrame, method: str = "upstream", **options) -> DataFrame:
+    """The paths of a network by ``method``: upstream (main_stems) or downstream (downstream_paths)."""
+    methods = {"upstream": main_stems, "downstream": downstream_paths}
+    if method not in methods:
+        raise ValueError(f"unknown method {method}; known are {', '.join(methods)}")
+    return methods[method](lines, **options)
+
+
+def reach(lines: DataFrame, coords: DataFrame, start_comid: int | None = None, comids: DataFrame | None = None, inside: Sequence[str] = ()) -> DataFrame:
+    """The points of one reach: all lines below ``start_comid``, or the lines ``comids`` (comid, steps_to_end).
+
+    Other paths may pass the same lines. The river is named by its first line.
+    """
+    if comids is None:
+        if start_comid is None:
+            raise ValueError("a reach needs start_comid or comids")
+        down = downstream(lines, inside).select(F.col("comid").alias("node"), F.col("down").alias("parent"))
+        start = lines.sparkSession.createDataFrame([(start_comid,)], "start long")
+        comids = paths_from(down, start).select(F.col("node").alias("comid"), (-F.col("steps")).alias("steps_to_end"))
+    first = comids.agg(F.max_by("comid", "steps_to_end").alias("path_id"))
+    return assembled(comids.select("comid", "steps_to_end").crossJoin(F.broadcast(first)), lines, coords)  # first is one row
+
+
 def ranked_paths(paths: DataFrame, cut: int = 0) -> DataFrame:
     """Paths of more than ``cut`` lines with their length and rank, longest first."""
     n = paths.groupBy("path_id").agg(F.count(F.lit(1)).alias("n_lines"), F.max_by("comid", "steps_to_end").alias("comid_start"))
     return ranked(n.where(F.col("n_lines") > cut), [F.col("n_lines").desc(), F.col("path_id").asc()])
 
 
-def extended(paths: DataFrame, lines: DataFrame, min_km: float, most: int = 10) -> DataFrame:
-    """Reach of every path, lengthened by the paths below until it has ``min_km``.
+def extended(paths: DataFrame, lines: DataFrame, min_km: float, most: int = 10, inside: Sequence[str] = ()) -> DataFrame:
+    """Reach of every path, lengthened by the lines below until it has ``min_km``.
 
-    path_id, total_km, n_added, reached. Paths are followed at most ``most`` times, so
-    the loop is a fixed number of joins with the table of paths.
+    path_id, total_km, n_added, reached. Lines are added one by one, at most ``most``; a
+    reach that is still too short then, that has no line below, or whose next line it has
+    already, is not reached. The loop is a fixed number of joins with the table of lines.
     """
-    km = paths.join(lines.select("comid", "lengthkm"), "comid").groupBy("path_id").agg(F.sum("lengthkm").alias("km"), F.max("linking_comid").alias("link"))
-    # the part of the next path below the confluence counts
-    below = paths.join(lines.select("comid", "lengthkm"), "comid")
-    w = Window.partitionBy("path_id").orderBy("steps_to_end")
-    tail = below.select(F.col("comid").alias("link"), F.sum("lengthkm").over(w).alias("tail_km"), F.col("linking_comid").alias("next_link"))
-    tail = written(tail, "path-tails")
-    state = km.select("path_id", F.col("km").alias("total_km"), "link", F.lit(0).cast("long").alias("n_added"))
+    own = paths.join(lines.select("comid", "lengthkm"), "comid")
+    state = own.groupBy("path_id").agg(F.sum("lengthkm").alias("total_km"), F.max("linking_comid").alias("next"))
+    none = F.array().cast(T.ArrayType(lines.schema["comid"].dataType))
+    state = state.select("path_id", "total_km", "next", none.alias("added"))
+    step = lines.select("comid", "lengthkm").join(downstream(lines, inside), "comid").join(paths.select("comid", F.col("path_id").alias("of")), "comid", "left")
+    step = written(step.select(F.col("comid").alias("next"), "lengthkm", F.col("down").alias("after"), "of"), "path-steps")
     for _ in range(most):
-        go = (F.col("total_km") < min_km) & F.col("tail_km").isNotNull()
-        state = state.join(tail, "link", "left").select(
-            "path_id", F.when(go, F.col("total_km") + F.col("tail_km")).otherwise(F.col("total_km")).alias("total_km"),
-            F.when(go, F.col("next_link")).otherwise(F.col("link")).alias("link"), (F.col("n_added") + go.cast("long")).alias("n_added"),
+        new = F.col("lengthkm").isNotNull() & ~F.array_contains("added", F.col("next")) & ~F.col("of").eqNullSafe(F.col("path_id"))
+        go = (F.col("total_km") < min_km) & F.coalesce(new, F.lit(False))
+        state = state.join(step, "next", "left").select(
+            "path_id", F.when(go, F.col("total_km") + F.col("lengthkm")).otherwise(F.col("total_km")).alias("total_km"),
+            F.when(go, F.col("after")).otherwise(F.col("next")).alias("next"), F.when(go, F.array_append("added", F.col("next"))).otherwise(F.col("added")).alias("added"),
         )
-    return state.select("path_id", "total_km", "n_added", (F.col("total_km") >= min_km).alias("reached"))
+    return state.select("path_id", "total_km", F.size("added").cast("long").alias("n_added"), (F.col("total_km") >= min_km).alias("reached"))
+
+
+def prepared(lines: DataFrame, coords: DataFrame, tables: Sequence[DataFrame] = (), waterbodies: DataFrame | None = None, cell: float = 1e4) -> DataFrame:
+    """IO9: flow lines with units, geometry, the columns of further ``tables``, waterbody flag; cleaned.
+
+    ``waterbodies`` has poly_id and ring; a line is within one if all its points are.
+    """
+    out = located(with_units(lines), coords)
+    for table in tables:
+        out = with_new_columns(out, table)
+    flag = F.lit(0).cast("long")
+    if waterbodies is not None:
+        inside = lines_within(coords, waterbodies, cell).select("comid").distinct().withColumn("_w", F.lit(1))
+        out, flag = out.join(inside, "comid", "left"), F.coalesce("_w", F.lit(0)).cast("long")
+    return cleaned(out.withColumn("within_waterbody", flag).drop("_w", "pts"))
+
+
+def lines_within(coords: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
+    """Comid and poly_id of lines all of whose points lie in one polygon."""
+    points = coords.select("comid", F.posexplode("pts").alias("k", "p")).select("comid", "k", "p.x", "p.y")
+    inside = within(points, polygons, cell).groupBy("comid", "poly_id").agg(F.count_distinct("k").alias("n"))
+    return inside.join(coords.select("comid", F.size("pts").alias("n")), ["comid", "n"]).select("comid", "poly_id")
+
+
+def river_coordinates(points: DataFrame) -> DataFrame:
+    """IO19: the table of points of rivers as it is exported, in order."""
+    return points.select("river_id", "idx", "x", "y", "s").orderBy("river_id", "idx")
 
 
 def located(lines: DataFrame, coords: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Forests of bends as adjacency tables: tree_id, node_id, from_node_id and attributes.
 
-Implements: F3, F4, F6-F9, N12, X14, R13 (node kinds), A20.
+Implements: F3, F4, F6-F9, F14, N12, T6, X14, R13 (node kinds), A20.
 """
 
 from __future__ import annotations
@@ -93,3 +93,24 @@ def renumbered(forest: DataFrame) -> DataFrame:
     """Bends of each tree numbered from 0 in order of s_c."""
     w = Window.partitionBy("tree_id", "is_meander").orderBy("s_c", "node_id")
     return forest.withColumn("meander_id", F.when(F.col("is_meander") == 1, F.row_number().over(w) - 1).cast("long"))
+
+
+def pruned(forest: DataFrame, method: str, **options) -> DataFrame:
+    """the forest pruned by ``method``: sinuosity, width or peak_power, with that one's options."""
+    methods = {"sinuosity": pruned_by_sinuosity, "width": pruned_by_width, "peak_power": pruned_by_power}
+    if method not in methods:
+        raise ValueError(f"unknown method {method}; known are {', '.join(methods)}")
+    return methods[method](forest, **options)
+
+
+def selected(tables: dict[str, DataFrame], name: str) -> DataFrame:
+    """one table of a data set, meander or tree_scales."""
+    if name not in tables:
+        raise ValueError(f"unknown table {name}; known are {', '.join(tables)}")
+    return tables[name]
+
+
+def by_power(forest: DataFrame) -> DataFrame:
+    """Nodes of each tree with their rank by peak power, unknown power first, then the largest."""
+    order = Window.partitionBy("tree_id").orderBy(F.isnan("peak_pwr").desc(), F.col("peak_pwr").desc_nulls_first(), "node_id")
+    return forest.withColumn("power_rank", F.row_number().over(order).cast("long"))

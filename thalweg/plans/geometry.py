@@ -352,9 +352,9 @@ def first_occurrence(spark, sf_dir):
     return ordered.distinct_x(p).select("river_id", "idx", F.col("x").alias("y"))
 
 
-@query(f"""WITH k AS (SELECT i, 2 * {math.pi} / 100 AS w, 5 * 100.0 / 999 * i AS s FROM range(0, 1000) t(i)), a AS (SELECT *, {math.radians(110)} * cos(w * s) + 0.344 * sin(3 * w * s) + 0.031 * cos(3 * w * s) AS th FROM k),
+@query(f"""WITH k AS (SELECT i, 2 * {math.pi} / 100 AS w, 5 * 100.0 / 999 * i AS s FROM range(0, 1001) t(i)), a AS (SELECT *, {math.radians(110)} * cos(w * s) + 0.344 * sin(3 * w * s) + 0.031 * cos(3 * w * s) AS th FROM k),
 b AS (SELECT i, s, -w * ({math.radians(110)} * sin(w * s) - 3 * 0.344 * cos(3 * w * s) + 3 * 0.031 * sin(3 * w * s)) AS c, th FROM a),
-d AS (SELECT i AS idx, s, c, coalesce(sum(500.0 / 999 * cos(th)) OVER o, 0.0) AS x, coalesce(sum(500.0 / 999 * sin(th)) OVER o, 0.0) AS y FROM b WINDOW o AS (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+d AS (SELECT i AS idx, CASE WHEN i < 1000 THEN s END AS s, CASE WHEN i < 1000 THEN c END AS c, coalesce(sum(500.0 / 999 * cos(th)) OVER o, 0.0) AS x, coalesce(sum(500.0 / 999 * sin(th)) OVER o, 0.0) AS y FROM b WINDOW o AS (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT idx, {r('s', 'c', 'x', 'y')} FROM d""")
 def kinoshita_zolezzi(spark, sf_dir):
     return rounded(synth.zolezzi(spark, math.radians(110), 100.0, 0.344, 0.031, 5, 1000).drop("river_id"), "s", "c", "x", "y")

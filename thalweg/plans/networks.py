@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from thalweg.functions import scalar
-from thalweg.operators import compare, graph, network, tree
+from thalweg.operators import compare, graph, network, ordered, tree
 from thalweg.plans import standins as st
 from thalweg.plans.geometry import rounded
 
@@ -90,8 +90,7 @@ def downstream_trace(spark, sf_dir):
 
 
 @query(f"""{_STEMS}, pk AS (SELECT p.root, sum(lengthkm) AS km, max(link) AS link FROM pt p JOIN fl ON fl.comid = p.node GROUP BY 1),
-tl AS (SELECT p.node AS at, p.link AS next_link, sum(lengthkm) OVER (PARTITION BY p.root ORDER BY p.depth) AS tail FROM pt p JOIN fl ON fl.comid = p.node),
-ex AS (SELECT root AS path_id, km AS total_km, link, 0::BIGINT AS n_added FROM pk UNION ALL SELECT e.path_id, e.total_km + t.tail, t.next_link, e.n_added + 1 FROM ex e JOIN tl t ON t.at = e.link WHERE e.total_km < 6.0 AND e.n_added < 10)
+ex AS (SELECT root AS path_id, km AS total_km, link AS nxt, 0::BIGINT AS n_added FROM pk UNION ALL SELECT e.path_id, e.total_km + f.lengthkm, d.down, e.n_added + 1 FROM ex e JOIN fl f ON f.comid = e.nxt JOIN dn d ON d.comid = e.nxt WHERE e.total_km < 6.0 AND e.n_added < 10)
 SELECT path_id, max(total_km) AS total_km, max(n_added) AS n_added, max(total_km) >= 6.0 AS reached FROM ex GROUP BY 1""")
 def reach_extension(spark, sf_dir):
     lines = st.flowlines(spark, sf_dir)
@@ -258,3 +257,77 @@ def path_drainage(spark, sf_dir):
     lines = st.flowlines(spark, sf_dir).withColumn("hwnodesqkm", F.lit(0.0))
     out = network.assembled(network.main_stems(lines), lines, _coords(lines))
     return rounded(out.select("river_id", "idx", "da_sqkm"), "da_sqkm", digits=3)
+
+
+def _numbered(spark, sf_dir):
+    return st.flowlines(spark, sf_dir).withColumn("dnhydroseq", F.col("comid") * 7919 % 10007)
+
+
+_HEADS = f"{FL}, hd AS (SELECT comid, row_number() OVER (ORDER BY comid * 7919 % 10007 DESC, comid) AS rank FROM fl WHERE startflag = 1)"
+
+
+@query(f"WITH {_HEADS} SELECT comid, rank FROM hd WHERE rank <= 25")
+def first_headwaters(spark, sf_dir):
+    return network.headwaters(_numbered(spark, sf_dir), most=25).select("comid", "rank")
+
+
+@query(f"""WITH RECURSIVE {_HEADS}, tr AS (SELECT rank, comid AS node FROM hd UNION ALL SELECT t.rank, f.tonode FROM tr t JOIN fl f ON f.comid = t.node WHERE f.tonode > 0),
+ow AS (SELECT node AS comid, min(rank) AS rank FROM tr GROUP BY 1), pw AS (SELECT ow.comid, hd.comid AS path_id FROM ow JOIN hd USING (rank))
+SELECT comid, path_id, row_number() OVER (PARTITION BY path_id ORDER BY comid) - 1 AS steps_to_end, min(comid) OVER (PARTITION BY path_id) // 2 AS linking_comid FROM pw""")
+def downstream_paths(spark, sf_dir):
+    paths = network.mapped(_numbered(spark, sf_dir), "downstream")
+    return paths.withColumn("linking_comid", F.coalesce("linking_comid", F.lit(0)))
+
+
+@query(f"WITH {FL} SELECT streamorde, streamcalc, arg_max(comid, totdasqkm * 1e6 - comid * 1e-3) AS comid, max(totdasqkm) AS totdasqkm FROM fl GROUP BY 1, 2")
+def unit_outlets(spark, sf_dir):
+    return network.outlets(st.flowlines(spark, sf_dir), ["streamorde", "streamcalc"])
+
+
+@query(f"""WITH RECURSIVE {FL}, dn AS (SELECT a.*, b.comid AS down FROM fl a LEFT JOIN fl b ON b.fromnode = a.tonode AND b.streamcalc = a.streamcalc),
+rk AS (SELECT *, row_number() OVER (PARTITION BY down ORDER BY streamorde DESC, totdasqkm DESC, comid) AS r FROM dn),
+pt AS (SELECT comid AS node, comid AS root, 0::BIGINT AS depth FROM rk WHERE r > 1 OR down IS NULL UNION ALL SELECT k.comid, p.root, p.depth + 1 FROM pt p JOIN rk k ON k.down = p.node AND k.r = 1)
+SELECT node AS comid, root AS path_id, depth AS steps_to_end FROM pt""")
+def stems_inside(spark, sf_dir):
+    return network.main_stems(st.flowlines(spark, sf_dir), inside=["streamcalc"]).drop("linking_comid")
+
+
+@query(f"""{_DOWN}, t AS (SELECT node, parent, node AS root, 0::BIGINT AS depth, [node] AS path FROM nd WHERE parent IS NULL OR parent NOT IN (SELECT node FROM nd) UNION ALL SELECT n.node, n.parent, t.root, t.depth + 1, list_append(t.path, n.node) FROM t JOIN nd n ON n.parent = t.node)
+SELECT node, coalesce(parent, 0) AS from_node, root, depth, row_number() OVER (ORDER BY root, path) AS place FROM t""")
+def pre_order_table(spark, sf_dir):
+    return graph.pre_order(st.nodes(spark, sf_dir)).withColumn("from_node", F.coalesce("from_node", F.lit(0)))
+
+
+@query(f"WITH {st.SQL_EVENTS}, q AS (SELECT river_id, idx AS qid, x + 0.3 AS qx, y - 1 AS qy FROM tr WHERE idx % 17 = 3), d AS (SELECT river_id, qid, idx, sqrt(pow(x - qx, 2) + pow(y - qy, 2)) AS d FROM tr JOIN q USING (river_id)) SELECT river_id, qid, arg_min(idx, (round(d, 9), idx)) AS idx, round(min(d), 6) AS distance FROM d GROUP BY 1, 2")
+def nearest_points(spark, sf_dir):
+    p = st.events(spark, sf_dir)
+    q = p.where("idx % 17 = 3").select("river_id", F.col("idx").alias("qid"), (F.col("x") + 0.3).alias("x"), (F.col("y") - 1).alias("y"))
+    return rounded(ordered.nearest_point(p, q), "distance")
+
+
+@query(f"""WITH RECURSIVE {FL}, {_PTS}, t AS (SELECT 1201::BIGINT AS node, 0 AS k UNION ALL SELECT f.tonode, t.k + 1 FROM t JOIN fl f ON f.comid = t.node WHERE f.tonode > 0),
+pp AS (SELECT 1201::BIGINT AS river_id, row_number() OVER (ORDER BY t.k, pc.k) - 1 AS idx, comid, x, y FROM t JOIN pc ON pc.comid = t.node), {st.sql_distance('pp', 'ps')} SELECT river_id, idx, comid, x, y, round(s, 6) AS s FROM ps""")
+def reach_points(spark, sf_dir):
+    lines = st.flowlines(spark, sf_dir).withColumn("hwnodesqkm", F.lit(0.0))
+    out = network.reach(lines, _coords(lines), start_comid=1201)
+    return rounded(out.select("river_id", "idx", "comid", "x", "y", "s"), "s")
+
+
+@query(f"""WITH {FL}, {_PTS}, bx AS (SELECT n_nationkey AS poly_id, n_nationkey * 1900.0 AS x0 FROM nation),
+wi AS (SELECT comid FROM (SELECT comid, poly_id, count(*) AS n FROM pc JOIN bx ON x >= x0 AND x < x0 + 950 AND y >= -1 AND y < 9.5 GROUP BY 1, 2) WHERE n = 3)
+SELECT fl.comid, reachcode[1:4] AS huc04, streamorde * 10 AS extra, (wi.comid IS NOT NULL)::BIGINT AS within_waterbody FROM fl LEFT JOIN wi ON wi.comid = fl.comid
+WHERE divergence <= 1 AND fcode <> 56600 AND streamorde = streamcalc AND NOT (startflag = 1 AND terminalfl = 1)""")
+def prepared_lines(spark, sf_dir):
+    lines = st.flowlines(spark, sf_dir)
+    x0 = F.col("n_nationkey") * 1900.0
+    corner = lambda dx, y: F.struct((x0 + dx).cast("double").alias("x"), F.lit(y).cast("double").alias("y"))
+    ring = F.array(corner(0, -1.0), corner(950, -1.0), corner(950, 9.5), corner(0, 9.5))
+    waters = st.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("poly_id"), ring.alias("ring"))
+    more = lines.select("comid", (F.col("streamorde") * 10).alias("extra"), F.lit(0.0).alias("lengthkm"))
+    return network.prepared(lines, _coords(lines), [more], waters, 1000.0).select("comid", "huc04", "extra", "within_waterbody")
+
+
+@query(f"WITH {TREE} SELECT node_id, row_number() OVER (ORDER BY CASE WHEN node_id % 9 = 0 THEN 1 ELSE 0 END DESC, CASE WHEN node_id % 9 <> 0 THEN peak_pwr END DESC, node_id) AS power_rank FROM tn")
+def nodes_by_power(spark, sf_dir):
+    f = st.forest(spark, sf_dir).withColumn("peak_pwr", F.when(F.col("node_id") % 9 == 0, F.lit(float("nan"))).otherwise(F.col("peak_pwr")))
+    return tree.by_power(f).select("node_id", "power_rank")

@@ -1,6 +1,7 @@
 """Reading and writing tables of rivers, bends, trees and flow lines.
 
-Implements: IO1-IO8, IO10, IO12-IO15, IO17-IO21, U6.
+Implements: IO1, IO2, IO4-IO8, IO12-IO15, IO17, IO18, U6; IO3 as the two tables of endings, IO20 and IO21 as
+``load`` and ``Store.read`` of their tables.
 
 A data set is a folder with one table per kind, split by river_id, so that a subset of
 rivers reads only its own partitions.

@@ -10,9 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the checkpoint folder; a local one is set where none is."""
+    """A fresh path below the checkpoint folder.
+
+    Where none is set, a local session gets a local one; on a cluster that is an error,
+    for each executor would write to its own disk.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "thalweg-scratch")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/thalweg/{name}-{uuid.uuid4().hex}"
@@ -24,3 +30,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a table that ``written`` wrote and no plan needs any more."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
