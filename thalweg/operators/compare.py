@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thalweg.functions.scalar import step_length
+from thalweg.sources.scratch import written
 
 
 def overlaps(manual: Column, automatic: Column) -> tuple[Column, Column]:
@@ -22,23 +23,73 @@ def zone(f_oa: Column, f_om: Column, least: float = 0.8) -> Column:
     return F.when((f_oa >= least) & (f_om >= least), 1).when(f_oa >= least, 2).when(f_om >= least, 3).otherwise(4).cast("long")
 
 
-def closest(manual: DataFrame, automatic: DataFrame, link: str, least: float = 0.8) -> DataFrame:
+def _two_best(pairs: DataFrame, link: str) -> DataFrame:
+    order = Window.partitionBy(link, "id_1").orderBy("d", "id_2")
+    return pairs.withColumn("rank", F.row_number().over(order)).where("rank <= 2")
+
+
+def two_nearest(one: DataFrame, two: DataFrame, link: str, most: int = 2000) -> DataFrame:
+    """T4: link, id_1, id_2, rank (1, 2): for every row of ``one`` the two nearest rows of its group in ``two``.
+
+    Both have link, id, x and y. Groups of at most ``most`` rows are compared directly.
+    Larger ones are dealt to square cells, one row of ``two`` a cell on average: a row of
+    ``one`` meets the cells around its own, is settled when its second nearest is less
+    than a cell away (or it has met all), and else tries again with cells of twice the
+    side. So nothing meets a whole large group but what lies far outside it.
+    """
+    q = one.select(link, F.col("id").alias("id_1"), F.col("x").alias("x_1"), F.col("y").alias("y_1"))
+    t = two.select(link, F.col("id").alias("id_2"), F.col("x").alias("x_2"), F.col("y").alias("y_2"))
+    box = t.groupBy(link).agg(F.count(F.lit(1)).alias("n"), F.min("x_2").alias("x_0"), F.min("y_2").alias("y_0"), F.max("x_2").alias("x_9"), F.max("y_2").alias("y_9"))
+    box = written(box, "boxes")
+    distance = step_length(F.col("x_1") - F.col("x_2"), F.col("y_1") - F.col("y_2")).alias("d")
+    small = box.where(F.col("n") <= most).select(link)
+    out = _two_best(q.join(small, link).join(t, link).select(link, "id_1", "id_2", distance), link).select(link, "id_1", "id_2", "rank")
+    large = box.where(F.col("n") > most)
+    if not large.limit(1).count():
+        return out
+    side = F.greatest(F.col("x_9") - F.col("x_0"), F.col("y_9") - F.col("y_0")) / F.sqrt("n")
+    large = large.select(link, "n", "x_0", "y_0", F.when(side > 0, side).otherwise(1.0).alias("side"))
+    open_, t = q.join(large, link), written(t.join(large, link), "targets")
+    for level in range(64):
+        cell = F.col("side") * float(1 << level)
+        at = lambda c, k, cell=cell: F.floor((F.col(f"{c}_{k}") - F.col(f"{c}_0")) / cell)
+        open_ = written(open_, "open")
+        around = lambda c: F.explode(F.sequence(at(c, 1) - 1, at(c, 1) + 1))
+        asked = open_.withColumn("i", around("x")).withColumn("j", around("y"))
+        met = asked.join(t.select(link, "id_2", "x_2", "y_2", at("x", 2).alias("i"), at("y", 2).alias("j")), [link, "i", "j"])
+        met = met.select(link, "id_1", "id_2", distance, "n", cell.alias("cell"))
+        seen = met.groupBy(link, "id_1").agg(F.count(F.lit(1)).alias("seen"))
+        best = _two_best(met, link).join(seen, [link, "id_1"])
+        second = F.max(F.when(F.col("rank") == 2, F.col("d"))).over(Window.partitionBy(link, "id_1"))
+        best = written(best.withColumn("settled", (F.col("seen") == F.col("n")) | F.coalesce(second < F.col("cell"), F.lit(False))), "nearest")
+        settled = best.where("settled")
+        out = out.unionAll(settled.select(link, "id_1", "id_2", "rank"))
+        open_ = open_.join(settled.select(link, "id_1").distinct(), [link, "id_1"], "left_anti")
+        if not open_.limit(1).count():
+            break
+    return out
+
+
+def closest(manual: DataFrame, automatic: DataFrame, link: str, least: float = 0.8, most: int = 2000) -> DataFrame:
     """For every manual bend the automatic one that shares most points, with its zone.
 
     Candidates lie in the same ``link`` group: the two nearest by start and the two
     nearest by end. Both tables have bend_id, x_start, y_start, x_end, y_end and the
     point arrays x and y; columns come back with _1 and _2. A candidate counts if it
-    shares as many distinct x as y; without one, the nearest start is taken.
+    shares as many distinct x as y; without one, the nearest start is taken. Point
+    arrays are met by candidates alone.
     """
+    place = lambda frame, e: frame.select(link, F.col("bend_id").alias("id"), F.col(f"x_{e}").alias("x"), F.col(f"y_{e}").alias("y"))
+    by = {e: two_nearest(place(manual, e), place(automatic, e), link, most) for e in ("start", "end")}
+    both = by["start"].select("*", F.lit("s").alias("e")).unionAll(by["end"].select("*", F.lit("e").alias("e")))
+    near = both.groupBy(link, "id_1", "id_2").agg(F.min(F.when(F.col("e") == "s", F.col("rank"))).alias("_s"), F.min(F.when(F.col("e") == "e", F.col("rank"))).alias("_e"))
+    near = near.withColumnsRenamed({"id_1": "bend_id_1", "id_2": "bend_id_2"})
     one = manual.select(F.col(link), *(F.col(c).alias(f"{c}_1") for c in manual.columns if c != link))
     two = automatic.select(F.col(link), *(F.col(c).alias(f"{c}_2") for c in automatic.columns if c != link))
-    pairs = one.join(two, link)
-    d = {e: step_length(F.col(f"x_{e}_1") - F.col(f"x_{e}_2"), F.col(f"y_{e}_1") - F.col(f"y_{e}_2")) for e in ("start", "end")}
-    ranks = {e: F.row_number().over(Window.partitionBy(link, "bend_id_1").orderBy(v, "bend_id_2")) for e, v in d.items()}
-    near = pairs.withColumns({"_s": ranks["start"], "_e": ranks["end"]}).where("_s <= 2 or _e <= 2")
+    near = near.join(one, [link, "bend_id_1"]).join(two, [link, "bend_id_2"])
     x_both, y_both = F.size(F.array_intersect("x_1", "x_2")), F.size(F.array_intersect("y_1", "y_2"))
     near = near.withColumn("_n", F.when(x_both == y_both, x_both).otherwise(0))
-    best = Window.partitionBy(link, "bend_id_1").orderBy(F.col("_n").desc(), F.when(F.col("_s") <= 2, F.col("_s")).otherwise(F.col("_e") + 2))
+    best = Window.partitionBy(link, "bend_id_1").orderBy(F.col("_n").desc(), F.coalesce(F.col("_s"), F.col("_e") + 2))
     top = near.withColumn("_b", F.row_number().over(best)).where("_b = 1")
     f_oa, f_om = overlaps(F.col("x_1"), F.col("x_2"))
     top = top.withColumns({"f_oa": f_oa, "f_om": f_om}).withColumn("Zone", zone(F.col("f_oa"), F.col("f_om"), least))
