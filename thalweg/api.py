@@ -1,10 +1,11 @@
 """A river collection as chained calls; every call returns a new one over lazy frames.
 
-Implements: D1-D5, X18-X20, W24, IO13 (façade).
+Implements: D1-D5, X18-X20, W23, W24, IO13, IO14 (façade).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
@@ -23,6 +24,32 @@ class Rivers:
     points: DataFrame
     source: str = "original"
 
+    @classmethod
+    def added(cls, points: DataFrame, resample: bool = True, scale_by_width: bool = False, smooth: float = 0.0) -> Rivers:
+        """Rivers from a table of points, checked, measured, resampled and curved.
+
+        Needs river_id, idx, x, y. The step is the least width where there are widths, else
+        the geometric mean of the steps; with ``scale_by_width`` lengths are in widths.
+        """
+        lacking = {"river_id", "idx", "x", "y"} - set(points.columns)
+        if lacking:
+            raise ValueError(f"points lack {', '.join(sorted(lacking))}")
+        p = ordered.distances(points.where("x is not null and y is not null"))
+        out = cls(p)
+        if resample:
+            out = cls(lines.resampled_table(p, "min_width" if "w_m" in p.columns else "geometric_mean", smooth), "resample")
+        out = out.curvature()
+        return replace(out, points=ordered.width_scaled(out.points)) if scale_by_width else out
+
+    @classmethod
+    def loaded(cls, store: Store, rivers: Iterable | None = None, **options) -> Rivers:
+        """IO14: the rivers of a data set (all, or those named), as ``added``."""
+        return cls.added(store.read("points", rivers), **options)
+
+    def inflections(self) -> DataFrame:
+        """Where the curvature changes its sign."""
+        return ordered.inflections(self._curved().points)
+
     def with_distances(self) -> Rivers:
         return replace(self, points=ordered.distances(self.points))
 

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thalweg.functions import kernels
+from thalweg.operators.ordered import interpolated, previous
+from thalweg.sources.scratch import written
 
 
 def per_group(points: DataFrame, group: list[str], columns: list[str], kernel: Callable[..., dict[str, np.ndarray | list]], result: str) -> DataFrame:
@@ -50,25 +52,59 @@ def per_group(points: DataFrame, group: list[str], columns: list[str], kernel: C
     return rows.mapInArrow(each, f"{keys}, {result}")
 
 
-def resampled(points: DataFrame, step: float | None = None) -> DataFrame:
+STEPS = ("geometric_mean", "mean", "min", "min_width", "geometric_mean_width")
+
+
+def _step(rule: str | float, s: np.ndarray, w: np.ndarray) -> float:
+    if not isinstance(rule, str):
+        return float(rule)
+    if rule.endswith("width") and not np.isfinite(w).all():
+        raise ValueError(f"the step {rule} needs every width")
+    d = np.diff(s)
+    known = {"geometric_mean": lambda: 10 ** np.log10(d).mean(), "mean": d.mean, "min": d.min, "min_width": lambda: w.min(), "geometric_mean_width": lambda: 10 ** np.log10(w).mean()}
+    return float(known[rule]())
+
+
+def resampled(points: DataFrame, step: str | float | None = None, smooth: float = 0.0) -> DataFrame:
     """The spline through (s, x, y) at a regular step, with its derivatives.
 
-    Without ``step`` the geometric mean of the steps is taken. Repeated s keep their
+    ``step`` is a length or one of ``STEPS``, by each river's own steps (the geometric mean
+    by default) or widths w_m. With a positive ``smooth`` the spline passes the points at
+    squared distances that sum to ``smooth`` for x and for y. Repeated s keep their
     first point.
     """
+    rule = step or "geometric_mean"
+    if isinstance(rule, str) and rule not in STEPS:
+        raise ValueError(f"unknown step {rule}; known are {', '.join(STEPS)}")
 
-    def kernel(s: np.ndarray, x: np.ndarray, y: np.ndarray) -> dict:
+    def kernel(s: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> dict:
         s, first = np.unique(s, return_index=True)
-        x, y = x[first], y[first]
+        x, y, w = x[first], y[first], w[first]
         if len(s) < 2:
             return {k: np.zeros(0) for k in ("k", "s", "x", "y", "dxds", "dyds", "d2xds2", "d2yds2")}
-        ds = step or 10 ** np.log10(np.diff(s)).mean()
+        if smooth > 0:
+            x, y = kernels.smoothed_values(s, x, smooth), kernels.smoothed_values(s, y, smooth)
+        ds = _step(rule, s, w)
         at = np.arange(s[0], s[-1] + ds / 2, ds)
         (xs, x1, x2), (ys, y1, y2) = kernels.spline(s, x, at), kernels.spline(s, y, at)
         return {"k": np.arange(len(at)), "s": at, "x": xs, "y": ys, "dxds": x1, "dyds": y1, "d2xds2": x2, "d2yds2": y2}
 
+    width = F.col("w_m") if "w_m" in points.columns else F.lit(None).cast("double")
     result = "k long, s double, x double, y double, dxds double, dyds double, d2xds2 double, d2yds2 double"
-    return per_group(points, ["river_id"], ["s", "x", "y"], kernel, result)
+    return per_group(points.withColumn("_w", width), ["river_id"], ["s", "x", "y", "_w"], kernel, result)
+
+
+def resampled_table(points: DataFrame, step: str | float | None = None, smooth: float = 0.0) -> DataFrame:
+    """``resampled`` with all that the points have: river_id, idx, s, x, y and derivatives; z, da_sqkm and w_m
+    by straight lines, carried on beyond the ends; comid, so and within_waterbody from the point before.
+    """
+    out = written(resampled(points, step, smooth), "resampled")
+    stations = out.select("river_id", "s", "k")
+    for names, how in ((("z", "da_sqkm", "w_m"), interpolated), (("comid", "so", "within_waterbody"), previous)):
+        for c in names:
+            if c in points.columns:
+                out = out.join(how(points, stations, c).select("river_id", "k", c), ["river_id", "k"])
+    return out.withColumnRenamed("k", "idx")
 
 
 def smoothed(points: DataFrame, order: int, window: int, gaussian: int) -> DataFrame:

@@ -186,7 +186,7 @@ def previous(points: DataFrame, stations: DataFrame, column: str) -> DataFrame:
 
 
 def nearest(points: DataFrame, stations: DataFrame) -> DataFrame:
-    """Idx of the point nearest to each station, the first on a tie."""
+    """Idx of the point nearest to each station, the first on a tie."""
     b = _bracketed(points, stations, ["idx"])
     low, high = F.col("low.here"), F.col("high.here")
     closer = high.isNotNull() & (low.isNull() | (F.abs(high["s"] - F.col("at")) < F.abs(F.col("at") - low["s"])))

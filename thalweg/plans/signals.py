@@ -97,6 +97,19 @@ def resample_spline(spark, sf_dir):
     return rounded(lines.resampled(transects(spark, sf_dir)), "s", "x", "y", "dxds", "dyds", "d2xds2", "d2yds2")
 
 
+_CARRIED = f"""{st.SQL_EVENTS}, {st.sql_distance()}, q AS (SELECT river_id, idx, s, 1 + (idx * 7 % 5)::DOUBLE AS w_m, idx % 4 AS so FROM p),
+g AS (SELECT river_id, min(s) AS s0, max(s) AS s1, pow(10, avg(log10(nullif(d, 0)))) AS ds FROM p GROUP BY 1 HAVING count(*) > 1),
+k AS (SELECT river_id, unnest(range(0, ceil((s1 - s0 + ds / 2) / ds)::BIGINT)) AS k, s0, ds FROM g), a AS (SELECT river_id, k, s0 + k * ds AS sk FROM k),
+n AS (SELECT *, lead(s) OVER w AS s2, lead(w_m) OVER w AS w2, lag(s) OVER w AS s9, lag(w_m) OVER w AS w9 FROM q WINDOW w AS (PARTITION BY river_id ORDER BY s)),
+j AS (SELECT a.*, n.* EXCLUDE (river_id) FROM a ASOF JOIN n ON a.river_id = n.river_id AND a.sk >= n.s)"""
+
+
+@query(f"WITH {_CARRIED} SELECT river_id, k AS idx, round(sk, 4) AS s, round(CASE WHEN s2 IS NULL THEN w9 + (w_m - w9) / (s - s9) * (sk - s9) ELSE w_m + (w2 - w_m) / (s2 - s) * (sk - s) END, 4) AS w_m, so FROM j")
+def resampled_table(spark, sf_dir):
+    p = transects(spark, sf_dir).withColumns({"w_m": 1 + (F.col("idx") * 7 % 5).cast("double"), "so": F.col("idx") % 4})
+    return rounded(lines.resampled_table(p, "geometric_mean").select("river_id", "idx", "s", "w_m", "so"), "s", "w_m", digits=4)
+
+
 @query()
 def smooth_savgol(spark, sf_dir):
     return rounded(lines.smoothed(transects(spark, sf_dir), 2, 5, 9), "x_smooth", "y_smooth")
