@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,11 +21,18 @@ STATE = "n long, length double, crossings long, x double, y double, above boolea
 def _grow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     n, length, crossings, x, y, above, ts = state.get if state.exists else (0, 0.0, 0, None, None, None, None)
     for points in batches:
-        for p in points.sort_values("ts").itertuples():
-            if n:
-                length += float(((p.x - x) ** 2 + (p.y - y) ** 2) ** 0.5)
-                crossings += int((p.y > 0) != above)
-            n, x, y, above, ts = n + 1, float(p.x), float(p.y), bool(p.y > 0), p.ts
+        if points.empty:
+            continue
+        p = points.sort_values("ts", kind="stable")
+        px, py = p["x"].to_numpy(float), p["y"].to_numpy(float)
+        if n:  # the step from the last point of the batch before
+            px, py = np.append(x, px), np.append(y, py)
+        over = py > 0
+        if n:
+            over[0] = above
+        length += float(np.hypot(np.diff(px), np.diff(py)).sum())
+        crossings += int((over[1:] != over[:-1]).sum())
+        n, x, y, above, ts = n + len(p), float(px[-1]), float(py[-1]), bool(over[-1]), p["ts"].iloc[-1]
     state.update((n, length, crossings, x, y, above, ts))
     yield pd.DataFrame({"river_id": [key[0]], "n_points": [n], "length": [length], "n_crossings": [crossings]})
 
