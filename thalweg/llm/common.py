@@ -37,15 +37,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the scratch folder and read it back.
 
     Cuts lineage with a table every executor can read, so a lost executor costs only
-    its running tasks. Shuffle files of the jobs before become unreachable here and
-    are released at once rather than at the driver's next collection.
+    its running tasks. Shuffle files of the jobs before are unreachable by now and are
+    released first rather than at the driver's next collection, so that they do not lie
+    beside those of this job.
     """
     spark = df.sparkSession
+    release(spark)
     path = scratch_path(spark, name)
     schema = df.schema
     df.write.parquet(path)
-    del df
-    release(spark)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from thalweg.llm.blocks import block_pairs, each_unit, forest, shared_counts
-from thalweg.llm.common import drop_table, free_name, give_back, materialise, ranges_for
+from thalweg.llm.common import drop_table, free_name, give_back, materialise, ranges_for, release
 from thalweg.llm.components import components
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -312,6 +312,7 @@ def removed(docs: DataFrame, threshold: float = 0.8, bands: int = 12, depth: int
     roots = materialise(groups(every, classes, docs, threshold, bands, depth, width), "line-roots")
     placed = materialise(every.select("doc_id", "doc_hash", "line", "uid"), "line-places")
     drop_table(every)
+    release(docs.sparkSession)
     grouped = classes.join(roots.select(F.col("node").alias("uid"), "root"), "uid")
     kept = grouped.groupBy("root").agg(F.min("first").alias("keep"))
     fuzzy = roots.join(kept, "root").select(F.col("node").alias("uid"), "keep")

@@ -8,7 +8,8 @@ which need no padding.
 
 Defined cases: a null text is empty and holds its end id alone; equal documents lie next
 to each other, ordered by doc_id; a null doc_id sorts first; rows that repeat are packed
-as often as they occur; an empty table gives no piece; other columns are ignored.
+as often as they occur; texts of any length are packed whole, in chunks of bounded size;
+an empty table gives no piece; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -10,9 +10,12 @@ At most ``bound`` labelled rows are used for fitting (a hash of the id picks the
 statistics, rules and verdicts cover all documents.
 
 Defined cases: a null text has no words, so it fails the base rules; labels that are
-null, or whose document is missing, do not count; a document labelled twice counts
-twice; with no labels or a single class the list is empty; an empty table gives an
-empty result; other columns are carried through untouched.
+null, or whose document is missing, do not count; a document counts once for each
+verdict it is labelled with, and of several texts of one id the one of least hash counts;
+of conditions of equal gain the first by feature and threshold is taken; texts of any
+length are counted whole; with no labels or a single class the list is empty; an empty
+table gives an empty result; other columns, whatever their names, are carried through
+untouched.
 """
 
 from __future__ import annotations
@@ -188,7 +191,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 20_000) -> list[Rule]:
     chosen = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").alias("labelled"), "quality")
     chosen = hashed_sample(chosen.withColumn("h", F.xxhash64("labelled")), "h", bound, labels.count()).drop("h")
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled"))
-    stats = found.select("doc_id", "quality", text_statistics("text").alias("s"))
+    # of repeated rows of an id one counts, so no more than ``bound`` rows leave
+    stats = found.select("doc_id", "quality", F.xxhash64("text").alias("h"), text_statistics("text").alias("s")).groupBy("doc_id", "quality").agg(F.min_by("s", "h").alias("s"))
     usable = stats.where(~base_failed(F.col("s")))
     rows = usable.select("doc_id", "quality", *(feature(f, F.col("s")).alias(f) for f in FEATURES)).toPandas()
     if rows.empty or rows["quality"].nunique() < 2:

@@ -16,7 +16,8 @@ executor leaves nothing half written.
 
 Defined cases: a null text counts as empty; an empty document has its end id alone; an
 id that repeats keeps one entry per row, ordered by text; a null doc_id sorts first; an
-empty table gives an empty file set; other columns are ignored.
+empty table gives an empty file set; texts of any length lie whole in one segment; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
