@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thalweg.llm import chat, embed_dedup, license, line_dedup, mixing, ngram_join, packing, pii, quality, token_codes
+from thalweg.llm import chat, embed_dedup, license, line_dedup, mixing, ngram_join, packing, pieces, pii, quality, repair, resampling, token_codes
 from thalweg.llm.common import scratch_path, table
 
 
@@ -79,7 +79,43 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-_QUERIES = [op1_pii, op2_packing, op3_chat, op4_license, op5_line_dedup, op6_quality, op7_token_codes, op8_ngram_join, op9_embed_dedup, op10_mixing]
+def damaged(turns: DataFrame) -> DataFrame:
+    """The turns with the faults of op11: a checksum of their place picks one for a fifth of them."""
+    shown = {c: F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")}
+    k = F.crc32(F.concat(shown["conv_id"], F.lit(":"), shown["turn"]).cast("binary")) % 20
+    text = F.when(k == 1, "").when(k == 2, F.translate(shown["text"], ".!?", "")).otherwise(shown["text"])
+    rows = turns.select("conv_id", "turn", F.when(k == 4, "user").otherwise(shown["role"]).alias("role"), text.alias("text"), k.alias("k")).where("k > 0")
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(F.col("k") == 3, 2).otherwise(1)))).drop("k", "copy")
+
+
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    done = repair.Repair(damaged(turns))
+    line = F.struct("at", "step", F.concat("role", F.lit(":"), "text").alias("line"))
+    lines = done.edited().where("edit <> 'D'").groupBy("conv_id").agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    repaired = lines.select(F.col("conv_id").alias("of"), F.sha2(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), 256).alias("sha"))
+    audit, every = done.audit(), turns.select(F.col("conv_id").alias("asked")).distinct()
+    both = every.join(audit, every.asked.eqNullSafe(audit.conv_id), "left").drop("conv_id")
+    both = both.join(repaired, both.asked.eqNullSafe(repaired.of), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return both.select(F.col("asked").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    coded, ids = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    back, text = pieces.decode(coded.select("doc_id", ids), model, ids)
+    shown = F.array_join(F.col(ids).cast("array<string>"), ",")
+    return back.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(shown, 256).alias("ids_sha256"), F.sha2(text, 256).alias("decoded_sha256"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", F.col("rank").cast("long").alias("rank"))
+
+
+_QUERIES = [op1_pii, op2_packing, op3_chat, op4_license, op5_line_dedup, op6_quality, op7_token_codes, op8_ngram_join, op9_embed_dedup, op10_mixing,
+            op11_repair, op12_pieces, op13_resampling]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
