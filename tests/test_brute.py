@@ -321,26 +321,6 @@ def test_marked_inflections(spark, sf_dir):
             assert (r["s_inf_start"], r["s_inf_end"]) == (s[0], s[-1])
 
 
-def test_smoothing_splines_meet_their_residual():
-    """Against the dense solution of the penalised problem, and its limits."""
-    rng = np.random.default_rng(4)
-    s = np.cumsum(rng.uniform(0.5, 2, 40))
-    v = np.sin(s / 4) + rng.normal(0, 0.2, 40)
-    h = np.diff(s)
-    q, r = np.zeros((40, 38)), np.zeros((38, 38))
-    for i in range(38):
-        q[i, i], q[i + 1, i], q[i + 2, i] = 1 / h[i], -1 / h[i] - 1 / h[i + 1], 1 / h[i + 1]
-        r[i, i] = (h[i] + h[i + 1]) / 3
-        if i < 37:
-            r[i, i + 1] = r[i + 1, i] = h[i + 1] / 6
-    for residual in (0.05, 0.5, 1.5):
-        got = kernels.smoothed_values(s, v, residual)
-        assert math.isclose(((v - got) ** 2).sum(), residual, rel_tol=1e-6)
-        best = min(np.linalg.norm(np.linalg.solve(np.eye(40) + w * q @ np.linalg.solve(r, q.T), v) - got) for w in np.exp(np.linspace(-15, 15, 3001)))
-        assert best < 0.02
-    assert np.allclose(kernels.smoothed_values(s, v, 1e6), np.polyval(np.polyfit(s, v, 1), s)) and (kernels.smoothed_values(s, v, 0) == v).all()
-
-
 def test_rivers_are_added_from_tables(spark):
     from thalweg.api import Rivers
 

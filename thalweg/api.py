@@ -1,6 +1,6 @@
 """A river collection as chained calls; every call returns a new one over lazy frames.
 
-Implements: D1-D5, X18-X20, W23, W24, IO13, IO14 (façade).
+Implements: D1-D5, X11, X12, X18-X20, W22-W25, IO13, IO14 (façade).
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thalweg.operators import lines, metrics, ordered, scale_tree, spectral
+from thalweg.operators import lines, metrics, ordered, scale_tree, spectral, splines
 from thalweg.sources.files import Store
 
 SOURCES = ("original", "resample", "smooth")
@@ -25,11 +25,12 @@ class Rivers:
     source: str = "original"
 
     @classmethod
-    def added(cls, points: DataFrame, resample: bool = True, scale_by_width: bool = False, smooth: float = 0.0) -> Rivers:
+    def added(cls, points: DataFrame, resample: bool = True, scale_by_width: bool = False, smooth: float = 0.0, order: int = 3, ext: int = 0) -> Rivers:
         """Rivers from a table of points, checked, measured, resampled and curved.
 
         Needs river_id, idx, x, y. The step is the least width where there are widths, else
         the geometric mean of the steps; with ``scale_by_width`` lengths are in widths.
+        ``smooth``, ``order`` and ``ext`` are those of ``lines.resampled_table``.
         """
         lacking = {"river_id", "idx", "x", "y"} - set(points.columns)
         if lacking:
@@ -37,7 +38,7 @@ class Rivers:
         p = ordered.distances(points.where("x is not null and y is not null"))
         out = cls(p)
         if resample:
-            out = cls(lines.resampled_table(p, "min_width" if "w_m" in p.columns else "geometric_mean", smooth), "resample")
+            out = cls(lines.resampled_table(p, "min_width" if "w_m" in p.columns else "geometric_mean", smooth, order, ext), "resample")
         out = out.curvature()
         return replace(out, points=ordered.width_scaled(out.points)) if scale_by_width else out
 
@@ -53,11 +54,18 @@ class Rivers:
     def with_distances(self) -> Rivers:
         return replace(self, points=ordered.distances(self.points))
 
-    def resampled(self, step: float | None = None) -> Rivers:
+    def _measured(self) -> DataFrame:
+        return self.with_distances().points if "s" not in self.points.columns else self.points
+
+    def resampled(self, step: float | None = None, smooth: float = 0.0, order: int = 3, ext: int = 0) -> Rivers:
         """Splines at an even step; the source becomes resample."""
-        p = lines.resampled(self.with_distances().points if "s" not in self.points.columns else self.points, step)
+        p = lines.resampled(self._measured(), step, smooth, order, ext)
         return Rivers(p.withColumnRenamed("k", "idx"), "resample")
 
+    def splines(self, order: int = 3, smooth: float = 0.0) -> DataFrame:
+        """The table of splines of x and y over s, to be stored, or read by ``splines.at_stations``."""
+        return splines.fitted(self._measured(), order, smooth)
+
     def smoothed(self, order: int = 2, window: int = 3, gaussian: int = 5) -> Rivers:
         p = lines.smoothed(self.points, order, window, gaussian)
         return Rivers(p.select("river_id", F.col("k").alias("idx"), "s", F.col("x_smooth").alias("x"), F.col("y_smooth").alias("y")), "smooth")
@@ -79,6 +87,11 @@ class Rivers:
         """Nodes of the curvature's scale-space tree."""
         return scale_tree.nodes(spectral.signals(self._curved().points, "c"), dt, dj)
 
+    def refined_tree(self, dt: float, dj: float = 0.05, table: DataFrame | None = None) -> DataFrame:
+        """X11: the tree's nodes with their places, extended spans, inflections and leaf spans; ``table`` as from ``splines``."""
+        points = self._curved().points.withColumn("c", F.coalesce("c", F.lit(0.0)))
+        return scale_tree.refined(scale_tree.nodes(spectral.signals(points, "c"), dt, dj), points, table)
+
     def meanders(self, dt: float, dj: float = 0.05) -> DataFrame:
         return scale_tree.detected(self.scale_tree(dt, dj))
 

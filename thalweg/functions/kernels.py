@@ -121,54 +121,6 @@ def spline(s: np.ndarray, v: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np
     return value, first, (m[i] * a + m[i + 1] * b) / h
 
 
-def smoothed_values(s: np.ndarray, v: np.ndarray, residual: float) -> np.ndarray:
-    """The knots of the smoothest curve whose squared distances from ``v`` sum to ``residual``.
-
-    The curve is the natural cubic spline that minimises its squared second derivative; the
-    weight between the two is found by bisection, each step one band system of width five.
-    """
-    n, h = len(s), np.diff(s)
-    line = np.polyval(np.polyfit(s, v, 1), s)
-    if n < 4 or residual <= 0 or ((v - line) ** 2).sum() <= residual:
-        return v.copy() if n < 4 or residual <= 0 else line
-    inner = np.diff(np.diff(v) / h)  # Q'v
-    a, b, c = 1 / h[:-1], -1 / h[:-1] - 1 / h[1:], 1 / h[1:]  # the columns of Q
-    bands = np.zeros((3, n - 2))
-    bands[0] = a * a + b * b + c * c
-    bands[1, :-1] = b[:-1] * a[1:] + c[:-1] * b[1:]
-    bands[2, :-2] = c[:-2] * a[2:]
-    bend = np.zeros_like(bands)
-    bend[0], bend[1, :-1] = (h[:-1] + h[1:]) / 3, h[1:-1] / 6
-
-    def off(weight: float) -> np.ndarray:
-        """Distance of the curve from ``v`` at the knots."""
-        d, e, f = (bend + weight * bands).tolist()
-        r, m = inner.tolist(), n - 2
-        for i in range(m):  # LDL' of the band, then the two substitutions
-            for k, over in ((i + 1, e), (i + 2, f)):
-                if k < m and over[i]:
-                    w = over[i] / d[i]
-                    d[k] -= w * over[i]
-                    if k == i + 1 and i + 2 < m:
-                        e[k] -= w * f[i]
-                    r[k] -= w * r[i]
-        for i in range(m - 1, -1, -1):
-            r[i] = (r[i] - (e[i] * r[i + 1] if i + 1 < m else 0) - (f[i] * r[i + 2] if i + 2 < m else 0)) / d[i]
-        g = np.array(r)
-        out = np.zeros(n)
-        out[:-2] += a * g
-        out[1:-1] += b * g
-        out[2:] += c * g
-        return weight * out
-
-    low, high = -40.0, 40.0  # powers of e, by the cube of the mean step
-    scale = float(np.mean(h)) ** 3
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if (off(math.exp(mid) * scale) ** 2).sum() < residual else (low, mid)
-    return v - off(math.exp(low) * scale)
-
-
 def savgol_derivative(v: np.ndarray, order: int, window: int) -> np.ndarray:
     """First derivative of the running polynomial fit; the outer windows fit the ends."""
     if window < order:

@@ -12,11 +12,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thalweg.functions import kernels
-from thalweg.operators.ordered import interpolated, previous
+from thalweg.operators import splines
+from thalweg.operators.ordered import gradient, interpolated, previous
 from thalweg.sources.scratch import written
 
 
@@ -65,25 +66,30 @@ def _step(rule: str | float, s: np.ndarray, w: np.ndarray) -> float:
     return float(known[rule]())
 
 
-def resampled(points: DataFrame, step: str | float | None = None, smooth: float = 0.0) -> DataFrame:
+def _checked(step: str | float | None) -> str | float:
+    rule = step or "geometric_mean"
+    if isinstance(rule, str) and rule not in STEPS:
+        raise ValueError(f"unknown step {rule}; known are {', '.join(STEPS)}")
+    return rule
+
+
+def resampled(points: DataFrame, step: str | float | None = None, smooth: float = 0.0, order: int = 3, ext: int = 0, per_point: bool = False) -> DataFrame:
     """The spline through (s, x, y) at a regular step, with its derivatives.
 
     ``step`` is a length or one of ``STEPS``, by each river's own steps (the geometric mean
-    by default) or widths w_m. With a positive ``smooth`` the spline passes the points at
-    squared distances that sum to ``smooth`` for x and for y. Repeated s keep their
-    first point.
+    by default) or widths w_m. With a positive ``smooth``, or another order than 3, the
+    curve comes from ``splines.fitted`` and ``ext`` says what lies beyond the last point;
+    derivatives of a line of order 1 are differences. Repeated s keep their first point.
     """
-    rule = step or "geometric_mean"
-    if isinstance(rule, str) and rule not in STEPS:
-        raise ValueError(f"unknown step {rule}; known are {', '.join(STEPS)}")
+    rule = _checked(step)
+    if smooth > 0 or order != 3 or ext:
+        return resampled_from(splines.fitted(points, order, smooth, per_point=per_point), points, rule, ext)
 
     def kernel(s: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> dict:
         s, first = np.unique(s, return_index=True)
         x, y, w = x[first], y[first], w[first]
         if len(s) < 2:
             return {k: np.zeros(0) for k in ("k", "s", "x", "y", "dxds", "dyds", "d2xds2", "d2yds2")}
-        if smooth > 0:
-            x, y = kernels.smoothed_values(s, x, smooth), kernels.smoothed_values(s, y, smooth)
         ds = _step(rule, s, w)
         at = np.arange(s[0], s[-1] + ds / 2, ds)
         (xs, x1, x2), (ys, y1, y2) = kernels.spline(s, x, at), kernels.spline(s, y, at)
@@ -94,16 +100,47 @@ def resampled(points: DataFrame, step: str | float | None = None, smooth: float
     return per_group(points.withColumn("_w", width), ["river_id"], ["s", "x", "y", "_w"], kernel, result)
 
 
-def resampled_table(points: DataFrame, step: str | float | None = None, smooth: float = 0.0) -> DataFrame:
+def stations(points: DataFrame, step: str | float | None = None) -> DataFrame:
+    """river_id, k, s at a regular step from the first point, by one of ``STEPS`` or a length."""
+    rule = _checked(step)
+    width = F.col("w_m") if "w_m" in points.columns else F.lit(None).cast("double")
+    first = points.groupBy("river_id", "s").agg(F.min_by(F.struct(width.alias("w")), "idx").alias("f"))
+    rows = first.select("river_id", "s", F.col("f.w").alias("w"), (F.col("s") - F.lag("s").over(Window.partitionBy("river_id").orderBy("s"))).alias("d"))
+    whole = F.when(F.count_if(F.col("w").isNull() | F.isnan("w")) > 0, F.raise_error(F.lit(f"the step {rule} needs every width")).cast("double"))
+    length = {
+        "geometric_mean": F.pow(F.lit(10.0), F.avg(F.log10("d"))), "mean": F.avg("d"), "min": F.min("d"),
+        "min_width": whole.otherwise(F.min("w")), "geometric_mean_width": whole.otherwise(F.pow(F.lit(10.0), F.avg(F.log10("w")))),
+    }
+    ds = length[rule] if isinstance(rule, str) else F.lit(float(rule))
+    ends = rows.groupBy("river_id").agg(F.min("s").alias("s0"), F.max("s").alias("s1"), ds.alias("ds")).where("s1 > s0")
+    k = F.sequence(F.lit(0).cast("long"), F.ceil((F.col("s1") - F.col("s0") + F.col("ds") / 2) / F.col("ds")).cast("long") - 1)
+    return ends.select("river_id", "s0", "ds", F.explode(k).alias("k")).select("river_id", "k", (F.col("s0") + F.col("k") * F.col("ds")).alias("s"))
+
+
+def resampled_from(table: DataFrame, points: DataFrame, step: str | float | None = None, ext: int = 0) -> DataFrame:
+    """``resampled`` from a table of splines that is at hand: a table of order 1 has differences for derivatives."""
+    table = written(table, "spline-table")
+    out = splines.at_stations(table, stations(points, step), derivatives=(0, 1, 2), ext=ext)
+    straight = table.groupBy("river_id").agg((F.max(F.size("c")) == 2).alias("straight"))
+    by_k = Window.partitionBy("river_id").orderBy("k")
+    first = {f"_{c}1": gradient(F.col(c), F.col("s"), by_k) for c in "xy"}
+    second = {f"_{c}2": gradient(F.col(f"_{c}1"), F.col("s"), by_k) for c in "xy"}
+    out = out.join(straight, "river_id").withColumns(first).withColumns(second)
+    slope = lambda c, own: F.when(F.col("straight"), F.col(own)).otherwise(F.col(c)).alias(c)
+    return out.select("river_id", "k", "s", "x", "y", slope("dxds", "_x1"), slope("dyds", "_y1"), slope("d2xds2", "_x2"), slope("d2yds2", "_y2"))
+
+
+def resampled_table(points: DataFrame, step: str | float | None = None, smooth: float = 0.0, order: int = 3, ext: int = 0) -> DataFrame:
     """``resampled`` with all that the points have: river_id, idx, s, x, y and derivatives; z, da_sqkm and w_m
     by straight lines, carried on beyond the ends; comid, so and within_waterbody from the point before.
+    ``smooth`` is the mean squared distance of x and of y from the points.
     """
-    out = written(resampled(points, step, smooth), "resampled")
-    stations = out.select("river_id", "s", "k")
+    out = written(resampled(points, step, smooth, order, ext, per_point=True), "resampled")
+    at = out.select("river_id", "s", "k")
     for names, how in ((("z", "da_sqkm", "w_m"), interpolated), (("comid", "so", "within_waterbody"), previous)):
         for c in names:
             if c in points.columns:
-                out = out.join(how(points, stations, c).select("river_id", "k", c), ["river_id", "k"])
+                out = out.join(how(points, at, c).select("river_id", "k", c), ["river_id", "k"])
     return out.withColumnRenamed("k", "idx")
 
 

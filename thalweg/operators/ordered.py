@@ -46,10 +46,11 @@ def step_statistics(points: DataFrame) -> DataFrame:
     )
 
 
-def gradient(f: Column, s: Column) -> Column:
+def gradient(f: Column, s: Column, order: WindowSpec | None = None) -> Column:
     """Second-order derivative of f by uneven s, one-sided at the ends; null at repeated s."""
-    f0, f2 = F.lag(f).over(in_order()), F.lead(f).over(in_order())
-    h1, h2 = s - F.lag(s).over(in_order()), F.lead(s).over(in_order()) - s
+    order = order or in_order()
+    f0, f2 = F.lag(f).over(order), F.lead(f).over(order)
+    h1, h2 = s - F.lag(s).over(order), F.lead(s).over(order) - s
     inner = F.try_divide(h1 * h1 * f2 + (h2 * h2 - h1 * h1) * f - h2 * h2 * f0, h1 * h2 * (h1 + h2))
     return F.coalesce(inner, F.try_divide(f - f0, h1), F.try_divide(f2 - f, h2))
 

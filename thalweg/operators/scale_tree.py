@@ -4,7 +4,7 @@ A node is a region between two neighbouring zero-crossing lines, from the scale
 of them first appears down to where it splits. Nodes of a river are found in one kernel
 per signal; what leaves it is one row a node.
 
-Implements: X1, X2, X6-X9, X10 and X11 (places, lengths, directions), R11-R13, X12, X13, X16.
+Implements: X1, X2, X6-X9, X10, X11, A18, A19, R11-R13, X12, X13, X16.
 """
 
 from __future__ import annotations
@@ -14,12 +14,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thalweg.functions import kernels
 from thalweg.functions.scalar import step_length
-from thalweg.operators import metrics
+from thalweg.operators import graph, inflections, lines, metrics, spectral, splines
+from thalweg.sources.scratch import written
 
 _NODE = ("node", "parent", "root", "depth", "n_child", "row_top", "row_bottom", "col_min", "col_max", "peak_row", "peak_col", "bound_low", "bound_high")
 NODES = ", ".join(f"{c} long" for c in _NODE) + ", peak_pwr double, wavelength double"
@@ -263,6 +264,47 @@ def placed(tree: DataFrame, points: DataFrame) -> DataFrame:
     )
 
 
+def refined(tree: DataFrame, points: DataFrame, table: DataFrame | None = None) -> DataFrame:
+    """X11: ``placed`` nodes with their extended spans, inflections and leaf spans.
+
+    Adds ext_start, ext_end, lambda_ext, l_ext, sn_ext, s_reach, s_inf_left, s_inf_right,
+    inf_start, inf_end, x and y of both inflections on the splines of ``table`` (cubic ones
+    through the points by default), and leaf_start and leaf_end. Nodes without a peak are
+    skipped over when leaves are looked for.
+    """
+    table = table if table is not None else written(splines.fitted(points), "spline-table")
+    nodes = written(placed(tree, points), "placed")
+    key = ["river_id", "node"]
+    spans = nodes.select("river_id", F.col("node").alias("bend_id"), F.col("bound_low").alias("idx_start"), F.col("bound_high").alias("idx_end"))
+    spans = spans.join(lines.extended_bounds(points, spans), ["river_id", "bend_id"])
+    moved = written(inflections.at_inflections(inflections.refined(points, spans), table), "inflections")
+    at = moved.select("river_id", "bend_id", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("ext_start").alias("idx")), F.struct(F.lit("b").alias("side"), F.col("ext_end").alias("idx")))).alias("e"))
+    at = at.select("river_id", "bend_id", "e.side", "e.idx").join(points.select("river_id", "idx", "s", "x", "y"), ["river_id", "idx"])
+    pick = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+    chord = step_length(pick("b", "x") - pick("a", "x"), pick("b", "y") - pick("a", "y"))
+    wide = at.groupBy("river_id", "bend_id").agg((pick("b", "s") - pick("a", "s")).alias("lambda_ext"), chord.alias("l_ext"))
+    wide = wide.withColumn("sn_ext", F.try_divide("lambda_ext", "l_ext"))
+    # nodes are known by river and number from here on, and hang on their nearest ancestor with a peak
+    name = lambda c: F.struct(F.col("river_id"), F.col(c).cast("long").alias("node"))
+    every = tree.select(name("node").alias("node"), F.when(F.col("parent") >= 0, name("parent")).alias("parent"), F.col("peak_row").isNull().alias("flat"))
+    hung = graph.without(every, F.col("flat"))
+    leaves = hung.join(moved.select(F.struct("river_id", F.col("bend_id").alias("node")).alias("node"), "idx_start", "idx_end", "inf_start", "inf_end"), "node")
+    leaves = inflections.leaf_spans(leaves).select("node.river_id", "node.node", "leaf_start", "leaf_end")
+    reach = points.groupBy("river_id").agg(F.max_by("s", "idx").alias("s_reach"))
+    moved = moved.join(wide, ["river_id", "bend_id"]).drop("idx_start", "idx_end").withColumnRenamed("bend_id", "node")
+    return nodes.join(moved, key).join(leaves, key).join(reach, "river_id")
+
+
+def leaf_spectra(nodes: DataFrame, points: DataFrame, dt: float = 1.0, dj: float = 0.05) -> DataFrame:
+    """river_id, node_id, j, gws and is_peak of each ``refined`` node: the mean power of its leaf span by scale."""
+    wave = spectral.cwt(spectral.signals(points, "c"), dt, dj)
+    spans = nodes.select("river_id", F.col("node").alias("node_id"), F.col("leaf_start").alias("low"), F.col("leaf_end").alias("high"))
+    gws = spectral.leaf_spectrum(wave, spans)
+    w = Window.partitionBy("river_id", "node_id").orderBy("j")
+    before, after = F.lag("gws").over(w), F.lead("gws").over(w)
+    return gws.withColumn("is_peak", F.coalesce((F.col("gws") > before) & (F.col("gws") > after), F.lit(False)))
+
+
 def bend_database(spans: DataFrame, points: DataFrame) -> DataFrame:
     """The metrics of every span (river_id, bend_id, idx_start, idx_end), one row each.
 

@@ -115,13 +115,6 @@ def smooth_savgol(spark, sf_dir):
     return rounded(lines.smoothed(transects(spark, sf_dir), 2, 5, 9), "x_smooth", "y_smooth")
 
 
-@query()
-def extended_bounds(spark, sf_dir):
-    c = curved(spark, sf_dir)
-    b = metrics.bends(metrics.side_runs(c)).select("river_id", "bend_id", "idx_start", "idx_end")
-    return lines.extended_bounds(c, b)
-
-
 @query()
 def funneling(spark, sf_dir):
     return lines.funneling(st.bend_points(spark, sf_dir))
