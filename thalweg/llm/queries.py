@@ -218,5 +218,74 @@ FROM d LEFT JOIN z ON z.doc_id = d.doc_id
 """
 
 
+# CRC-32: the table of its bytes, and the sum of a text over it.
+_SUMS = """tab AS (
+  SELECT list(c ORDER BY i) AS tab FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(256)) AS i)))"""
+
+
+def _crc(text: str) -> str:
+    byte = f"('0x' || hex(encode({text}))[2 * i + 1 : 2 * i + 2])::BIGINT"
+    return (f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode({text}))), lambda i: {byte})), "
+            f"lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])))")
+
+
+# Best cost, edits and lines by turn and state; insertions between two turns are a fixed closure of the pattern's states.
+_REPAIR = rf"""
+WITH RECURSIVE {_SUMS},
+x AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS place FROM conversations),
+y AS (SELECT x.*, {_crc("place")} % 20 AS k FROM x, tab),
+z AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy,
+             CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM y WHERE k > 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
+             row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen,
+             right(regexp_replace(text, '[\x20\x09-\x0D]+$', ''), 1) AS last FROM z),
+f AS (SELECT *, left(role, 1) AS initial, CASE WHEN last = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM o),
+step(p, role, q) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+added(p, q, c, a, l) AS (
+  SELECT p, p, 0, '', []::VARCHAR[] FROM (SELECT unnest(range(4))::INT AS p)
+  UNION ALL VALUES (0, 2, 3, 'I', ['user:']), (1, 2, 3, 'I', ['user:']), (2, 3, 3, 'I', ['assistant:']), (3, 2, 3, 'I', ['user:']), (0, 3, 6, 'II', ['user:', 'assistant:']), (1, 3, 6, 'II', ['user:', 'assistant:'])),
+arcs AS (
+  SELECT conv_id, i, p, p AS q, 4 AS c, 'D' AS a, []::VARCHAR[] AS l FROM f, (SELECT unnest(range(4))::INT AS p)
+  UNION ALL SELECT conv_id, i, p, q, CASE WHEN fault IS NULL THEN 0 ELSE 3 END, 'K', [f.role || ':' || text] FROM f JOIN step ON step.role = f.initial WHERE fault IS NULL OR fault = 'truncated'
+  UNION ALL SELECT conv_id, i, p, q, CASE WHEN fault IS NULL THEN 3 ELSE 6 END, 'R', [CASE step.role WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text] FROM f JOIN step ON step.role <> 's' WHERE fault IS NULL OR fault = 'truncated'),
+best(conv_id, i, q, b) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, 0, {{'c': 0, 'a': '', 'l': []::VARCHAR[]}} FROM f
+  UNION ALL
+  SELECT b.conv_id, b.i + 1, x.q, min({{'c': b.b.c + n.c + x.c, 'a': b.b.a || n.a || x.a, 'l': b.b.l || n.l || x.l}})
+  FROM best b JOIN added n ON n.p = b.q JOIN arcs x ON x.conv_id IS NOT DISTINCT FROM b.conv_id AND x.i = b.i + 1 AND x.p = n.q GROUP BY 1, 2, 3),
+n AS (SELECT conv_id, max(i) AS n FROM f GROUP BY 1),
+w AS (SELECT b.conv_id, min({{'c': b.b.c + a.c, 'a': b.b.a || a.a, 'l': b.b.l || a.l}}) AS b FROM best b JOIN n ON n.conv_id IS NOT DISTINCT FROM b.conv_id AND n.n = b.i JOIN added a ON a.p = b.q WHERE a.q IN (0, 3) GROUP BY 1),
+pairs AS (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM f),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+             count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM pairs GROUP BY 1)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(w.b.c, 0)::BIGINT AS cost, coalesce(w.b.a, '') AS audit, sha256(coalesce(array_to_string(w.b.l, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) e LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+_RESAMPLE = rf"""
+WITH {_SUMS},
+d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+fd AS (SELECT row, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM d),
+fb AS (SELECT unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM b),
+h AS (SELECT f, {_crc("f")} % 10000 AS bucket FROM (SELECT DISTINCT f FROM (SELECT f FROM fd UNION ALL SELECT f FROM fb)), tab),
+s AS (SELECT bucket, count(*) AS n FROM fd JOIN h ON h.f = fd.f GROUP BY 1),
+t AS (SELECT bucket, count(*) AS n FROM fb JOIN h ON h.f = fb.f GROUP BY 1),
+a AS (SELECT (SELECT coalesce(sum(n), 0) FROM s)::DOUBLE AS s, (SELECT coalesce(sum(n), 0) FROM t)::DOUBLE AS t),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (a.s + 10000) / ((s.n + 1)::DOUBLE * (a.t + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket), a),
+m AS (SELECT row, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM fd JOIN h ON h.f = fd.f JOIN g USING (bucket) GROUP BY 1),
+z AS (SELECT doc_id, len(w) AS words, coalesce(m.n, 0)::BIGINT AS n_features, coalesce(m.weight, 0)::BIGINT AS weight,
+             coalesce(m.weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || sha256('7:' || coalesce(doc_id::VARCHAR, 'null'))[1:8])::BIGINT::DOUBLE + 0.5) / 4294967296.0)))::BIGINT AS score FROM d LEFT JOIN m USING (row)),
+r AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id NULLS FIRST, n_features, weight) AS place, count(*) OVER (PARTITION BY words >= 20) AS fit FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND place <= 25 * fit // 100 THEN place END::BIGINT AS rank FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": _CHAT, "op5_line_dedup": _LINES, "op8_ngram_join": _NGRAM, "op9_embed_dedup": _EMBED, "op10_mixing": _MIX}
+    return {
+        "op3_chat": _CHAT, "op5_line_dedup": _LINES, "op8_ngram_join": _NGRAM, "op9_embed_dedup": _EMBED, "op10_mixing": _MIX,
+        "op11_repair": _REPAIR, "op13_resampling": _RESAMPLE,
+    }
