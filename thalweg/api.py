@@ -80,8 +80,19 @@ class Rivers:
     def bends(self, level: float = 0.0) -> DataFrame:
         return metrics.bends(metrics.side_runs(self.points, level))
 
-    def spectrum(self, dt: float, dj: float = 0.05, mother: str = "DOG") -> DataFrame:
-        return spectral.cwt(spectral.signals(self._curved().points, "c"), dt, dj, None, mother)
+    def spectrum(self, dt: float, dj: float = 0.05, mother: str | None = None, of: str = "curvature", m: float | None = None) -> DataFrame:
+        """C11: the transform of the curvature (by default with the wavelet DOG) or of the direction ``angle`` (MORLET of 2)."""
+        return self.spectra(dt, dj, mother, of, m)["wave"]
+
+    def spectra(self, dt: float, dj: float = 0.05, mother: str | None = None, of: str = "curvature", m: float | None = None) -> dict[str, DataFrame]:
+        """C11: the tables of ``spectral.analysed`` of the curvature or of the unwrapped direction angle."""
+        points = self._curved().points
+        if of == "curvature":
+            return spectral.analysed(spectral.signals(points, "c"), dt, dj, None, mother or "DOG", m)
+        if of != "angle":
+            raise ValueError("spectra are of curvature or angle")
+        turned = spectral.unwrapped(points, "heading")
+        return spectral.analysed(spectral.signals(turned, "heading"), dt, dj, None, mother or "MORLET", 2.0 if m is None and mother in (None, "MORLET") else m)
 
     def scale_tree(self, dt: float, dj: float = 0.05) -> DataFrame:
         """Nodes of the curvature's scale-space tree."""

@@ -3,7 +3,7 @@
 The transform is a kernel per signal inside Arrow batches; everything after it is plain
 aggregation over the long table (river_id, j, n, re, im, power).
 
-Implements: C1-C3, C6-C13, F10, F11, X5, A18.
+Implements: C1-C4, C6-C13, F10, F11, X5, A18.
 """
 
 from __future__ import annotations
@@ -17,11 +17,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thalweg.functions import kernels
+from thalweg.functions.distributions import chi2_quantile
 from thalweg.functions.scalar import MOTHERS, fourier_factor
 
 #: Reconstruction factor and value at 0 of the mother wavelets at their defaults.
 C_DELTA = {"MORLET": 0.776, "PAUL": 1.132, "DOG": 3.541}
 PSI_0 = {"MORLET": math.pi**-0.25, "PAUL": 1.079, "DOG": 0.867}
+#: Degrees of freedom, and how fast the mother wavelets forget in time and over scales.
+DOF = {"MORLET": 2.0, "PAUL": 2.0, "DOG": 1.0}
+DECORRELATION = {"MORLET": (2.32, 0.60), "PAUL": (1.17, 1.5), "DOG": (1.43, 1.4)}
 
 
 def signals(points: DataFrame, column: str) -> DataFrame:
@@ -78,18 +82,70 @@ def scale_averaged(wave: DataFrame, dt: float, dj: float, mother: str = "DOG") -
     return wave.groupBy("river_id", "n").agg((F.sum(F.col("power") / F.col("scale")) * (dj * dt / C_DELTA[mother])).alias("sawp"))
 
 
-def significance(signal: DataFrame, level: float = 0.95, lag1: float = 0.0, mother: str = "DOG") -> DataFrame:
-    """river_id and the power that red noise of the signal's variance seldom exceeds.
-
-    With ``lag1`` 0 it is the same at every scale. Real wavelets have one degree of
-    freedom, complex ones two.
-    """
-    if lag1:
-        raise ValueError("for red noise use noise_spectrum with a scale")
-    dof = 1 if mother == "DOG" else 2
+def variances(signal: DataFrame) -> DataFrame:
+    """river_id, n_points and var: the population variance of each signal."""
     mean = F.aggregate("signal", F.lit(0.0), lambda a, v: a + v) / F.size("signal")
     var = F.aggregate(F.transform("signal", lambda v: (v - mean) * (v - mean)), F.lit(0.0), lambda a, v: a + v) / F.size("signal")
-    return signal.select("river_id", (var * (kernels.chi2_quantile(level, dof) / dof)).alias("signif"))
+    return signal.where(F.size("signal") > 0).select("river_id", F.size("signal").cast("long").alias("n_points"), var.alias("var"))
+
+
+def scales(signal: DataFrame, dt: float = 1.0, dj: float = 0.05, s0: float | None = None) -> DataFrame:
+    """river_id, n_points, var, j and scale: what ``cwt`` of these signals has."""
+    first = s0 or 2 * dt
+    last = F.floor(F.log2(F.col("n_points") * dt / first) / dj)
+    rows = variances(signal).where(F.col("n_points") >= 4).select("*", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("j"))
+    return rows.withColumn("scale", F.lit(first) * F.pow(F.lit(2.0), F.col("j") * dj))
+
+
+def _background(mother: str, m: float | None, dt: float, lag1: float, table: DataFrame, background: DataFrame | None) -> DataFrame:
+    """``table`` (of ``scales``) with ``noise``: red noise of the signal's variance, or the spectrum (river_id, j, gws) given."""
+    if background is None:
+        return table.withColumn("noise", F.col("var") * noise_spectrum(F.col("scale"), dt, lag1, mother, m))
+    return table.join(background.select("river_id", "j", F.col("gws").alias("noise")), ["river_id", "j"])
+
+
+def significance(
+    signal: DataFrame, level: float = 0.95, lag1: float = 0.0, mother: str = "DOG", m: float | None = None, dt: float = 1.0, dj: float = 0.05,
+    s0: float | None = None, averaged: int | None = None, background: DataFrame | None = None,
+) -> DataFrame:
+    """The power that noise seldom exceeds: river_id, signif where it is the same at every scale, else river_id, j, signif.
+
+    The noise is white (``lag1`` 0) or red, of the signal's variance, or has the spectrum
+    ``background`` (river_id, j, gws). With ``averaged`` the test is for spectra averaged
+    over so many places (0: all of the signal's), whose degrees of freedom grow as the scale falls.
+    """
+    least = DOF[mother]
+    if averaged is None and background is None and not lag1:
+        return variances(signal).select("river_id", (F.col("var") * (kernels.chi2_quantile(level, least) / least)).alias("signif"))
+    rows = _background(mother, m, dt, lag1, scales(signal, dt, dj, s0), background)
+    if averaged is None:
+        return rows.select("river_id", "j", (F.col("noise") * (kernels.chi2_quantile(level, least) / least)).alias("signif"))
+    if m is not None and m != MOTHERS[mother]:
+        raise ValueError("averages are known for the mother wavelets' own parameters alone")
+    places = F.col("n_points") if averaged == 0 else F.lit(max(1, averaged))
+    ratio = places * dt / DECORRELATION[mother][0] / F.col("scale")
+    # the degrees of freedom depend on scale and length alone, so each pair of them is solved once
+    rows = rows.withColumn("dof", F.greatest(F.lit(least), least * F.sqrt(1 + ratio * ratio)))
+    solved = rows.select("dof").distinct().withColumn("share", chi2_quantile(level, F.col("dof")) / F.col("dof"))
+    return rows.join(solved, "dof").select("river_id", "j", (F.col("noise") * F.col("share")).alias("signif"))
+
+
+def band_significance(
+    signal: DataFrame, low: float, high: float, level: float = 0.95, lag1: float = 0.0, mother: str = "DOG", dt: float = 1.0, dj: float = 0.05,
+    s0: float | None = None, background: DataFrame | None = None,
+) -> DataFrame:
+    """C4: river_id and the power, averaged over scales from ``low`` up to below ``high``, that noise seldom exceeds.
+
+    A river whose scales all lie outside the band gives no row.
+    """
+    rows = _background(mother, None, dt, lag1, scales(signal, dt, dj, s0), background).where((F.col("scale") >= low) & (F.col("scale") < high))
+    one = rows.groupBy("river_id").agg(F.count(F.lit(1)).alias("n"), F.sum(1 / F.col("scale")).alias("inverse"), F.sum(F.col("noise") / F.col("scale")).alias("noise"))
+    middle = math.sqrt(low * high)
+    spread = F.col("n") * (dj / DECORRELATION[mother][1])
+    one = one.withColumn("dof", DOF[mother] * F.col("n") / F.col("inverse") / middle * F.sqrt(1 + spread * spread))
+    solved = one.select("dof").distinct().withColumn("share", chi2_quantile(level, F.col("dof")) / F.col("dof"))
+    # the mean noise is its sum over the inverse sum, by which the average divides again
+    return one.join(solved, "dof").select("river_id", (F.col("noise") * F.col("share") * (dj * dt / C_DELTA[mother])).alias("signif"))
 
 
 def noise_spectrum(scale: Column, dt: float, lag1: float, mother: str = "DOG", m: float | None = None) -> Column:
@@ -99,18 +155,48 @@ def noise_spectrum(scale: Column, dt: float, lag1: float, mother: str = "DOG", m
     return (1 - lag1 * lag1) / (1 - 2 * lag1 * F.cos(2 * math.pi * freq) + lag1 * lag1)
 
 
-def masked(wave: DataFrame, signif: DataFrame, length: DataFrame, dt: float = 1.0, mother: str = "DOG") -> DataFrame:
+def masked(wave: DataFrame, signif: DataFrame, length: DataFrame, dt: float = 1.0, mother: str = "DOG", m: float | None = None) -> DataFrame:
     """power where it is significant and inside the cone of influence, else 0.
 
-    ``length`` has river_id and n_points.
+    ``length`` has river_id and n_points; ``signif`` is by river, or by river and scale.
     """
-    factor = fourier_factor(mother, MOTHERS[mother])[0]
-    j = wave.join(signif, "river_id").join(length, "river_id")
-    inside = F.col("scale") * factor <= coi(F.col("n"), F.col("n_points"), dt, mother)
+    factor = fourier_factor(mother, MOTHERS[mother] if m is None else m)[0]
+    j = wave.join(signif, [c for c in ("river_id", "j") if c in signif.columns]).join(length, "river_id")
+    inside = F.col("scale") * factor <= coi(F.col("n"), F.col("n_points"), dt, mother, m)
     keep = inside & (F.col("power") > F.col("signif"))
     return j.withColumn("power", F.when(keep, F.col("power")).otherwise(0.0)).drop("signif", "n_points")
 
 
+def unwrapped(points: DataFrame, angle: str) -> DataFrame:
+    """``points`` with jumps of ``angle`` by more than half a turn taken out: a running sum of the steps, each within half a turn."""
+    order = Window.partitionBy("river_id").orderBy("idx")
+    step = F.col(angle) - F.lag(angle).over(order)
+    turn = 2 * math.pi
+    # a step of exactly half a turn keeps its sign
+    short = step - turn * F.floor((step + math.pi) / turn)
+    short = F.when((short == -math.pi) & (step > 0), math.pi).otherwise(short)
+    rows = points.withColumns({"_step": F.coalesce(short, F.lit(0.0)), "_first": F.first(angle).over(order)})
+    return rows.withColumn(angle, F.col("_first") + F.sum("_step").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_step", "_first")
+
+
+def analysed(signal: DataFrame, dt: float = 1.0, dj: float = 0.05, s0: float | None = None, mother: str = "DOG", m: float | None = None) -> dict[str, DataFrame]:
+    """C11: the transform and what follows from it, as tables.
+
+    ``wave`` (C1), ``gws`` and ``gws_sig`` (mean power by scale; the second of the power that is
+    significant and outside the cone of influence), ``sawp`` and ``sawp_sig`` likewise by place,
+    ``peaks`` of gws, and ``signif``. The test is the one for white noise and the
+    real wavelet, whatever the mother is.
+    """
+    wave = cwt(signal, dt, dj, s0, mother, m)
+    signif = significance(signal)
+    kept = masked(wave, signif, variances(signal).select("river_id", "n_points"), dt, mother, m)
+    gws = global_spectrum(wave)
+    return {
+        "wave": wave, "power_sig": kept, "gws": gws, "gws_sig": global_spectrum(kept), "peaks": spectrum_peaks(gws),
+        "sawp": scale_averaged(wave, dt, dj, mother), "sawp_sig": scale_averaged(kept, dt, dj, mother), "signif": signif,
+    }
+
+
 def inverse(wave: DataFrame, dt: float, dj: float, mother: str = "DOG", scales: list[int] | None = None) -> DataFrame:
     """The signal (its mean removed) from the transform; some scales only give a band."""
     w = wave if scales is None else wave.where(F.col("j").isin(scales))

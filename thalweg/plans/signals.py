@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from thalweg.functions.kernels import chi2_quantile
+from thalweg.functions.scalar import fourier_factor
 from thalweg.operators import lines, metrics, ordered, scale_tree, spectral
 from thalweg.plans import standins as st
 from thalweg.plans.geometry import curved, r, rounded, transects
@@ -180,3 +181,63 @@ def bend_shape(spark, sf_dir):
 def noise_spectrum(spark, sf_dir):
     g = spectral.global_spectrum(wave(spark, sf_dir))
     return rounded(g.select("river_id", "j", spectral.noise_spectrum(F.col("scale"), 1.0, 0.7).alias("noise")), "noise")
+
+
+def _sql_quantile(level: float, dof: str) -> str:
+    """Chi-square quantile by bisection on the series of the incomplete gamma function."""
+    a, h = f"({dof} / 2)", "((s.lo + s.hi) / 4)"
+    series = f"list_sum(list_transform(range(0, 400), lambda i: exp(i * ln({h}) + lgamma({a} + 1) - lgamma({a} + i + 1))))"
+    below = f"exp({a} * ln({h}) - {h} - lgamma({a} + 1)) * {series} < {level}"
+    half = "(s.lo + s.hi) / 2"
+    start = "list_transform(range(81), lambda i: {'lo': 0.0::DOUBLE, 'hi': 200.0::DOUBLE})"
+    return f"list_reduce({start}, lambda s, x: CASE WHEN {below} THEN {{'lo': {half}, 'hi': s.hi}} ELSE {{'lo': s.lo, 'hi': {half}}} END).hi"
+
+
+#: Scales of the signals of 64 values, their variance, and red noise at each scale.
+_NOISE = f"""sg AS (SELECT vec_id AS river_id, unnest(embedding)::DOUBLE AS v FROM embeddings), vr AS (SELECT river_id, var_pop(v) AS var FROM sg GROUP BY 1),
+sc AS (SELECT j, 2 * pow(2, {DJ} * j) AS scale FROM range(0, 11) t(j)),
+ns AS (SELECT river_id, j, scale, var * (1 - 0.49) / (1 - 1.4 * cos(2 * pi() / (scale * {_FF!r})) + 0.49) AS noise FROM vr, sc)"""
+
+
+@query(f"WITH {_NOISE} SELECT river_id, j, round(noise * {chi2_quantile(0.95, 1)!r}, 6) + 0.0 AS signif FROM ns")
+def significance_red_noise(spark, sf_dir):
+    return rounded(spectral.significance(st.signals(spark, sf_dir), lag1=0.7, dj=DJ), "signif")
+
+
+@query(f"""WITH {_NOISE}, df AS (SELECT j, greatest(1.0, sqrt(1 + pow(64 / 1.43 / scale, 2))) AS dof FROM sc), qt AS (SELECT j, {_sql_quantile(0.95, 'dof')} / dof AS share FROM df)
+SELECT river_id, j, round(noise * share, 6) + 0.0 AS signif FROM ns JOIN qt USING (j)""")
+def significance_time_averaged(spark, sf_dir):
+    return rounded(spectral.significance(st.signals(spark, sf_dir), lag1=0.7, dj=DJ, averaged=0), "signif")
+
+
+@query(f"""WITH {_NOISE}, b AS (SELECT river_id, count(*) AS n, sum(1 / scale) AS inv, sum(noise / scale) AS noise FROM ns WHERE scale >= 2 AND scale < 8 GROUP BY 1),
+df AS (SELECT DISTINCT n / inv / 4 * sqrt(1 + pow(n * {DJ} / 1.4, 2)) AS dof, n FROM b), qt AS (SELECT n, {_sql_quantile(0.95, 'dof')} / dof AS share FROM (SELECT n, min(dof) AS dof FROM df GROUP BY 1))
+SELECT river_id, round(noise * share * {DJ} / 3.541, 6) + 0.0 AS signif FROM b JOIN qt USING (n)""")
+def significance_band(spark, sf_dir):
+    return rounded(spectral.band_significance(st.signals(spark, sf_dir), 2, 8, lag1=0.7, dj=DJ), "signif")
+
+
+_M2 = fourier_factor("MORLET", 2.0)
+
+
+# Steps between the values, each within half a turn, summed up; then the transform by positive frequencies alone.
+_ANGLE = f"""sg AS (SELECT vec_id AS river_id, unnest(embedding)::DOUBLE * 3 AS v, generate_subscripts(embedding, 1) - 1 AS n FROM embeddings),
+st AS (SELECT *, v - lag(v) OVER w AS d, first_value(v) OVER w AS v0 FROM sg WINDOW w AS (PARTITION BY river_id ORDER BY n)),
+un AS (SELECT river_id, n, v0 + sum(coalesce(d - 2 * pi() * floor((d + pi()) / (2 * pi())), 0)) OVER (PARTITION BY river_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS v FROM st),
+vr AS (SELECT river_id, var_pop(v) * {chi2_quantile(0.95, 1)!r} AS lim FROM un GROUP BY 1),
+sm AS (SELECT river_id, n, v - avg(v) OVER (PARTITION BY river_id) AS v FROM un),
+ft AS (SELECT river_id, k, sum(v * cos(2 * pi() * k * n / 128)) AS a, -sum(v * sin(2 * pi() * k * n / 128)) AS b FROM sm, range(1, 65) t(k) GROUP BY 1, 2),
+sc AS (SELECT j, 2 * pow(2, {DJ} * j) AS scale FROM range(0, 11) t(j)),
+ds AS (SELECT j, scale, k, sqrt(2 * pi() * scale) * pow(pi(), -0.25) * exp(-pow(scale * 2 * pi() * k / 128 - 2, 2) / 2) / 128 AS d FROM sc, range(1, 65) t(k)),
+tw AS (SELECT k, n, cos(2 * pi() * k * n / 128) AS co, sin(2 * pi() * k * n / 128) AS si FROM range(1, 65) t(k), range(0, 64) u(n)),
+wv AS (SELECT river_id, j, n, any_value(scale) AS scale, sum(d * (a * co - b * si)) AS re, sum(d * (a * si + b * co)) AS im FROM ft JOIN ds USING (k) JOIN tw USING (k) GROUP BY 1, 2, 3)"""
+
+
+@query(f"""WITH {_ANGLE} SELECT river_id, j, round(avg(re * re + im * im), 6) + 0.0 AS gws,
+round(avg(CASE WHEN re * re + im * im > lim AND scale * {_M2[0]!r} <= greatest(0, least(n - 1, 62 - n)) * {_M2[1]!r} THEN re * re + im * im ELSE 0 END), 6) + 0.0 AS gws_sig FROM wv JOIN vr USING (river_id) GROUP BY 1, 2""")
+def cwt_angle(spark, sf_dir):
+    """Mean power of directions, whole and significant: the embeddings' values, times three, as angles."""
+    s = st.signals(spark, sf_dir)
+    p = s.select("river_id", F.posexplode("signal").alias("idx", "a")).withColumn("a", F.col("a") * 3)
+    t = spectral.analysed(spectral.signals(spectral.unwrapped(p, "a"), "a"), 1.0, DJ, None, "MORLET", 2.0)
+    return rounded(t["gws"].select("river_id", "j", "gws").join(t["gws_sig"].select("river_id", "j", F.col("gws").alias("gws_sig")), ["river_id", "j"]), "gws", "gws_sig")
