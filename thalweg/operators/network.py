@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from thalweg.functions.scalar import channel_width, huc, initial_drainage_area, step_length
+from thalweg.operators import shapes
 from thalweg.operators.graph import descendants_extreme, paths_from, roots
 from thalweg.operators.ordered import distances, distinct_x, interpolated
 from thalweg.operators.ranking import ranked
@@ -162,25 +163,18 @@ def extended(paths: DataFrame, lines: DataFrame, min_km: float, most: int = 10,
 def prepared(lines: DataFrame, coords: DataFrame, tables: Sequence[DataFrame] = (), waterbodies: DataFrame | None = None, cell: float = 1e4) -> DataFrame:
     """IO9: flow lines with units, geometry, the columns of further ``tables``, waterbody flag; cleaned.
 
-    ``waterbodies`` has poly_id and ring; a line is within one if all its points are.
+    ``waterbodies`` has poly_id, ring and, if there are any, holes; ``coords`` may come in parts.
     """
     out = located(with_units(lines), coords)
     for table in tables:
         out = with_new_columns(out, table)
     flag = F.lit(0).cast("long")
     if waterbodies is not None:
-        inside = lines_within(coords, waterbodies, cell).select("comid").distinct().withColumn("_w", F.lit(1))
+        inside = shapes.lines_within(shapes.one_line(coords) if "parts" in coords.columns else coords, waterbodies, cell).select("comid").distinct().withColumn("_w", F.lit(1))
         out, flag = out.join(inside, "comid", "left"), F.coalesce("_w", F.lit(0)).cast("long")
     return cleaned(out.withColumn("within_waterbody", flag).drop("_w", "pts"))
 
 
-def lines_within(coords: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
-    """Comid and poly_id of lines all of whose points lie in one polygon."""
-    points = coords.select("comid", F.posexplode("pts").alias("k", "p")).select("comid", "k", "p.x", "p.y")
-    inside = within(points, polygons, cell).groupBy("comid", "poly_id").agg(F.count_distinct("k").alias("n"))
-    return inside.join(coords.select("comid", F.size("pts").alias("n")), ["comid", "n"]).select("comid", "poly_id")
-
-
 def river_coordinates(points: DataFrame) -> DataFrame:
     """IO19: the table of points of rivers as it is exported, in order."""
     return points.select("river_id", "idx", "x", "y", "s").orderBy("river_id", "idx")
@@ -189,9 +183,10 @@ def river_coordinates(points: DataFrame) -> DataFrame:
 def located(lines: DataFrame, coords: DataFrame) -> DataFrame:
     """Start, middle and end of each line, its length and sinuosity.
 
-    ``coords`` has comid and pts, an array of (x, y).
+    ``coords`` has comid and pts, an array of (x, y), or parts, an array of such arrays
+    (see ``shapes.one_line``). Lines without coordinates keep null.
     """
-    j = lines.join(coords, "comid")
+    j = lines.join(shapes.one_line(coords) if "parts" in coords.columns else coords, "comid", "left")
     at = lambda i: F.element_at("pts", i)
     mid = at((F.size("pts") / 2).cast("int") + 1)
     pairs = F.zip_with(F.slice("pts", F.lit(1), F.size("pts") - 1), F.slice("pts", F.lit(2), F.size("pts")), lambda a, b: step_length(b["x"] - a["x"], b["y"] - a["y"]))

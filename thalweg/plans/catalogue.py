@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thalweg.plans import geometry, networks, refinement, signals
+from thalweg.plans import geometry, networks, outlines, refinement, signals
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,8 +16,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {name: q for m in (geometry, networks, signals, refinement) for name, (q, _) in m.QUERIES.items()}
+    return {name: q for m in (geometry, networks, signals, refinement, outlines) for name, (q, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in (geometry, networks, signals, refinement) for name, (_, sql) in m.QUERIES.items() if sql}
+    return {name: sql for m in (geometry, networks, signals, refinement, outlines) for name, (_, sql) in m.QUERIES.items() if sql}
