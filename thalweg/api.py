@@ -11,12 +11,59 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thalweg.operators import lines, metrics, ordered, scale_tree, spectral, splines
+from thalweg.operators import compare, lines, metrics, ordered, scale_tree, spectral, splines
+from thalweg.operators.ranking import ranked
 from thalweg.sources.files import Store
 
 SOURCES = ("original", "resample", "smooth")
 
 
+@dataclass(frozen=True)
+class Network:
+    """IO14: what a data set holds of some rivers, brought together.
+
+    ``order`` ranks them by length, the longest first; ``trees`` and ``spectra`` are theirs
+    as stored; ``bends`` are those of their start_comid or else of their uid, with the
+    metrics computed anew on the points; a table that the data set lacks is None.
+    """
+
+    rivers: Rivers
+    order: DataFrame
+    bends: DataFrame | None = None
+    trees: DataFrame | None = None
+    spectra: DataFrame | None = None
+
+    @classmethod
+    def loaded(cls, store: Store, rivers: Iterable | None = None, recalculate: bool = True, **options) -> Network:
+        ids = None if rivers is None else list(rivers)
+        loaded = Rivers.loaded(store, ids, recalculate, **options)
+        length = loaded._measured().groupBy("river_id").agg(F.max("s").alias("length"))
+        order = ranked(length, [F.col("length").desc(), F.col("river_id").asc()], "place")
+
+        def stored(table: str) -> DataFrame | None:
+            try:
+                return store.read(table, ids)
+            except KeyError:
+                return None
+
+        try:
+            bends = store.read("bends")  # by comid or uid, so not by river
+        except KeyError:
+            bends = None
+        if bends is not None:
+            names = loaded.points.groupBy("river_id").agg(*(F.first(c).alias(c) if c in loaded.points.columns else F.lit(None).cast("string").alias(c) for c in ("start_comid", "uid")))
+            spans = compare.matched_rivers(bends.drop("river_id"), names).where("river_id is not null").select("river_id", "bend_id", "idx_start", "idx_end")
+            bends = scale_tree.bend_database(spans, loaded.points)
+        return cls(loaded, order, bends, stored("trees"), stored("spectra"))
+
+    def save(self, store: Store) -> None:
+        """IO13: every table that is there, under its own name."""
+        self.rivers.save(store)
+        for name in ("bends", "trees", "spectra"):
+            if getattr(self, name) is not None:
+                store.write(name, getattr(self, name))
+
+
 @dataclass(frozen=True)
 class Rivers:
     """Points (river_id, idx, x, y, and s, c once computed) of any number of rivers."""
@@ -43,9 +90,10 @@ class Rivers:
         return replace(out, points=ordered.width_scaled(out.points)) if scale_by_width else out
 
     @classmethod
-    def loaded(cls, store: Store, rivers: Iterable | None = None, **options) -> Rivers:
-        """IO14: the rivers of a data set (all, or those named), as ``added``."""
-        return cls.added(store.read("points", rivers), **options)
+    def loaded(cls, store: Store, rivers: Iterable | None = None, recalculate: bool = True, **options) -> Rivers:
+        """IO14: the rivers of a data set (all, or those named): as ``added``, or as they were stored."""
+        points = store.read("points", rivers)
+        return cls.added(points, **options) if recalculate else cls(points, "resample" if "dxds" in points.columns else "original")
 
     def inflections(self) -> DataFrame:
         """Where the curvature changes its sign."""

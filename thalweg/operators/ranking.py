@@ -26,3 +26,15 @@ def ranked(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFram
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     inside = F.col("_at").bitwiseAND((1 << _LOW_BITS) - 1)
     return placed.join(before, "_part").withColumn(name, F.col("_before") + inside + 1).drop("_part", "_at", "_before")
+
+
+def ranked_within(rows: DataFrame, group: list[str], order: list[Column], name: str = "rank") -> DataFrame:
+    """``rows`` with their place from 0 on inside their group, in the given order, which has to be total within it.
+
+    Groups are ranked one after the other in a single range sort, so a large one lies
+    in many tasks; each then takes off the place of its first row.
+    """
+    placed = ranked(rows, [*(F.col(g).asc_nulls_first() for g in group), *order], "_place")
+    placed = placed.withColumn("_group", F.struct(*group))
+    first = placed.groupBy("_group").agg(F.min("_place").alias("_first"))
+    return placed.join(first, placed["_group"].eqNullSafe(first["_group"])).withColumn(name, F.col("_place") - F.col("_first")).drop("_place", "_first", "_group")

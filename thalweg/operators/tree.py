@@ -1,6 +1,6 @@
 """Forests of bends as adjacency tables: tree_id, node_id, from_node_id and attributes.
 
-Implements: F3, F4, F6-F9, F14, N12, T6, X14, R13 (node kinds), A20.
+Implements: F3, F4, F6-F9, F14, N12, T6, X14, R13, A20.
 """
 
 from __future__ import annotations
@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thalweg.functions.scalar import step_length
+from thalweg.operators import graph
+from thalweg.operators.ranking import ranked_within
+from thalweg.sources.scratch import written
 
 
 def matching(forest: DataFrame, key: str, value: object) -> DataFrame:
@@ -91,8 +94,8 @@ def without_peaks(forest: DataFrame, gone: DataFrame) -> DataFrame:
 
 def renumbered(forest: DataFrame) -> DataFrame:
     """Bends of each tree numbered from 0 in order of s_c."""
-    w = Window.partitionBy("tree_id", "is_meander").orderBy("s_c", "node_id")
-    return forest.withColumn("meander_id", F.when(F.col("is_meander") == 1, F.row_number().over(w) - 1).cast("long"))
+    out = ranked_within(forest, ["tree_id", "is_meander"], [F.col("s_c").asc(), F.col("node_id").asc()], "meander_id")
+    return out.withColumn("meander_id", F.when(F.col("is_meander") == 1, F.col("meander_id")))
 
 
 def pruned(forest: DataFrame, method: str, **options) -> DataFrame:
@@ -112,5 +115,62 @@ def selected(tables: dict[str, DataFrame], name: str) -> DataFrame:
 
 def by_power(forest: DataFrame) -> DataFrame:
     """Nodes of each tree with their rank by peak power, unknown power first, then the largest."""
-    order = Window.partitionBy("tree_id").orderBy(F.isnan("peak_pwr").desc(), F.col("peak_pwr").desc_nulls_first(), "node_id")
-    return forest.withColumn("power_rank", F.row_number().over(order).cast("long"))
+    order = [F.isnan("peak_pwr").desc(), F.col("peak_pwr").desc_nulls_first(), F.col("node_id").asc()]
+    return ranked_within(forest, ["tree_id"], order, "power_rank").withColumn("power_rank", F.col("power_rank") + 1)
+
+
+def from_branches(branches: DataFrame) -> DataFrame:
+    """The forest that branches make: river_id, tree_id, node_id, from_node_id, node, kinds, is_meander, meander_id.
+
+    ``branches`` has river_id, branch_id, level (0 at the root, then one by one), node and
+    meander_level. Branches of a river that start at one node are one tree; a node that
+    several share is taken from the first of them, in order of branch_id, and hangs on the
+    node one level up there. Trees are numbered by their first branch, nodes as they are met.
+    The node that ends its branch is a leaf; the one at the branch's meander_level is a bend.
+    """
+    b = branches.select("river_id", "branch_id", "level", "node", "meander_level")
+    by = ["river_id", "branch_id"]
+    ends = b.groupBy(*by).agg(F.min_by("node", "level").alias("root"), F.max("level").alias("last"))
+    trees = ranked_within(ends.groupBy("river_id", "root").agg(F.min("branch_id").alias("first_branch")), ["river_id"], [F.col("first_branch").asc()], "tree_id")
+    above = b.select(*by, (F.col("level") + 1).alias("level"), F.col("node").alias("from_node"))
+    rows = b.join(ends, by).join(above, [*by, "level"], "left")
+    met = F.min_by(F.struct("branch_id", "level", "from_node", "last", "meander_level"), F.struct("branch_id", "level"))
+    rows = rows.groupBy("river_id", "root", "node").agg(met.alias("f")).select("river_id", "root", "node", "f.*")
+    rows = rows.join(trees.select("river_id", "root", "tree_id"), ["river_id", "root"])
+    rows = written(ranked_within(rows, ["river_id", "tree_id"], [F.col("branch_id").asc(), F.col("level").asc()], "node_id"), "forest")
+    parents = rows.select("river_id", "tree_id", F.col("node").alias("from_node"), F.col("node_id").alias("from_node_id"))
+    rows = rows.join(parents, ["river_id", "tree_id", "from_node"], "left")
+    root, leaf = F.col("node_id") == 0, F.col("level") == F.col("last")
+    kinds = {"root_node": root, "leaf_node": ~root & leaf, "parent_node": ~root & ~leaf, "is_meander": F.col("level") == F.col("meander_level")}
+    rows = rows.withColumns({k: F.coalesce(v, F.lit(False)).cast("long") for k, v in kinds.items()})
+    bends = ranked_within(rows.where("is_meander = 1").select("river_id", "tree_id", "node_id"), ["river_id", "tree_id"], [F.col("node_id").asc()], "meander_id")
+    out = rows.join(bends, ["river_id", "tree_id", "node_id"], "left").withColumn("meander_id", F.coalesce("meander_id", F.lit(-1)))
+    return out.select("river_id", "tree_id", "node_id", "from_node_id", "node", "level", *kinds, "meander_id")
+
+
+def linked(forest: DataFrame, links: DataFrame) -> DataFrame:
+    """Trees hung on nodes of other trees: tree_id, node_id, from_node_id, depth, kinds, old_tree_id, old_node_id.
+
+    ``links`` (tree_id, to_tree_id, to_node_id) names the node on which a tree's root is hung.
+    A tree gets the number of the one it ends in; inside it the nodes of each former tree,
+    in order of their numbers, keep their order in a range of their own. Trees that hang on
+    one another in a circle have no root and are left out.
+    """
+    name = lambda tree, node: F.struct(F.col(tree).alias("tree"), F.col(node).alias("node"))
+    known = forest.select("tree_id", F.col("node_id").alias("from_node_id"), F.lit(True).alias("inner"))
+    rows = forest.select("tree_id", "node_id", "from_node_id").join(known, ["tree_id", "from_node_id"], "left").join(links, "tree_id", "left")
+    above = F.when(F.col("inner"), name("tree_id", "from_node_id")).when(F.col("to_tree_id").isNotNull(), name("to_tree_id", "to_node_id"))
+    rows = written(rows.select(name("tree_id", "node_id").alias("node"), above.alias("parent")), "linked")
+    ends = graph.roots(rows)
+    sizes = rows.groupBy(F.col("node.tree").alias("tree")).agg((F.max("node.node") + 1).alias("size"))
+    of = ends.select(F.col("node.tree").alias("tree"), F.col("root.tree").alias("tree_id")).distinct().join(sizes, "tree")
+    # one row a tree
+    before = F.sum("size").over(Window.partitionBy("tree_id").orderBy("tree").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    of = written(of.select("tree", "tree_id", before.alias("offset")), "linked-trees")
+    up = of.select(F.col("tree").alias("up_tree"), F.col("offset").alias("up_offset"))
+    out = rows.join(ends.select("node", "depth"), "node").withColumns({"tree": F.col("node.tree"), "up_tree": F.col("parent.tree")}).join(of, "tree").join(up, "up_tree", "left")
+    out = out.select(
+        "tree_id", (F.col("offset") + F.col("node.node")).alias("node_id"), (F.col("up_offset") + F.col("parent.node")).alias("from_node_id"), "depth",
+        F.col("tree").alias("old_tree_id"), F.col("node.node").alias("old_node_id"),
+    )
+    return node_kinds(out)

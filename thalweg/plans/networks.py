@@ -331,3 +331,42 @@ def prepared_lines(spark, sf_dir):
 def nodes_by_power(spark, sf_dir):
     f = st.forest(spark, sf_dir).withColumn("peak_pwr", F.when(F.col("node_id") % 9 == 0, F.lit(float("nan"))).otherwise(F.col("peak_pwr")))
     return tree.by_power(f).select("node_id", "power_rank")
+
+
+#: The heap of orders below its nodes 2 and 3: a branch for each order without orders below it, up to the top.
+_BRANCHES = f"""{st.SQL_FLOW}, lf AS (SELECT comid FROM fl WHERE comid > 3 AND comid * 2 NOT IN (SELECT comid FROM fl) AND comid * 2 + 1 NOT IN (SELECT comid FROM fl)),
+br AS (SELECT 1 AS river_id, comid AS branch_id, level, comid >> (n - level)::INT AS node, comid % 5 AS meander_level FROM (SELECT comid, length(bin(comid)) - 2 AS n FROM lf), range(0, 64) t(level) WHERE level <= n)"""
+
+
+def _branches(spark, sf_dir):
+    f = st.flowlines(spark, sf_dir).select("comid")
+    below = f.select(F.expr("comid div 2").alias("comid")).distinct()
+    leaves = f.where("comid > 3").join(below, "comid", "left_anti").withColumn("n", (F.length(F.bin("comid")) - 2).cast("long"))
+    b = leaves.withColumn("level", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"))))
+    return b.select(F.lit(1).alias("river_id"), F.col("comid").alias("branch_id"), "level", F.expr("shiftright(comid, cast(n - level as int))").alias("node"), (F.col("comid") % 5).alias("meander_level"))
+
+
+@query(f"""WITH {_BRANCHES}, rt AS (SELECT branch_id, arg_min(node, level) AS root, max(level) AS last FROM br GROUP BY 1),
+tr AS (SELECT root, dense_rank() OVER (ORDER BY min(branch_id)) - 1 AS tree_id FROM rt GROUP BY 1),
+nd AS (SELECT br.*, root, last, lag(node) OVER (PARTITION BY branch_id ORDER BY level) AS from_node FROM br JOIN rt USING (branch_id)),
+f1 AS (SELECT * FROM nd QUALIFY row_number() OVER (PARTITION BY root, node ORDER BY branch_id, level) = 1),
+f2 AS (SELECT f1.*, tree_id, row_number() OVER (PARTITION BY tree_id ORDER BY branch_id, level) - 1 AS node_id FROM f1 JOIN tr USING (root)),
+f3 AS (SELECT a.*, b.node_id AS from_node_id FROM f2 a LEFT JOIN f2 b ON b.tree_id = a.tree_id AND b.node = a.from_node)
+SELECT tree_id::BIGINT AS tree_id, node_id::BIGINT AS node_id, coalesce(from_node_id, -1)::BIGINT AS from_node_id, node::BIGINT AS node, (node_id = 0)::BIGINT AS root_node, (node_id > 0 AND level = last)::BIGINT AS leaf_node,
+       (node_id > 0 AND level < last)::BIGINT AS parent_node, (level = meander_level)::BIGINT AS is_meander,
+       (CASE WHEN level = meander_level THEN row_number() OVER (PARTITION BY tree_id, level = meander_level ORDER BY node_id) - 1 ELSE -1 END)::BIGINT AS meander_id FROM f3""")
+def forest_from_branches(spark, sf_dir):
+    return tree.from_branches(_branches(spark, sf_dir)).drop("river_id", "level").fillna(-1, ["from_node_id"])
+
+
+@query(f"""WITH RECURSIVE {st.SQL_FLOW}, t AS (SELECT CASE substr(bin(comid), 2, 1) WHEN '0' THEN 0 ELSE 1 END AS tree, comid, CASE WHEN comid > 3 THEN comid // 2 WHEN comid = 3 THEN 5 END AS up FROM fl WHERE comid > 1),
+d AS (SELECT comid, 0 AS depth FROM t WHERE comid = 2 UNION ALL SELECT t.comid, d.depth + 1 FROM d JOIN t ON t.up = d.comid),
+o AS (SELECT max(comid) + 1 AS o FROM t WHERE tree = 0), k AS (SELECT DISTINCT up FROM t WHERE up IS NOT NULL)
+SELECT 0::BIGINT AS tree_id, (t.comid + tree * o)::BIGINT AS node_id, (CASE WHEN comid = 2 THEN -1 WHEN comid = 3 THEN 5 ELSE t.up + tree * o END)::BIGINT AS from_node_id, depth::BIGINT AS depth, tree::BIGINT AS old_tree_id, t.comid::BIGINT AS old_node_id,
+       (comid = 2)::BIGINT AS root_node, (k.up IS NULL)::BIGINT AS leaf_node, (comid <> 2 AND k.up IS NOT NULL)::BIGINT AS parent_node, (k.up IS NULL)::BIGINT AS is_meander
+FROM t JOIN d USING (comid) CROSS JOIN o LEFT JOIN k ON k.up = t.comid""")
+def linked_trees(spark, sf_dir):
+    """The heap's two trees, the second hung on node 5 of the first."""
+    f = st.forest(spark, sf_dir).withColumn("tree_id", (F.substring(F.bin("node_id"), 2, 1) == "1").cast("long")).select("tree_id", "node_id", "from_node_id")
+    links = f.where("node_id = 3").select("tree_id", F.lit(0).cast("long").alias("to_tree_id"), F.lit(5).cast("long").alias("to_node_id"))
+    return tree.linked(f, links).fillna(-1, ["from_node_id"])
