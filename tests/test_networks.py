@@ -93,6 +93,41 @@ def test_deep_chain_has_its_depth(spark):
     assert graph.roots(nodes).where("depth <> node or root <> 0").count() == 0
 
 
+def test_paths_end_on_cycles(spark):
+    """Three nodes in a circle with a tail into it, a node on itself, and a plain chain."""
+    up = {1: 2, 2: 3, 3: 1, 10: 11, 11: 1, 20: 20, 30: 31, 31: 32, 32: None}
+    nodes = spark.createDataFrame(list(up.items()), "node long, parent long")
+    got = {(r.start, r.node): r.steps for r in graph.paths_from(nodes, spark.createDataFrame([(k,) for k in (1, 10, 20, 30, 99)], "start long")).collect()}
+    want = {}
+    for start in (1, 10, 20, 30, 99):
+        at, steps = start, 0
+        while at is not None and (start, at) not in want:
+            want[start, at] = steps
+            at, steps = up.get(at), steps + 1
+    assert got == want
+
+
+def test_pre_order_equals_recursion(spark):
+    """Random trees, a star, a long chain, and nodes on a cycle, which have no place."""
+    rng = random.Random(9)
+    names = rng.sample(range(10_000), 260)
+    parent = {n: (rng.choice(names[:k]) if k and rng.random() < 0.95 else None) for k, n in enumerate(names)}
+    parent |= {20_000 + k: (20_000 if k else None) for k in range(300)} | {30_000 + k: (30_000 + k - 1 if k else None) for k in range(400)} | {50_000: 50_001, 50_001: 50_000}
+    below = {}
+    for n, p in parent.items():
+        below.setdefault(p, []).append(n)
+    want, stack = {}, sorted(below[None], reverse=True)
+    depth = {n: 0 for n in stack}
+    while stack:
+        n = stack.pop()
+        want[n] = (len(want) + 1, depth[n])
+        for c in sorted(below.get(n, []), reverse=True):
+            depth[c] = depth[n] + 1
+            stack.append(c)
+    got = graph.pre_order(spark.createDataFrame(list(parent.items()), "node long, parent long")).collect()
+    assert {r.node: (r.place, r.depth) for r in got} == want and all(r.from_node == parent[r.node] for r in got)
+
+
 @pytest.mark.parametrize("most", [0, 2000])
 def test_two_nearest_equal_all_pairs(spark, most):
     rng = random.Random(3)
@@ -108,6 +143,21 @@ def test_two_nearest_equal_all_pairs(spark, most):
         assert [got[g, k][r] for r in sorted(got[g, k])] == [i for _, i in want]
 
 
+@pytest.mark.parametrize("most", [0, 2000])
+def test_nearest_points_of_uneven_places(spark, most):
+    """Clusters inside clusters, a far outlier, many equal places, and places that are none."""
+    rng = random.Random(5)
+    points = [(1, k, rng.random() ** 6 * 1e5, rng.random() ** 6 * 1e3) for k in range(1500)] + [(1, 1500, 1e9, -1e9)] + [(1, 1600 + k, 7.0, 7.0) for k in range(150)] + [(1, 1900, None, 1.0), (2, 0, 1.0, 1.0)]
+    queries = [(1, k, rng.random() ** 3 * 1e5, rng.random() * 1e3) for k in range(60)] + [(1, 60, 7.0, 7.0), (1, 61, 9e8, -9e8), (1, 62, float("nan"), 0.0), (2, 0, 5.0, 5.0), (3, 0, 0.0, 0.0)]
+    frame = lambda rows, name: spark.createDataFrame(rows, f"river_id long, {name} long, x double, y double")
+    got = {(r.river_id, r.qid): r.idx for r in compare.nearest_point(frame(points, "idx"), frame(queries, "qid"), most).collect()}
+    want = {}
+    for g, q, x, y in queries:
+        if x == x and g < 3:
+            want[g, q] = min((((x - a) ** 2 + (y - b) ** 2) ** 0.5, i) for h, i, a, b in points if h == g and a is not None)[1]
+    assert got == want
+
+
 def test_choices_by_name(spark):
     forest = spark.createDataFrame([(0, 1, 0.9, 1), (0, 2, 1.5, 1)], "tree_id long, node_id long, sn double, is_meander int")
     assert [r.is_meander for r in tree.pruned(forest, "sinuosity", column="sn", least=1.1).orderBy("node_id").collect()] == [0, 1]

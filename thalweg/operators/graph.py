@@ -31,11 +31,13 @@ def _pointers(nodes: DataFrame) -> DataFrame:
     return p.withColumns({"hops": (F.col("ptr") != F.col("node")).cast("long"), "done": F.col("ptr") == F.col("node")})
 
 
-def roots(nodes: DataFrame) -> DataFrame:
-    """Node, root (where following parents ends) and depth (steps to it)."""
-    p = written(_pointers(nodes), "pointers")
+def _followed(p: DataFrame, most: int) -> list[DataFrame]:
+    """Pointers (node, ptr, hops, done) followed until they are done; ``hops`` adds up along the way.
+
+    What never gets there within ``most`` doublings is on a cycle, or leads into one.
+    """
     found, moving = [p.where("done")], p.where("not done")
-    for _ in range(p.count().bit_length() + 1):
+    for _ in range(most):
         if not moving.limit(1).count():
             break
         now = reduce(DataFrame.unionAll, [*found, moving])
@@ -43,46 +45,63 @@ def roots(nodes: DataFrame) -> DataFrame:
         step = moving.join(q, "ptr").select("node", F.col("far").alias("ptr"), (F.col("hops") + F.col("more")).alias("hops"), F.col("ends").alias("done"))
         step = written(step, "pointers")
         found, moving = [*found, step.where("done")], step.where("not done")
+    return found
+
+
+def roots(nodes: DataFrame) -> DataFrame:
+    """Node, root (where following parents ends) and depth (steps to it)."""
+    p = written(_pointers(nodes), "pointers")
+    found = _followed(p, p.count().bit_length() + 1)
     return reduce(DataFrame.unionAll, found).select("node", F.col("ptr").alias("root"), F.col("hops").alias("depth"))
 
 
 def paths_from(nodes: DataFrame, starts: DataFrame) -> DataFrame:
-    """Start, node, steps: each of the nodes ``starts`` (start) with all that its pointers pass.
+    """Start, node, steps: each of the nodes ``starts`` (start) with all that its pointers pass, at its fewest steps.
 
-    Round k adds what lies 2^k steps beyond what is reached. Paths may share nodes. A
-    cycle is followed as often as MOST_ROUNDS rounds of doubling over it would need, so
-    ``nodes`` has to be free of them.
+    Round k adds what lies 2^k steps beyond what is reached. Paths may share nodes. A path
+    that enters a cycle ends where it would meet a node again.
     """
     jump = written(nodes.where("parent is not null and parent <> node").select("node", F.col("parent").alias("ptr")), "jumps")
-    reach = written(starts.select("start", F.col("start").alias("node"), F.lit(0).cast("long").alias("steps")), "paths")
+    reach = written(starts.select("start").distinct().select("start", F.col("start").alias("node"), F.lit(0).cast("long").alias("steps")), "paths")
     for k in range(MOST_ROUNDS):
-        new = written(reach.join(jump, "node").select("start", F.col("ptr").alias("node"), (F.col("steps") + (1 << k)).alias("steps")), "paths")
+        new = reach.join(jump, "node").groupBy("start", F.col("ptr").alias("node")).agg((F.min("steps") + (1 << k)).alias("steps"))
+        new = written(new.join(reach, ["start", "node"], "left_anti").select("start", "node", "steps"), "paths")
         if not new.limit(1).count():
             break
         reach = reach.unionAll(new)
         far = jump.select(F.col("node").alias("ptr"), F.col("ptr").alias("far"))
         jump, old = written(jump.join(far, "ptr").select("node", F.col("far").alias("ptr")), "jumps"), jump
         dropped(old)
+    dropped(jump)
     return reach
 
 
 def pre_order(nodes: DataFrame) -> DataFrame:
     """Node, from_node, root, depth and place: trees one after the other by root, each parent before its children.
 
-    Children come in order of their names. A node's path from its root is its sort key,
-    put together by doubling; as a path is one value, this is for trees, not for chains.
+    Children come in order of their names. A walk around the trees enters and leaves each
+    node once; every step of it points at the next, and the number of nodes entered from a
+    step on to the end, added up by doubling, gives its place. A row holds a node and two
+    numbers, however deep the tree is. Neighbours among siblings are found by rank, so a node
+    with very many children is no group of its own.
     """
-    p = written(_pointers(nodes).withColumn("path", F.array("node")), "orders")
-    for _ in range(p.count().bit_length() + 1):
-        if not p.where("not done").limit(1).count():
-            break
-        q = p.select(F.col("node").alias("ptr"), F.col("ptr").alias("far"), F.col("hops").alias("more"), F.col("done").alias("ends"), F.col("path").alias("above"))
-        step = p.where("not done").join(q, "ptr").select(
-            "node", F.col("far").alias("ptr"), (F.col("hops") + F.col("more")).alias("hops"), F.col("ends").alias("done"), F.concat("above", "path").alias("path")
-        )
-        p = written(p.where("done").unionAll(step), "orders")
-    placed = ranked(p.select("node", F.col("ptr").alias("root"), F.col("hops").alias("depth"), "path"), [F.col("root").asc(), F.col("path").asc()], "place")
-    return placed.join(nodes.select("node", F.col("parent").alias("from_node")), "node").select("node", "from_node", "root", "depth", "place")
+    linked = written(_pointers(nodes).select("node", F.when(~F.col("done"), F.col("ptr")).alias("parent")), "orders")
+    order = [F.col("parent").asc_nulls_first(), F.col("node").asc()]
+    ranks = ranked(linked, order, "r").select("node", "parent", "r")
+    after = ranks.select(F.col("node").alias("next"), F.col("parent").alias("_p"), (F.col("r") - 1).alias("r"))
+    beside = ranks.join(after, "r", "left").select("node", "parent", F.when(F.col("parent").eqNullSafe(F.col("_p")), F.col("next")).alias("next"))
+    child = linked.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.min("node").alias("child"))
+    both = beside.join(child, "node", "left")
+    step = lambda node, leaves: F.struct(node.alias("of"), F.lit(leaves).alias("leaves"))
+    enter = both.select(step(F.col("node"), False).alias("node"), F.when(F.col("child").isNotNull(), step(F.col("child"), False)).otherwise(step(F.col("node"), True)).alias("ptr"), F.lit(1).cast("long").alias("hops"), F.lit(False).alias("done"))
+    onward = F.when(F.col("next").isNotNull(), step(F.col("next"), False)).when(F.col("parent").isNotNull(), step(F.col("parent"), True))
+    leave = both.select(step(F.col("node"), True).alias("node"), F.coalesce(onward, step(F.col("node"), True)).alias("ptr"), F.lit(0).cast("long").alias("hops"), onward.isNull().alias("done"))
+    p = written(enter.unionAll(leave), "orders")
+    found = reduce(DataFrame.unionAll, _followed(p, p.count().bit_length() + 1))
+    entered = found.where("not node.leaves").select("node.of", "hops")
+    every = entered.agg(F.max("hops")).first()[0] or 0  # one number
+    places = entered.select(F.col("of").alias("node"), (F.lit(every) - F.col("hops") + 1).alias("place"))
+    return places.join(roots(nodes), "node").join(nodes.select("node", F.col("parent").alias("from_node")), "node").select("node", "from_node", "root", "depth", "place")
 
 
 def descendants_extreme(nodes: DataFrame, value: Column) -> DataFrame:

@@ -4,7 +4,7 @@ Frames have river_id and idx (the order) and, where named, s, x, y, c. All windo
 one partitioning, so a chain of them shuffles once; with the frame hash-partitioned by
 river_id they do not shuffle at all.
 
-Implements: W1-W13, W15, W20, W21, P5, P6, P15, A16, U5.
+Implements: W1-W11, W13, W15, W20, W21, P5, P6, P15, A16, U5.
 """
 
 from __future__ import annotations
@@ -194,17 +194,6 @@ def nearest(points: DataFrame, stations: DataFrame) -> DataFrame:
     return b.select("river_id", F.col("station").alias("k"), F.when(closer, high["idx"]).otherwise(low["idx"]).alias("idx"))
 
 
-def nearest_point(points: DataFrame, queries: DataFrame) -> DataFrame:
-    """For every row of ``queries`` (river_id, qid, x, y) the idx of the nearest point of its river, the first on a tie.
-
-    The queries are a stated set against all points; minima are made where the points lie.
-    """
-    q = queries.select("river_id", "qid", F.col("x").alias("qx"), F.col("y").alias("qy"))
-    d = step_length(F.col("x") - F.col("qx"), F.col("y") - F.col("qy"))
-    best = F.min(F.struct(d.alias("distance"), "idx")).alias("b")
-    return points.join(q, "river_id").groupBy("river_id", "qid").agg(best).select("river_id", "qid", "b.idx", "b.distance")
-
-
 def distinct_x(points: DataFrame) -> DataFrame:
     """The first point of every distinct x, in order."""
     first = F.min("idx").over(Window.partitionBy("river_id", "x"))

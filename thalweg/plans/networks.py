@@ -302,7 +302,7 @@ def pre_order_table(spark, sf_dir):
 def nearest_points(spark, sf_dir):
     p = st.events(spark, sf_dir)
     q = p.where("idx % 17 = 3").select("river_id", F.col("idx").alias("qid"), (F.col("x") + 0.3).alias("x"), (F.col("y") - 1).alias("y"))
-    return rounded(ordered.nearest_point(p, q), "distance")
+    return rounded(compare.nearest_point(p, q), "distance")
 
 
 @query(f"""WITH RECURSIVE {FL}, {_PTS}, t AS (SELECT 1201::BIGINT AS node, 0 AS k UNION ALL SELECT f.tonode, t.k + 1 FROM t JOIN fl f ON f.comid = t.node WHERE f.tonode > 0),
