@@ -18,7 +18,6 @@ Implements: W22, W25.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -31,8 +30,8 @@ from thalweg.functions import bsplines
 from thalweg.sources.scratch import dropped, written
 
 ORDERS = range(1, 6)
-#: Share of ``smooth`` by which a residual may miss it, and rounds after which splitting ends.
-TOLERANCE, MOST_ROUNDS = 1e-3, 60
+#: Share of ``smooth`` by which a residual may miss it.
+TOLERANCE = 1e-3
 
 _TABLE = "low double, high double, c array<double>"
 _KEY = ["river_id", "dim"]
@@ -205,7 +204,7 @@ def _smoothing(series: DataFrame, order: int, smooth: float, per_point: bool) ->
     state = ends.where(F.col("n") > order + 1).select(*_KEY, "smooth", F.lit(None).cast("double").alias("before"), F.lit(0).cast("long").alias("added"))
     none = series.sparkSession.createDataFrame([], series.select(*_KEY, "i").schema)
     knots, spent = none, []
-    for _ in range(MOST_ROUNDS):
+    while True:  # each round ends a series or gives it more knots, of which its points are the limit
         open_ = series.join(state.select(*_KEY), _KEY, "left_semi")
         points = _in_intervals(open_, knots, ends.select(*_KEY, "s0", "s1", "v0"), order)
         sums = written(_sums(points, order), "spline-sums")

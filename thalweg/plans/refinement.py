@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from thalweg.operators import inflections, lines, metrics, scale_tree, splines
+from thalweg.plans import geometry
 from thalweg.plans import standins as st
 from thalweg.plans.geometry import curved, r, rounded, transects
 from thalweg.plans.signals import _river_tree
@@ -167,3 +168,19 @@ def refined_nodes(spark, sf_dir):
     """Nodes of the long transects' trees with their extended spans, inflections and leaves."""
     tree, p = _river_tree(spark, sf_dir)
     return scale_tree.refined(tree, p)
+
+
+_PARTS = {n: geometry.QUERIES[n][1] for n in ("bend_table", "bend_amplitude", "bend_asymmetry", "bend_radius")}
+_TOP = f"""WITH {st.sql_bends()}, {st.sql_curvature()}, k AS (SELECT bp.river_id, bend_id, idx, s, x, y, c FROM bp JOIN (SELECT river_id, idx, c FROM cv) v USING (river_id, idx)),
+t AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY river_id, bend_id ORDER BY abs(c) DESC NULLS LAST, idx) = 1)
+SELECT river_id, bend_id, {r('s', 'x', 'y', 'c')} FROM t"""
+
+
+@query(f"""SELECT b.*, amplitude, a_fm, R_hm, t.s AS s_c_max, t.x AS x_c_max, t.y AS y_c_max, t.c AS c_max, sign(t.c)::BIGINT AS curvature_side FROM ({_PARTS['bend_table']}) b JOIN ({_PARTS['bend_amplitude']}) USING (river_id, bend_id)
+JOIN (SELECT river_id, bend_id, a_fm FROM ({_PARTS['bend_asymmetry']})) USING (river_id, bend_id) JOIN (SELECT river_id, bend_id, R_hm FROM ({_PARTS['bend_radius']})) USING (river_id, bend_id) JOIN ({_TOP}) t USING (river_id, bend_id) WHERE n_points > 3""")
+def span_database(spark, sf_dir):
+    """All metrics of the transects' bends of four points and more (three always lie on a circle), from their spans alone."""
+    c, _, spans = _spans(spark, sf_dir)
+    out = scale_tree.bend_database(spans, c).where("n_points > 3").withColumn("R_hm", F.round("R_hm", 4))
+    own = ["idx_start", "idx_end", "n_points", *geometry._BEND_COLS, "sigma_fm", "amplitude", "a_fm", "R_hm", "s_c_max", "x_c_max", "y_c_max", "c_max"]
+    return rounded(out.select("river_id", "bend_id", *own, "curvature_side"), *own[3:])

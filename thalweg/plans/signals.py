@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from thalweg.functions.kernels import chi2_quantile
 from thalweg.functions.scalar import fourier_factor
-from thalweg.operators import lines, metrics, ordered, scale_tree, spectral
+from thalweg.operators import lines, ordered, scale_tree, spectral
 from thalweg.plans import standins as st
-from thalweg.plans.geometry import curved, r, rounded, transects
+from thalweg.plans.geometry import r, rounded, transects
 
 QUERIES: dict[str, tuple] = {}
 DJ = 0.5
