@@ -47,13 +47,13 @@ class _Pieces(dict):
 class WordBpe:
     """Encodes batches of texts; one per Python worker."""
 
-    def __init__(self, path: str, keep: int = 200_000):
+    def __init__(self, path: str, keep: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = False
-        self._model = self.tokenizer.model
+        self._tokenize = self.tokenizer.model.tokenize
         self.keep = keep
         self._clear()
 
@@ -65,7 +65,8 @@ class WordBpe:
         self._used = 0
 
     def _learn(self, piece: str) -> int:
-        ids = [x.id for x in self._model.tokenize(piece.encode().decode("latin-1").translate(_BYTES))]
+        spelt = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTES)
+        ids = [x.id for x in self._tokenize(spelt)]
         k = len(self._known)
         if k == len(self._start):
             self._start = np.concatenate([self._start, np.zeros_like(self._start)])
