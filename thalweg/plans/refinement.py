@@ -179,8 +179,12 @@ SELECT river_id, bend_id, {r('s', 'x', 'y', 'c')} FROM t"""
 @query(f"""SELECT b.*, amplitude, a_fm, R_hm, t.s AS s_c_max, t.x AS x_c_max, t.y AS y_c_max, t.c AS c_max, sign(t.c)::BIGINT AS curvature_side FROM ({_PARTS['bend_table']}) b JOIN ({_PARTS['bend_amplitude']}) USING (river_id, bend_id)
 JOIN (SELECT river_id, bend_id, a_fm FROM ({_PARTS['bend_asymmetry']})) USING (river_id, bend_id) JOIN (SELECT river_id, bend_id, R_hm FROM ({_PARTS['bend_radius']})) USING (river_id, bend_id) JOIN ({_TOP}) t USING (river_id, bend_id) WHERE n_points > 3""")
 def span_database(spark, sf_dir):
-    """All metrics of the transects' bends of four points and more (three always lie on a circle), from their spans alone."""
+    """All metrics of the transects' bends of four points and more (three always lie on a circle), from their spans alone.
+
+    Bends so straight that doubles do not fix their circle are left out.
+    """
     c, _, spans = _spans(spark, sf_dir)
-    out = scale_tree.bend_database(spans, c).where("n_points > 3").withColumn("R_hm", F.round("R_hm", 4))
+    round_ = metrics.radius_of_curvature(metrics.side_runs(c)).where("radius < 1e4").select(*metrics.BEND)
+    out = scale_tree.bend_database(spans, c).where("n_points > 3").join(round_, metrics.BEND, "left_semi").withColumn("R_hm", F.round("R_hm", 4))
     own = ["idx_start", "idx_end", "n_points", *geometry._BEND_COLS, "sigma_fm", "amplitude", "a_fm", "R_hm", "s_c_max", "x_c_max", "y_c_max", "c_max"]
     return rounded(out.select("river_id", "bend_id", *own, "curvature_side"), *own[3:])
