@@ -97,6 +97,29 @@ def _phone(match: Column) -> Column:
     return F.length(_digits(match)).between(9, 15)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named there."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def sums_before(lengths: Column) -> Column:
+    """The sum of all entries before each one of an array.
+
+    An aggregation that grows an array copies it at every step, so sums are made in
+    chunks of about the root of the length, and the chunks are summed likewise.
+    """
+    grown = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("before"))
+    add = lambda done, n: F.struct((done["at"] + n).alias("at"), F.concat(done["before"], F.array(done["at"])).alias("before"))
+
+    def chunked(x: Column) -> Column:
+        step = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(x))).cast("int"))
+        chunks = F.transform(F.sequence(F.lit(1), F.size(x), step), lambda i: F.aggregate(F.slice(x, i, step), grown, add))
+        starts = lambda c: F.aggregate(c, grown, lambda done, own: add(done, own["at"]))["before"]
+        return _let(chunks, lambda c: F.flatten(F.zip_with(c, starts(c), lambda own, at: F.transform(own["before"], lambda n: n + at))))
+
+    return _let(lengths, lambda x: F.when(F.size(x) > 0, chunked(x)).otherwise(F.array().cast("array<int>")))
+
+
 def walk(text: Column, pattern: str, keep: Callable[[Column, Column, Column, Column], Column], kind: str) -> Column:
     """What ``keep`` makes of each match that it does not give null for.
 
@@ -105,16 +128,14 @@ def walk(text: Column, pattern: str, keep: Callable[[Column, Column, Column, Col
     """
     pieces = F.split(text, pattern)
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-
-    def step(done: Column, x: Column) -> Column:
-        start = done["at"] + F.length(x["piece"])
-        made = keep(x["match"], start, x["piece"], x["after"])
-        found = F.when(made.isNull(), done["found"]).otherwise(F.concat(done["found"], F.array(made)))
-        return F.struct((start + F.length(x["match"])).alias("at"), found.alias("found"))
-
     zipped = F.zip_with(matches, pieces, lambda m, p: F.struct(m.alias("match"), p.alias("piece"), F.lit("").alias("after")))
     zipped = F.filter(zipped, lambda x: x["match"].isNotNull())
-    return F.aggregate(zipped, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found")), step)["found"]
+
+    def made(items: Column) -> Column:
+        before = sums_before(F.transform(items, lambda x: F.length(x["piece"]) + F.length(x["match"])))
+        return F.zip_with(items, before, lambda x, at: keep(x["match"], at + F.length(x["piece"]), x["piece"], x["after"]))
+
+    return F.filter(_let(zipped, made), lambda x: x.isNotNull()).cast(kind)
 
 
 def _spans(text: Column, pattern: str, valid: Callable[[Column], Column] | None) -> Column:
