@@ -278,7 +278,10 @@ def scan(rows: DataFrame, model: Model) -> DataFrame:
     scored = summed.select("row", "window", z.alias("z")).select("row", "window", e.alias("p"))
     best = F.element_at(F.array(*map(F.lit, model.families)), F.array_position("p", F.array_max("p")).cast("int"))
     scored = scored.select("row", "window", best.alias("best"), (F.array_max("p") / F.aggregate("p", F.lit(0.0), lambda a, v: a + v)).alias("top"))
-    out = each.join(scored, ["row", "window"])
+    # a window without any weighted n-gram has the bias alone
+    z0 = np.array(model.bias)
+    p0 = np.exp(z0 - z0.max())
+    out = each.join(scored, ["row", "window"], "left").fillna({"best": model.families[int(z0.argmax())], "top": float(p0.max() / p0.sum())})
     overlap = F.lit(0.0)
     for family, notices in TEMPLATES.items():
         for own in map(words, notices):
