@@ -224,13 +224,15 @@ def linked(docs: DataFrame, threshold: float = 0.8, width: int = 5, trees: int =
 def representatives(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, the one of least doc_id, then hash of the text.
 
-    Of repeated rows of one text and doc_id one stays.
+    Of repeated rows of one text and doc_id one stays, whatever their other columns hold.
+    Rows without words can have no link, so all of them stay.
     """
-    copy, id_, hash_ = (free_name(docs, x) for x in ("copy_hash", "kept_id", "kept_hash"))
+    copy, id_, hash_, free, number = (free_name(docs, x) for x in ("copy_hash", "kept_id", "kept_hash", "kept_free", "kept_row"))
     rows = linked(docs, **options)
     least = rows.where("root is not null").groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "h")).alias("r"))
-    kept = least.select("r.doc_id", "r.h").unionAll(rows.where("root is null").select("doc_id", "h")).distinct()
-    kept = kept.select(F.col("doc_id").alias(id_), F.col("h").alias(hash_))
+    kept = least.select("r.doc_id", "r.h", F.lit(False).alias("free")).unionAll(rows.where("root is null").select("doc_id", "h", F.lit(True))).distinct()
+    kept = kept.select(F.col("doc_id").alias(id_), F.col("h").alias(hash_), F.col("free").alias(free))
     own = docs.withColumn(copy, F.xxhash64("text"))
-    left = own.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(copy) == F.col(hash_)), "left_semi")
-    return left.dropDuplicates(["doc_id", copy]).drop(copy)
+    left = own.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(copy) == F.col(hash_)))
+    left = left.withColumn(number, F.when(F.col(free), F.monotonically_increasing_id()).otherwise(-1))
+    return left.dropDuplicates(["doc_id", copy, number]).select(*docs.columns)
