@@ -30,7 +30,7 @@ def _middles(points):
 
 
 # Second derivatives at the knots by elimination along the line, without outer knots; the outer polynomials go on beyond the ends.
-_CUBIC = f"""WITH RECURSIVE {st.SQL_EVENTS}, {st.sql_distance()},
+_KNOTS = f"""WITH RECURSIVE {st.SQL_EVENTS}, {st.sql_distance()},
 u AS (SELECT river_id, 'x' AS dim, s, x AS v FROM p UNION ALL SELECT river_id, 'y', s, y FROM p),
 e AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY river_id, dim) AS n, lead(s) OVER w - s AS h, (lead(v) OVER w - v) / (lead(s) OVER w - s) AS d FROM u WINDOW w AS (PARTITION BY river_id, dim ORDER BY s)),
 g AS (SELECT *, lag(h) OVER w AS hb, lead(h) OVER w AS ha, lag(h, 2) OVER w AS hbb, d - lag(d) OVER w AS rise FROM e WINDOW w AS (PARTITION BY river_id, dim ORDER BY i)),
@@ -43,7 +43,8 @@ f AS (SELECT river_id, dim, i, n, up / diag AS c, rhs / diag AS r FROM q WHERE i
 b AS (SELECT river_id, dim, i, r AS m FROM f WHERE i = n - 2 UNION ALL SELECT f.river_id, f.dim, f.i, f.r - f.c * b.m FROM b JOIN f ON f.river_id = b.river_id AND f.dim = b.dim AND f.i = b.i - 1),
 m0 AS (SELECT g.*, b.m, lead(b.m) OVER w AS ma, lead(b.m, 2) OVER w AS maa, lag(b.m) OVER w AS mb, lag(b.m, 2) OVER w AS mbb FROM g LEFT JOIN b USING (river_id, dim, i) WINDOW w AS (PARTITION BY g.river_id, g.dim ORDER BY g.i)),
 m1 AS (SELECT river_id, dim, i, n, s, v, h, CASE WHEN n = 2 THEN 0 WHEN n = 3 THEN max(2 * rise / (h + hb)) OVER (PARTITION BY river_id, dim) WHEN i = 0 THEN ma * (1 + h / ha) - maa * h / ha WHEN i = n - 1 THEN mb * (1 + hb / hbb) - mbb * hb / hbb ELSE m END AS m FROM m0),
-z AS (SELECT *, lead(m) OVER w AS m2, lead(v) OVER w AS v2 FROM m1 WINDOW w AS (PARTITION BY river_id, dim ORDER BY i)),
+z AS (SELECT *, lead(m) OVER w AS m2, lead(v) OVER w AS v2 FROM m1 WINDOW w AS (PARTITION BY river_id, dim ORDER BY i))"""
+_CUBIC = f"""{_KNOTS},
 a AS (SELECT *, (i)::BIGINT AS k, h / 2 AS t FROM z WHERE i < n - 1 UNION ALL SELECT *, n - 1, -0.25 FROM z WHERE i = 0 AND n > 1 UNION ALL SELECT *, n, h + 0.25 FROM z WHERE i = n - 2),
 o AS (SELECT river_id, k, dim, s + t AS s, (m * pow(h - t, 3) + m2 * pow(t, 3)) / (6 * h) + (v / h - m * h / 6) * (h - t) + (v2 / h - m2 * h / 6) * t AS value,
              (m2 * t * t - m * (h - t) * (h - t)) / (2 * h) + (v2 - v) / h - (m2 - m) * h / 6 AS slope FROM a)
@@ -57,6 +58,21 @@ def spline_table(spark, sf_dir):
     return rounded(out, "s", "x", "y", "dxds", "dyds", digits=4)
 
 
+_STEPS = f"""{_KNOTS},
+gm AS (SELECT river_id, min(s) AS s0, max(s) AS s1, pow(10, avg(log10(nullif(d, 0)))) AS ds FROM p GROUP BY 1 HAVING count(*) > 1),
+ak AS (SELECT river_id, k, s0 + k * ds AS sk, dim FROM (SELECT river_id, unnest(range(0, ceil((s1 - s0 + ds / 2) / ds)::BIGINT)) AS k, s0, ds FROM gm), (VALUES ('x'), ('y')) v(dim)),
+iv AS (SELECT * FROM z WHERE i < n - 1),
+o AS (SELECT a.river_id, k, a.dim, sk, sk - s AS t, h, v, v2, m, m2 FROM ak a ASOF JOIN iv ON a.river_id = iv.river_id AND a.dim = iv.dim AND a.sk >= iv.s),
+e2 AS (SELECT river_id, k, dim, sk, (m * pow(h - t, 3) + m2 * pow(t, 3)) / (6 * h) + (v / h - m * h / 6) * (h - t) + (v2 / h - m2 * h / 6) * t AS value,
+       (m2 * t * t - m * (h - t) * (h - t)) / (2 * h) + (v2 - v) / h - (m2 - m) * h / 6 AS slope, (m * (h - t) + m2 * t) / h AS bend FROM o)
+SELECT river_id, k, round(max(sk), 4) + 0.0 AS s, {', '.join(f"round(max({c}) FILTER (WHERE dim = '{d}'), 4) + 0.0 AS {n}" for c, d, n in (('value', 'x', 'x'), ('value', 'y', 'y'), ('slope', 'x', 'dxds'), ('slope', 'y', 'dyds'), ('bend', 'x', 'd2xds2'), ('bend', 'y', 'd2yds2')))} FROM e2 GROUP BY river_id, k"""
+
+
+@query(_STEPS)
+def resample_spline(spark, sf_dir):
+    return rounded(lines.resampled(transects(spark, sf_dir)), "s", "x", "y", "dxds", "dyds", "d2xds2", "d2yds2", digits=4)
+
+
 _ENDS = f"""WITH {st.SQL_EVENTS}, {st.sql_distance()}, e AS (SELECT river_id, idx, s, y, lead(s) OVER w AS s2, lead(y) OVER w AS y2, count(*) OVER (PARTITION BY river_id) AS n FROM p WINDOW w AS (PARTITION BY river_id ORDER BY idx)),
 a AS (SELECT *, idx AS k, (s + s2) / 2 AS place, (y + y2) / 2 AS inside FROM e WHERE idx < n - 1 UNION ALL SELECT *, n - 1, s - 0.25, NULL FROM e WHERE idx = 0 AND n > 1 UNION ALL SELECT *, n, s2 + 0.25, NULL FROM e WHERE idx = n - 2)
 SELECT river_id, k, round(place, 6) + 0.0 AS s, round(coalesce(inside, y + (y2 - y) / (s2 - s) * (place - s)), 6) + 0.0 AS extrapolated, round(coalesce(inside, 0), 6) + 0.0 AS zeros,

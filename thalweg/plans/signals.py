@@ -93,11 +93,6 @@ def spectrum_cuts(spark, sf_dir):
     return spectral.spectrum_cuts(spectral.signals(st.lineitems(spark, sf_dir), "y"), 1.0, 0.25)
 
 
-@query()
-def resample_spline(spark, sf_dir):
-    return rounded(lines.resampled(transects(spark, sf_dir)), "s", "x", "y", "dxds", "dyds", "d2xds2", "d2yds2")
-
-
 _CARRIED = f"""{st.SQL_EVENTS}, {st.sql_distance()}, q AS (SELECT river_id, idx, s, 1 + (idx * 7 % 5)::DOUBLE AS w_m, idx % 4 AS so FROM p),
 g AS (SELECT river_id, min(s) AS s0, max(s) AS s1, pow(10, avg(log10(nullif(d, 0)))) AS ds FROM p GROUP BY 1 HAVING count(*) > 1),
 k AS (SELECT river_id, unnest(range(0, ceil((s1 - s0 + ds / 2) / ds)::BIGINT)) AS k, s0, ds FROM g), a AS (SELECT river_id, k, s0 + k * ds AS sk FROM k),
