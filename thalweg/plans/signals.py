@@ -235,4 +235,4 @@ def cwt_angle(spark, sf_dir):
     s = st.signals(spark, sf_dir)
     p = s.select("river_id", F.posexplode("signal").alias("idx", "a")).withColumn("a", F.col("a") * 3)
     t = spectral.analysed(spectral.signals(spectral.unwrapped(p, "a"), "a"), 1.0, DJ, None, "MORLET", 2.0)
-    return rounded(t["gws"].select("river_id", "j", "gws").join(t["gws_sig"].select("river_id", "j", F.col("gws").alias("gws_sig")), ["river_id", "j"]), "gws", "gws_sig")
+    return rounded(t["spectra"].select("river_id", "j", "gws", "gws_sig"), "gws", "gws_sig")
