@@ -70,8 +70,7 @@ def coi(spark, sf_dir):
 
 @query(f"WITH {_WAVE}, vr AS (SELECT river_id, var_pop(v) * {chi2_quantile(0.95, 1)!r} AS lim FROM sm GROUP BY 1) SELECT river_id, j, n, round(CASE WHEN power > lim AND scale * {_FF!r} <= greatest(0, least(n - 1, 62 - n)) * {_FF / math.sqrt(2)!r} THEN power ELSE 0.0 END, 6) AS power FROM wp JOIN vr USING (river_id)")
 def significance_mask(spark, sf_dir):
-    s = st.signals(spark, sf_dir)
-    m = spectral.masked(wave(spark, sf_dir), spectral.significance(s), s.select("river_id", F.size("signal").alias("n_points")))
+    m = spectral.masked(spectral.tested(st.signals(spark, sf_dir), 1.0, DJ))
     return rounded(m.select("river_id", "j", "n", "power"), "power")
 
 
