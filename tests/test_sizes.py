@@ -24,3 +24,20 @@ def test_masked_joins_given_tests_without_broadcast(spark):
     assert "BroadcastExchange" not in plan(joined)
     own = spectral.masked(spectral.tested(signal, 1.0, 0.5))
     assert own.exceptAll(joined.select(own.columns)).count() == 0 and own.count() == joined.count()
+
+
+def test_branches_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """Long branches from few rows, and a forest whose files are smaller than its rows, are sorted, whatever their size seems."""
+    from pyspark.sql import functions as F
+
+    from thalweg.operators import tree
+
+    plans, write = [], tree.written
+    monkeypatch.setattr(tree, "written", lambda frame, name: (plans.append(plan(frame)), write(frame, name))[1])
+    leaves = spark.range(8, 16).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    branches = leaves.select(F.lit(1).alias("river_id"), F.col("id").alias("branch_id"), F.col("level").cast("long").alias("level"), F.expr("shiftright(id, 3 - level)").alias("node"), F.lit(2).cast("long").alias("meander_level"))
+    out = tree.from_branches(branches)
+    assert out.count() == 15 and out.where("is_meander = 1").count() == 4
+    kept = [p for p in plans if "branch_id" in p]
+    sides = [line for p in [*kept, plan(out)] for line in p.splitlines() if "BroadcastHashJoin" in line and ("branch_id" in line or "from_node" in line)]
+    assert kept and not sides

@@ -128,7 +128,8 @@ def from_branches(branches: DataFrame) -> DataFrame:
     node one level up there. Trees are numbered by their first branch, nodes as they are met.
     The node that ends its branch is a leaf; the one at the branch's meander_level is a bend.
     """
-    b = branches.select("river_id", "branch_id", "level", "node", "meander_level")
+    # Spark may take branches for as small as what they were made from, and written columns for as small as their files
+    b = branches.select("river_id", "branch_id", "level", "node", "meander_level").hint("merge")
     by = ["river_id", "branch_id"]
     ends = b.groupBy(*by).agg(F.min_by("node", "level").alias("root"), F.max("level").alias("last"))
     trees = ranked_within(ends.groupBy("river_id", "root").agg(F.min("branch_id").alias("first_branch")), ["river_id"], [F.col("first_branch").asc()], "tree_id")
@@ -137,7 +138,7 @@ def from_branches(branches: DataFrame) -> DataFrame:
     met = F.min_by(F.struct("branch_id", "level", "from_node", "last", "meander_level"), F.struct("branch_id", "level"))
     rows = rows.groupBy("river_id", "root", "node").agg(met.alias("f")).select("river_id", "root", "node", "f.*")
     rows = rows.join(trees.select("river_id", "root", "tree_id"), ["river_id", "root"])
-    rows = written(ranked_within(rows, ["river_id", "tree_id"], [F.col("branch_id").asc(), F.col("level").asc()], "node_id"), "forest")
+    rows = written(ranked_within(rows, ["river_id", "tree_id"], [F.col("branch_id").asc(), F.col("level").asc()], "node_id"), "forest").hint("merge")
     parents = rows.select("river_id", "tree_id", F.col("node").alias("from_node"), F.col("node_id").alias("from_node_id"))
     rows = rows.join(parents, ["river_id", "tree_id", "from_node"], "left")
     root, leaf = F.col("node_id") == 0, F.col("level") == F.col("last")

@@ -341,7 +341,7 @@ br AS (SELECT 1 AS river_id, comid AS branch_id, level, comid >> (n - level)::IN
 def _branches(spark, sf_dir):
     f = st.flowlines(spark, sf_dir).select("comid")
     below = f.select(F.expr("comid div 2").alias("comid")).distinct()
-    leaves = f.where("comid > 3").join(below, "comid", "left_anti").withColumn("n", (F.length(F.bin("comid")) - 2).cast("long"))
+    leaves = f.where("comid > 3").hint("merge").join(below, "comid", "left_anti").withColumn("n", (F.length(F.bin("comid")) - 2).cast("long"))
     b = leaves.withColumn("level", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"))))
     return b.select(F.lit(1).alias("river_id"), F.col("comid").alias("branch_id"), "level", F.expr("shiftright(comid, cast(n - level as int))").alias("node"), (F.col("comid") % 5).alias("meander_level"))
 
