@@ -41,3 +41,19 @@ def test_branches_are_not_broadcast(spark, tmp_path, monkeypatch):
     kept = [p for p in plans if "branch_id" in p]
     sides = [line for p in [*kept, plan(out)] for line in p.splitlines() if "BroadcastHashJoin" in line and ("branch_id" in line or "from_node" in line)]
     assert kept and not sides
+
+
+def test_rounding_is_that_of_sql(spark):
+    """Doubles at halves of the last decimal: the SQL multiplies first."""
+    import duckdb
+    import numpy as np
+
+    from thalweg.plans.geometry import rounded
+
+    k = np.arange(1, 4_000_000, 397)
+    values = [2648.2250325, -2648.2250325, 0.0000005, -1e-9, 123456789.1234565, *((k + 0.5) / 1e6 + 2648).tolist(), *(-(k * 7 + 0.5) / 1e6).tolist()]
+    frame = spark.createDataFrame([(i, v, v) for i, v in enumerate(values)], "i long, v double, w double")
+    ours = rounded(rounded(frame, "v"), "w", digits=4).orderBy("i").toPandas()
+    table = frame.toPandas()  # noqa: F841
+    theirs = duckdb.sql("SELECT round(v, 6) + 0.0 AS v, round(w, 4) + 0.0 AS w FROM table ORDER BY i".replace("table", "\"table\"")).fetchdf()
+    assert ours.v.tolist() == theirs.v.tolist() and ours.w.tolist() == theirs.w.tolist()

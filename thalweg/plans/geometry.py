@@ -23,8 +23,12 @@ def query(sql: str | None = None):
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    """Six decimals and no negative zero, as the SQL gives them."""
-    return df.withColumns({c: F.round(F.col(c), digits) + 0.0 for c in columns})
+    """Six decimals and no negative zero, as the SQL gives them: it rounds the double times a power of ten.
+
+    ``F.round`` with decimals rounds the shortest decimal number of a double, which at halves may lie on the other side.
+    """
+    scale = float(10**digits)
+    return df.withColumns({c: F.round(F.col(c) * scale) / scale + 0.0 for c in columns})
 
 
 def r(*columns: str, digits: int = 6) -> str:

@@ -201,6 +201,6 @@ def span_database(spark, sf_dir):
     """
     c, _, spans = _spans(spark, sf_dir)
     round_ = metrics.radius_of_curvature(metrics.side_runs(c)).where("radius < 1e4").select(*metrics.BEND)
-    out = scale_tree.bend_database(spans, c).where("n_points > 3").join(round_, metrics.BEND, "left_semi").withColumn("R_hm", F.round("R_hm", 4))
+    out = rounded(scale_tree.bend_database(spans, c).where("n_points > 3").join(round_, metrics.BEND, "left_semi"), "R_hm", digits=4)
     own = ["idx_start", "idx_end", "n_points", *geometry._BEND_COLS, "sigma_fm", "amplitude", "a_fm", "R_hm", "s_c_max", "x_c_max", "y_c_max", "c_max"]
     return rounded(out.select("river_id", "bend_id", *own, "curvature_side"), *own[3:])
