@@ -57,3 +57,17 @@ def test_rounding_is_that_of_sql(spark):
     table = frame.toPandas()  # noqa: F841
     theirs = duckdb.sql("SELECT round(v, 6) + 0.0 AS v, round(w, 4) + 0.0 AS w FROM table ORDER BY i".replace("table", "\"table\"")).fetchdf()
     assert ours.v.tolist() == theirs.v.tolist() and ours.w.tolist() == theirs.w.tolist()
+
+
+def test_batches_are_cut_by_their_values():
+    """A batch of ten thousand rivers reaches Python in slices of bounded size, rows whole and in order; a long river alone."""
+    import pyarrow as pa
+
+    from thalweg.functions.batches import slices
+
+    lists = [[float(k)] * n for k, n in enumerate([600] * 1000 + [120_000, 0, 3] + [1] * 10)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(lists))), pa.array(lists, pa.list_(pa.float64()))], names=["river_id", "signal"])
+    parts = list(slices([batch]))
+    assert pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
+    assert len(parts) > 12 and all(p.num_rows == 1 or sum(len(v or [0]) for v in p.column(1).to_pylist()) <= 50_000 for p in parts)
+    assert not list(slices([batch.slice(0, 0)]))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thalweg.functions import kernels
+from thalweg.functions.batches import slices
 from thalweg.operators import splines
 from thalweg.operators.ordered import gradient, interpolated, previous
 from thalweg.sources.scratch import written
@@ -33,7 +34,7 @@ def per_group(points: DataFrame, group: list[str], columns: list[str], kernel: C
     names = [x.split()[0] for x in result.split(", ")]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             kept: list[list] = [[] for _ in group]
             made: dict[str, list] = {n: [] for n in names}
             for i in range(batch.num_rows):
@@ -168,7 +169,7 @@ def extended_bounds(points: DataFrame, bends: DataFrame) -> DataFrame:
     kind = points.schema["river_id"].dataType.simpleString()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             for river, c_, ids, a, z in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 v = np.array(c_, float)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thalweg.functions import kernels
+from thalweg.functions.batches import slices
 from thalweg.functions.distributions import chi2_quantile
 from thalweg.functions.scalar import MOTHERS, fourier_factor
 
@@ -297,7 +298,7 @@ def spectrum_cuts(signal: DataFrame, dt: float = 1.0, dj: float = 0.05) -> DataF
     kind = signal.schema["river_id"].dataType.simpleString()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, cuts = [], []
             for river, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not y or len(y) < 4:

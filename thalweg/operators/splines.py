@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thalweg.functions import bsplines
+from thalweg.functions.batches import slices
 from thalweg.sources.scratch import dropped, written
 
 ORDERS = range(1, 6)
@@ -51,7 +52,7 @@ def _through(series: DataFrame, order: int) -> DataFrame:
     kind = series.schema["river_id"].dataType.simpleString()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for i in range(batch.num_rows):
                 s, v = (batch.column(c)[i].values.to_numpy() for c in (2, 3))
                 t, c, k = bsplines.interpolated(s, v, order)
@@ -121,7 +122,7 @@ def _solve(sums: DataFrame, order: int, final: bool) -> DataFrame:
     rows = by.select(*_KEY, "v0", F.col("p.products").alias("products"), F.col("p.values").alias("values"), F.col("p.t").alias("t"), *(["least", "smooth"] if final else []))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for row in batch.to_pylist():
                 local = np.array(row["t"])
                 inner = local[1:, order - 1]
@@ -186,7 +187,7 @@ def _split(residuals: DataFrame, state: DataFrame) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["smooth", "before", "added", "least", "done", "chosen"]
         kinds = [pa.float64(), pa.float64(), pa.int64(), pa.float64(), pa.bool_(), pa.list_(pa.int64())]
-        for batch in batches:
+        for batch in slices(batches):
             made = [judge(row) for row in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([m[n] for m in made], k) for n, k in zip(names, kinds, strict=True))], names=[*_KEY, *names])
 
