@@ -71,3 +71,41 @@ def test_batches_are_cut_by_their_values():
     assert pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
     assert len(parts) > 12 and all(p.num_rows == 1 or sum(len(v or [0]) for v in p.column(1).to_pylist()) <= 50_000 for p in parts)
     assert not list(slices([batch.slice(0, 0)]))
+
+
+def test_extremes_write_few_rows(spark, monkeypatch):
+    """Leaves are set aside as soon as they are known, so all rounds together write few times the nodes; a chain goes by doubling."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from thalweg.operators import graph
+
+    rows, write = [0], graph.written
+
+    def counted(frame, name):
+        out = write(frame, name)
+        rows[0] += out.count()
+        return out
+
+    monkeypatch.setattr(graph, "written", counted)
+    monkeypatch.setattr(graph, "_FEW", 0, raising=False)
+    rnd = random.Random(4)
+    heap = [(k, k // 2 or None, rnd.randrange(1000)) for k in range(1, 512)]
+    mixed = [(0, None, 5), *((k, rnd.choice([k - 1, rnd.randrange(k)]), rnd.choice([None, rnd.randrange(1000)])) for k in range(1, 150)), (200, 999, 3), (201, 200, 1)]
+    chain = [(k, k - 1 if k else None, (k * 37) % 101) for k in range(40)]
+    for made, most in ((heap, 3), (mixed, None), (chain, None)):
+        low, high = {k: {v} - {None} for k, _, v in made}, {}
+        up = {k: p for k, p, _ in made}
+        for k, _, v in made:
+            at = up[k]
+            while at in low:
+                if v is not None:
+                    low[at].add(v)
+                at = up[at]
+        high = {k: (min(v), max(v) + 1) if v else (None, None) for k, v in low.items()}
+        rows[0] = 0
+        n = spark.createDataFrame(made, "node long, parent long, v long")
+        got = graph.descendants_extreme(n, F.col("v"), F.col("v") + 1) if hasattr(graph, "_FEW") else graph.descendants_extreme(n, F.col("v"))
+        assert {r.node: (r.low, r.high) for r in got.collect()} == high
+        assert most is None or rows[0] <= most * len(made)

@@ -92,8 +92,7 @@ def leaf_spans(nodes: DataFrame) -> DataFrame:
     inner = nodes.where("parent is not null").select(F.col("parent").alias("node")).distinct().withColumn("inner", F.lit(True))
     n = nodes.join(inner, "node", "left")
     leaf = F.col("inner").isNull()
-    low = graph.descendants_extreme(n, F.when(leaf, F.col("idx_start"))).select("node", F.col("low").alias("leaf_start"))
-    high = graph.descendants_extreme(n, F.when(leaf, F.col("idx_end"))).select("node", F.col("high").alias("leaf_end"))
-    both = n.join(low, "node").join(high, "node")
+    ends = graph.descendants_extreme(n, F.when(leaf, F.col("idx_start")), F.when(leaf, F.col("idx_end")))
+    both = n.join(ends.select("node", F.col("low").alias("leaf_start"), F.col("high").alias("leaf_end")), "node")
     own = {"leaf_start": "inf_start", "leaf_end": "inf_end"} if "inf_start" in nodes.columns else {"leaf_start": "leaf_start", "leaf_end": "leaf_end"}
     return both.select("node", *(F.when(leaf, F.col(moved)).otherwise(F.col(c)).alias(c) for c, moved in own.items()))
