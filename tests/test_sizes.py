@@ -109,3 +109,13 @@ def test_extremes_write_few_rows(spark, monkeypatch):
         got = graph.descendants_extreme(n, F.col("v"), F.col("v") + 1) if hasattr(graph, "_FEW") else graph.descendants_extreme(n, F.col("v"))
         assert {r.node: (r.low, r.high) for r in got.collect()} == high
         assert most is None or rows[0] <= most * len(made)
+
+
+def test_placed_nodes_do_not_list_their_places(spark):
+    """Nodes meet their river's points as arrays, in one join, and the tree is asked for once."""
+    from thalweg.operators import scale_tree
+
+    points = spark.createDataFrame([(1, i, float(i), float(i), float(i % 5), float(i % 7 - 3)) for i in range(64)], "river_id long, idx long, s double, x double, y double, c double")
+    signal = spark.createDataFrame([(1, [float(i % 7 - 3) for i in range(64)])], "river_id long, signal array<double>")
+    p = plan(scale_tree.placed(scale_tree.nodes(signal, 1.0, 0.25), points))
+    assert "Generate" not in p and p.split("== Initial Plan ==")[0].count("MapInArrow") == 2

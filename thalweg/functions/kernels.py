@@ -262,7 +262,35 @@ def marked_inflections(s: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[flo
     return float(s[0]), float(s[-1])
 
 
+def circle_moments(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """Means of x and y, and of the products of the distances from them that a circle needs; NaN without points."""
+    if not len(x):
+        return (math.nan,) * 8
+    mx, my = x.mean(), y.mean()
+    u, v = x - mx, y - my
+    z = u * u + v * v
+    n = len(x)
+    return mx, my, u @ u / n, v @ v / n, u @ v / n, u @ z / n, v @ z / n, z @ z / n
+
+
+def circle_centres(moments: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
+    """Centres of Taubin's circles of ``circle_moments`` (rows), NaN for points on a line: ``metrics.fitted_circle`` on arrays."""
+    mx, my, xx, yy, xy, xz, yz, zz = moments.T
+    mz, cov = xx + yy, xx * yy - xy * xy
+    var = zz - mz * mz
+    a2 = 4 * cov - 3 * mz * mz - zz
+    a1 = var * mz + 4 * cov * mz - xz * xz - yz * yz
+    a0 = xz * (xz * yy - yz * xy) + yz * (yz * xx - xz * xy) - var * cov
+    t = np.zeros(len(mx))
+    for _ in range(rounds):
+        slope = a1 + t * (2 * a2 + t * 12 * mz)
+        t = t - np.where(slope == 0, 0.0, (a0 + t * (a1 + t * (a2 + t * 4 * mz))) / np.where(slope == 0, 1.0, slope))
+    det = t * t - t * mz + cov
+    det = np.where(np.abs(det) > 1e-12 * mz * mz, 2 * det, math.nan)
+    return (xz * (yy - t) - yz * xy) / det + mx, (yz * (xx - t) - xz * xy) / det + my
+
+
 __all__ = [
-    "chi2_quantile", "crossings", "cross_faded", "cwt", "daughter", "extended", "fourier_factor", "funneling", "lower_gamma", "marked_inflections",
+    "chi2_quantile", "circle_centres", "circle_moments", "crossings", "cross_faded", "cwt", "daughter", "extended", "fourier_factor", "funneling", "lower_gamma", "marked_inflections",
     "not_a_knot", "peaks", "plane_curvature", "prominent", "savgol_derivative", "scale_count", "smooth", "smoothed_values", "spline",
 ]
