@@ -119,3 +119,15 @@ def test_placed_nodes_do_not_list_their_places(spark):
     signal = spark.createDataFrame([(1, [float(i % 7 - 3) for i in range(64)])], "river_id long, signal array<double>")
     p = plan(scale_tree.placed(scale_tree.nodes(signal, 1.0, 0.25), points))
     assert "Generate" not in p and p.split("== Initial Plan ==")[0].count("MapInArrow") == 2
+
+
+def _shuffles(frame) -> int:
+    return plan(frame).split("== Initial Plan ==")[0].count("Exchange hashpartitioning")
+
+
+def test_transforms_shuffle_once(spark, sf_dir):
+    """The long table of a transform meets its neighbours, and its spans, where one shuffle by river put it."""
+    assert _shuffles(catalogue.queries()["saddle_extrema"](spark, sf_dir)) == 1
+    frame = catalogue.queries()["leaf_spectrum"](spark, sf_dir)
+    wave = [line for line in plan(frame).splitlines() if "Exchange hashpartitioning(river_id" in line]
+    assert wave and "node_id#" not in "".join(line for line in wave if "(river_id" in line and ", j#" in line)

@@ -247,11 +247,13 @@ def inverse(wave: DataFrame, dt: float, dj: float, mother: str = "DOG", scales:
 def saddle_ids(wave: DataFrame) -> DataFrame:
     """Half the changes of "neighbour above centre" around a ring of six; 0 is an extremum.
 
-    Borders take the id of the nearest inner cell.
+    Borders take the id of the nearest inner cell: of the neighbour in the row, then of that in
+    the column. A river's cells meet in one place, so the long table shuffles once.
     """
     row = Window.partitionBy("river_id", "j").orderBy("n")
     column = Window.partitionBy("river_id", "n").orderBy("j")
-    w = wave.select("river_id", "j", "n", "re", F.lag("re").over(column).alias("tc"), F.lead("re").over(column).alias("bc"))
+    w = wave.select("river_id", "j", "n", "re").repartition("river_id")
+    w = w.withColumns({"tc": F.lag("re").over(column), "bc": F.lead("re").over(column)})
     w = w.select(
         "river_id", "j", "n", "re", "tc", "bc", F.lag("tc").over(row).alias("tl"), F.lead("bc").over(row).alias("br"),
         F.lag("re").over(row).alias("ml"), F.lead("re").over(row).alias("mr"),
@@ -259,20 +261,23 @@ def saddle_ids(wave: DataFrame) -> DataFrame:
     ring = ["tl", "ml", "bc", "br", "mr", "tc"]
     above = [F.col(c) > F.col("re") for c in ring]
     changes = sum(((a != b).cast("long") for a, b in zip(above, above[1:] + above[:1], strict=True)), F.lit(0))
-    inner = w.withColumn("id", (changes / 2).cast("long")).where("id is not null").select("river_id", F.col("j").alias("cj"), F.col("n").alias("cn"), "id")
-    size = wave.groupBy("river_id").agg(F.max("j").alias("mj"), F.max("n").alias("mn"))
-    cells = wave.select("river_id", "j", "n").join(size, "river_id")
-    cells = cells.withColumn("cj", F.greatest(F.lit(1), F.least("j", F.col("mj") - 1))).withColumn("cn", F.greatest(F.lit(1), F.least("n", F.col("mn") - 1)))
-    return cells.join(inner, ["river_id", "cj", "cn"]).select("river_id", "j", "n", "id")
+    w = w.select("river_id", "j", "n", (changes / 2).cast("long").alias("id"))  # null at borders
+    for by in (row, column):
+        w = w.withColumn("id", F.coalesce("id", F.lead("id").over(by), F.lag("id").over(by)))
+    return w.where("id is not null")
 
 
 def leaf_spectrum(wave: DataFrame, spans: DataFrame) -> DataFrame:
     """Mean power by scale over each node's span (river_id, node_id, low, high).
 
-    Spans list their places and meet the wave by (river_id, n).
+    Spans list their places, and a river's nodes by place meet its wave in one row: work follows the
+    spans, and the long table shuffles once, for the means are made where it then lies.
     """
     places = spans.select("river_id", "node_id", F.explode(F.sequence("low", "high")).alias("n"))
-    j = wave.join(places, ["river_id", "n"])
+    places = places.groupBy("river_id", "n").agg(F.collect_list("node_id").alias("nodes"))
+    at = places.groupBy("river_id").agg(F.map_from_entries(F.collect_list(F.struct("n", "nodes"))).alias("at"))
+    w = wave.select("river_id", "j", "n", "power").repartition("river_id")
+    j = w.join(at.hint("shuffle_hash"), "river_id").select("river_id", "j", "power", F.explode(F.try_element_at("at", F.col("n"))).alias("node_id"))
     return j.groupBy("river_id", "node_id", "j").agg(F.avg("power").alias("gws"))
 
 
