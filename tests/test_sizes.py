@@ -131,3 +131,22 @@ def test_transforms_shuffle_once(spark, sf_dir):
     frame = catalogue.queries()["leaf_spectrum"](spark, sf_dir)
     wave = [line for line in plan(frame).splitlines() if "Exchange hashpartitioning(river_id" in line]
     assert wave and "node_id#" not in "".join(line for line in wave if "(river_id" in line and ", j#" in line)
+
+
+def test_long_transects_shuffle_once(spark, sf_dir):
+    from thalweg.operators import ordered
+    from thalweg.plans import standins as st
+
+    assert _shuffles(ordered.curvature(ordered.distances(st.lineitems(spark, sf_dir)))) == 1
+
+
+def test_splines_at_stations_sort_once(spark):
+    """All derivatives come from one meeting of stations and pieces, and the table is read once."""
+    from thalweg.operators import splines
+
+    table = spark.createDataFrame([(1, d, float(i), i + 1.0, [1.0, 2.0, 3.0, 0.5]) for d in "xy" for i in range(3)], "river_id long, dim string, low double, high double, c array<double>")
+    stations = spark.createDataFrame([(1, 0, 0.5), (2, 1, 0.5)], "river_id long, k long, s double")
+    out = splines.at_stations(table, stations, derivatives=(0, 1, 2))
+    p = plan(out).split("== Initial Plan ==")[0]
+    assert p.count("Scan ExistingRDD[river_id") + p.count("LocalTableScan") <= 2
+    assert [tuple(r) for r in out.collect()] == [(1, 0, 0.5, 2.8125, 2.8125, 5.375, 5.375, 7.5, 7.5)]

@@ -247,25 +247,31 @@ def fitted(points: DataFrame, order: int = 3, smooth: float = 0.0, columns: tupl
 EXTENSIONS = ("extrapolate", "zeros", "raise", "boundary")
 
 
-def evaluated(table: DataFrame, stations: DataFrame, derivative: int = 0, ext: int = 0) -> DataFrame:
-    """The splines at stations (river_id, k, s): river_id, k, s and a column for each dim, in long form as (dim, value).
+def _met(table: DataFrame, stations: DataFrame, ext: int, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """The stations by dim, each with the piece ``own`` that it lies in, and the line's ``start`` and ``end``.
 
-    ``ext`` numbers ``EXTENSIONS``. Intervals and stations are sorted together by s, so
-    a station meets its own interval alone; a river without splines gives no row.
+    With ``columns`` given the table is read once, else a second time for what it holds.
     """
     if not 0 <= ext < len(EXTENSIONS):
         raise ValueError(f"ext numbers {', '.join(EXTENSIONS)}")
     piece = F.struct("low", "high", "c")
     knots = table.select("river_id", "dim", F.col("low").alias("at"), piece.alias("p"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("k"))
-    dims = table.select("river_id", "dim").distinct()
-    asked = stations.select("river_id", F.col("k").cast("long").alias("k"), F.col("s").alias("at")).join(dims, "river_id")
+    asked = stations.select("river_id", F.col("k").cast("long").alias("k"), F.col("s").alias("at"))
+    if columns is None:
+        asked = asked.join(table.select("river_id", "dim").distinct(), "river_id")
+    else:
+        knots, asked = knots.where(F.col("dim").isin(*columns)), asked.withColumn("dim", F.explode(F.array(*(F.lit(c) for c in columns))))
     asked = asked.select("river_id", "dim", "at", F.lit(None).alias("p"), F.lit(1).alias("kind"), "k")
     by = Window.partitionBy("river_id", "dim")
     order = by.orderBy("at", "kind", "k").rowsBetween(Window.unboundedPreceding, 0)
     both = knots.unionByName(asked).withColumns({
         "own": F.last("p", ignorenulls=True).over(order), "outer": F.min_by("p", F.when(F.col("kind") == 0, F.col("at"))).over(by), "end": F.max("p.high").over(by),
-    }).where("kind = 1")
-    both = both.withColumns({"own": F.coalesce("own", "outer"), "start": F.col("outer.low")})
+    }).where("kind = 1 and outer is not null")
+    return both.withColumns({"own": F.coalesce("own", "outer"), "start": F.col("outer.low")})
+
+
+def _value(derivative: int, ext: int) -> Column:
+    """Value, or derivative, of the station's own piece of ``_met``."""
     outside = (F.col("at") < F.col("start")) | (F.col("at") > F.col("end"))
     s = F.greatest("start", F.least("end", "at")) if ext == 3 else F.col("at")
     value = polynomial(F.col("own.c"), s - F.col("own.low"), derivative)
@@ -275,15 +281,21 @@ def evaluated(table: DataFrame, stations: DataFrame, derivative: int = 0, ext: i
         value = F.when(outside, F.raise_error(F.concat(F.lit("station beyond the ends of the line: "), F.col("at").cast("string"))).cast("double")).otherwise(value)
     elif ext == 3 and derivative:
         value = F.when(outside, 0.0).otherwise(value)
-    return both.select("river_id", "k", F.col("at").alias("s"), "dim", value.alias("value"))
+    return value
+
+
+def evaluated(table: DataFrame, stations: DataFrame, derivative: int = 0, ext: int = 0) -> DataFrame:
+    """The splines at stations (river_id, k, s): river_id, k, s and a column for each dim, in long form as (dim, value).
+
+    ``ext`` numbers ``EXTENSIONS``. Intervals and stations are sorted together by s, so
+    a station meets its own interval alone; a river without splines gives no row.
+    """
+    return _met(table, stations, ext).select("river_id", "k", F.col("at").alias("s"), "dim", _value(derivative, ext).alias("value"))
 
 
 def at_stations(table: DataFrame, stations: DataFrame, columns: tuple[str, ...] = ("x", "y"), derivatives: tuple[int, ...] = (0,), ext: int = 0) -> DataFrame:
-    """``evaluated`` with a column for each of ``columns`` and derivative: x, dxds, d2xds2 and so on."""
+    """``evaluated`` with a column for each of ``columns`` and derivative: x, dxds, d2xds2 and so on; all from one sort."""
     name = lambda c, d: c if d == 0 else f"d{c}ds" if d == 1 else f"d{d}{c}ds{d}"
-    rows = None
-    for d in derivatives:
-        one = evaluated(table, stations, d, ext).where(F.col("dim").isin(*columns)).withColumn("derivative", F.lit(d))
-        rows = one if rows is None else rows.unionByName(one)
-    picked = [F.max(F.when((F.col("dim") == c) & (F.col("derivative") == d), F.col("value"))).alias(name(c, d)) for d in derivatives for c in columns]
+    rows = _met(table, stations, ext, columns).select("river_id", "k", F.col("at").alias("s"), "dim", *(_value(d, ext).alias(f"_{d}") for d in derivatives))
+    picked = [F.max(F.when(F.col("dim") == c, F.col(f"_{d}"))).alias(name(c, d)) for d in derivatives for c in columns]
     return rows.groupBy("river_id", "k", "s").agg(*picked)
