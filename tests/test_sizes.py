@@ -150,3 +150,19 @@ def test_splines_at_stations_sort_once(spark):
     p = plan(out).split("== Initial Plan ==")[0]
     assert p.count("Scan ExistingRDD[river_id") + p.count("LocalTableScan") <= 2
     assert [tuple(r) for r in out.collect()] == [(1, 0, 0.5, 2.8125, 2.8125, 5.375, 5.375, 7.5, 7.5)]
+
+
+@pytest.mark.parametrize("name", ["local_peaks", "interp_linear", "interp_previous", "nearest_station"])
+def test_points_are_dealt_by_their_number(spark, sf_dir, monkeypatch, name):
+    """Tasks become more as points do: Spark neither joins their partitions nor deals the points out anew."""
+    import re
+
+    from thalweg.plans import standins as st
+
+    want = catalogue.queries()[name](spark, sf_dir)
+    monkeypatch.setattr(st, "POINTS_A_TASK", 50)
+    out = catalogue.queries()[name](spark, sf_dir)
+    rows = spark.read.parquet(f"{sf_dir}/{'lineitem' if name == 'local_peaks' else 'events'}.parquet").count()
+    dealt = re.findall(r"hashpartitioning\(river_id#\d+L?, (\d+)\)", plan(out).split("Initial Plan")[-1])
+    assert dealt and set(dealt) == {str(-(-rows // 50))} and "Exchange rangepartitioning" not in plan(out)
+    assert out.exceptAll(want).count() == 0 and out.count() == want.count()

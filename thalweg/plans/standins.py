@@ -12,9 +12,22 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Points that a task sorts at a time: a row of few bytes in a shuffle takes up to 2 KB in the sorts and windows of one stage.
+POINTS_A_TASK = 150_000
+
+
+def dealt(points: DataFrame) -> DataFrame:
+    """Points by river over as many tasks as keep each one small, and never over fewer than there are cores.
+
+    Left to itself Spark joins partitions until their compressed bytes fill a task, whatever they take in memory.
+    """
+    parts = max(points.sparkSession.sparkContext.defaultParallelism, -(-points.count() // POINTS_A_TASK))  # by the files' footers
+    return points.repartition(parts, "river_id")
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A transect per user: x is the place in order of time, y the value."""
-    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("river_id"), "ts", "event_id", F.col("value").alias("y"))
+    e = dealt(read(spark, sf_dir, "events").select(F.col("user_id").alias("river_id"), "ts", "event_id", F.col("value").alias("y")))
     i = (F.row_number().over(Window.partitionBy("river_id").orderBy("ts", "event_id")) - 1).cast("long")
     return e.select("river_id", i.alias("idx"), i.cast("double").alias("x"), "y")
 
@@ -24,7 +37,8 @@ def lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("river_id").orderBy("l_orderkey", "l_linenumber", "l_partkey")
     i = (F.row_number().over(w) - 1).cast("long")
     # named first: what follows by river_id then needs no second shuffle
-    li = read(spark, sf_dir, "lineitem").withColumnRenamed("l_suppkey", "river_id")
+    columns = ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_tax")
+    li = dealt(read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("river_id"), *columns))
     return li.select(
         "river_id", i.alias("idx"), i.cast("double").alias("x"),
         (F.col("l_quantity").cast("double") / 10).alias("y"), (1 + F.col("l_tax").cast("double")).alias("w_m"),
