@@ -95,3 +95,16 @@ def test_tree_is_ordered_and_nested():
         while m and at >= 0:
             assert not marks[at]
             at = nodes[at]["parent"]
+
+
+def test_funneling_meets_all_levels_together():
+    """Widths of a line's stretch above each level, held against a look at one level after the other."""
+    rng = np.random.default_rng(3)
+    for n in (3, 8, 50):
+        u, v, levels = np.cumsum(rng.uniform(0, 1, n)), rng.normal(0, 5, n), np.linspace(0, 9, 200)
+        inside, width, at_end = (np.concatenate(p) for p in zip(*k._widths(u, v, levels), strict=True))
+        for i, level in enumerate(levels):
+            above = np.flatnonzero(v >= level)
+            assert inside[i] == bool(len(above))
+            if len(above):
+                assert width[i] == u[above[-1]] - u[above[0]] and at_end[i] == (above[0] == 0 or above[-1] == n - 1)

@@ -6,6 +6,7 @@ Implements the numeric parts of: W14, W16-W19, W22, W23, W25, A8, C1, C4, C5, X1
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -205,6 +206,15 @@ def extended(c: np.ndarray, a: int, b: int) -> tuple[int, int]:
     return outward(a, -1), outward(b, 1)
 
 
+def _widths(u: np.ndarray, v: np.ndarray, levels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For blocks of levels: whether v reaches them, how far apart in u it does so first and last, and whether at an end."""
+    block = max(1, 2_000_000 // len(v))
+    for i in range(0, len(levels), block):
+        inside = v >= levels[i : i + block, None]
+        first, last = inside.argmax(axis=1), len(v) - 1 - inside[:, ::-1].argmax(axis=1)
+        yield inside.any(axis=1), u[last] - u[first], (first == 0) | (last == len(v) - 1)
+
+
 def funneling(x: np.ndarray, y: np.ndarray, i0: int, i1: int) -> tuple[float, float, float]:
     """(lobe width, neck width, their ratio) of a bend across its chord; NaN without a neck."""
     dx, dy = x[i1] - x[i0], y[i1] - y[i0]
@@ -216,18 +226,14 @@ def funneling(x: np.ndarray, y: np.ndarray, i0: int, i1: int) -> tuple[float, fl
     at = np.linspace(0, s[-1], math.ceil(1.5 * len(u)))
     u, v = np.interp(at, s, u), np.interp(at, s, v)
     neck, lobe = 1e9, 0.0
-    for level in np.linspace(0, v.min(), 200)[:-5]:
-        inside = np.flatnonzero(v >= level)
-        if not len(inside):
-            continue
-        width = u[inside[-1]] - u[inside[0]]
-        neck = min(neck, width)
-        if inside[0] == 0 or inside[-1] == len(u) - 1:
+    for inside, width, at_end in _widths(u, v, np.linspace(0, v.min(), 200)[:-5]):
+        ends = np.flatnonzero(inside & at_end)
+        last = ends[0] + 1 if len(ends) else len(inside)
+        neck = min(neck, width[:last][inside[:last]].min(initial=1e9))
+        if len(ends):
             break
-    for level in np.linspace(0, v.max(), 200):
-        inside = np.flatnonzero(v >= level)
-        if len(inside):
-            lobe = max(lobe, u[inside[-1]] - u[inside[0]])
+    for inside, width, _ in _widths(u, v, np.linspace(0, v.max(), 200)):
+        lobe = max(lobe, width[inside].max(initial=0.0))
     ratio = lobe / neck if neck not in (0.0, 1e9) else math.nan
     return (lobe, neck, ratio) if ratio >= 1e-5 else (math.nan, math.nan, math.nan)
 
