@@ -222,3 +222,28 @@ def test_refined_nodes_of_whole_trees(spark, sf_dir):
                 assert np.allclose(kernels.spline(xs[:, 0], v, at)[0], [g[f"{c}_inf_left"], g[f"{c}_inf_right"]], atol=1e-6)
     spectra = scale_tree.leaf_spectra(spark.createDataFrame(list(got.values())[:20]), p, 1.0, 0.5)
     assert spectra.select("river_id", "node_id").distinct().count() == 20 and spectra.where("is_peak").count() > 0
+
+
+@pytest.mark.parametrize("order", [1, 3, 5])
+def test_series_are_smoothed_together(order):
+    """A stack of series of equally many intervals gives what each gives alone, with the residual asked for."""
+    rng, rows = np.random.default_rng(4), []
+    for _ in range(5):
+        s = np.sort(rng.uniform(0, 50, 60))
+        t, v = bsplines.padded(s[[15, 30, 45]], s[0], s[-1], order), rng.normal(0, 10, 60)
+        j = np.clip(np.searchsorted(t, s, side="right") - 1, order, len(t) - order - 2)
+        parts, products, values = bsplines.basis(t, order, j, s), np.zeros((4, (order + 1) * (order + 2) // 2)), np.zeros((4, order + 1))
+        for q, p, w in zip(j - order, parts, v, strict=True):
+            products[q] += np.outer(p, p)[np.triu_indices(order + 1)]
+            values[q] += p * w
+        at = lambda c, j=j, parts=parts: (parts * c[j[:, None] - order + np.arange(order + 1)]).sum(axis=1)
+        c = bsplines.solved(*(x[0] for x in bsplines.assembled(products[None], values[None], order)))
+        rows.append((t, products, values, ((v - at(c)) ** 2).sum(), v, at))
+    t, products, values, least = (np.array([r[i] for r in rows]) for i in range(4))
+    asked = least * np.array([1.1, 1.2, 1.0, 1.05, 0.9])
+    c = bsplines.smoothed(t, order, *bsplines.assembled(products, values, order), least, asked)
+    for i, row in enumerate(rows):
+        one = slice(i, i + 1)
+        alone = bsplines.smoothed(t[one], order, *bsplines.assembled(products[one], values[one], order), least[one], asked[one])[0]
+        assert np.allclose(c[i], alone, rtol=1e-9, atol=1e-9)
+        assert ((row[4] - row[5](c[i])) ** 2).sum() == pytest.approx(max(asked[i], least[i]), rel=1e-6)

@@ -1,4 +1,4 @@
-"""B-splines of any order in numpy: bases, interpolation, least squares from sums, smoothing.
+"""B-splines of any order in numpy: bases, interpolation, least squares from sums, smoothing of stacks of series.
 
 A spline of order k has knots t (the outer ones k + 1 times) and coefficients c; on the
 interval from t[j] to t[j + 1] it is a polynomial, given here by its powers of (s - t[j]).
@@ -48,18 +48,20 @@ def powers(t: np.ndarray, k: int, c: np.ndarray) -> np.ndarray:
 
 
 def solved(band: np.ndarray, rhs: np.ndarray) -> np.ndarray:
-    """The solution for a matrix given by its rows' bands (column i - w to i + w), which needs no pivots."""
-    n, width = len(band), band.shape[1] // 2
+    """The solution for a matrix given by its rows' bands (column i - w to i + w), which needs no pivots.
+
+    Axes before the last two are a stack of matrices, which are solved together.
+    """
+    n, width = band.shape[-2], band.shape[-1] // 2
     a, x = band.astype(float).copy(), rhs.astype(float).copy()
     for i in range(n):
         for d in range(1, min(width, n - 1 - i) + 1):
-            f = a[i + d, width - d] / a[i, width]
-            if f:
-                a[i + d, width - d : 2 * width + 1 - d] -= f * a[i, width:]
-                x[i + d] -= f * x[i]
+            f = a[..., i + d, width - d] / a[..., i, width]
+            a[..., i + d, width - d : 2 * width + 1 - d] -= f[..., None] * a[..., i, width:]
+            x[..., i + d] -= f * x[..., i]
     for i in range(n - 1, -1, -1):
         m = min(width, n - 1 - i)
-        x[i] = (x[i] - a[i, width + 1 : width + 1 + m] @ x[i + 1 : i + 1 + m]) / a[i, width]
+        x[..., i] = (x[..., i] - (a[..., i, width + 1 : width + 1 + m] * x[..., i + 1 : i + 1 + m]).sum(axis=-1)) / a[..., i, width]
     return x
 
 
@@ -82,62 +84,66 @@ def interpolated(s: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 
 
 def assembled(products: np.ndarray, values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Normal equations from each interval's sums: products of basis functions (upper triangle by rows) and with the values."""
-    n = len(products) + k
-    band, rhs = np.zeros((n, 2 * k + 1)), np.zeros(n)
-    for q, (own, value) in enumerate(zip(products, values, strict=True)):
-        rhs[q : q + k + 1] += value
-        at = 0
-        for a in range(k + 1):
-            for b in range(a, k + 1):
-                band[q + a, k + b - a] += own[at]
-                if b > a:
-                    band[q + b, k + a - b] += own[at]
-                at += 1
+    """Normal equations from each interval's sums: products of basis functions (upper triangle by rows) and with the values.
+
+    The first axis is a stack of series with equally many intervals.
+    """
+    count, q = products.shape[:2]
+    band, rhs = np.zeros((count, q + k, 2 * k + 1)), np.zeros((count, q + k))
+    at = [0, *np.cumsum(np.arange(k + 1, 0, -1))]
+    for a in range(k, -1, -1):
+        rhs[:, a : a + q] += values[:, :, a]
+        for b in range(a, k + 1):
+            own = products[:, :, at[a] + b - a]
+            band[:, a : a + q, k + b - a] += own
+            if b > a:
+                band[:, b : b + q, k + a - b] += own
     return band, rhs
 
 
 def _jumps(t: np.ndarray, k: int) -> np.ndarray:
     """Jump of the k-th derivative at each inner knot, by the k + 2 coefficients around it (a common factor aside)."""
-    inner = len(t) - 2 * k - 2
-    scale = (t[-1] - t[0]) / (inner + 1)
-    out = np.zeros((inner, k + 2))
-    for m in range(inner):
-        for i in range(m, m + k + 2):
-            others = np.delete(np.arange(i, i + k + 2), m + k + 1 - i)
-            out[m, i - m] = (t[i + k + 1] - t[i]) / scale / np.prod((t[m + k + 1] - t[others]) / scale)
+    inner = t.shape[1] - 2 * k - 2
+    scale = ((t[:, -1] - t[:, 0]) / (inner + 1))[:, None]
+    here, out = t[:, k + 1 : k + 1 + inner], np.zeros((len(t), inner, k + 2))
+    for e in range(k + 2):
+        others = [(here - t[:, e + o : e + o + inner]) / scale for o in range(k + 2) if o != k + 1 - e]
+        out[:, :, e] = (t[:, e + k + 1 : e + k + 1 + inner] - t[:, e : e + inner]) / scale / np.prod(others, axis=0)
     return out
 
 
-def smoothed(t: np.ndarray, k: int, band: np.ndarray, rhs: np.ndarray, least: float, residual: float) -> np.ndarray:
-    """Of the splines on these knots with squared distances of ``residual``, the one of least jumps.
+def smoothed(t: np.ndarray, k: int, band: np.ndarray, rhs: np.ndarray, least: np.ndarray, residual: np.ndarray) -> np.ndarray:
+    """Of the splines on these knots with squared distances of ``residual``, the one of least jumps; for a stack of series.
 
     ``least`` is the residual of the least-squares spline; any other adds the form of the normal
     equations at its distance from that one, so no sum over points is needed again.
     """
     best = solved(band, rhs)
-    inner, n = len(t) - 2 * k - 2, len(rhs)
-    if inner <= 0 or residual <= least:
+    inner, n = t.shape[1] - 2 * k - 2, rhs.shape[1]
+    open_ = np.flatnonzero(residual > least)
+    if inner <= 0 or not len(open_):
         return best
-    jumps, wide = _jumps(t, k), np.zeros((n, 2 * k + 3))
-    for m in range(inner):
-        for a in range(k + 2):
-            wide[m + a, k + 1 - a : 2 * k + 3 - a] += jumps[m, a] * jumps[m]
+    t, band, rhs, least, residual = t[open_], band[open_], rhs[open_], least[open_], residual[open_]
+    jumps, wide = _jumps(t, k), np.zeros((len(t), n, 2 * k + 3))
+    for a in range(k + 1, -1, -1):
+        wide[:, a : a + inner, k + 1 - a : 2 * k + 3 - a] += jumps[:, :, a, None] * jumps
     full = np.zeros_like(wide)
-    full[:, 1:-1] = band
+    full[:, :, 1:-1] = band
 
-    def fit(weight: float) -> tuple[np.ndarray, float]:
-        c = solved(full + weight * wide, rhs)
-        off = np.concatenate([np.zeros(k), c - best, np.zeros(k)])
-        form = sum((band[i] @ off[i : i + 2 * k + 1]) * (c[i] - best[i]) for i in range(n))
-        return c, least + form
+    def fit(weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        c = solved(full + weight[:, None, None] * wide, rhs)
+        off = np.pad(c - best[open_], ((0, 0), (k, k)))
+        form = sum(band[:, :, d] * off[:, d : d + n] for d in range(2 * k + 1)) * off[:, k : k + n]
+        return c, least + form.sum(axis=1)
 
-    low, high = -60.0, 60.0  # powers of e, by the size of the equations
-    size = np.abs(band).max() / np.abs(wide).max()
+    low, high = np.full(len(t), -60.0), np.full(len(t), 60.0)  # powers of e, by the size of the equations
+    size = np.abs(band).max(axis=(1, 2)) / np.abs(wide).max(axis=(1, 2))
     for _ in range(60):
         mid = (low + high) / 2
-        low, high = (mid, high) if fit(math.exp(mid) * size)[1] < residual else (low, mid)
-    return fit(math.exp(low) * size)[0]
+        below = fit(np.exp(mid) * size)[1] < residual
+        low, high = np.where(below, mid, low), np.where(below, high, mid)
+    best[open_] = fit(np.exp(low) * size)[0]
+    return best
 
 
 def new_knots(first: list[int], last: list[int], distances: list[float], count: int) -> list[int]:

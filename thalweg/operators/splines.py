@@ -123,20 +123,24 @@ def _solve(sums: DataFrame, order: int, final: bool) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
+            stacks: dict[int, list[dict]] = {}  # series of equally many intervals are solved together
             for row in batch.to_pylist():
-                local = np.array(row["t"])
-                inner = local[1:, order - 1]
-                t = bsplines.padded(inner, local[0, order - 1], local[-1, order], order)
-                band, rhs = bsplines.assembled(np.array(row["products"]), np.array(row["values"]), order)
-                c = bsplines.smoothed(t, order, band, rhs, row["least"], row["smooth"]) if final else bsplines.solved(band, rhs)
-                coefficients = bsplines.powers(t, order, c)
-                coefficients[:, 0] += row["v0"]
-                n = len(coefficients)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["river_id"]] * n, batch.schema.field(0).type), pa.array([row["dim"]] * n), pa.array(np.arange(n)), pa.array(local[:, order - 1]), pa.array(local[:, order]),
-                     pa.array(coefficients.tolist(), pa.list_(pa.float64()))],
-                    names=[*_KEY, "q", "low", "high", "c"],
-                )
+                stacks.setdefault(len(row["t"]), []).append(row)
+            for n, stack in stacks.items():
+                of = lambda name, stack=stack: np.array([row[name] for row in stack])
+                local = of("t")
+                low, high = local[:, :, order - 1], local[:, :, order]
+                t = np.concatenate([np.repeat(low[:, :1], order + 1, axis=1), low[:, 1:], np.repeat(high[:, -1:], order + 1, axis=1)], axis=1)
+                band, rhs = bsplines.assembled(of("products"), of("values"), order)
+                c = bsplines.smoothed(t, order, band, rhs, of("least"), of("smooth")) if final else bsplines.solved(band, rhs)
+                for i, row in enumerate(stack):
+                    coefficients = bsplines.powers(t[i], order, c[i])
+                    coefficients[:, 0] += row["v0"]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([row["river_id"]] * n, batch.schema.field(0).type), pa.array([row["dim"]] * n), pa.array(np.arange(n)), pa.array(low[i]), pa.array(high[i]),
+                         pa.array(coefficients.tolist(), pa.list_(pa.float64()))],
+                        names=[*_KEY, "q", "low", "high", "c"],
+                    )
 
     return rows.mapInArrow(each, f"river_id {kind}, dim string, q long, {_TABLE}")
 
