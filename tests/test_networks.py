@@ -180,3 +180,13 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         scratch.scratch_path(Session(), "x")
+
+
+def test_pre_order_takes_rounds_by_depth(spark, monkeypatch):
+    """A root with 300 children is done in a few written tables: rounds follow the depth, not the number of nodes."""
+    tables, write = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda frame, name: (tables.append(name), write(frame, name))[1])
+    star = spark.range(1, 302).selectExpr("id AS node", "CASE WHEN id > 1 THEN 1 END AS parent")
+    got = graph.pre_order(star).collect()
+    assert {(r.node, r.root, r.depth, r.place) for r in got} == {(n, 1, int(n > 1), n) for n in range(1, 302)}
+    assert len(tables) <= 8

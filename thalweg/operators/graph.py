@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thalweg.operators.ranking import ranked
+from thalweg.operators.ranking import running
 from thalweg.sources.scratch import dropped, written
 
 #: Rounds after which what still moves is on a cycle: paths are shorter than 2^40.
@@ -76,32 +76,48 @@ def paths_from(nodes: DataFrame, starts: DataFrame) -> DataFrame:
     return reach
 
 
+def _sizes(nodes: DataFrame, hops: int) -> DataFrame:
+    """node, size: how many nodes there are from a node on down, for nodes without cycles of at most ``hops`` depth.
+
+    Round k adds to each node the sizes, as far as they reach 2^k steps, of the nodes just 2^k below it.
+    """
+    last, p = None, nodes.select("node", F.col("parent").alias("ptr"), F.lit(1).cast("long").alias("size"))
+    for _ in range(hops.bit_length()):
+        up = p.where("ptr is not null").groupBy(F.col("ptr").alias("node")).agg(F.sum("size").alias("more"))
+        q = p.select(F.col("node").alias("ptr"), F.col("ptr").alias("far"))
+        nxt = p.join(up, "node", "left").join(q, "ptr", "left").select("node", F.col("far").alias("ptr"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
+        p = written(nxt, "sizes")
+        if last is not None:
+            dropped(last)
+        last = p
+    return p.select("node", "size")
+
+
 def pre_order(nodes: DataFrame) -> DataFrame:
     """Node, from_node, root, depth and place: trees one after the other by root, each parent before its children.
 
-    Children come in order of their names. A walk around the trees enters and leaves each
-    node once; every step of it points at the next, and the number of nodes entered from a
-    step on to the end, added up by doubling, gives its place. A row holds a node and two
-    numbers, however deep the tree is. Neighbours among siblings are found by rank, so a node
-    with very many children is no group of its own.
+    Children come in order of their names. A node's place is its parent's, one, and the sizes of
+    the siblings before it; these steps are added up along the way to the root by doubling, so
+    rounds follow the depth of the trees. Sizes of siblings are added up over ranges of all nodes,
+    so a node with very many children is no group of its own.
     """
-    linked = written(_pointers(nodes).select("node", F.when(~F.col("done"), F.col("ptr")).alias("parent")), "orders")
+    found = written(roots(nodes), "pre-order-roots")
+    # nodes on cycles have no root
+    linked = found.join(nodes.select("node", "parent"), "node").select("node", F.when(F.col("depth") > 0, F.col("parent")).alias("parent"))
+    linked = written(linked, "orders")
+    most = found.agg(F.max("depth")).first()[0] or 0  # one number
+    sized = linked.join(_sizes(linked, most), "node")
     order = [F.col("parent").asc_nulls_first(), F.col("node").asc()]
-    ranks = ranked(linked, order, "r").select("node", "parent", "r")
-    after = ranks.select(F.col("node").alias("next"), F.col("parent").alias("_p"), (F.col("r") - 1).alias("r"))
-    beside = ranks.join(after, "r", "left").select("node", "parent", F.when(F.col("parent").eqNullSafe(F.col("_p")), F.col("next")).alias("next"))
-    child = linked.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.min("node").alias("child"))
-    both = beside.join(child, "node", "left")
-    step = lambda node, leaves: F.struct(node.alias("of"), F.lit(leaves).alias("leaves"))
-    enter = both.select(step(F.col("node"), False).alias("node"), F.when(F.col("child").isNotNull(), step(F.col("child"), False)).otherwise(step(F.col("node"), True)).alias("ptr"), F.lit(1).cast("long").alias("hops"), F.lit(False).alias("done"))
-    onward = F.when(F.col("next").isNotNull(), step(F.col("next"), False)).when(F.col("parent").isNotNull(), step(F.col("parent"), True))
-    leave = both.select(step(F.col("node"), True).alias("node"), F.coalesce(onward, step(F.col("node"), True)).alias("ptr"), F.lit(0).cast("long").alias("hops"), onward.isNull().alias("done"))
-    p = written(enter.unionAll(leave), "orders")
-    found = reduce(DataFrame.unionAll, _followed(p, p.count().bit_length() + 1))
-    entered = found.where("not node.leaves").select("node.of", "hops")
-    every = entered.agg(F.max("hops")).first()[0] or 0  # one number
-    places = entered.select(F.col("of").alias("node"), (F.lit(every) - F.col("hops") + 1).alias("place"))
-    return places.join(roots(nodes), "node").join(nodes.select("node", F.col("parent").alias("from_node")), "node").select("node", "from_node", "root", "depth", "place")
+    before = running(sized, order, "size", "before")
+    first = before.where("parent is not null").groupBy("parent").agg(F.min("before").alias("first"))
+    step = before.join(first, "parent", "left").select("node", "parent", (F.col("before") - F.coalesce("first", F.lit(0)) + 1).alias("step"))
+    p = step.select("node", F.coalesce("parent", "node").alias("ptr"), F.col("step").alias("hops"), F.col("parent").isNull().alias("done"))
+    # a root adds its step once, at the end
+    p = written(p, "orders")
+    top = p.where("done").select(F.col("node").alias("root"), F.col("hops").alias("start"))
+    walked = reduce(DataFrame.unionAll, _followed(p.withColumn("hops", F.when(F.col("done"), 0).otherwise(F.col("hops"))), most.bit_length() + 1))
+    places = walked.join(top, walked["ptr"] == top["root"]).select("node", (F.col("hops") + F.col("start")).alias("place"))
+    return places.join(found, "node").join(nodes.select("node", F.col("parent").alias("from_node")), "node").select("node", "from_node", "root", "depth", "place")
 
 
 #: Trees of so few nodes are not worth a round for each of their levels.

@@ -38,3 +38,16 @@ def ranked_within(rows: DataFrame, group: list[str], order: list[Column], name:
     placed = placed.withColumn("_group", F.struct(*group))
     first = placed.groupBy("_group").agg(F.min("_place").alias("_first"))
     return placed.join(first, placed["_group"].eqNullSafe(first["_group"])).withColumn(name, F.col("_place") - F.col("_first")).drop("_place", "_first", "_group")
+
+
+def running(rows: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` over all rows before them in the given order, which has to be total.
+
+    As in ``ranked``, sums are made inside ranges, and one number a range is added up.
+    """
+    dealt = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = written(dealt.withColumn(name, F.sum(value).over(inside) - F.col(value)), "running")
+    sizes = placed.groupBy("_part").agg(F.sum(value).alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return placed.join(before, "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")
