@@ -82,6 +82,25 @@ def test_extended_bounds_reach_the_opposite_extremes():
     assert abs(low - 16) <= 1 and abs(high - 78) <= 1
 
 
+def test_extended_bounds_of_a_line_are_found_together():
+    """As windows that grow one by one, with plateaus, for many bends of a line."""
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 40, 90):
+        for c in (rng.integers(-2, 3, n).astype(float), rng.normal(size=n)):
+            a = np.sort(rng.integers(0, n, 12))
+            b = np.minimum(n - 1, a + rng.integers(0, 9, 12))
+            want = []
+            for i, j in zip(a.tolist(), b.tolist()):
+                v = -c if c[i : j + 1].max() > abs(c[i : j + 1].min()) else c
+                ends = []
+                for at, sign in ((i, -1), (j, 1)):
+                    windows = ((max(0, at - r), at) if sign < 0 else (at, min(n - 1, at + r)) for r in (j - i + t * ((j - i) // 2) for t in range(11)))
+                    held = next(((lo, hi) for lo, hi in windows if len(k.peaks(v[lo : hi + 1]))), None)
+                    ends.append(at if held is None else held[0] + v[held[0] : held[1] + 1].tolist().index(v[held[0] + k.peaks(v[held[0] : held[1] + 1])].max()))
+                want.append(tuple(ends))
+            assert list(zip(*(x.tolist() for x in k.extended_all(c, a, b)))) == want
+
+
 def test_tree_is_ordered_and_nested():
     t = np.arange(300)
     wave, _ = k.cwt(np.sin(t / 8) + np.sin(t / 40), 1.0, 0.25)

@@ -166,3 +166,9 @@ def test_points_are_dealt_by_their_number(spark, sf_dir, monkeypatch, name):
     dealt = re.findall(r"hashpartitioning\(river_id#\d+L?, (\d+)\)", plan(out).split("Initial Plan")[-1])
     assert dealt and set(dealt) == {str(-(-rows // 50))} and "Exchange rangepartitioning" not in plan(out)
     assert out.exceptAll(want).count() == 0 and out.count() == want.count()
+
+
+def test_refined_inflections_read_their_transects_once(spark, sf_dir):
+    """Curvature, bends and straight lines are needed several times: they are written, and nothing is computed anew from the events."""
+    frame = catalogue.queries()["refined_inflections"](spark, sf_dir)
+    assert not any("events.parquet" in file for file in frame.inputFiles()) and "MapInArrow" not in plan(frame)

@@ -186,24 +186,44 @@ def prominent(v: np.ndarray, least: float) -> np.ndarray:
     return np.array(found, int)
 
 
+def extended_all(c: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of all bends of a line moved out to the highest opposite peak within growing windows.
+
+    Runs of equal values above both neighbours are the peaks, of a window that holds a point
+    of either neighbour; they are found once for the line, and the first window with one
+    follows from the peak next to the bound.
+    """
+    last, out_a, out_b = len(c) - 1, a.copy(), b.copy()
+    first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+    end = np.append(first[1:] - 1, last)
+    known = {}
+    for sign in (1, -1):
+        v = sign * c
+        r = v[first]
+        top = 1 + np.flatnonzero((r[1:-1] > r[:-2]) & (r[1:-1] > r[2:]))
+        known[sign] = v, first[top], end[top]
+    steps = np.arange(11)
+    for i, (at, to) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        part = c[at : to + 1]
+        v, lo, hi = known[-1 if part.max() > abs(part.min()) else 1]
+        reach = to - at + steps * ((to - at) // 2)
+        low, n = np.maximum(0, at - reach), int(np.searchsorted(hi, at))  # peaks that end before the start
+        if n and (t := int(np.searchsorted(-low, 1 - lo[n - 1]))) < len(low):
+            k = int(np.searchsorted(lo, low[t] + 1))
+            window = v[low[t] : at + 1]
+            out_a[i] = low[t] + int((window == v[lo[k:n]].max()).argmax())
+        high, k = np.minimum(last, to + reach), int(np.searchsorted(lo, to, "right"))  # peaks that start after the end
+        if k < len(lo) and (t := int(np.searchsorted(high, hi[k] + 1))) < len(high):
+            n = int(np.searchsorted(hi, high[t]))
+            window = v[to : high[t] + 1]
+            out_b[i] = to + int((window == v[lo[k:n]].max()).argmax())
+    return out_a, out_b
+
+
 def extended(c: np.ndarray, a: int, b: int) -> tuple[int, int]:
-    """Bounds moved out to the highest opposite peak within growing windows."""
-    part = c[a : b + 1]
-    v = c * (-1 if part.max() > abs(part.min()) else 1)
-    span = abs(b - a)
-
-    def outward(at: int, sign: int) -> int:
-        reach = span
-        for _ in range(11):
-            low, high = (max(0, at - reach), at) if sign < 0 else (at, min(len(v) - 1, at + reach))
-            window = v[low : high + 1]
-            p = peaks(window)
-            if len(p):
-                return low + int(np.flatnonzero(window == window[p].max())[0])
-            reach += span // 2
-        return at
-
-    return outward(a, -1), outward(b, 1)
+    """``extended_all`` of one bend."""
+    low, high = extended_all(c, np.array([a]), np.array([b]))
+    return int(low[0]), int(high[0])
 
 
 def _widths(u: np.ndarray, v: np.ndarray, levels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:

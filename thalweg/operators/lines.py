@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -165,18 +166,23 @@ def extended_bounds(points: DataFrame, bends: DataFrame) -> DataFrame:
     """
     c = points.groupBy("river_id").agg(F.sort_array(F.collect_list(F.struct("idx", F.coalesce("c", F.lit(0.0)).alias("c")))).alias("p"))
     b = bends.groupBy("river_id").agg(F.sort_array(F.collect_list(F.struct("bend_id", "idx_start", "idx_end"))).alias("b"))
-    both = c.join(b, "river_id").select("river_id", F.col("p.c").alias("c"), F.col("b.bend_id").alias("bend_id"), F.col("b.idx_start").alias("a"), F.col("b.idx_end").alias("z"))
+    both = c.join(b, "river_id").select("river_id", F.col("p.c").alias("c"), F.col("b.bend_id").alias("bend_id"), F.col("b.idx_start").cast("array<long>").alias("a"), F.col("b.idx_end").cast("array<long>").alias("z"))
     kind = points.schema["river_id"].dataType.simpleString()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows: list[tuple] = []
-            for river, c_, ids, a, z in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                v = np.array(c_, float)
-                rows += [(river, i, *kernels.extended(v, lo, hi)) for i, lo, hi in zip(ids, a, z, strict=True)]
-            cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-            kinds = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds, strict=True)], names=["river_id", "bend_id", "ext_start", "ext_end"])
+            if not batch.num_rows:
+                continue
+            lists = [pc.list_flatten(batch.column(i)) for i in (2, 3, 4)]
+            size = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
+            a, z = (x.to_numpy(zero_copy_only=False) for x in lists[1:])
+            made, low = [], 0
+            for i, n in enumerate(size.tolist()):
+                made.append(kernels.extended_all(batch.column(1)[i].values.to_numpy(zero_copy_only=False), a[low : low + n], z[low : low + n]))
+                low += n
+            starts, ends = (np.concatenate(x) for x in zip(*made, strict=True))
+            of = pa.array(np.repeat(np.arange(len(size)), size))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), lists[0].cast(pa.int64()), pa.array(starts), pa.array(ends)], names=["river_id", "bend_id", "ext_start", "ext_end"])
 
     return both.mapInArrow(each, f"river_id {kind}, bend_id long, ext_start long, ext_end long")
 

@@ -67,6 +67,13 @@ def _through(series: DataFrame, order: int) -> DataFrame:
     return gathered.select(*_KEY, F.col("p.s").alias("s"), F.col("p.v").alias("v")).mapInArrow(each, f"river_id {kind}, dim string, {_TABLE}")
 
 
+def _straight(series: DataFrame) -> DataFrame:
+    """``_through`` of order 1: from each point a straight line to the next."""
+    by = Window.partitionBy(*_KEY).orderBy("s")
+    both = series.select(*_KEY, F.col("s").alias("low"), "v", F.lead("s").over(by).alias("high"), F.lead("v").over(by).alias("next")).where("high is not null")
+    return both.select(*_KEY, "low", "high", F.array("v", (F.col("next") - F.col("v")) / (F.col("high") - F.col("low"))).alias("c"))
+
+
 def _basis(order: int, local: str = "t", s: str = "s") -> tuple[list[dict[str, Column]], list[str]]:
     """Columns of the recursion of Cox and de Boor, level by level, and the names of the last.
 
@@ -244,7 +251,9 @@ def fitted(points: DataFrame, order: int = 3, smooth: float = 0.0, columns: tupl
     if smooth < 0:
         raise ValueError("smooth has to be at least 0")
     series = _series(points, columns)
-    return _smoothing(series, order, smooth, per_point) if smooth > 0 else _through(series, order)
+    if smooth > 0:
+        return _smoothing(series, order, smooth, per_point)
+    return _straight(series) if order == 1 else _through(series, order)
 
 
 #: What is made of stations beyond the ends: the outer polynomial, nothing but 0, an error, the value at the end.

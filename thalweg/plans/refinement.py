@@ -9,6 +9,7 @@ from thalweg.plans import geometry
 from thalweg.plans import standins as st
 from thalweg.plans.geometry import curved, r, rounded, transects
 from thalweg.plans.signals import _river_tree
+from thalweg.sources.scratch import written
 
 QUERIES: dict[str, tuple] = {}
 
@@ -126,8 +127,9 @@ eb AS (SELECT bx.river_id, bx.bend_id, a, b, coalesce(l.at, a) AS ext_start, coa
 
 
 def _spans(spark, sf_dir):
-    c = curved(spark, sf_dir)
-    spans = metrics.bends(metrics.side_runs(c)).select("river_id", "bend_id", "idx_start", "idx_end")
+    """The transects with their curvature and their bends, each written once for all that reads them, and the bends' extended bounds."""
+    c = st.dealt(written(curved(spark, sf_dir), "curved"))
+    spans = written(metrics.bends(metrics.side_runs(c)).select("river_id", "bend_id", "idx_start", "idx_end"), "spans")
     return c, lines.extended_bounds(c, spans), spans
 
 
@@ -158,7 +160,8 @@ FROM mv LEFT JOIN xy l ON l.river_id = mv.river_id AND l.bend_id = mv.bend_id AN
 def refined_inflections(spark, sf_dir):
     """Bends of the transects moved to their inflections; x and y there lie on straight lines."""
     c, bounds, spans = _spans(spark, sf_dir)
-    moved = inflections.refined(c, spans.join(bounds, ["river_id", "bend_id"])).drop("idx_start", "idx_end")
+    extended = written(spans.join(bounds, ["river_id", "bend_id"]), "extended-spans")
+    moved = written(inflections.refined(c, extended).drop("idx_start", "idx_end"), "moved-spans")
     out = inflections.at_inflections(moved, splines.fitted(c, order=1))
     return rounded(out, "s_inf_left", "s_inf_right", "x_inf_left", "y_inf_left", "x_inf_right", "y_inf_right", digits=4)
 
