@@ -85,3 +85,23 @@ def test_parts_are_joined_along_their_chain(spark):
     lines = spark.createDataFrame([(k,) for k in (2, 8, 99)], "comid long")
     located = {r.comid: (r.xup_m, r.xdown_m, r.length_m) for r in network.located(lines, frame).collect()}
     assert located == {2: (0.0, 6.0, 6.0), 8: (None,) * 3, 99: (None,) * 3}
+
+
+def test_few_parts_are_joined_in_their_rows(spark, monkeypatch):
+    """Random parts on few points, with forks, loops and gaps: as by pointers, but nothing is shuffled; many parts still go by pointers."""
+    rng, rows = random.Random(8), []
+    for k in range(400):
+        way = [rng.randint(0, 9) for _ in range(rng.randint(2, 7))] if k % 2 else rng.sample(range(20), rng.randint(3, 9)) + [30]
+        parts = [[(float(x), 0.0) for x in way[i : i + 2]] for i in range(len(way) - 1)]
+        if k % 4 == 1:
+            parts.append([parts[-1][-1], parts[0][0]])
+        rng.shuffle(parts)
+        rows.append((k, parts + [None, []] if k % 5 == 0 else parts))
+    frame = spark.createDataFrame(rows, "comid long, parts array<array<struct<x double, y double>>>")
+    here = shapes.one_line(frame)
+    assert "Exchange" not in here._jdf.queryExecution().executedPlan().toString()
+    full = frame.withColumn("parts", F.filter("parts", lambda p: F.size(p) > 0))
+    by_pointers = {r.comid: r.pts for r in shapes._by_pointers(full).collect()}
+    assert {r.comid: r.pts for r in here.collect()} == by_pointers and len({len(p) for p in by_pointers.values()}) > 3
+    monkeypatch.setattr(shapes, "FEW_PARTS", 3)
+    assert {r.comid: r.pts for r in shapes.one_line(frame).collect()} == by_pointers

@@ -172,3 +172,7 @@ def test_refined_inflections_read_their_transects_once(spark, sf_dir):
     """Curvature, bends and straight lines are needed several times: they are written, and nothing is computed anew from the events."""
     frame = catalogue.queries()["refined_inflections"](spark, sf_dir)
     assert not any("events.parquet" in file for file in frame.inputFiles()) and "MapInArrow" not in plan(frame)
+
+
+def test_lines_of_parts_are_not_broadcast(spark, sf_dir):
+    assert "BroadcastExchange" not in plan(catalogue.queries()["multipart_geometry"](spark, sf_dir))

@@ -186,7 +186,8 @@ def located(lines: DataFrame, coords: DataFrame) -> DataFrame:
     ``coords`` has comid and pts, an array of (x, y), or parts, an array of such arrays
     (see ``shapes.one_line``). Lines without coordinates keep null.
     """
-    j = lines.join(shapes.one_line(coords) if "parts" in coords.columns else coords, "comid", "left")
+    # joined lines may seem as small as their keys: they are sorted, never broadcast
+    j = lines.join(shapes.one_line(coords).hint("merge") if "parts" in coords.columns else coords, "comid", "left")
     at = lambda i: F.element_at("pts", i)
     mid = at((F.size("pts") / 2).cast("int") + 1)
     pairs = F.zip_with(F.slice("pts", F.lit(1), F.size("pts") - 1), F.slice("pts", F.lit(2), F.size("pts")), lambda a, b: step_length(b["x"] - a["x"], b["y"] - a["y"]))

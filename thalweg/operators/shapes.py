@@ -106,13 +106,52 @@ def _cuts(segments: DataFrame, edges: DataFrame, cell: float) -> DataFrame:
     return j.select(*names, F.explode(found).alias("t")).where("t > 0 and t < 1")
 
 
+#: Parts of a line that are put in order where they lie, each one looked for among all; more go by pointers.
+FEW_PARTS = 32
+
+
+def _in_row(parts: Column) -> Column:
+    """The points of the parts (no empty ones) along their chain, or null where they make none."""
+    n = F.size(parts)
+    every = F.sequence(F.lit(0), n - 1)
+    let = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  worked out once
+    ends = F.transform(parts, lambda p: F.struct(p[0].alias("start"), F.element_at(p, -1).alias("end")))
+    meets = lambda e, i, j: (i != j) & F.coalesce(F.get(e, i)["end"] == F.get(e, j)["start"], F.lit(False))
+    after = let(ends, lambda e: F.transform(every, lambda i: F.filter(every, lambda j: meets(e, i, j))))
+
+    def way(after: Column, flat: Column) -> Column:
+        links = F.size(flat)
+        plain = ~F.exists(after, lambda x: F.size(x) > 1) & (F.size(F.array_distinct(flat)) == links)
+        # an open chain starts at the part that follows none, a closed one at the first
+        head = F.when(plain & (links == n), F.lit(0)).when(plain & (links == n - 1), F.get(F.array_except(every, flat), F.lit(0)))
+        step = lambda at, _: F.concat(at, F.coalesce(F.get(after, F.element_at(at, -1)), F.array().cast("array<int>")))
+        return F.when(head.isNotNull(), F.array_distinct(F.aggregate(F.slice(every, F.lit(2), n - 1), F.array(head), step)))
+
+    def joined(way: Column) -> Column:
+        whole = F.transform(way, lambda i, k: F.when(k == 0, F.get(parts, i)).otherwise(F.slice(F.get(parts, i), F.lit(2), F.size(F.get(parts, i)))))
+        return F.when(F.size(way) == n, F.flatten(whole))
+
+    return let(let(after, lambda a: way(a, F.flatten(a))), joined)
+
+
 def one_line(parts: DataFrame) -> DataFrame:
     """Comid and pts of lines given in ``parts`` (comid, parts: arrays of points), in any order.
 
     Parts follow each other where one ends at the point at which the other starts. If all
     parts of a line make up one chain, they are joined along it (a closed one from its first
-    part on); otherwise the first part stands for the line. A line without points has null.
+    part on); otherwise the first part stands for the line. Null and empty parts are none; a line without points has null.
+    Lines of at most ``FEW_PARTS`` parts are joined in their rows, without a shuffle.
     """
+    own = parts.select("comid", F.filter("parts", lambda p: F.size(p) > 0).alias("p"))
+    many = F.size("p") > FEW_PARTS
+    few = own.where(~F.coalesce(many, F.lit(False)))
+    done = few.select("comid", F.when(F.size("p") == 1, F.get("p", F.lit(0))).when(F.size("p") > 1, F.coalesce(_in_row(F.col("p")), F.get("p", F.lit(0)))).alias("pts"))
+    long = written(own.where(many).select("comid", F.col("p").alias("parts")), "lines-of-many-parts")
+    return done.unionAll(_by_pointers(long)) if long.limit(1).count() else done
+
+
+def _by_pointers(parts: DataFrame) -> DataFrame:
+    """``one_line`` of lines of any number of parts, which are followed by pointer doubling."""
     rows = parts.select("comid", F.posexplode_outer("parts").alias("part", "pts")).where("pts is null or size(pts) > 0")
     rows = written(rows, "parts")
     first = rows.groupBy("comid").agg(F.min_by("pts", "part").alias("first"), F.min("part").alias("lead"), F.count("pts").alias("n"))
