@@ -176,3 +176,15 @@ def test_refined_inflections_read_their_transects_once(spark, sf_dir):
 
 def test_lines_of_parts_are_not_broadcast(spark, sf_dir):
     assert "BroadcastExchange" not in plan(catalogue.queries()["multipart_geometry"](spark, sf_dir))
+
+
+def test_least_values_carry_no_largest_ones(spark):
+    """Owners of paths ask for the least rank alone, so nothing else is shuffled and written for it."""
+    from pyspark.sql import functions as F
+
+    from thalweg.operators import graph
+
+    nodes = spark.range(1, 3000).select(F.col("id").alias("node"), F.expr("case when id > 1 then id div 2 end").alias("parent"), (F.col("id") * 7919 % 3001).alias("v"))
+    both, least = graph.descendants_extreme(nodes, F.col("v")), graph.descendants_extreme(nodes, F.col("v"), least_only=True)
+    assert least.columns == ["node", "low"] and both.columns == ["node", "low", "high"]
+    assert sorted(map(tuple, least.collect())) == sorted(map(tuple, both.select("node", "low").collect()))

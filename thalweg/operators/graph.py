@@ -124,43 +124,46 @@ def pre_order(nodes: DataFrame) -> DataFrame:
 _FEW = 100_000
 
 
-def descendants_extreme(nodes: DataFrame, value: Column, high: Column | None = None) -> DataFrame:
+def descendants_extreme(nodes: DataFrame, value: Column, high: Column | None = None, least_only: bool = False) -> DataFrame:
     """Node, low, high: least ``value`` and largest ``high`` (``value`` by default) over a node and all below it.
 
     While at least a quarter of the nodes are leaves they hand their extremes to their parents
     and are set aside, so each round has at most three quarters of the last one's rows. What
     is left goes by doubling: round k hands each node's extremes to its ancestor 2^k steps
-    up. Minima and maxima may be handed over twice, so overlapping spans do no harm.
+    up. Minima and maxima may be handed over twice, so overlapping spans do no harm. With
+    ``least_only`` there is no ``high``, and none is carried along.
     """
-    rows = nodes.select("node", "parent", value.alias("low"), (value if high is None else high).alias("high"), F.lit(False).alias("leaf"))
+    kept = {"low": (F.min, F.least)} if least_only else {"low": (F.min, F.least), "high": (F.max, F.greatest)}
+    values = {"low": value, "high": value if high is None else high}
+    rows = nodes.select("node", "parent", *(values[c].alias(c) for c in kept), F.lit(False).alias("leaf"))
     found = []
     for _ in range(MOST_ROUNDS):
         leaf, empty = F.col("leaf"), rows.schema["parent"].dataType
         up = rows.where("parent is not null").select(
-            F.col("parent").alias("node"), F.lit(None).cast(empty).alias("parent"), F.when(leaf, F.col("low")).alias("low"), F.when(leaf, F.col("high")).alias("high"),
+            F.col("parent").alias("node"), F.lit(None).cast(empty).alias("parent"), *(F.when(leaf, F.col(c)).alias(c) for c in kept),
             F.lit(False).alias("own"), (~leaf).alias("above"),
         )
-        own = rows.where(~leaf).select("node", "parent", "low", "high", F.lit(True).alias("own"), F.lit(False).alias("above"))
-        both = own.unionAll(up).groupBy("node").agg(F.max("parent").alias("parent"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("own").alias("own"), F.max("above").alias("above"))
-        rows = written(both.where("own").select("node", "parent", "low", "high", (~F.col("above")).alias("leaf")), "extremes")
+        own = rows.where(~leaf).select("node", "parent", *kept, F.lit(True).alias("own"), F.lit(False).alias("above"))
+        both = own.unionAll(up).groupBy("node").agg(F.max("parent").alias("parent"), *(f(c).alias(c) for c, (f, _) in kept.items()), F.max("own").alias("own"), F.max("above").alias("above"))
+        rows = written(both.where("own").select("node", "parent", *kept, (~F.col("above")).alias("leaf")), "extremes")
         left, leaves = rows.agg(F.count(F.lit(1)), F.count_if("leaf")).first()  # two numbers
-        found.append(rows.where("leaf").select("node", "low", "high"))
+        found.append(rows.where("leaf").select("node", *kept))
         if left <= _FEW or leaves * 4 < left:
             break
-    last, p = None, rows.select("node", F.col("parent").alias("ptr"), "low", "high", "leaf")
+    last, p = None, rows.select("node", F.col("parent").alias("ptr"), *kept, "leaf")
     for _ in range(MOST_ROUNDS):
         if not p.where("ptr is not null").limit(1).count():
             break
-        up = p.where("ptr is not null").groupBy(F.col("ptr").alias("node")).agg(F.min("low").alias("l2"), F.max("high").alias("h2"))
+        up = p.where("ptr is not null").groupBy(F.col("ptr").alias("node")).agg(*(f(c).alias(f"{c}2") for c, (f, _) in kept.items()))
         q = p.where("not leaf").select(F.col("node").alias("ptr"), F.col("ptr").alias("far"))
         nxt = p.join(up, "node", "left").join(q, "ptr", "left").select(
-            "node", F.col("far").alias("ptr"), F.least("low", "l2").alias("low"), F.greatest("high", "h2").alias("high"), "leaf"
+            "node", F.col("far").alias("ptr"), *(g(c, f"{c}2").alias(c) for c, (_, g) in kept.items()), "leaf"
         )
         p = written(nxt, "extremes")
         if last is not None:
             dropped(last)
         last = p
-    return reduce(DataFrame.unionAll, [*found, p.where("not leaf").select("node", "low", "high")])
+    return reduce(DataFrame.unionAll, [*found, p.where("not leaf").select("node", *kept)])
 
 
 def child_counts(nodes: DataFrame) -> DataFrame:

@@ -98,7 +98,7 @@ def downstream_paths(lines: DataFrame, most: int | None = None, inside: Sequence
     down = written(downstream(lines, inside), "downstream")
     heads = written(headwaters(lines, most).select("comid", "rank"), "headwaters")
     nodes = down.join(heads, "comid", "left").select(F.col("comid").alias("node"), F.col("down").alias("parent"), "rank")
-    owner = descendants_extreme(nodes, F.col("rank")).where("low is not null").select(F.col("node").alias("comid"), F.col("low").alias("rank"))
+    owner = descendants_extreme(nodes, F.col("rank"), least_only=True).where("low is not null").select(F.col("node").alias("comid"), F.col("low").alias("rank"))
     owner = written(owner.join(heads.withColumnRenamed("comid", "path_id"), "rank").select("comid", "path_id"), "owners")
     below = owner.select(F.col("comid").alias("down"), F.col("path_id").alias("next_path"))
     linked = written(owner.join(down, "comid").join(below, "down", "left"), "owned")
