@@ -35,6 +35,14 @@ def test_straight_line(spark):
     assert metrics.fitted_circle(p.withColumn("bend_id", F.lit(0))).first().radius is None
 
 
+def test_mean_is_the_same_in_any_order_of_rows(spark):
+    """In order 0.1, 0.2 and 0.3 have a mean above 0.2, the other way round one below."""
+    p = frame(spark, range(3), [0.1, 0.2, 0.3])
+    for rows in (p.coalesce(1).collect(), p.coalesce(1).collect()[::-1]):
+        sides = metrics.side_runs(spark.createDataFrame(rows, p.schema).coalesce(1)).orderBy("idx").collect()
+        assert [r.side for r in sides] == [False, False, True]
+
+
 def test_kinoshita_matches_its_closed_form(spark):
     k = synth.zolezzi(spark, math.radians(115), 200.0, 0.0, 0.0, 5, 1500)
     p = ordered.curvature(k.withColumnRenamed("c", "c_true")).where("idx between 5 and 1490").collect()

@@ -14,14 +14,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thalweg.functions.scalar import chord_angle, rotated, step_length
-from thalweg.operators.ordered import in_order
+from thalweg.operators.ordered import in_order, whole
 
 BEND = ["river_id", "bend_id"]
 
 
 def side_runs(points: DataFrame, level: float = 0.0) -> DataFrame:
     """Points with bend_id: runs on one side of the river's mean y (moved by ``level``)."""
-    above = F.col("y") - F.avg("y").over(Window.partitionBy("river_id")) > level
+    above = F.col("y") - F.avg("y").over(whole()) > level  # summed in order, however the rows come
     out = points.withColumn("side", above)
     new = F.coalesce((F.col("side") != F.lag("side").over(in_order())).cast("long"), F.lit(0).cast("long"))
     return out.withColumn("_n", new).withColumn("bend_id", F.sum("_n").over(in_order().rowsBetween(Window.unboundedPreceding, 0))).drop("_n")
@@ -71,7 +71,7 @@ def fitted_circle(points: DataFrame, group: list[str] = BEND, rounds: int = 30)
     Two aggregations give the centre and the moments, a fixed number of Newton steps on
     the moments gives the circle: no point leaves Spark.
     """
-    w = Window.partitionBy(*group)
+    w = Window.partitionBy(*group).orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     p = points.withColumns({"_mx": F.avg("x").over(w), "_my": F.avg("y").over(w)})
     p = p.withColumns({"_u": F.col("x") - F.col("_mx"), "_v": F.col("y") - F.col("_my")}).withColumn("_z", F.col("_u") * F.col("_u") + F.col("_v") * F.col("_v"))
     pairs = {"xx": "_u * _u", "yy": "_v * _v", "xy": "_u * _v", "xz": "_u * _z", "yz": "_v * _z", "zz": "_z * _z"}
