@@ -121,6 +121,25 @@ def test_placed_nodes_do_not_list_their_places(spark):
     assert "Generate" not in p and p.split("== Initial Plan ==")[0].count("MapInArrow") == 2
 
 
+def test_refined_nodes_meet_their_points_once(spark, sf_dir):
+    """Spans, inflections and leaves of a tree come from one meeting of points and nodes: no window, no list of places, no further join."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from thalweg.operators import scale_tree, splines
+
+    points = spark.createDataFrame([(r, i, float(i), float(i), float(i % 5), float(i * r % 7 - 3)) for r in (1, 2) for i in range(64)], "river_id long, idx long, s double, x double, y double, c double")
+    rivers = scale_tree.gathered(points)
+    tree = scale_tree.nodes(rivers.select("river_id", F.col("c").alias("signal")), 1.0, 0.25)
+    frame = scale_tree.refined(tree, points)
+    p = plan(frame).split("== Initial Plan ==")[0]
+    assert p.count("SortMergeJoin") == 1 and "Window" not in p and "Generate" not in p
+    want = sorted(map(tuple, frame.collect()))
+    assert want and sorted(map(tuple, scale_tree.refined(tree, rivers).collect())) == want
+    given = scale_tree.refined(tree, points, splines.fitted(points))
+    assert given.columns == frame.columns and np.allclose(np.array(sorted(map(tuple, given.collect())), float), np.array(want, float), atol=1e-9, equal_nan=True)
+
+
 def _shuffles(frame) -> int:
     return plan(frame).split("== Initial Plan ==")[0].count("Exchange hashpartitioning")
 

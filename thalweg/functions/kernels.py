@@ -99,17 +99,17 @@ def not_a_knot(s: np.ndarray, v: np.ndarray) -> np.ndarray:
     up[0] -= h[0] * h[0] / h[1]
     diag[-1] += h[-1] * (1 + h[-1] / h[-2])
     low[-1] -= h[-1] * h[-1] / h[-2]
+    diag, low, up, rhs, m = diag.tolist(), low.tolist(), up.tolist(), rhs.tolist(), [0.0] * n  # one by one, lists are faster
     for i in range(1, len(diag)):
         w = low[i - 1] / diag[i - 1]
         diag[i] -= w * up[i - 1]
         rhs[i] -= w * rhs[i - 1]
-    m = np.zeros(n)
     m[n - 2] = rhs[-1] / diag[-1]
     for i in range(len(diag) - 2, -1, -1):
         m[i + 1] = (rhs[i] - up[i] * m[i + 2]) / diag[i]
     m[0] = m[1] * (1 + h[0] / h[1]) - m[2] * h[0] / h[1]
     m[-1] = m[-2] * (1 + h[-1] / h[-2]) - m[-3] * h[-1] / h[-2]
-    return m
+    return np.array(m)
 
 
 def spline(s: np.ndarray, v: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -8,7 +8,7 @@ from thalweg.operators import inflections, lines, metrics, scale_tree, splines
 from thalweg.plans import geometry
 from thalweg.plans import standins as st
 from thalweg.plans.geometry import curved, r, rounded, transects
-from thalweg.plans.signals import _river_tree
+from thalweg.plans.signals import RIVER_TREE, _long_rivers
 from thalweg.sources.scratch import written
 
 QUERIES: dict[str, tuple] = {}
@@ -185,8 +185,8 @@ def leaf_spans(spark, sf_dir):
 @query()
 def refined_nodes(spark, sf_dir):
     """Nodes of the long transects' trees with their extended spans, inflections and leaves."""
-    tree, p = _river_tree(spark, sf_dir)
-    return scale_tree.refined(tree, p)
+    rivers = written(scale_tree.gathered(_long_rivers(spark, sf_dir)), "rivers")
+    return scale_tree.refined(scale_tree.nodes(rivers.select("river_id", F.col("c").alias("signal")), *RIVER_TREE), rivers)
 
 
 _PARTS = {n: geometry.QUERIES[n][1] for n in ("bend_table", "bend_amplitude", "bend_asymmetry", "bend_radius")}

@@ -130,11 +130,19 @@ def detected_bends(spark, sf_dir):
     return scale_tree.detected(scale_tree.nodes(st.signals(spark, sf_dir), 1.0, 0.25))
 
 
+#: dt and dj of the long transects' trees.
+RIVER_TREE = (1.0, 0.25)
+
+
+def _long_rivers(spark, sf_dir):
+    p = ordered.curvature(ordered.distances(st.lineitems(spark, sf_dir)))
+    return p.withColumn("c", F.coalesce("c", F.lit(0.0)))
+
+
 def _river_tree(spark, sf_dir):
     """Nodes of the curvature of the long transects."""
-    p = ordered.curvature(ordered.distances(st.lineitems(spark, sf_dir)))
-    p = p.withColumn("c", F.coalesce("c", F.lit(0.0)))
-    return scale_tree.nodes(spectral.signals(p, "c"), 1.0, 0.25), p
+    p = _long_rivers(spark, sf_dir)
+    return scale_tree.nodes(spectral.signals(p, "c"), *RIVER_TREE), p
 
 
 @query()
