@@ -247,3 +247,24 @@ def test_series_are_smoothed_together(order):
         alone = bsplines.smoothed(t[one], order, *bsplines.assembled(products[one], values[one], order), least[one], asked[one])[0]
         assert np.allclose(c[i], alone, rtol=1e-9, atol=1e-9)
         assert ((row[4] - row[5](c[i])) ** 2).sum() == pytest.approx(max(asked[i], least[i]), rel=1e-6)
+
+
+def test_rivers_of_few_points_are_smoothed_in_one_task(spark, monkeypatch):
+    """Rivers that fit into an array need no rounds of jobs, and get the same splines as by these; also short ones, and with gaps and repeated s."""
+    rng, rows = np.random.default_rng(5), []
+    for r, n in enumerate([1, 2, 3, 4, 5, 6, 30, 31, 32, 80]):
+        s = np.sort(np.round(rng.uniform(0, n, n), 1))
+        rows += [(r, i, float(s[i]), None if r > 6 and i % 9 == 4 else float(i), float(rng.normal(0, 30))) for i in range(n)]
+    p = spark.createDataFrame(rows, "river_id long, idx long, s double, x double, y double").repartition(4)
+
+    def table():
+        return {(t.river_id, t.dim, round(t.low, 9)): (t.high, *t.c) for t in splines.fitted(p, smooth=100.0, per_point=True).collect()}
+
+    rounds = splines._smoothing
+    monkeypatch.setattr(splines, "_smoothing", None)
+    arrays = table()
+    monkeypatch.setattr(splines, "_smoothing", rounds)
+    monkeypatch.setattr(splines, "MOST_POINTS", 30, raising=False)
+    both = table()
+    assert len(arrays) > 60 and arrays.keys() == both.keys()
+    assert all(np.allclose(arrays[k], both[k], rtol=1e-6, atol=1e-6) for k in arrays)

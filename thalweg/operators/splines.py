@@ -10,8 +10,10 @@ the residual: the points give the products of their basis functions, summed by
 interval; the small band system of a river gives its coefficients; residuals are summed by
 interval again and the worst intervals are split at their middle point, as many as the fall
 of the residual foretells, until it is at most ``smooth``; then, of the splines on these
-knots with just that residual, the one of least jumps is taken. Sums are made where the
-points lie, and a task meets a river's knots, never its points.
+knots with just that residual, the one of least jumps is taken. A river of at most
+``MOST_POINTS`` goes through these rounds as an array, many rivers together; for longer ones
+every round is a few jobs, whose sums are made where the points lie, and a task meets a
+river's knots, never its points.
 
 Implements: W22, W25.
 """
@@ -28,21 +30,30 @@ from pyspark.sql import functions as F
 
 from thalweg.functions import bsplines
 from thalweg.functions.batches import slices
+from thalweg.operators.ordered import whole
 from thalweg.sources.scratch import dropped, written
 
 ORDERS = range(1, 6)
 #: Share of ``smooth`` by which a residual may miss it.
 TOLERANCE = 1e-3
+#: Points up to which a smoothed river is an array of one task; a longer one goes by rounds of jobs.
+MOST_POINTS = 20_000
+#: Values that are smoothed together in a task; a point takes some 400 bytes there.
+MOST_VALUES = 100_000
 
 _TABLE = "low double, high double, c array<double>"
 _KEY = ["river_id", "dim"]
 
 
+def _values(points: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """river_id, dim, s, idx, v: each column's known values."""
+    rows = points.where("s is not null").select("river_id", "idx", "s", F.explode(F.array(*(F.struct(F.lit(c).alias("dim"), F.col(c).cast("double").alias("v")) for c in columns))).alias("d"))
+    return rows.select("river_id", "d.dim", "s", "idx", "d.v").where("v is not null")
+
+
 def _series(points: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """river_id, dim, i, s, v: each column's values in order of s, the first point of each s."""
-    rows = points.where("s is not null").select("river_id", "idx", "s", F.explode(F.array(*(F.struct(F.lit(c).alias("dim"), F.col(c).cast("double").alias("v")) for c in columns))).alias("d"))
-    rows = rows.select("river_id", "d.dim", "s", "idx", "d.v").where("v is not null")
-    rows = rows.groupBy(*_KEY, "s").agg(F.min_by("v", "idx").alias("v"))
+    rows = _values(points, columns).groupBy(*_KEY, "s").agg(F.min_by("v", "idx").alias("v"))
     return rows.withColumn("i", (F.row_number().over(Window.partitionBy(*_KEY).orderBy("s")) - 1).cast("long"))
 
 
@@ -176,24 +187,11 @@ def _split(residuals: DataFrame, state: DataFrame) -> DataFrame:
     kind = state.schema["river_id"].dataType.simpleString()
 
     def judge(row: dict) -> dict:
-        p, smooth, before, added = row["p"], row["smooth"], row["before"], row["added"]
+        p, smooth = row["p"], row["smooth"]
         shared = [x["shared"] for x in p[1:]] + [0.0]
         parts = [x["inside"] + more for x, more in zip(p, shared, strict=True)]
-        total = sum(parts)
-        above, tolerance = total - smooth, TOLERANCE * smooth
-        out = {"smooth": smooth, "before": total, "least": total, "done": above < tolerance, "added": 0, "chosen": []}
-        if out["done"]:
-            return out
-        if before is None:
-            count = 1
-        else:  # as many as the fall of the residual foretells, within a half and the double of the last time
-            foretold = int(added * above / (before - total)) if before - total > tolerance else 2 * added
-            count = min(2 * added, max(foretold, added // 2, 1))
-        # the ends of the line are no inner points, nor is the knot that an interval starts with
-        first = [x["first"] + 1 for x in p]
-        last = [x["last"] for x in p[:-1]] + [p[-1]["last"] - 1]
-        out["chosen"] = bsplines.new_knots(first, last, parts, count)
-        return out | {"added": count, "done": not out["chosen"]}
+        total, added, done, chosen = bsplines.judged(parts, [x["first"] for x in p], [x["last"] for x in p], smooth, TOLERANCE, row["before"], row["added"])
+        return {"smooth": smooth, "before": total, "least": total, "done": done, "added": added, "chosen": chosen}
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["smooth", "before", "added", "least", "done", "chosen"]
@@ -206,8 +204,39 @@ def _split(residuals: DataFrame, state: DataFrame) -> DataFrame:
     return picked.mapInArrow(each, f"river_id {kind}, dim string, smooth double, before double, added long, least double, done boolean, chosen array<long>")
 
 
+def _as_arrays(points: DataFrame, columns: tuple[str, ...], order: int, smooth: float, per_point: bool) -> DataFrame:
+    """Smoothing splines of rivers whose points fit into an array: the same rounds, inside one task for the rivers of a slice."""
+    rows = _values(points, columns).groupBy(*_KEY).agg(F.sort_array(F.collect_list(F.struct("s", "idx", "v"))).alias("p"))
+    kind = points.schema["river_id"].dataType.simpleString()
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, MOST_VALUES):
+            series, found = [], []
+            for i in range(batch.num_rows):
+                s, v = (batch.column(c)[i].values.to_numpy() for c in (2, 3))
+                s, first = np.unique(s, return_index=True)
+                series.append((s, v[first]))
+            sizes = np.array([len(s) for s, _ in series], int)
+            for i in np.flatnonzero((sizes > 1) & (sizes <= order + 1)).tolist():
+                t, c, k = bsplines.interpolated(*series[i], order)
+                ends = np.unique(t)
+                found.append((np.array([i]), ends[None, :-1], ends[None, 1:], bsplines.powers(t, k, c)[None]))
+            some = np.flatnonzero(sizes > order + 1)
+            if len(some):
+                s, v = (np.concatenate([series[i][k] for i in some.tolist()]) for k in (0, 1))
+                limits = smooth * (sizes[some] if per_point else np.ones(len(some)))
+                found += [(some[j], *rest) for j, *rest in bsplines.smoothing(s, v, sizes[some], order, limits, TOLERANCE)]
+            for j, low, high, c in found:
+                of = pa.array(np.repeat(j, low.shape[1]))
+                width = c.shape[2]
+                coefficients = pa.ListArray.from_arrays(pa.array(np.arange(0, low.size * width + 1, width), pa.int32()), pa.array(c.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(low.ravel()), pa.array(high.ravel()), coefficients], names=[*_KEY, "low", "high", "c"])
+
+    return rows.select(*_KEY, F.col("p.s").alias("s"), F.col("p.v").alias("v")).mapInArrow(each, f"river_id {kind}, dim string, {_TABLE}")
+
+
 def _smoothing(series: DataFrame, order: int, smooth: float, per_point: bool) -> DataFrame:
-    """Smoothing splines of all rivers, in rounds that leave out the finished ones."""
+    """Smoothing splines of long rivers, in rounds that leave out the finished ones."""
     series = written(series, "series")
     ends = series.groupBy(*_KEY).agg(F.min("s").alias("s0"), F.max("s").alias("s1"), F.min_by("v", "i").alias("v0"), F.count(F.lit(1)).alias("n"))
     ends = written(ends.withColumn("smooth", F.lit(float(smooth)) * (F.col("n") if per_point else 1)), "series-ends")
@@ -250,9 +279,15 @@ def fitted(points: DataFrame, order: int = 3, smooth: float = 0.0, columns: tupl
         raise ValueError(f"the order has to be one of {ORDERS.start} to {ORDERS.stop - 1}")
     if smooth < 0:
         raise ValueError("smooth has to be at least 0")
-    series = _series(points, columns)
     if smooth > 0:
-        return _smoothing(series, order, smooth, per_point)
+        size = F.count(F.lit(1)).over(whole())
+        points = written(points.select("river_id", "idx", "s", *(c for c in columns if c != "s"), size.alias("_n")), "spline-points")
+        # dealt by the number of points, which the files' footers know, not by bytes: the work is in the points
+        parts = max(points.sparkSession.sparkContext.defaultParallelism, -(-points.count() // MOST_VALUES))
+        out = _as_arrays(points.where(F.col("_n") <= MOST_POINTS).repartition(parts, "river_id"), columns, order, smooth, per_point)
+        long = points.where(F.col("_n") > MOST_POINTS)
+        return out.unionByName(_smoothing(_series(long, columns), order, smooth, per_point)) if long.limit(1).count() else out
+    series = _series(points, columns)
     return _straight(series) if order == 1 else _through(series, order)
 
 
