@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 
@@ -25,6 +26,18 @@ def daughter(mother: str, k: np.ndarray, scales: np.ndarray, dt: float, m: float
     return -norm * (1j**m) / math.sqrt(math.gamma(m + 0.5)) * sk**m * np.exp(-(sk**2) / 2)
 
 
+def _daughter(mother: str, n: int, dt: float, scales: tuple[float, ...], m: float) -> np.ndarray:
+    """``daughter`` at the frequencies of ``n`` points."""
+    k = 2 * math.pi * np.fft.fftfreq(n, dt)
+    if n % 2 == 0:
+        k[n // 2] *= -1  # the highest frequency counts as positive
+    return daughter(mother, k, np.array(scales), dt, m)
+
+
+#: Signals of a table are padded to few lengths; 8 blocks of 32 scales take 16 MB at most.
+_kept_daughter = lru_cache(maxsize=8)(_daughter)
+
+
 def scale_count(n: int, dt: float, s0: float, dj: float) -> int:
     return int(math.floor(math.log2(n * dt / s0) / dj)) + 1
 
@@ -37,14 +50,11 @@ def cwt(y: np.ndarray, dt: float, dj: float, s0: float | None = None, mother: st
     x = y - y.mean()
     if pad:
         x = np.concatenate([x, np.zeros(2 ** int(math.floor(math.log2(n) + 0.4999) + 1) - n)])
-    k = 2 * math.pi * np.fft.fftfreq(len(x), dt)
-    if len(x) % 2 == 0:
-        k[len(x) // 2] *= -1  # the highest frequency counts as positive
     f = np.fft.fft(x)
     wave = np.empty((len(scales), n), complex)
     for low in range(0, len(scales), 32):  # blocks of scales bound the memory of long signals
         part = slice(low, low + 32)
-        wave[part] = np.fft.ifft(f[None, :] * daughter(mother, k, scales[part], dt, m), axis=1)[:, :n]
+        wave[part] = np.fft.ifft(f[None, :] * (_kept_daughter if len(x) <= 4096 else _daughter)(mother, len(x), dt, tuple(scales[part].tolist()), m), axis=1)[:, :n]
     return wave, scales
 
 
@@ -202,21 +212,29 @@ def extended_all(c: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarra
         r = v[first]
         top = 1 + np.flatnonzero((r[1:-1] > r[:-2]) & (r[1:-1] > r[2:]))
         known[sign] = v, first[top], end[top]
-    steps = np.arange(11)
-    for i, (at, to) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        part = c[at : to + 1]
-        v, lo, hi = known[-1 if part.max() > abs(part.min()) else 1]
-        reach = to - at + steps * ((to - at) // 2)
-        low, n = np.maximum(0, at - reach), int(np.searchsorted(hi, at))  # peaks that end before the start
-        if n and (t := int(np.searchsorted(-low, 1 - lo[n - 1]))) < len(low):
-            k = int(np.searchsorted(lo, low[t] + 1))
-            window = v[low[t] : at + 1]
-            out_a[i] = low[t] + int((window == v[lo[k:n]].max()).argmax())
-        high, k = np.minimum(last, to + reach), int(np.searchsorted(lo, to, "right"))  # peaks that start after the end
-        if k < len(lo) and (t := int(np.searchsorted(high, hi[k] + 1))) < len(high):
-            n = int(np.searchsorted(hi, high[t]))
-            window = v[to : high[t] + 1]
-            out_b[i] = to + int((window == v[lo[k:n]].max()).argmax())
+    if not len(a):
+        return out_a, out_b
+    steps = np.arange(11) * ((b - a) // 2)[:, None] + (b - a)[:, None]
+    pairs, padded = np.stack([a, b + 1], axis=1).ravel(), np.append(c, c[-1])
+    most, least = (f.reduceat(padded, pairs)[::2] for f in (np.maximum, np.minimum))
+    low, high = np.maximum(0, a[:, None] - steps), np.minimum(last, b[:, None] + steps)
+    for sign in (1, -1):
+        v, lo, hi = known[sign]
+        own = np.flatnonzero((most > np.abs(least)) == (sign < 0))
+        if not len(lo) or not len(own):
+            continue
+        ended = np.searchsorted(hi, a[own])  # peaks that end before the start
+        t = (low[own] > lo[np.maximum(ended - 1, 0), None] - 1).sum(axis=1)
+        ok = np.flatnonzero((ended > 0) & (t < low.shape[1]))
+        at = low[own[ok], t[ok]]
+        for i, x, k, n in zip(own[ok].tolist(), at.tolist(), np.searchsorted(lo, at + 1).tolist(), ended[ok].tolist(), strict=True):
+            out_a[i] = x + int((v[x : a[i] + 1] == v[lo[k:n]].max()).argmax())
+        begun = np.searchsorted(lo, b[own], "right")  # peaks that start after the end
+        t = (high[own] < hi[np.minimum(begun, len(hi) - 1), None] + 1).sum(axis=1)
+        ok = np.flatnonzero((begun < len(lo)) & (t < high.shape[1]))
+        to = high[own[ok], t[ok]]
+        for i, x, k, n in zip(own[ok].tolist(), to.tolist(), begun[ok].tolist(), np.searchsorted(hi, to).tolist(), strict=True):
+            out_b[i] = b[i] + int((v[b[i] : x + 1] == v[lo[k:n]].max()).argmax())
     return out_a, out_b
 
 
@@ -292,10 +310,10 @@ def circle_moments(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     """Means of x and y, and of the products of the distances from them that a circle needs; NaN without points."""
     if not len(x):
         return (math.nan,) * 8
-    mx, my = x.mean(), y.mean()
+    n = len(x)
+    mx, my = np.add.reduce(x) / n, np.add.reduce(y) / n
     u, v = x - mx, y - my
     z = u * u + v * v
-    n = len(x)
     return mx, my, u @ u / n, v @ v / n, u @ v / n, u @ z / n, v @ z / n, z @ z / n
 
 
