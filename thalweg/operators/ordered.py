@@ -49,16 +49,25 @@ def step_statistics(points: DataFrame) -> DataFrame:
 def gradient(f: Column, s: Column, order: WindowSpec | None = None) -> Column:
     """Second-order derivative of f by uneven s, one-sided at the ends; null at repeated s."""
     order = order or in_order()
-    f0, f2 = F.lag(f).over(order), F.lead(f).over(order)
-    h1, h2 = s - F.lag(s).over(order), F.lead(s).over(order) - s
+    return _gradient(*((F.lag(v).over(order), v, F.lead(v).over(order)) for v in (f, s)))
+
+
+def _gradient(of: tuple[Column, Column, Column], by: tuple[Column, Column, Column]) -> Column:
+    """``gradient`` from f and s at the point before, the point and the point after."""
+    (f0, f, f2), (s0, s, s2) = of, by
+    h1, h2 = s - s0, s2 - s
     inner = F.try_divide(h1 * h1 * f2 + (h2 * h2 - h1 * h1) * f - h2 * h2 * f0, h1 * h2 * (h1 + h2))
     return F.coalesce(inner, F.try_divide(f - f0, h1), F.try_divide(f2 - f, h2))
 
 
 def curvature(points: DataFrame) -> DataFrame:
     """Adds c, r (null where c is 0) and the running heading, from x, y and s."""
-    out = points.withColumn("x1", gradient(F.col("x"), F.col("s"))).withColumn("y1", gradient(F.col("y"), F.col("s")))
-    out = out.withColumn("x2", gradient(F.col("x1"), F.col("s"))).withColumn("y2", gradient(F.col("y1"), F.col("s")))
+    # each neighbour is looked up once and named: Spark makes a window function of every place where one stands
+    beside = lambda *columns: {f"_{c}_{k}": f(c).over(in_order()) for c in columns for k, f in (("lag", F.lag), ("lead", F.lead))}
+    three = lambda c: (F.col(f"_{c}_lag"), F.col(c), F.col(f"_{c}_lead"))
+    out = points.withColumns(beside("s", "x", "y")).withColumns({f"{c}1": _gradient(three(c), three("s")) for c in "xy"})
+    out = out.withColumns(beside("x1", "y1")).withColumns({f"{c}2": _gradient(three(f"{c}1"), three("s")) for c in "xy"})
+    out = out.drop(*beside("s", "x", "y", "x1", "y1"))
     speed = F.pow(F.col("x1") * F.col("x1") + F.col("y1") * F.col("y1"), F.lit(1.5))
     out = out.withColumn("c", F.try_divide(F.col("x1") * F.col("y2") - F.col("y1") * F.col("x2"), speed))
     out = out.withColumn("r", F.try_divide(F.lit(-1.0), F.col("c")))
